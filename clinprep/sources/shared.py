@@ -39,19 +39,19 @@ def store(df: DataFrame, tag: str, partition_by: str | None = None, codec: str =
     return spark.read.schema(df.schema).parquet(path)
 
 
-def store_bucketed(df: DataFrame, tag: str, key: str, buckets: int, sort: bool = True) -> DataFrame:
-    """Write ``df`` in ``buckets`` hash buckets of ``key``; joins and groupings on the key then need no shuffle.
+def store_bucketed(df: DataFrame, tag: str, key: str, buckets: int, sort: bool = True) -> tuple[DataFrame, str]:
+    """Write ``df`` in ``buckets`` hash buckets of ``key``: the table and its folder. Joins on the key need no shuffle of it.
 
     ``df`` should come from ``repartition(buckets, key)`` if its rows are small, so that each
     bucket is one file.
     """
     spark = df.sparkSession
-    name = f"{tag}_{uuid.uuid4().hex}"
-    writer = df.write.format("parquet").option("compression", "zstd").option("path", fresh_path(spark, tag)).bucketBy(buckets, key)
+    name, path = f"{tag}_{uuid.uuid4().hex}", fresh_path(spark, tag)
+    writer = df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, key)
     if sort:
         writer = writer.sortBy(key)
     writer.saveAsTable(name)
-    return spark.table(name)
+    return spark.table(name), path
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
