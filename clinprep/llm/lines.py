@@ -32,37 +32,35 @@ class LineRuns:
 
     def __init__(self, spark: SparkSession, fanout: int = FANOUT):
         self.spark, self.fanout, self.buckets = spark, fanout, shuffle_partitions(spark)
-        self.levels: list[list[DataFrame]] = []
-
-    def all(self) -> list[DataFrame]:
-        return [run for level in self.levels for run in level]
+        self.levels: list[list[tuple[DataFrame, str]]] = []  # a run: its bucketed table and its folder
 
     def add(self, seen: DataFrame) -> None:
         """Append a batch of rows (line, doc_id), one for each document and distinct line."""
         batch = seen.groupBy("line").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper"))
-        batch = store_bucketed(batch.repartition(self.buckets, "line"), "line_batch", "line", self.buckets)
-        fresh = reduce(lambda b, run: b.join(run.select("line"), "line", "left_anti"), self.all(), batch)
+        run = store_bucketed(batch.repartition(self.buckets, "line"), "line_run", "line", self.buckets)
         if self.levels:
+            batch, older = run[0], [table.select("line") for level in self.levels for table, _ in level]
+            fresh = reduce(lambda b, lines: b.join(lines, "line", "left_anti"), older, batch)
             known = batch.select("line", "n_docs").join(fresh.select("line", "keeper"), "line", "left")
-            batch = store_bucketed(known, "line_run", "line", self.buckets)
-        self._push(batch, 0)
+            run = store_bucketed(known, "line_run", "line", self.buckets)
+        self._push(run, 0)
 
-    def _push(self, run: DataFrame, level: int) -> None:
+    def _push(self, run: tuple[DataFrame, str], level: int) -> None:
         if len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(run)
         if len(self.levels[level]) >= self.fanout:
-            merged = self._merge(self.levels[level])
+            merged = self._merge(self.levels[level]).repartition(self.buckets, "line")
             self.levels[level] = []
             self._push(store_bucketed(merged, "line_run", "line", self.buckets), level + 1)
 
-    def _merge(self, runs: list[DataFrame]) -> DataFrame:
-        # dealt out explicitly: a union of bucketed scans may lose its buckets after planning
-        rows = reduce(DataFrame.unionByName, runs).repartition(self.buckets, "line")
+    def _merge(self, runs: list[tuple[DataFrame, str]]) -> DataFrame:
+        # One plain scan of the folders: Spark 4.1 takes a union of bucketed tables for bucketed, then reads it unbucketed.
+        rows = self.spark.read.schema(runs[0][0].schema).parquet(*[path for _, path in runs])
         return rows.groupBy("line").agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"))
 
     def merged(self) -> DataFrame:
-        return self._merge(self.all())
+        return self._merge([run for level in self.levels for run in level])
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, batches: int = BATCHES) -> DataFrame:
