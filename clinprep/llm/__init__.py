@@ -1,10 +1,13 @@
 """Operators of a training-data pipeline over large text corpora; QUERIES and ORACLES register them."""
 
-from clinprep.llm import exact, lines, sharding
+from clinprep.llm import bpe, exact, lines, packing, sharding, simhash
 
 QUERIES = {
+    "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
     "op3_line_dedup": lines.op3_line_dedup,
+    "op6_bpe": bpe.op6_bpe,
     "op8_kd_sharding": sharding.op8_kd_sharding,
+    "op9_packing": packing.op9_packing,
     "op10_exact_dedup": exact.op10_exact_dedup,
 }
 

@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from clinprep.llm.text import positions, table
+from clinprep.llm.text import inline_table, positions, table
 from clinprep.sources.shared import store
 
 BUCKETS = 1024
@@ -40,7 +40,7 @@ def _find(rows: DataFrame, nodes: dict[int, dict], column: str, slack: float) ->
     open_nodes = {k: n for k, n in nodes.items() if not n["done"]}
     while open_nodes:
         params = [(k, n["lo"], (n["hi"] - n["lo"]) // BUCKETS + 1, n["hi"], n["want"] - n["before"]) for k, n in open_nodes.items()]
-        small = spark.createDataFrame(params, "node long, lo long, width long, hi long, want double")
+        small = inline_table(spark, params, "node long, lo long, width long, hi long, want double")
         found = rows.join(F.broadcast(small), "node").filter(F.col(column).between(F.col("lo"), F.col("hi")))
         sums = found.groupBy("node", "lo", "width", "want", F.floor((F.col(column) - F.col("lo")) / F.col("width")).cast("long").alias("bucket")).agg(F.sum("size").alias("weight"))
         upto = Window.partitionBy("node").orderBy("bucket")
@@ -78,7 +78,7 @@ def _cuts(rows: DataFrame, parts: dict[int, int], dims: list[str], spans: dict[s
         cut[node] = {"dim": dim, "lo": r[f"lo_{dim}"], "hi": r[f"hi_{dim}"], "want": r["total"] * ((k + 1) // 2) / k, "before": 0, "weight": r["total"], "done": False, "key": {}}
     if not cut:
         return []
-    chosen = rows.sparkSession.createDataFrame([(n, dims.index(c["dim"])) for n, c in cut.items()], "node long, dim int")
+    chosen = inline_table(rows.sparkSession, [(n, dims.index(c["dim"])) for n, c in cut.items()], "node long, dim int")
     value = F.element_at(F.array(*[F.col(d) for d in dims]), F.col("dim") + 1)
     within = rows.join(F.broadcast(chosen), "node").withColumn("value", value)
     for column in ("value", "text_hash", "id_hash"):
@@ -94,7 +94,7 @@ def _cuts(rows: DataFrame, parts: dict[int, int], dims: list[str], spans: dict[s
             if not tied:
                 break
             last = "value" if column == "text_hash" else "text_hash"
-            fixed = rows.sparkSession.createDataFrame([(n, c["key"][last]) for n, c in tied.items()], "node long, tie long")
+            fixed = inline_table(rows.sparkSession, [(n, c["key"][last]) for n, c in tied.items()], "node long, tie long")
             within = within.join(F.broadcast(fixed), "node").filter(F.col(last) == F.col("tie")).drop("tie")
         _find(within, cut, column, SLACK * leaf)
         for c in cut.values():
@@ -162,7 +162,7 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
         known = {c[0]: c for c in cuts}
         for n in parts:
             known.setdefault(n, (n, 0, 1 << 62, 0, 0))
-        small = F.broadcast(spark.createDataFrame(list(known.values()), "node long, cut_dim int, cut_value long, cut_text long, cut_id long"))
+        small = F.broadcast(inline_table(spark, list(known.values()), "node long, cut_dim int, cut_value long, cut_text long, cut_id long"))
         value = F.element_at(F.array(*[F.col(d) for d in names]), F.col("cut_dim") + 1)
         at = F.struct(value.alias("v"), F.col("text_hash").alias("t"), F.col("id_hash").alias("i"))
         limit = F.struct(F.col("cut_value").alias("v"), F.col("cut_text").alias("t"), F.col("cut_id").alias("i"))
@@ -170,7 +170,7 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
         halves = {n: ((k + 1) // 2 if k > 1 else 1, k // 2 if k > 1 else 0) for n, k in parts.items()}
         firsts = {2 * n + side: firsts[n] + side * halves[n][0] for n in parts for side in (0, 1) if halves[n][side]}
         parts = {2 * n + side: halves[n][side] for n in parts for side in (0, 1) if halves[n][side]}
-    leaves = F.broadcast(spark.createDataFrame(list(firsts.items()), "node long, shard int"))
+    leaves = F.broadcast(inline_table(spark, list(firsts.items()), "node long, shard int"))
     sharded = placed.join(leaves, "node").withColumn("spread", F.col("id_hash"))
     sharded = positions(sharded, ["shard"], [F.col("id_hash"), F.col("doc_id"), F.col("text_hash")], "slot")
     return sharded.select("doc_id", "size", *[F.col(f"k{i}").alias(n) for i, n in enumerate(held)], "shard", F.col("slot").cast("long").alias("slot"))

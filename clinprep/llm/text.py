@@ -14,6 +14,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def inline_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few driver-made rows of numbers as an inline table of the plan."""
+    fields = [f.split() for f in schema.split(", ")]
+    values = ", ".join("(" + ", ".join(f"cast({v!r} AS {kind})" for v, (_, kind) in zip(row, fields, strict=True)) + ")" for row in rows)
+    if not rows:
+        return spark.sql("SELECT " + ", ".join(f"cast(NULL AS {kind}) AS {name}" for name, kind in fields)).limit(0)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(name for name, _ in fields)})")
+
+
 def without_space(c: Column) -> Column:
     return F.translate(c, SPACE, "")
 
