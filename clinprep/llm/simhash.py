@@ -5,8 +5,8 @@ fingerprints differ in no more bits than allowed, some segment starts a chain of
 which, after every step, the differences so far stay within the budgets so far (the pigeonring
 principle, in its integer form: the budgets sum to the allowed bits less the segments plus 1, and each
 step of a chain but the first has one bit more). Candidates meet in the buckets of such a first segment:
-every fingerprint is at home in the bucket of each of its segments and probes the buckets within that
-segment's budget. Pairs that break the chain are dropped before the full Hamming check.
+a fingerprint is at home in the buckets within half the segment's budget and probes those within the other half.
+Pairs that break the chain are dropped before the full Hamming check, which is the chain's last step.
 
 Equal fingerprints are one class, represented by its smallest id. A task answers with a spanning forest of
 the links it finds, never with all pairs of a group; a bucket with very many fingerprints is dealt out in
@@ -80,28 +80,29 @@ class Ring:
             raise ValueError("segments must fill lanes of 64 bits and budgets must sum to bits - segments + 1")
         self.bits, self.budgets, self.lanes = bits, budgets, len(lanes)
         self.parts = [(lane, 64 - sum(ws[: k + 1]), w) for lane, ws in enumerate(lanes) for k, w in enumerate(ws)]
-        # (segment, flipped bits of it, whether at home)
-        self.entries = [(s, sum(1 << b for b in flip), n == 0) for s, (_, _, w) in enumerate(self.parts) for n in range(budgets[s] + 1) for flip in combinations(range(w), n)]
+        # (segment, flipped bits of it, whether at home): a budget is met half way, odd ones by probes
+        self.entries = [
+            (s, sum(1 << b for b in flip), n <= budgets[s] // 2)
+            for s, (_, _, w) in enumerate(self.parts)
+            for n in range((budgets[s] + 1) // 2 + 1)
+            for flip in combinations(range(w), n)
+        ]
 
     def segment_bits(self, xor: list[np.ndarray], s: int) -> np.ndarray:
         lane, shift, width = self.parts[s]
         return np.bitwise_count((xor[lane] >> np.uint64(shift)) & np.uint64((1 << width) - 1)).astype(np.int16)
 
-    def linked(self, xor: list[np.ndarray], start: np.ndarray) -> np.ndarray:
-        """Which pairs keep the chain from segment ``start`` and the full Hamming bound."""
-        m = len(self.parts)
-        per = np.stack([self.segment_bits(xor, s) for s in range(m)])
-        budget = np.asarray(self.budgets, np.int16)
-        alive, spent, allowed = np.arange(len(start)), np.zeros(len(start), np.int16), np.zeros(len(start), np.int16)
+    def linked(self, xor: list[np.ndarray], start: int) -> np.ndarray:
+        """The pairs that keep the chain from segment ``start`` and the full Hamming bound."""
+        m, alive = len(self.parts), np.arange(len(xor[0]))
+        spent, allowed = np.zeros(len(alive), np.int16), -1
         for step in range(m):
-            at = (start[alive] + step) % m
-            spent = spent + per[at, alive]
-            allowed = allowed + budget[at] + (step > 0)
-            ok = spent <= allowed
-            alive, spent, allowed = alive[ok], spent[ok], allowed[ok]
-        out = np.zeros(len(start), bool)
-        out[alive] = per[:, alive].sum(0) <= self.bits
-        return out
+            s = (start + step) % m
+            spent = spent + self.segment_bits(xor, s)
+            allowed += self.budgets[s] + 1
+            ok = np.flatnonzero(spent <= allowed)
+            alive, spent, xor = alive[ok], spent[ok], [x[ok] for x in xor]
+        return alive  # after the whole ring, allowed is self.bits: this was the full check
 
 
 def _buckets(classes: DataFrame, ring: Ring) -> DataFrame:
@@ -143,15 +144,17 @@ def _links(ring: Ring):
             count = np.where(probe, 0, ends - np.arange(len(key)) - 1)
             homes = np.flatnonzero(count)
             done = np.r_[0, np.cumsum(count[homes])]
-            for lo in range(0, int(done[-1]), PAIRS):
-                hi = min(lo + PAIRS, int(done[-1]))
+            # chunks of pairs, cut where another segment begins
+            turns = np.searchsorted(homes, np.searchsorted(key, np.arange(1, len(ring.parts)) << 42))
+            edges = sorted({*range(0, int(done[-1]), PAIRS), *done[turns].tolist(), int(done[-1])})
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
                 n0, n1 = np.searchsorted(done, lo, "right") - 1, np.searchsorted(done, hi, "left")
                 cut = np.clip(done[n0 : n1 + 1], lo, hi)
                 which = np.repeat(np.arange(n0, n1), np.diff(cut))
                 i = homes[which]
                 j = i + 1 + np.arange(lo, hi) - done[which]
                 xor = [words[w][i] ^ words[w][j] for w in lanes]
-                ok = ring.linked(xor, (key[i] >> 42).astype(np.int64))
+                ok = ring.linked(xor, int(key[i[0]] >> 42))
                 forest.link(rep[i[ok]], rep[j[ok]])
 
         for batch in batches:
