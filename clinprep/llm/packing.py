@@ -26,8 +26,8 @@ from clinprep.sources.shared import store
 VOCABULARY = "word_bpe_49k.json"
 CONTEXT = 4096
 END = 2
-#: Encoded words that a task remembers before it starts anew.
-REMEMBER = 300_000
+#: Encoded words that a Python worker remembers, from task to task, before it starts anew.
+REMEMBER = 1_000_000
 
 
 @lru_cache(maxsize=2)
@@ -38,11 +38,15 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+STOPS = (b".", b",")
+
+
 class WordEncoder:
     """The ids of a text as little-endian unsigned 32-bit integers.
 
     The tokenizer drops white space, so a text's ids are those of its words (cut at ASCII white space) end to end;
-    words are encoded in batches and remembered.
+    words are encoded in batches and remembered. A stop or comma after a letter or digit is always a piece of its own,
+    so such words are made of two remembered ones.
     """
 
     def __init__(self, path: str):
@@ -66,12 +70,23 @@ class WordEncoder:
             for w in words:
                 if w not in known:
                     missing[w] = None
+        stopped = [w for w in missing if w[-1:] in STOPS and w[-2:-1].isalnum()]
+        for w in stopped:
+            del missing[w]
+        for w in stopped:
+            missing.update((part, None) for part in (w[:-1], w[-1:]) if part not in known)
         missing = list(missing)
         for at in range(0, len(missing), 4096):
             self.learn(missing[at : at + 4096])
+        known.update((w, known[w[:-1]] + known[w[-1:]]) for w in stopped)
         return [b"".join([known[w] for w in words]) for words in split]
 
 
+@lru_cache(maxsize=1)
+def word_encoder(path: str) -> WordEncoder:
+    return WordEncoder(path)
+
+
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
 
 
@@ -84,7 +99,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     path = path or public_tokenizers.path(VOCABULARY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, last, step = WordEncoder(path), np.uint32(end).astype("<u4").tobytes(), 4 * context
+        encoder, last, step = word_encoder(path), np.uint32(end).astype("<u4").tobytes(), 4 * context
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
