@@ -1,0 +1 @@
+"""Operators on event tables: DataFrame in, DataFrame out."""

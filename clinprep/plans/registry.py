@@ -1,6 +1,359 @@
-"""Every query of the clinical jobs, with its SQL twin where SQL can express it."""
+"""Every query of the clinical jobs, with its SQL twin where SQL can express it.
+
+All queries start from the raw text table that is derived from ``events``. Times are returned as texts.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from clinprep import config
+from clinprep.functions import magnitude, numeric_view, parse_datetime, rint, spelling, strip, unit
+from clinprep.operators import cells, datetimes, dedup, holdout, hourly, profile, refine, review, validate, vmd
+from clinprep.plans import pipeline
+from clinprep.plans.oracles import ORACLES  # noqa: F401
+from clinprep.sources import events
+from clinprep.sources.shared import fresh_path, store
+
+FLAGSHIP = "w2_heart_rate_value_mask_decay"
+#: Stays are 58 to 68 hours long here, so this cap truncates all of them.
+SHORT_STAY = 48
+#: Fixed weights for the refinement whose SQL twin cannot fit any.
+FROZEN = {c: [((7 * i + k) % 11 - 5) / 50.0 for i in range(refine.N_FEATURES)] for k, c in enumerate(config.CHANNELS)}
+VOCABULARIES = config.VOCABULARIES | {"admission_type": config.VOCABULARIES["admission_type"] | {"hospice": "Hospice"}}
+
+
+def texts(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("string") for c, t in df.dtypes if t.startswith("timestamp")})
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles that come from sums, which engines add up in different orders."""
+    return df.withColumns({c: rint(F.col(c), digits) for c, t in df.dtypes if t == "double"})
+
+
+def distinct_events(s: SparkSession, d: str) -> DataFrame:
+    return dedup.remove_duplicates(events.raw_events(s, d))
+
+
+def parsed_events(s: SparkSession, d: str) -> DataFrame:
+    return datetimes.parse_times(distinct_events(s, d))
+
+
+def windowed_events(s: SparkSession, d: str) -> DataFrame:
+    return datetimes.reconcile_windows(parsed_events(s, d))
+
+
+def united_events(s: SparkSession, d: str) -> DataFrame:
+    return cells.convert_units(windowed_events(s, d))
+
+
+def cleaned_events(s: SparkSession, d: str) -> DataFrame:
+    return cells.validate_ranges(cells.standardise_categories(united_events(s, d)))
+
+
+def hourly_table(s: SparkSession, d: str) -> DataFrame:
+    return hourly.build_hourly(cleaned_events(s, d))
+
+
+def stored_hourly(s: SparkSession, d: str) -> DataFrame:
+    """Written once for queries that read the hourly table several times."""
+    return store(hourly_table(s, d), "hourly")
+
+
+def expanded(s: SparkSession, d: str) -> DataFrame:
+    return vmd.value_mask_decay(stored_hourly(s, d))
+
+
+def standardised(s: SparkSession, d: str) -> DataFrame:
+    return vmd.standardise(store(expanded(s, d), "vmd"))
+
+
+def refined_frozen(s: SparkSession, d: str) -> DataFrame:
+    return refine.refine(store(standardised(s, d), "standardised"), FROZEN)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def of_raw(name: str, f: Callable[[DataFrame], DataFrame], table=events.raw_events) -> None:
+    QUERIES[name] = lambda s, d: texts(f(table(s, d)))
+
+
+# Sources and sinks
+@query
+def s1_read_events(s, d):
+    path = fresh_path(s, "events-csv")
+    events.write_table(events.raw_events(s, d).drop("row_index"), path, "csv")
+    return events.read_events(s, path).drop("row_index")
+
+
+@query
+def s2_write_table(s, d):
+    path = fresh_path(s, "cleaned-table")
+    events.write_table(cleaned_events(s, d), path)
+    return texts(s.read.parquet(path))
+
+
+@query
+def s3_write_report(s, d):
+    path, raw = fresh_path(s, "report"), events.raw_events(s, d)
+    events.write_report({"duplicates": dedup.dedup_audit(raw)}, path)
+    return s.read.schema("strategy string, rows_before long, rows_after long, removed long, remaining long, involved long").json(f"{path}/duplicates")
+
+
+# Profiling
+of_raw("p1_column_profile", profile.column_profile)
+of_raw("p2_duplicate_profile", profile.duplicate_profile)
+of_raw("p3_date_formats", profile.date_formats)
+of_raw("p4_unit_tokens", profile.unit_tokens)
+of_raw("p5_numeric_view", lambda raw: raw.select("row_index", *[numeric_view(F.col(c)).alias(c) for c in config.RANGES]))
+of_raw("p6_implausible_values", profile.implausible_values)
+of_raw("p7_categorical_variants", profile.categorical_variants)
+of_raw("p8_numeric_summary", profile.numeric_summary)
+of_raw("p9_top_missing", lambda raw: profile.top_missing(profile.column_profile(raw)))
+
+# Duplicates
+of_raw("d1_remove_duplicates", dedup.remove_duplicates)
+of_raw("d2_remove_key_duplicates", lambda raw: dedup.remove_duplicates(raw, ["admission_id", "charttime"], "last").select("row_index", "admission_id", "charttime"))
+of_raw("d3_dropped_rows", lambda raw: dedup.dropped_rows(raw).select("row_index"))
+of_raw("d4_dedup_audit", dedup.dedup_audit)
+of_raw("d5_verify_dropped", lambda raw: dedup.verify_dropped(raw, dedup.dropped_rows(raw)))
+
+# Datetimes and windows
+of_raw("t1_parse_datetimes", lambda df: df.select("row_index", *config.TIME_COLUMNS), parsed_events)
+of_raw("t2_parse_with_fallback", lambda df: df.select("row_index", parse_datetime(F.regexp_replace("charttime", r"^(\d{2})/(\d{2})/(\d{4})", "$1-$2-$3")).alias("charttime")), distinct_events)
+of_raw("t3_parse_audit", lambda df: datetimes.parse_audit(df).join(datetimes.spelling_counts(df), "column"), distinct_events)
+of_raw("t4_naive_disagreements", datetimes.naive_disagreements, distinct_events)
+of_raw("t5_reconcile_windows", lambda df: df.select("row_index", "admission_id", "intime", "outtime"), windowed_events)
+of_raw("t6_window_audit", lambda df: datetimes.window_audit(df).select("conflicting_windows", "inverted_windows"), parsed_events)
+of_raw("t7_clamp_charttime", lambda df: df.select("row_index", "charttime"), windowed_events)
+of_raw("t7_clamp_audit", lambda df: datetimes.window_audit(df).select("clamped_before", "clamped_after"), parsed_events)
+of_raw("t8_length_of_stay", lambda df: df.select("row_index", "length_of_stay_hours"), windowed_events)
+of_raw("t9_stay_summary", datetimes.stay_summary, windowed_events)
+
+# Units, vocabularies, ranges
+of_raw("u1_parse_measurement", lambda df: df.unpivot("row_index", config.CHANNELS, "column", "value").select("row_index", "column", magnitude(F.col("value")).alias("magnitude"), unit(F.col("value")).alias("unit")), distinct_events)
+of_raw("u2_to_celsius", lambda df: df.select("row_index", cells.to_unit("temperature", F.col("temperature")).alias("celsius")), distinct_events)
+of_raw("u3_to_mg_dl", lambda df: df.select("row_index", cells.to_unit("glucose", F.col("glucose")).alias("mg_dl")), distinct_events)
+of_raw("u4_strip_unit", lambda df: df.select("row_index", *[cells.to_unit(c, F.col(c)).alias(c) for c in ("sbp", "mbp")]), distinct_events)
+of_raw("u5_convert_units", lambda df: df.select("row_index", *config.UNIT_COLUMNS), united_events)
+of_raw("u6_unit_paths", cells.unit_paths, distinct_events)
+of_raw("u6_converted_totals", cells.converted_totals, distinct_events)
+of_raw("u7_unit_distributions", cells.unit_distributions, distinct_events)
+of_raw("c1_standardise_categories", lambda df: cells.standardise_categories(df).select("row_index", *config.VOCABULARIES), distinct_events)
+of_raw("c2_unmapped_values", cells.unmapped_values, distinct_events)
+of_raw("c3_category_audit", cells.category_audit, distinct_events)
+of_raw("r1_validate_ranges", lambda df: cells.validate_ranges(df).select("row_index", *config.RANGES), united_events)
+of_raw("r2_range_audit", cells.range_audit, united_events)
+of_raw("r3_rejections", cells.rejections, united_events)
+of_raw("r3_rejection_log", lambda df: cells.rejections(df, limit=200), united_events)
+of_raw("r4_channel_loss", lambda df: cells.channel_loss(cells.range_audit(df)), united_events)
+
+# Hourly grid
+of_raw("h1_bin_hours", lambda df: rounded(hourly.bin_hours(df)), cleaned_events)
+of_raw("h2_hour_grid", lambda df: hourly.hour_grid(df, SHORT_STAY), cleaned_events)
+of_raw("h3_align", lambda df: rounded(hourly.hour_grid(df).join(hourly.bin_hours(df), hourly.KEY, "left").select("admission_id", "hour", *config.CHANNELS)), cleaned_events)
+of_raw("h4_spread_statics", lambda df: df.select("admission_id", "hour", *config.STATIC_COLUMNS), hourly_table)
+of_raw("h5_hours_since_admission", lambda df: df.select("admission_id", "hour", "hours_since_admission"), hourly_table)
+of_raw("h6_expansion_audit", lambda df: hourly.expansion_audit(df, SHORT_STAY), cleaned_events)
+of_raw("h7_missing_before_after", lambda df: hourly.missing_before_after(df, hourly.build_hourly(df)), cleaned_events)
+
+# Value, mask and decay
+_KEYS = ["admission_id", "hours_since_admission"]
+of_raw("v1_population_means", lambda df: rounded(vmd.population_means(df)), stored_hourly)
+of_raw("v2_neutral_fill", lambda df: rounded(vmd.neutral_fill(df, "heart_rate").select(*_KEYS, "heart_rate")), stored_hourly)
+
+
+def _fields(name: str, *fields: str, table=expanded) -> None:
+    of_raw(name, lambda df: df.select(*_KEYS, *[f"{c}_{f}" for c in config.CHANNELS for f in fields]), table)
+
+
+_fields("v3_value", "value")
+_fields("v4_mask", "mask")
+_fields("v5_decay", "gap_hours", "decay")
+_fields("v6_fill_kind", "fill_kind")
+_fields("v7_backward_context", "next_value", "backward_gap_hours", "backward_decay")
+_fields("v8_standardise", "z", "next_z", table=standardised)
+of_raw("v9_channel_audit", vmd.channel_audit, expanded)
+of_raw("v10_neutral_check", vmd.neutral_check, standardised)
+
+
+@query
+def w2_heart_rate_value_mask_decay(s, d):
+    rows = vmd.value_mask_decay(stored_hourly(s, d), ["heart_rate"])
+    return texts(rows.select("admission_id", "hour", *[F.col(f"heart_rate_{f}").alias(f) for f in ("value", "mask", "decay")]))
+
+
+# Refinement and benchmark
+of_raw("f1_temporal_basis", lambda df: df.select(*_KEYS, *[rint(x, 6).alias(f"basis_{i}") for i, x in enumerate(refine.temporal_basis(F.col("hours_since_admission").cast("double")))]), hourly_table)
+of_raw("f2_design", lambda df: df.select(*_KEYS, *[rint(x, 6).alias(f"x_{i}") for i, x in enumerate(refine.design(df, "heart_rate"))]), standardised)
+
+
+@query
+def f3_mask_cells(s, d):
+    return rounded(holdout.mask_cells(stored_hourly(s, d))[1])
+
+
+def _fitted(s, d) -> dict[str, dict]:
+    table = stored_hourly(s, d)
+    return refine.fit_refiner(refine.training_rows(store(vmd.standardise(vmd.value_mask_decay(table)), "standardised"), table))
+
+
+@query
+def f4_fit_refiner(s, d):
+    rows = [(c, f["rows"], f["n_features"], f["r2"], [float(w) for w in f["weights"]]) for c, f in _fitted(s, d).items()]
+    return s.createDataFrame(rows, "channel string, rows long, n_features long, r2 double, weights array<double>")
+
+
+_fields("f5_refine", "refined_z", table=refined_frozen)
+_fields("f6_natural_units", "refined", table=refined_frozen)
+of_raw("f7_refinement_audit", refine.refinement_audit, refined_frozen)
+
+
+def _held(s, d, mode: str) -> DataFrame:
+    return holdout.holdout(stored_hourly(s, d), mode)
+
+
+def _carried_errors(s, d, mode: str) -> DataFrame:
+    table = stored_hourly(s, d)
+    held = store(holdout.holdout(table, mode), "held")
+    left = vmd.value_mask_decay(holdout.hide(table, held))
+    return holdout.held_errors(held, left, {"locf": "value"})
+
+
+@query
+def b1_random_holdout(s, d):
+    return rounded(_held(s, d, "random"))
+
+
+@query
+def b2_block_holdout(s, d):
+    return rounded(_held(s, d, "block"))
+
+
+@query
+def b3_score_carried(s, d):
+    return holdout.score(_carried_errors(s, d, "block"))
+
+
+@query
+def b4_pooled_carried(s, d):
+    return holdout.pooled(_carried_errors(s, d, "block"))
+
+
+@query
+def b3_score_refined(s, d):
+    return holdout.score(store(refine.benchmark_errors(stored_hourly(s, d)), "errors"))
+
+
+@query
+def b4_pooled_refined(s, d):
+    return holdout.pooled(store(refine.benchmark_errors(stored_hourly(s, d)), "errors"))
+
+
+# Validation
+@query
+def a1_table_assertions(s, d):
+    raw = events.raw_events(s, d)
+    return validate.table_assertions(raw, cleaned_events(s, d), dedup.dedup_audit(raw)).drop("note")
+
+
+of_raw("a2_range_assertions", validate.range_assertions, cleaned_events)
+of_raw("a3_grid_assertions", validate.grid_assertions, hourly_table)
+of_raw("a4_channel_assertions", validate.channel_assertions, expanded)
+of_raw("a5_fabrication_assertions", validate.fabrication_assertions, refined_frozen)
+of_raw("a6_verdict", lambda df: validate.verdict(validate.range_assertions(df)), united_events)
+
+
+@query
+def a7_before_after_statistics(s, d):
+    raw = distinct_events(s, d).select(*[numeric_view(F.col(c)).alias(c) for c in config.CHANNELS])
+    return validate.before_after_statistics(raw, cleaned_events(s, d))
+
+
+@query
+def a7_record_counts(s, d):
+    return validate.record_counts(events.raw_events(s, d), cleaned_events(s, d), hourly_table(s, d))
+
+
+of_raw("a7_observed_shares", validate.observed_shares, expanded)
+of_raw("a7_schema", validate.schema_table, hourly_table)
+
+
+@query
+def a8_recovery(s, d):
+    raw = events.raw_events(s, d)
+    original = raw.filter("row_index < 100000000")
+    fahrenheit = original.filter(F.col("temperature").endswith("F") | (numeric_view(F.col("temperature")) > 90))
+    noise = cells.category_audit(original).agg(F.sum("cells_changed").alias("n"))
+    n = lambda df, what, out: df.select(F.lit(what).alias("defect"), F.col("n").cast("long").alias(out))
+    count = lambda df: df.agg(F.count(F.lit(1)).alias("n"))
+    truth = validate.union_all([n(count(raw.filter("row_index >= 100000000")), "duplicate_rows", "injected"), n(count(fahrenheit), "fahrenheit_cells", "injected"), n(noise, "category_noise_cells", "injected")])
+    distinct = dedup.remove_duplicates(raw)
+    found = validate.union_all([
+        n(dedup.dedup_audit(raw).select(F.col("removed").alias("n")), "duplicate_rows", "recovered"),
+        n(cells.converted_totals(distinct).filter("column = 'temperature'").select(F.col("converted").alias("n")), "fahrenheit_cells", "recovered"),
+        n(cells.category_audit(distinct).agg(F.sum("cells_changed").alias("n")), "category_noise_cells", "recovered"),
+    ])
+    return validate.recovery(truth, found)
+
+
+@query
+def a9_postconditions(s, d):
+    raw = events.raw_events(s, d)
+    distinct = dedup.remove_duplicates(raw)
+    parsed = datetimes.parse_times(distinct)
+    windowed = datetimes.reconcile_windows(parsed)
+    united = cells.convert_units(windowed)
+    parts = [
+        pipeline.check_duplicates(distinct),
+        pipeline.check_datetimes(windowed, datetimes.window_audit(parsed)),
+        pipeline.check_units(united),
+        pipeline.check_categories(united),
+        pipeline.check_ranges(cells.validate_ranges(united), cells.range_audit(united)),
+    ]
+    return validate.union_all(parts).select("name", "passed")
+
+
+of_raw("a10_plan", pipeline.plan_steps)
+of_raw("a10_concerns", pipeline.concerns)
+
+
+@query
+def a11_run(s, d):
+    raw = events.raw_events(s, d)
+    return validate.verdict(pipeline.assertions(raw, pipeline.run(raw, vocabularies=VOCABULARIES)))
+
+
+# Review tables
+of_raw("n1_temperature_raw", lambda raw: review.histogram(raw.select(magnitude(F.col("temperature")).alias("x")), "x", 20.0, 120.0))
+of_raw("n1_temperature_converted", lambda df: review.histogram(df, "temperature", 30.0, 45.0), united_events)
+of_raw("n1_temperature_bands", review.temperature_bands)
+of_raw("n2_observation_grid", lambda df: review.observation_grid(df, "heart_rate"), expanded)
+of_raw("n3_trajectory", lambda df: review.trajectory(df, "heart_rate"), refined_frozen)
+
+
+@query
+def n4_missing_by_stage(s, d):
+    cleaned = store(cleaned_events(s, d), "cleaned")
+    table = store(hourly.build_hourly(cleaned), "hourly")
+    return validate.missing_by_stage(cleaned, table, vmd.value_mask_decay(table))
+
+
+@query
+def n5_ranked_channels(s, d):
+    return review.ranked_channels(holdout.score(store(refine.benchmark_errors(stored_hourly(s, d)), "errors")))
+
+
+of_raw("n6_order_ablation", review.order_ablation, distinct_events)
+of_raw("a3_gap_starts", validate.gap_starts, lambda s, d: hourly_table(s, d).filter("hours_since_admission % 7 <> 3"))
+of_raw("p3_stripped_spellings", lambda raw: raw.groupBy(spelling(strip(F.col("charttime"))).alias("spelling")).agg(F.count(F.lit(1)).alias("n")))
