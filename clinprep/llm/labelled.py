@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clinprep.llm.text import small_batches
+
 #: Labelled documents of each class that a model is fitted on, at most. They are the ones whose
 #: ids hash lowest, so the sample does not depend on the order or the partitions of the table.
 SAMPLE_PER_CLASS = 1_500
@@ -22,7 +24,7 @@ def held_out(id_col: Column, folds: int, fold: int) -> Column:
 
 def training_texts(docs: DataFrame, labels: DataFrame, label_col: str, usable: Column, id_col: str = "doc_id", text_col: str = "text", per_class: int = SAMPLE_PER_CLASS) -> tuple[list[str], np.ndarray]:
     """Whole texts and 0/1 labels of the sample, per_class rows of each class at most."""
-    rows = labels.filter(usable & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).dropDuplicates(["_id"])
+    rows = labels.filter(usable & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).dropDuplicates(["_id"])
     rows = rows.withColumn("_order", F.xxhash64("_id"))
     parts = [rows.filter(F.col("_label") == y).orderBy("_order", "_id").limit(per_class) for y in (0, 1)]
     picked = F.broadcast(parts[0].unionByName(parts[1]))  # 2 x per_class ids
@@ -34,6 +36,7 @@ def training_texts(docs: DataFrame, labels: DataFrame, label_col: str, usable: C
 
 def score_texts(docs: DataFrame, text_col: str, score, out: list[T.StructField], rows: int = 512) -> DataFrame:
     """``docs`` with the columns that ``score(list of texts)`` gives as lists, one for each of ``out``; null texts are ''."""
+    small_batches(docs.sparkSession)
     names = [f.name for f in out]
     schema = T.StructType([*[f for f in docs.schema.fields if f.name not in names], *out])
     kept = docs.drop(*names)

@@ -20,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clinprep.llm.text import positions, table
+from clinprep.llm.text import positions, small_batches, table
 from clinprep.sources.shared import store
 
 VOCABULARY = "word_bpe_49k.json"
 CONTEXT = 4096
 END = 2
 #: Encoded words that a Python worker remembers, from task to task, before it starts anew.
-REMEMBER = 1_000_000
+REMEMBER = 600_000
 
 
 @lru_cache(maxsize=2)
@@ -111,6 +111,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 kinds = [pa.int64()] * 4 + [pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "start", "length", "doc_tokens", "ids"])
 
+    small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     return base.mapInArrow(run, PIECES)
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clinprep.llm.graph import Forest, components
-from clinprep.llm.text import table
+from clinprep.llm.text import small_batches, table
 from clinprep.sources.shared import store
 
 #: Candidate pairs looked at at once in a task.
@@ -61,6 +61,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             rows = [fingerprint(t.encode(), words, lanes) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(lanes))], ["doc_id", *names])
 
+    small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     return base.mapInArrow(run, ", ".join(["doc_id long", *(f"{n} long" for n in names)]))
 

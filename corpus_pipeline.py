@@ -38,9 +38,10 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _filtered(docs: DataFrame, score, keeps) -> DataFrame:
-    """``docs`` where the score keeps them; scored under names of their own, so any further column may be there."""
-    row = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))
-    return score(row).filter(keeps).select("row.*")
+    """``docs`` where the score keeps them. Columns go by number meanwhile, so any further column may be there."""
+    names = docs.columns
+    numbered = docs.toDF(*["text" if c == "text" else f"_{i}" for i, c in enumerate(names)])
+    return score(numbered).filter(keeps).select(*numbered.columns).toDF(*names)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
