@@ -2,18 +2,19 @@
 
 A block of documents is cut into pre-tokens; it becomes a dictionary of its distinct words and, for every
 position of every document, the word's place in that dictionary. Only dictionaries travel: exploded
-with their positions they are shuffled by word, each distinct word is encoded once for the whole corpus, and the ids
-join back to their block, where documents are reassembled by position. The positions themselves stay in
-a written table bucketed by block, so the join back moves dictionaries only. Decoding joins ids with
-the table of token bytes, whose size is the vocabulary's.
+by parts of the vocabulary (a word's part is its hash), all blocks' words of a part meet in one task, which encodes each
+distinct word once for the whole corpus, and the ids join back to their block, where documents are reassembled by
+position. The positions themselves stay in a written table bucketed by block, so the join back moves
+dictionaries only. A word comes at most once a block, however often the corpus holds it. Decoding joins ids with the
+table of token bytes, whose size is the vocabulary's.
 """
 
 from __future__ import annotations
 
 import base64
-import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from zlib import crc32
 
 import numpy as np
 import public_tokenizers
@@ -24,12 +25,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clinprep.llm.text import table
+from clinprep.llm.text import small_batches, table
 from clinprep.sources.shared import shuffle_partitions, store_bucketed
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: A block ends with the document that brings it to so many characters.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 12_000_000
+#: The vocabulary is dealt out in so many parts for each shuffle partition.
+PARTS_A_TASK = 4
 
 
 @lru_cache(maxsize=2)
@@ -44,34 +47,64 @@ def encoder(path: str, pattern: str) -> tiktoken.Encoding:
 
 
 @lru_cache(maxsize=2)
-def token_bytes(path: str) -> list[bytes]:
-    """The token-byte table, by id."""
+def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The token-byte table by id: all bytes end to end, where each token's begin, and how many they are."""
     found = ranks(path)
-    out = [b""] * (max(found.values(), default=-1) + 1)
+    tokens = [b""] * (max(found.values(), default=-1) + 1)
     for token, rank in found.items():
-        out[rank] = token
-    return out
+        tokens[rank] = token
+    size = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    return np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(size) - size, size
 
 
-def decode_ids(ids: list[int], path: str) -> bytes:
-    at = token_bytes(path)
-    return b"".join([at[i] for i in ids])
+#: Ids that are decoded at once.
+DECODE_IDS = 500_000
 
 
-BLOCKS = pa.schema([("block", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("places", pa.binary()), ("words", pa.list_(pa.string()))])
+def decode_lists(lists: pa.ListArray, path: str) -> pa.Array:
+    """The bytes of each list of ids; null lists stay null."""
+    data, start, size = token_bytes(path)
+    offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+    out, lo = [], 0
+    while lo < len(lists):
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + DECODE_IDS, "right")) - 1)
+        ids = values[offsets[lo] : offsets[hi]]
+        n = size[ids]
+        upto = np.r_[0, np.cumsum(n)]
+        found = data[np.repeat(start[ids] - upto[:-1], n) + np.arange(upto[-1])].tobytes()
+        cut = upto[offsets[lo : hi + 1] - offsets[lo]].tolist()
+        out += [found[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        lo = hi
+    return pa.array(out, pa.binary(), mask=lists.is_null().to_numpy(zero_copy_only=False))
 
 
-def _blocks(pattern: str):
+CHUNK = pa.struct([("part", pa.int32()), ("sizes", pa.binary()), ("words", pa.binary())])
+BLOCKS = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("places", pa.binary()), ("order", pa.binary()), ("chunks", pa.list_(CHUNK))])
+BLOCKS_DDL = "block long, doc_ids array<long>, lengths array<int>, places binary, order binary, chunks array<struct<part: int, sizes: binary, words: binary>>"
+
+
+def _blocks(pattern: str, parts: int):
+    """places: each position's word, the most frequent first, as byte planes. order: those words by their part of the vocabulary."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = regex.compile(pattern).findall
         places, ids, lengths, seen, chars, first = [], [], [], {}, 0, None
 
         def block() -> pa.RecordBatch:
-            words = list(seen)
-            name = hashlib.md5(f"{first}".encode()).hexdigest()
-            packed = np.concatenate(places) if places else np.zeros(0, np.uint32)
-            packed = packed.astype(np.uint16 if len(words) < 65_536 else np.uint32)
-            row = [[name], [ids], [lengths], [packed.tobytes()], [words]]
+            packed, words = np.concatenate(places), list(seen)
+            by_count = np.argsort(-np.bincount(packed, minlength=len(words)), kind="stable")
+            rank = np.empty(len(words), np.uint32)
+            rank[by_count] = np.arange(len(words))
+            planes = rank[packed].astype("<u4").view(np.uint8).reshape(-1, 4).T  # small numbers: the higher planes vanish when compressed
+            words = [words[i].encode() for i in by_count]
+            part = np.fromiter((crc32(w) % parts for w in words), np.int64, len(words))
+            order = np.argsort(part, kind="stable").astype(np.uint32)
+            cuts = np.searchsorted(part[order], np.arange(parts + 1))
+            chunks = []
+            for p in np.flatnonzero(np.diff(cuts)):
+                mine = [words[i] for i in order[cuts[p] : cuts[p + 1]]]
+                chunks.append({"part": int(p), "sizes": np.fromiter(map(len, mine), np.uint32, len(mine)).tobytes(), "words": b"".join(mine)})
+            row = [[first], [ids], [lengths], [planes.tobytes()], [order.tobytes()], [chunks]]
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, BLOCKS, strict=True)], schema=BLOCKS)
 
         for batch in batches:
@@ -92,17 +125,23 @@ def _blocks(pattern: str):
 
 
 def _encode(path: str, pattern: str):
-    """Rows come sorted by word: each distinct word is encoded when it first comes."""
+    """A task holds whole parts of the vocabulary; each distinct word is encoded when it first comes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, last, ids = encoder(path, pattern).encode_ordinary, None, b""
+        encode, known = encoder(path, pattern).encode_ordinary, {}
         for batch in batches:
-            out = []
-            for word in batch.column(2).to_pylist():
-                if word != last:
-                    last, ids = word, np.asarray(encode(word), np.uint16).tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["block", "place", "ids"])
+            for at in range(batch.num_rows):
+                sizes, words = (batch.column(i)[at].as_py() for i in (2, 3))
+                cut = np.r_[0, np.cumsum(np.frombuffer(sizes, np.uint32), dtype=np.int64)].tolist()
+                out = []
+                for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+                    word = words[lo:hi]
+                    ids = known.get(word)
+                    if ids is None:
+                        ids = known[word] = np.asarray(encode(word.decode()), np.uint16).tobytes()
+                    out.append(ids)
+                counts = np.fromiter((len(x) // 2 for x in out), np.uint32, len(out)).tobytes()
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1), batch.column(1).slice(at, 1), pa.array([counts], pa.binary()), pa.array([b"".join(out)], pa.binary())], ["block", "part", "counts", "ids"])
 
     return run
 
@@ -113,17 +152,16 @@ ENCODED = "doc_id long, ids array<int>"
 def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(batch.num_rows):
-            doc_ids, lengths, packed, places, coded = (batch.column(i)[at] for i in range(5))
-            # the dictionary's ids end to end, by place
-            order = np.argsort(places.values.to_numpy())
-            coded = coded.values.take(pa.array(order)).to_pylist()
-            size = np.fromiter((len(c) // 2 for c in coded), np.int64, len(coded))
-            start = np.cumsum(size) - size
-            flat = np.frombuffer(b"".join(coded), np.uint16)
-            packed = packed.as_py()
+            doc_ids, lengths, packed, order, coded = (batch.column(i)[at] for i in range(5))
+            coded = sorted(coded.as_py(), key=lambda c: c["part"])
+            flat = np.frombuffer(b"".join([c["ids"] for c in coded]), np.uint16)
+            counts_by_order = np.frombuffer(b"".join([c["counts"] for c in coded]), np.uint32).astype(np.int64)
+            order = np.frombuffer(order.as_py(), np.uint32)
+            # each word's ids: where they begin and how many they are
+            size, start = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+            size[order], start[order] = counts_by_order, np.cumsum(counts_by_order) - counts_by_order
             docs, counts = doc_ids.values, lengths.values.to_numpy().astype(np.int64)
-            total = int(counts.sum())
-            where = np.frombuffer(packed, np.uint16 if len(packed) == 2 * total else np.uint32)
+            where = np.ascontiguousarray(np.frombuffer(packed.as_py(), np.uint8).reshape(4, -1).T).view("<u4").ravel()
             ends = np.cumsum(counts)
             lo = 0
             while lo < len(counts):  # documents of about a million words a batch
@@ -147,18 +185,18 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     """
     path, pattern = path or public_tokenizers.path(RANKS), pattern or public_tokenizers.PATTERN
     spark = docs.sparkSession
+    small_batches(spark)
     base = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    buckets = shuffle_partitions(spark)
-    blocks = base.mapInArrow(_blocks(pattern), "block string, doc_ids array<long>, lengths array<int>, places binary, words array<string>")
-    blocks, _ = store_bucketed(blocks, "bpe_blocks", "block", buckets, sort=False)
-    words = blocks.select("block", F.posexplode("words").alias("place", "word"))
-    coded = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encode(path, pattern), "block string, place int, ids binary")
-    back = coded.groupBy("block").agg(F.collect_list(F.struct("place", "ids")).alias("dictionary"))
-    joined = blocks.select("block", "doc_ids", "lengths", "places").join(back, "block", "left")
-    # a block of empty texts only has no dictionary
-    none = F.array().cast("array<struct<place:int,ids:binary>>")
-    ready = joined.withColumn("dictionary", F.coalesce("dictionary", none)).select("doc_ids", "lengths", "places", F.col("dictionary.place").alias("place"), F.col("dictionary.ids").alias("ids"))
-    return ready.mapInArrow(_assemble, ENCODED)
+    tasks = shuffle_partitions(spark)
+    blocks = base.mapInArrow(_blocks(pattern, PARTS_A_TASK * tasks), BLOCKS_DDL)
+    blocks, _ = store_bucketed(blocks, "bpe_blocks", "block", tasks, sort=False)
+    words = blocks.select("block", F.explode("chunks").alias("chunk")).select("block", "chunk.*")
+    coded = words.repartition(tasks, "part").mapInArrow(_encode(path, pattern), "block long, part int, counts binary, ids binary")
+    back = coded.groupBy("block").agg(F.collect_list(F.struct("part", "counts", "ids")).alias("coded"))
+    joined = blocks.select("block", "doc_ids", "lengths", "places", "order").join(back, "block", "left")
+    # a block of empty texts only has no words
+    none = F.array().cast("array<struct<part: int, counts: binary, ids: binary>>")
+    return joined.select("doc_ids", "lengths", "places", "order", F.coalesce("coded", none).alias("coded")).mapInArrow(_assemble, ENCODED)
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", out: str = "bytes", path: str | None = None) -> DataFrame:
@@ -169,8 +207,7 @@ def decode(encoded: DataFrame, ids_col: str = "ids", out: str = "bytes", path: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [None if ids is None else decode_ids(ids, path) for ids in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], [*batch.schema.names, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns, decode_lists(batch.column(at), path)], [*batch.schema.names, out])
 
     return encoded.mapInArrow(run, schema)
 
