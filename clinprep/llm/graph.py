@@ -60,7 +60,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round maps every edge's larger end to the smallest neighbour of the other end (large-star, then
     small-star); rounds follow until the edges are stars around the smallest nodes, a number of them
-    logarithmic in the size of a component. Rounds are written tables, so lineage stays short.
+    logarithmic in the size of a component. Rounds are written tables, so lineage stays short; smallest
+    neighbours are too, which lets adaptive execution split the edges of a hub when they meet.
     """
     edges = store(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").mapInArrow(_forest, "a long, b long").distinct(), "edges")
     while True:
@@ -71,10 +72,10 @@ def components(edges: DataFrame) -> DataFrame:
         if not deep.unionByName(forked).take(1):
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = store(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "lowest")
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         large = store(large, "large-star")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = store(large.groupBy("a").agg(F.min("b").alias("m")), "lowest")
         pairs = large.join(low, "a")
         small = pairs.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
         edges = store(small, "small-star")
