@@ -70,7 +70,11 @@ def parse_datetime(c: Column, fallbacks: list[str] | None = None) -> Column:
     The first spelling that a stripped text begins with decides; the rest of the text must then fit it
     too, or the result is null. Only texts of no known spelling go through the fallbacks.
     """
-    text = strip(c)
+    return parse_stripped(strip(c), fallbacks)
+
+
+def parse_stripped(text: Column, fallbacks: list[str] | None = None) -> Column:
+    """parse_datetime of a text without white space at its ends."""
     out = F.lit(None).cast("timestamp_ntz")
     for form in reversed(FALLBACKS if fallbacks is None else fallbacks):
         out = F.coalesce(F.try_to_timestamp(text, F.lit(form)).cast("timestamp_ntz"), out)

@@ -14,9 +14,7 @@ def _to_celsius(x: Column) -> Column:
     return (x - 32.0) * 5.0 / 9.0
 
 
-def unit_path(column: str, c: Column) -> Column:
-    """Which way a cell goes; null for a null cell."""
-    x, u = magnitude(c), unit(c)
+def _path(column: str, c: Column, x: Column, u: Column) -> Column:
     if column == "temperature":
         path = F.when(u.startswith("f"), "fahrenheit_explicit").when(u.startswith("c"), "celsius_explicit").when(x.between(*config.FAHRENHEIT_BAND), "inferred_fahrenheit").otherwise("unitless_kept_as_celsius")
     elif column == "glucose":
@@ -26,9 +24,12 @@ def unit_path(column: str, c: Column) -> Column:
     return F.when(c.isNull(), None).when(x.isNull(), "unparseable").otherwise(path)
 
 
-def to_unit(column: str, c: Column) -> Column:
-    """Degrees Celsius, mg/dL, or the bare number, with two decimals."""
-    x, path = magnitude(c), unit_path(column, c)
+def unit_path(column: str, c: Column) -> Column:
+    """Which way a cell goes; null for a null cell."""
+    return _path(column, c, magnitude(c), unit(c))
+
+
+def _converted(column: str, x: Column, path: Column) -> Column:
     if column == "temperature":
         x = F.when(path.isin("fahrenheit_explicit", "inferred_fahrenheit"), _to_celsius(x)).otherwise(x)
     elif column == "glucose":
@@ -36,13 +37,21 @@ def to_unit(column: str, c: Column) -> Column:
     return rint(x, 2)
 
 
+def to_unit(column: str, c: Column) -> Column:
+    """Degrees Celsius, mg/dL, or the bare number, with two decimals."""
+    return _converted(column, magnitude(c), unit_path(column, c))
+
+
 def _present(df: DataFrame, columns) -> list[str]:
     return [c for c in columns if c in df.columns]
 
 
 def convert_units(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """All known measurement columns, in one projection."""
-    return df.withColumns({c: to_unit(c, F.col(c)) for c in _present(df, columns or config.UNIT_COLUMNS)})
+    """All known measurement columns. Texts are split once, before the rules that read number and unit several times."""
+    names = _present(df, columns or config.UNIT_COLUMNS)
+    split = {f"_number_{c}": magnitude(F.col(c)) for c in names} | {f"_unit_{c}": unit(F.col(c)) for c in names if c in ("temperature", "glucose")}
+    cells = {c: _converted(c, F.col(f"_number_{c}"), _path(c, F.col(c), F.col(f"_number_{c}"), F.col(f"_unit_{c}")) if f"_unit_{c}" in split else F.lit(None)) for c in names}
+    return df.withColumns(split).withColumns(cells).drop(*split)
 
 
 def unit_paths(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

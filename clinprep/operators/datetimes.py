@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clinprep import config
-from clinprep.functions import floor_hour, hours_between, parse_datetime, rint, spelling, strip  # noqa: F401
+from clinprep.functions import hours_between, parse_datetime, parse_stripped, rint, spelling, strip
 
 
 def _present(df: DataFrame, columns: list[str] | None) -> list[str]:
@@ -14,8 +14,10 @@ def _present(df: DataFrame, columns: list[str] | None) -> list[str]:
 
 
 def parse_times(df: DataFrame, columns: list[str] | None = None, fallbacks: list[str] | None = None) -> DataFrame:
-    """Text columns become timestamps without a zone."""
-    return df.withColumns({c: parse_datetime(F.col(c), fallbacks) for c in _present(df, columns)})
+    """Text columns become timestamps without a zone. Texts are stripped in a projection of their own, once."""
+    names = _present(df, columns)
+    stripped = df.withColumns({f"_text_{c}": strip(F.col(c)) for c in names})
+    return stripped.withColumns({c: parse_stripped(F.col(f"_text_{c}"), fallbacks) for c in names}).drop(*[f"_text_{c}" for c in names])
 
 
 def long_texts(df: DataFrame, columns: list[str]) -> DataFrame:

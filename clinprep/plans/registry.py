@@ -55,8 +55,13 @@ def cleaned_events(s: SparkSession, d: str) -> DataFrame:
     return cells.validate_ranges(cells.standardise_categories(united_events(s, d)))
 
 
+def stored_events(s: SparkSession, d: str) -> DataFrame:
+    """Cleaned events written once: bins and grid both read them, and their plans start from a scan."""
+    return store(cleaned_events(s, d), "cleaned")
+
+
 def hourly_table(s: SparkSession, d: str) -> DataFrame:
-    return hourly.build_hourly(cleaned_events(s, d))
+    return hourly.build_hourly(stored_events(s, d))
 
 
 def stored_hourly(s: SparkSession, d: str) -> DataFrame:
@@ -159,13 +164,13 @@ of_raw("r3_rejection_log", lambda df: cells.rejections(df, limit=200), united_ev
 of_raw("r4_channel_loss", lambda df: cells.channel_loss(cells.range_audit(df)), united_events)
 
 # Hourly grid
-of_raw("h1_bin_hours", lambda df: rounded(hourly.bin_hours(df)), cleaned_events)
-of_raw("h2_hour_grid", lambda df: hourly.hour_grid(df, SHORT_STAY), cleaned_events)
-of_raw("h3_align", lambda df: rounded(hourly.hour_grid(df).join(hourly.bin_hours(df), hourly.KEY, "left").select("admission_id", "hour", *config.CHANNELS)), cleaned_events)
+of_raw("h1_bin_hours", lambda df: rounded(hourly.bin_hours(df)), stored_events)
+of_raw("h2_hour_grid", lambda df: hourly.hour_grid(df, SHORT_STAY), stored_events)
+of_raw("h3_align", lambda df: rounded(hourly.hour_grid(df).join(hourly.bin_hours(df), hourly.KEY, "left").select("admission_id", "hour", *config.CHANNELS)), stored_events)
 of_raw("h4_spread_statics", lambda df: df.select("admission_id", "hour", *config.STATIC_COLUMNS), hourly_table)
 of_raw("h5_hours_since_admission", lambda df: df.select("admission_id", "hour", "hours_since_admission"), hourly_table)
-of_raw("h6_expansion_audit", lambda df: hourly.expansion_audit(df, SHORT_STAY), cleaned_events)
-of_raw("h7_missing_before_after", lambda df: hourly.missing_before_after(df, hourly.build_hourly(df)), cleaned_events)
+of_raw("h6_expansion_audit", lambda df: hourly.expansion_audit(df, SHORT_STAY), stored_events)
+of_raw("h7_missing_before_after", lambda df: hourly.missing_before_after(df, hourly.build_hourly(df)), stored_events)
 
 # Value, mask and decay
 _KEYS = ["admission_id", "hours_since_admission"]
