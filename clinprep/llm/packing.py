@@ -27,7 +27,7 @@ VOCABULARY = "word_bpe_49k.json"
 CONTEXT = 4096
 END = 2
 #: Encoded words that a Python worker remembers, from task to task, before it starts anew.
-REMEMBER = 600_000
+REMEMBER = 800_000
 
 
 @lru_cache(maxsize=2)
@@ -53,13 +53,27 @@ class WordEncoder:
         self.path, self.known = path, {}
 
     def learn(self, words: list[bytes]) -> None:
-        if not words:
-            return
-        found = tokenizer(self.path).encode([w.decode() for w in words], is_pretokenized=True, add_special_tokens=False)
-        ids = np.asarray(found.ids, "<u4").tobytes()
+        texts = [w.decode() for w in words]
+        plain, rest = [], []
+        for w, text in zip(words, texts, strict=True):
+            (plain if text.isalpha() else rest).append((w, text))
+        if plain:
+            # words of letters are one piece each, so one text of them all tells them apart as well, and faster
+            found = tokenizer(self.path).encode(" ".join([text for _, text in plain]), add_special_tokens=False)
+            if not self._remember(plain, found, True):
+                rest += plain
+        if rest:
+            self._remember(rest, tokenizer(self.path).encode([text for _, text in rest], is_pretokenized=True, add_special_tokens=False))
+
+    def _remember(self, words: list[tuple[bytes, str]], found, one_each: bool = False) -> bool:
+        """False, and nothing remembered, if each word should be one piece and is not."""
         which = np.asarray(found.word_ids, np.int64)
+        if one_each and which[-1] != len(words) - 1:
+            return False
+        ids = np.asarray(found.ids, "<u4").tobytes()
         cut = (np.searchsorted(which, np.arange(len(words) + 1)) * 4).tolist()
-        self.known.update((w, ids[cut[i] : cut[i + 1]]) for i, w in enumerate(words))
+        self.known.update((w, ids[cut[i] : cut[i + 1]]) for i, (w, _) in enumerate(words))
+        return True
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBER:
