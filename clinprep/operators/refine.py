@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from clinprep import config
 from clinprep.functions import rint
 from clinprep.operators import holdout, vmd
+from clinprep.sources.shared import store
 
 HARMONICS = 4
 PERIOD_HOURS = 24.0 * 3.0
@@ -55,12 +56,15 @@ def design(df: DataFrame, target: str, channels: list[str] | None = None) -> lis
 def training_rows(standardised: DataFrame, hourly: DataFrame, channels: list[str] | None = None) -> DataFrame:
     """(channel, x, y): features of hidden cells, rebuilt from what is left, and their true standardised value."""
     channels = channels or config.CHANNELS
+    key = holdout.CELL[:2]
     corrupted, truth = holdout.mask_cells(hourly)
-    rebuilt = vmd.standardise(vmd.value_mask_decay(corrupted))
-    xs = rebuilt.select(*holdout.CELL[:2], F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), F.array(*design(rebuilt, c)).alias("x")) for c in channels])).alias("cell"))
-    ys = holdout.imputed_cells(standardised, "z", "y")
-    cells = truth.select(*holdout.CELL)
-    return xs.select(*holdout.CELL[:2], "cell.*").join(cells, holdout.CELL).join(ys, holdout.CELL).select("channel", "x", F.coalesce("y", F.lit(0.0)).alias("y"))
+    # means and statistics read these tables before their rows do, so they are written once
+    rebuilt = vmd.standardise(store(vmd.value_mask_decay(store(corrupted, "corrupted")), "rebuilt"))
+    targets = standardised.select(*key, *[F.coalesce(f"{c}_z", F.lit(0.0)).alias(f"_y_{c}") for c in channels])
+    hidden = truth.groupBy(*key).agg(F.collect_set("channel").alias("_hidden"))
+    rows = rebuilt.join(hidden, key).join(targets, key)  # only rows that hide a cell build features
+    cells = [F.when(F.array_contains("_hidden", c), F.struct(F.lit(c).alias("channel"), F.array(*design(rebuilt, c)).alias("x"), F.col(f"_y_{c}").alias("y"))) for c in channels]
+    return rows.select(F.explode(F.array(*cells)).alias("cell")).filter("cell is not null").select("cell.*")
 
 
 def _partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -130,9 +134,9 @@ def refinement_audit(refined: DataFrame, channels: list[str] | None = None) -> D
 
 def benchmark_errors(hourly: DataFrame, mode: str = "block") -> DataFrame:
     """B1-B3 with refinement: held cells with the carried and the refined value, the refiner fitted on what is left."""
-    held = holdout.holdout(hourly, mode)
-    left = holdout.hide(hourly, held)
-    standardised = vmd.standardise(vmd.value_mask_decay(left))
+    held = store(holdout.holdout(hourly, mode), "held")
+    left = store(holdout.hide(hourly, held), "left")
+    standardised = store(vmd.standardise(store(vmd.value_mask_decay(left), "vmd")), "standardised")
     fitted = fit_refiner(training_rows(standardised, left))
     refined = refine(standardised, {c: f["weights"] for c, f in fitted.items()})
     return holdout.held_errors(held, refined, {"locf": "value", "refined": "refined"})

@@ -99,7 +99,7 @@ def before_after_statistics(raw_numbers: DataFrame, cleaned: DataFrame, channels
     parts = []
     for stage, df in (("before", raw_numbers), ("after", cleaned)):
         cells = df.unpivot([], names, "channel", "value") if set(df.columns) == set(names) else df.select(*names).unpivot([], names, "channel", "value")
-        parts.append(cells.groupBy("channel").agg(F.count("value").alias("n"), rint(F.avg("value"), 4).alias("mean"), rint(F.stddev_pop("value"), 4).alias("sd"), F.min("value").alias("min"), F.max("value").alias("max")).withColumn("stage", F.lit(stage)))
+        parts.append(cells.groupBy("channel").agg(F.count("value").alias("n"), rint(F.avg("value"), 9).alias("mean"), rint(F.stddev_pop("value"), 9).alias("sd"), F.min("value").alias("min"), F.max("value").alias("max")).withColumn("stage", F.lit(stage)))
     return union_all(parts)
 
 

@@ -225,11 +225,6 @@ def fields(stage: str, *names: str) -> str:
     return after(stage, f"SELECT {K}, {', '.join(f'{c}_{f}' for c in CH for f in names)} FROM {stage}")
 
 
-def variants() -> str:
-    names = [c for c in RAW if c not in RG and c not in TIMES]
-    return "SELECT * FROM (" + per(names, "SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS distinct_raw, count(DISTINCT lower(" + strip("{c}").replace("{", "{{").replace("}", "}}").replace("{{c}}", "{c}") + ")) AS distinct_casefold FROM raw") + ") WHERE distinct_raw <= 25 AND distinct_raw > distinct_casefold"
-
-
 def token(c: str) -> str:
     found = rf"regexp_extract({strip(c)}, '^\s*-?\d+(?:\.\d+)?\s*([A-Za-z/%°]+)\s*$', 1)"
     return f"CASE WHEN {c} IS NULL THEN NULL WHEN {found} = '' THEN '<bare number>' ELSE {found} END"
@@ -322,7 +317,7 @@ ORACLES: dict[str, str] = {
     "a4_channel_assertions": after("vmd", " UNION ALL ".join(f"SELECT '{c}_{w}' AS name, n = 0 AS passed, '0' AS expected, CAST(n AS VARCHAR) AS observed, '' AS note FROM (SELECT count(*) FILTER (NOT coalesce({t}, false)) AS n FROM vmd)" for c in CH for w, t in (("value_complete", f"{c}_value IS NOT NULL"), ("mask_binary", f"{c}_mask IN (0, 1)"), ("decay_in_unit_interval", f"{c}_decay BETWEEN 0 AND 1")))),
     "a5_fabrication_assertions": after("refined", " UNION ALL ".join(f"SELECT '{c}_observed_values_unmodified_by_refinement' AS name, d < 1e-6 AS passed, '0 (exact)' AS expected, CAST(d AS VARCHAR) AS observed, '' AS note FROM (SELECT coalesce(max(abs({c}_refined - {c}_value)) FILTER ({c}_mask = 1), 0.0::DOUBLE) AS d FROM refined)" for c in CH)),
     "a6_verdict": after("united", "SELECT count(*) AS total, count(*) FILTER (n > 0) AS failed, coalesce(string_agg(name, ',' ORDER BY name) FILTER (n > 0), '') AS failed_names FROM (" + " UNION ALL ".join(f"SELECT '{c}_within_physiological_range' AS name, count(*) FILTER (NOT {c} BETWEEN {lo} AND {hi}) AS n FROM united" for c, (lo, hi) in RG.items()) + ")"),
-    "a7_before_after_statistics": after("cleaned", " UNION ALL ".join(f"SELECT '{c}' AS channel, '{s}' AS stage, count(x) AS n, {rint('avg(x)', 4)} AS mean, {rint('stddev_pop(x)', 4)} AS sd, min(x) AS min, max(x) AS max FROM (SELECT {e} AS x FROM {t})" for c in CH for s, e, t in (("before", number(c), "ev"), ("after", c, "cleaned")))),
+    "a7_before_after_statistics": after("cleaned", " UNION ALL ".join(f"SELECT '{c}' AS channel, '{s}' AS stage, count(x) AS n, {rint('avg(x)', 9)} AS mean, {rint('stddev_pop(x)', 9)} AS sd, min(x) AS min, max(x) AS max FROM (SELECT {e} AS x FROM {t})" for c in CH for s, e, t in (("before", number(c), "ev"), ("after", c, "cleaned")))),
     "a7_record_counts": after("hourly", "SELECT 'raw' AS stage, count(*) AS records FROM raw UNION ALL SELECT 'cleaned', count(*) FROM cleaned UNION ALL SELECT 'hourly', count(*) FROM hourly"),
     "a7_observed_shares": after("vmd", " UNION ALL ".join(f"SELECT '{c}' AS channel, {rint(f'100.0::DOUBLE * avg({c}_mask)', 2)} AS observed_pct FROM vmd" for c in CH)),
     "n1_temperature_raw": after("raw", hist(f"SELECT {magnitude('temperature')} AS x FROM raw", 20, 120)),
