@@ -11,17 +11,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clinprep.llm import exact, packing, quality, simhash, toxicity
+from clinprep.llm import exact, jaccard, packing, quality, simhash, toxicity
 from clinprep.llm.text import table
 from clinprep.sources.shared import store
 
 #: Documents below this quality, or at or above this toxicity, go.
 REJECT_QUALITY, REJECT_TOXICITY = 0.5, 0.7
 
-#: Near copies: shingles of five words and a similarity of 0.8 or more. Two texts whose shingle sets have a
-#: Jaccard similarity of 0.8 have a cosine of 8/9, so 128-bit fingerprints of theirs differ in 128 arccos(8/9)/pi = 19.4
-#: bits on average, with a standard deviation of 4.1; 23 bits catch five in six of them, and more of closer copies.
+#: Near copies: a Jaccard similarity of 0.8 or more of the sets of five-word shingles (see clinprep.llm.jaccard).
 NEAR_WORDS = 5
+#: Fingerprints that near copies mostly share, for comparison in tests; the stage doesn't decide by them.
 NEAR_RING = simhash.Ring(23, widths=(16,) * 8, budgets=(2,) * 8)
 
 
@@ -51,7 +50,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near copies stays; a document without an id stays."""
-    found = simhash.near_duplicates(docs, words=NEAR_WORDS, ring=NEAR_RING)
+    found = jaccard.near_copies(docs, words=NEAR_WORDS)
     gone = found.filter(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 

@@ -91,3 +91,34 @@ def test_run_is_the_stages_one_after_another(spark, tables):
     columns = sorted(docs.columns)
     want = sorted(map(repr, docs.select(*columns).drop("sequence_id", "offset").collect()))
     assert sorted(map(repr, pipeline.run(spark, folder).select(*columns).drop("sequence_id", "offset").collect())) == want
+
+
+def test_near_dedup_decides_by_jaccard_similarity(spark):
+    draw = random.Random(3)
+    word = lambda: f"w{draw.randrange(10**6)}"
+    common, rows = [word() for _ in range(60)], []
+    for n in range(150):
+        one = [word() for _ in range(draw.choice((5, 9, 40, 200)))]
+        one = one + common if n % 3 == 0 else one
+        rows.append((n, " ".join(one)))
+        for k in range(3):  # from hardly any to a third of the words changed
+            other = list(one)
+            for at in draw.sample(range(len(one)), int(len(one) * draw.choice((0.01, 0.02, 0.025, 0.03, 0.05, 0.3)))):
+                other[at] = word()
+            rows.append((1000 * (k + 1) + n, " ".join(other + [word() for _ in range(draw.choice((0, 0, 1, 9)))])))
+    rows += [(9000, None), (9001, " "), (None, rows[0][1]), (9002, rows[5][1]), (9002, "two texts of one id here")]
+
+    def shingles(text):
+        w = (text or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets = [(i, shingles(t)) for i, t in rows if i is not None]
+    up = {i: i for i, _ in sets}
+    links = [(i, j) for a, (i, x) in enumerate(sets) for j, y in sets[:a] if 5 * len(x & y) >= 4 * len(x | y)]
+    for _ in up:
+        for i, j in links:
+            up[i] = up[j] = min(up[i], up[j])
+    apart = pipeline.drop_near_copies(spark, documents(spark, rows), "")
+    want = sorted((i for i, _ in rows if i is None or up[i] == i), key=repr)
+    assert 100 < len(want) < len(rows) - 100
+    assert sorted((r.doc_id for r in apart.select("doc_id").collect()), key=repr) == want
