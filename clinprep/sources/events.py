@@ -22,6 +22,11 @@ def _pad(x: str) -> str:
     return f"lpad(CAST({x} AS STRING), 2, '0')"
 
 
+def _id(x: str, width: int) -> str:
+    """A number with leading zeros up to ``width``; lpad alone would cut a longer one."""
+    return f"lpad(CAST({x} AS STRING), CAST(greatest({width}, length(CAST({x} AS STRING))) AS INT), '0')"
+
+
 def _stamp(form: str, day: str, hour: str, minute: str) -> str:
     y, m, d = f"CAST(year({day}) AS STRING)", _pad(f"month({day})"), _pad(f"day({day})")
     clock = f"{_pad(hour)} || ':' || {_pad(minute)}"
@@ -40,8 +45,8 @@ _F, _MMOL = "(CAST(floor(temp * 9 / 5) AS BIGINT) + 320)", "CAST(floor(glu * 10
 _TEMPERATURE = _case(("e % 7 = 0", "NULL"), ("e % 41 = 1", "'61.0 C'"), ("e % 5 IN (1, 3)", f"{_t(_F)} || CASE WHEN e % 11 = 0 THEN '' ELSE ' F' END"), otherwise=f"{_t('temp')} || CASE WHEN e % 11 = 0 THEN '' ELSE ' C' END")
 
 _COLUMNS = {
-    "admission_id": "'ADM' || lpad(CAST(u AS STRING), 5, '0') || '-' || lpad(CAST(s AS STRING), 2, '0')",
-    "patient_id": "'P' || lpad(CAST(u AS STRING), 5, '0')",
+    "admission_id": f"'ADM' || {_id('u', 5)} || '-' || {_id('s', 2)}",
+    "patient_id": f"'P' || {_id('u', 5)}",
     "intime": _stamp("fi", "ind", "inh", "inm"),
     "outtime": _stamp("fi", "outd", "outh", "0"),
     "charttime": _case(("e % 211 = 0", "'not recorded'"), ("e % 223 = 0", f"{_stamp('0', 'cd', 'ch', 'cm')} || ':30'"), otherwise=_stamp("fc", "cd", "ch", "cm")),

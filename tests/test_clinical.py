@@ -279,3 +279,12 @@ def test_sql_twin(spark, name):
 
 def test_every_oracle_has_a_query():
     assert set(registry.ORACLES) <= set(registry.QUERIES) and registry.FLAGSHIP in registry.QUERIES
+
+
+def test_long_numbers_keep_all_digits_in_ids(spark):
+    duckdb = pytest.importorskip("duckdb")
+    # the ids' own expressions, as both engines run them
+    sql = f"SELECT {events._COLUMNS['admission_id']} AS a, {events._COLUMNS['patient_id']} AS p FROM (VALUES (7, 3), (12345, 99), (123456, 3), (123457, 121)) AS t(u, s)"
+    want = [("ADM00007-03", "P00007"), ("ADM12345-99", "P12345"), ("ADM123456-03", "P123456"), ("ADM123457-121", "P123457")]
+    assert sorted(map(tuple, spark.sql(sql).collect())) == sorted(want)
+    assert sorted(duckdb.sql(sql).fetchall()) == sorted(want)
