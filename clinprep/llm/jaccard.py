@@ -1,138 +1,107 @@
-"""Near copies by the Jaccard similarity of their shingle sets, every pair of them.
-
-Two sets with a similarity of t or more share one of the first n - ceil(t n) + 1 shingles of each, in any order of
-shingles that both follow (prefix filtering), so candidates are the documents that meet in the bucket of such a shingle.
-The order puts shingles that a sample finds often last, which keeps buckets small; it has no say in the result.
-A first round compares each document of a bucket with the bucket's smallest id, so that a large group of copies becomes
-one component by few comparisons; a second one compares all pairs of a bucket that are in different components by then.
-Pairs must pass a bound before their sets are fetched: the XOR of two parity bitmaps never has more
-bits than their sets have unshared shingles. Buckets hold bitmaps of PARITY bits, which say little about long texts, so pairs
-then meet bitmaps as wide as their sets; the wider one of two is folded to the other's width. What passes is decided by the sets of 64-bit shingle hashes themselves.
+"""Near copies: SimHash fingerprints find candidates by pigeonring, the Jaccard similarity of the shingle sets decides.
+
+A similarity of 0.8 turns about 0.15 of the bits of a fingerprint of distinct shingles, 19 of 128 with a spread of 4, so a
+ring of 29 bits reaches nearly every such pair. Candidates are compared by bitmaps first: the XOR of two parity bitmaps
+never has more bits than their sets have unshared shingles. What passes is decided by the sets of 64-bit hashes.
+
+A large group of copies would meet in n^2 pairs, so links are found in two rounds. In the first, documents meet the smallest
+id of each of their segment values only, which mostly makes one component of such a group; in the second, all
+candidates of the ring that are in different components by then are compared.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clinprep.llm import simhash
 from clinprep.llm.graph import components
 from clinprep.llm.text import small_batches
 from clinprep.sources.shared import store
 
 #: The similarity is SHARE / OF, in whole numbers so that a pair right at it is told exactly.
 SHARE, OF = 4, 5
-#: Bits of a parity bitmap in a bucket, and the fewest of a wide one.
-PARITY = 1_024
-#: One document in SAMPLE is looked at for shingles in SEEN or more of the sampled documents; so many are put last at most.
-SAMPLE, SEEN, OFTEN = 16, 8, 65_536
-#: Candidate pairs looked at at once in a task.
-PAIRS = 100_000
-
-
-def shingles(text: bytes, words: int) -> np.ndarray:
-    """The sorted set of XXH64 hashes of the word shingles; a text of fewer words is one shingle."""
-    w = text.lower().split()
-    n = max(1, len(w) - words + 1)
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(w[i : i + words])) for i in range(n)), np.uint64, n))
+#: 29 bits of 128: of pairs at a similarity of 0.8 to 0.85 on the check tables 99 % are within it.
+RING = simhash.Ring(29, widths=(13, 13, 13, 13, 12) * 2, budgets=(2,) * 10)
+NAMES = [f"f{i}" for i in range(RING.lanes)]
+#: Texts that a task holds at a time.
+TEXTS = 256
 
 
-def parity(h: np.ndarray, bits: int = PARITY) -> bytes:
-    return np.packbits((np.bincount((h % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+def shingles(text: bytes, words: int) -> tuple[np.ndarray, list[int]]:
+    """The sorted set of hashes of the word shingles, and the fingerprint of that set. No words: no shingles, zeros."""
+    lanes = simhash.shingle_hashes(text, words, RING.lanes)
+    h, at = np.unique(lanes[0], return_index=True)
+    return h, [simhash.majority(lane[at]) for lane in lanes]
 
 
-def wide(h: np.ndarray) -> bytes:
-    """A parity bitmap of as many bits as the set has shingles, rounded up to a power of two."""
-    return parity(h, max(PARITY, 1 << (len(h) - 1).bit_length()))
+def parity(h: np.ndarray) -> bytes:
+    """For each residue whether an odd number of hashes has it; as many bits as hashes, rounded up to a power of two."""
+    bits = max(64, 1 << (len(h) - 1).bit_length())
+    odd = np.bincount((h % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
 def unshared(x: bytes, y: bytes) -> int:
-    """At least so many shingles are in one of two sets only, by their wide bitmaps."""
+    """At least so many shingles are in one of two sets only, by their bitmaps; the wider one is folded."""
     n = min(len(x), len(y))
     a, b = (np.bitwise_xor.reduce(np.frombuffer(z, np.uint64).reshape(-1, n // 8), axis=0) for z in (x, y))
     return int(np.bitwise_count(a ^ b).sum(dtype=np.int64))
 
 
-def prefix(h: np.ndarray, often: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The shingles that a set must share one of with any set as similar as asked; ``often`` is sorted, and goes last by rank."""
-    n = len(h) - -(-SHARE * len(h) // OF) + 1
-    if not len(often):
-        return h[:n]
-    at = np.minimum(np.searchsorted(often, h), len(often) - 1)
-    last = np.where(often[at] == h, rank[at], -1)
-    return h[np.lexsort((h, last))[:n]]
-
-
 def _mapped(docs: DataFrame, row, words: int, columns: str) -> DataFrame:
-    """``row(hashes)`` of each document, as columns after doc_id."""
+    """``row(hashes, fingerprint)`` of each document, as columns after doc_id."""
     names, kinds = zip(*(c.split() for c in columns.split(", ")), strict=True)
-    arrow = {"int": pa.int32(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}
+    arrow = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                rows = [row(shingles(t.encode(), words)) for t in batch.column(1).to_pylist()]
+            for at in range(0, whole.num_rows, TEXTS):
+                batch = whole.slice(at, TEXTS)
+                rows = [row(*shingles(t.encode(), words)) for t in batch.column(1).to_pylist()]
                 cols = [pa.array(c, arrow[k]) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", *names])
 
     return docs.mapInArrow(run, "doc_id long, " + columns)
 
 
-def _often(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of many sampled documents, sorted, and their ranks from the rarest on."""
-    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
-    found = _mapped(some, lambda h: (h.view(np.int64),), words, "hashes array<bigint>").select(F.explode("hashes").alias("h"))
-    rows = found.groupBy("h").count().filter(F.col("count") >= SEEN).orderBy(F.desc("count"), "h").limit(OFTEN).collect()
-    keys = np.array([r[0] for r in rows], np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    return keys[order], np.arange(len(rows) - 1, -1, -1)[order]
+def _close(size: Column, other: Column) -> Column:
+    return (size * OF >= other * SHARE) & (other * OF >= size * SHARE)
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.ChunkedArray]]:
-    """Whole buckets of rows sorted by their first column, some at a time."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key = np.asarray(batch.column(0))
-        last = int(np.searchsorted(key, key[-1]))
-        if last:
-            yield pa.Table.from_batches([*held, batch.slice(0, last)]).columns
-            held = []
-        elif held and key[0] != held[-1].column(0)[0].as_py():
-            yield pa.Table.from_batches(held).columns
-            held = []
-        held.append(batch.slice(last))
-    if held:
-        yield pa.Table.from_batches(held).columns
-
-
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of buckets with two or more documents, with the smallest id of the bucket and its size."""
-    for cols in _buckets(batches):
-        key, doc, size = (c.to_numpy() for c in cols)
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        head = np.repeat(first, np.diff(np.r_[first, len(key)]))
-        several = np.repeat(np.maximum.reduceat(doc, first) > doc[first], np.diff(np.r_[first, len(key)]))
-        k, h = np.flatnonzero(several), head[several]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[k], doc[k], size[k], doc[h], size[h])], ["key", "doc_id", "size", "head", "head_size"])
-
-
-def _bits(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, PARITY // 64)
-
-
-def _may(a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Pairs whose sets may be similar enough: at most (OF - SHARE) / (OF + SHARE) of both sizes is unshared."""
-    return np.bitwise_count(a ^ b).sum(1, dtype=np.int64) * (OF + SHARE) <= (OF - SHARE) * sizes
+def _heads(prints: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the smallest id of each segment value and the others near it that have this value."""
+    met = prints.select("doc_id", "size", *NAMES, F.explode(simhash.parts(RING)).alias("p"))
+    head = met.groupBy("p").agg(F.min(F.struct("doc_id", "size", *NAMES)).alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("p", "head")
+    both = met.join(store(head, "heads"), "p")
+    bits = reduce(Column.__add__, [F.bit_count(F.col(n).bitwiseXOR(F.col(f"head.{n}"))) for n in NAMES])
+    near = both.filter((bits <= RING.bits) & _close(F.col("size"), F.col("head.size")) & (F.col("doc_id") != F.col("head.doc_id")))
+    return near.select(F.col("head.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a bucket within the ring and in different components, each where it meets first."""
+    for key, kind, doc, *words, size, part in simhash.whole_keys(batches):
+        words = [w.view(np.uint64) for w in words]
+        value = ((key >> simhash.GRID) & 0xFFFFFFFF).astype(np.uint64)
+        for segment, i, j in simhash.meetings(key, kind, size, SHARE, OF):
+            apart = part[i] != part[j]
+            i, j = i[apart], j[apart]
+            ok = RING.linked([w[i] ^ w[j] for w in words], segment)
+            i, j = i[ok], j[ok]
+            ok = RING.first_meeting([w[i] for w in words], [w[j] for w in words], segment, value[i])
+            i, j = doc[i[ok]], doc[j[ok]]
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], ["a", "b"])
 
 
 def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sets may be similar enough: at most (OF - SHARE) / (OF + SHARE) of both sizes is unshared."""
     for batch in batches:
         x, y = batch.column(3).to_pylist(), batch.column(4).to_pylist()
         least = np.array([unshared(*xy) for xy in zip(x, y, strict=True)], np.int64)
@@ -140,35 +109,13 @@ def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a bucket (rows sorted by size) that are in different components and may be similar enough."""
-    for cols in _buckets(batches):
-        key, size, doc, part = (c.to_numpy() for c in cols[:4])
-        size, bits = size.astype(np.int64), _bits(cols[4])
-        for lo, hi in zip(*(lambda f: (f, np.r_[f[1:], len(key)]))(np.flatnonzero(np.r_[True, key[1:] != key[:-1]])), strict=True):
-            ends = lo + np.searchsorted(size[lo:hi] * SHARE, size[lo:hi] * OF, "right")
-            count = ends - np.arange(lo, hi) - 1
-            done = np.r_[0, np.cumsum(count)]
-            for at in range(0, int(done[-1]), PAIRS):
-                n = np.arange(at, min(at + PAIRS, int(done[-1])))
-                i = np.searchsorted(done, n, "right") - 1
-                j = lo + i + 1 + n - done[i]
-                i = lo + i
-                apart = part[i] != part[j]
-                i, j = i[apart], j[apart]
-                ok = _may(bits[i], bits[j], size[i] + size[j])
-                i, j = doc[i[ok]], doc[j[ok]]
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], ["a", "b"])
-
-
 def _similar(pairs: DataFrame, prints: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """The pairs (a, b) whose shingle sets are as similar as asked."""
-    left, right = (prints.select(F.col("doc_id").alias(n), F.col("size").alias(f"n_{n}"), F.col("wide").alias(f"wide_{n}")) for n in ("a", "b"))
-    known = pairs.join(left, "a").join(right, "b").select("a", "b", F.expr("n_a + n_b").alias("sizes"), "wide_a", "wide_b")
+    """The pairs (a, b) whose shingle sets are as similar as asked; two empty sets are equal."""
+    left, right = (prints.select(F.col("doc_id").alias(n), F.col("size").alias(f"n_{n}"), F.col("parity").alias(f"parity_{n}")) for n in ("a", "b"))
+    known = pairs.join(left, "a").join(right, "b").select("a", "b", F.expr("n_a + n_b").alias("sizes"), "parity_a", "parity_b")
     pairs = store(known.mapInArrow(_plausible, "a long, b long").distinct(), "plausible")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = store(_mapped(docs.join(nodes, "doc_id", "left_semi"), lambda h: (h.view(np.int64),), words, "hashes array<bigint>"), "shingle-sets")
+    sets = store(_mapped(docs.join(nodes, "doc_id", "left_semi"), lambda h, _: (h.view(np.int64),), words, "hashes array<bigint>"), "shingle-sets")
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y")), "b")
     common = both.select("a", "b", (F.size("x") + F.size("y")).alias("sizes"), F.size(F.array_intersect("x", "y")).alias("common"))
     return store(common.filter(F.col("common") * (OF + SHARE) >= F.col("sizes") * SHARE).select("a", "b").distinct(), "similar")
@@ -178,23 +125,16 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(doc_id, component_id) of the documents that have a near copy; the smallest id reachable names a component.
 
     Null texts count as empty, texts without words are equal, rows without an id take no part. Rows that repeat an id are
-    one document, near what any of its texts is near.
+    one document, near what any of its texts is near. Equal texts are near copies. An empty table gives no rows. Other
+    columns are ignored.
     """
     small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).filter("doc_id is not null")
-    often, rank = _often(base, words)
-    prints = store(_mapped(base, lambda h: (len(h), parity(h), wide(h), prefix(h, often, rank).view(np.int64)), words, "size int, bits binary, wide binary, prefix array<bigint>"), "prefixes")
-    entries = prints.select(F.explode("prefix").alias("key"), "doc_id", "size")
-    shared = store(entries.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_shared, "key long, doc_id long, size int, head long, head_size int"), "shared-shingles")
-
-    close = (F.col("size") * OF >= F.col("head_size") * SHARE) & (F.col("head_size") * OF >= F.col("size") * SHARE)
-    tried = store(shared.filter(close & (F.col("doc_id") != F.col("head"))).select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct(), "tried")
-    first = _similar(tried, prints, base, words)
-
+    columns = ", ".join(["size int", "parity binary", *(f"{n} long" for n in NAMES)])
+    prints = store(_mapped(base, lambda h, f: (len(h), parity(h), *f), words, columns), "near-prints")
+    first = _similar(_heads(prints), prints, base, words)
     part = components(first).select(F.col("node").alias("doc_id"), "component")
-    parted = store(shared.select("key", "doc_id").join(part, "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component")), "parted")
-    mixed = parted.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    open_rows = parted.join(mixed, "key", "left_semi").join(prints.select("doc_id", "size", "bits"), "doc_id").select("key", "size", "doc_id", "component", "bits")
-    rest = open_rows.repartition("key").sortWithinPartitions("key", "size").mapInArrow(_pairs, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
-    second = _similar(store(rest, "candidates"), prints, base, words)
+    rows = prints.join(part, "doc_id", "left").select(F.col("doc_id").alias("rep"), *NAMES, "size", F.coalesce("component", "doc_id").alias("component"))
+    found = simhash.buckets(store(rows, "parted"), RING, ("size", "component")).mapInArrow(_candidates, "a long, b long")
+    second = _similar(store(found, "candidates"), prints, base, words)
     return components(first.unionByName(second)).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))

@@ -9,8 +9,9 @@ a fingerprint is at home in the buckets within half the segment's budget and pro
 Pairs that break the chain are dropped before the full Hamming check, which is the chain's last step.
 
 Equal fingerprints are one class, represented by its smallest id. A task answers with a spanning forest of
-the links it finds, never with all pairs of a group; a bucket with very many fingerprints is dealt out in
-blocks. Components of the classes come from a distributed star contraction.
+the links it finds, never with all pairs of a group. A bucket with very many fingerprints is dealt out over a grid:
+its homes and its probes fall into blocks of a bounded size by hash, and every two blocks that have to meet do so under a
+key of their own, so no key holds more than two blocks. Components of the classes come from a distributed star contraction.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clinprep.llm.graph import Forest, components
@@ -30,26 +31,36 @@ from clinprep.sources.shared import store
 
 #: Candidate pairs looked at at once in a task.
 PAIRS = 1_000_000
-#: Fingerprints at home in a bucket before it is dealt out in blocks.
-HOT_HOMES = 8_192
+#: Rows of sorted buckets that a task takes at a time.
+ROWS = 100_000
+#: Homes or probes of a bucket before it is dealt out in blocks of this size; BLOCKS a side at most, then blocks grow.
+HOT_HOMES, BLOCKS = 8_192, 1_024
+#: What a row does in its bucket: meets all rows after it, meets the guests only, is a guest (rows are in this order).
+HOME, HOST, GUEST = 0, 1, 2
+#: A key is the segment, its value (32 bits), and the cell of the grid (GRID bits).
+GRID = 21
 
 WIDTHS, BUDGETS = (22, 21, 21), (0, 1, 1)  # 4 bits of 64
 
 
-def fingerprint(text: bytes, words: int, lanes: int = 1) -> tuple[int, ...]:
-    """64 bits a lane: the majority of the XXH64 bits (seeds 42, 43, ...) of the word shingles, as signed longs."""
+def shingle_hashes(text: bytes, words: int, lanes: int = 1) -> list[np.ndarray]:
+    """XXH64 of the word shingles in their order, repeats included, a lane for each of the seeds 42, 43, ...; no words: none."""
     w = text.lower().split()
-    if not w:
-        return (0,) * lanes
-    shingles = [b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))]
-    out = []
-    for lane in range(lanes):
-        h = np.fromiter((xxhash.xxh64_intdigest(s, 42 + lane) for s in shingles), np.uint64, len(shingles))
-        ones = np.zeros(64, np.int64)
-        for at in range(0, len(h), 65_536):
-            ones += np.unpackbits(h[at : at + 65_536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-        out.append(int(np.packbits(ones * 2 > len(h)).view(">i8")[0]))
-    return tuple(out)
+    shingles = [b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))] if w else []
+    return [np.fromiter((xxhash.xxh64_intdigest(s, 42 + lane) for s in shingles), np.uint64, len(shingles)) for lane in range(lanes)]
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that over half of the hashes set, as a signed long."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(h), 65_536):
+        ones += np.unpackbits(h[at : at + 65_536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(h)).view(">i8")[0])
+
+
+def fingerprint(text: bytes, words: int, lanes: int = 1) -> tuple[int, ...]:
+    """64 bits a lane; a text without words has zeros."""
+    return tuple(majority(h) for h in shingle_hashes(text, words, lanes))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, lanes: int = 1) -> DataFrame:
@@ -105,71 +116,116 @@ class Ring:
             alive, spent, xor = alive[ok], spent[ok], [x[ok] for x in xor]
         return alive  # after the whole ring, allowed is self.bits: this was the full check
 
+    def first_meeting(self, x: list[np.ndarray], y: list[np.ndarray], start: int, value: np.ndarray) -> np.ndarray:
+        """Of linked pairs that met in the buckets ``value`` of segment ``start``, those that meet there first: in no earlier
+        segment that starts a chain, and in one of their common buckets only. Needs even budgets of 2 at most."""
+        xor = [a ^ b for a, b in zip(x, y, strict=True)]
+        lane, shift, width = self.parts[start]
+        mask = np.uint64((1 << width) - 1)
+        a, b = ((z[lane] >> np.uint64(shift)) & mask for z in (x, y))
+        apart = a ^ b
+        lowest = np.where(np.bitwise_count(apart) == 2, apart & (~apart + np.uint64(1)), np.uint64(0))
+        here = np.flatnonzero(np.minimum(a, b) ^ lowest == value)
+        for s in range(start):
+            here = np.delete(here, self.linked([z[here] for z in xor], s))
+        return here
+
+
+def parts(ring: Ring) -> Column:
+    """The fingerprint's segments: structs of (segment, value)."""
+    value = lambda lane, shift, w: F.expr(f"shiftrightunsigned(f{lane}, {shift}) & {(1 << w) - 1}L")
+    return F.array(*[F.struct(F.lit(s).alias("segment"), value(*part).alias("value")) for s, part in enumerate(ring.parts)])
+
+
+def _flips(ring: Ring, segment: Column) -> Column:
+    """Where a fingerprint goes by one segment: structs of (flip, home)."""
+    by_segment = [F.array(*[F.struct(F.lit(flip).cast("long").alias("flip"), F.lit(home).alias("home")) for s, flip, home in ring.entries if s == at]) for at in range(len(ring.parts))]
+    return F.element_at(F.array(*by_segment), segment + 1)
+
 
-def _buckets(classes: DataFrame, ring: Ring) -> DataFrame:
-    """(key, probe, rep, f0, ...): homes and probes of every class; hot buckets have several keys."""
-    lits = [F.array(*[F.lit(v) for v in vs]) for vs in zip(*((ring.parts[s][0], ring.parts[s][1], (1 << ring.parts[s][2]) - 1, flip, s, home) for s, flip, home in ring.entries), strict=True)]
+def _grid(homes: Column, probes: Column, own: Column, probe: Column) -> Column:
+    """The cells of a hot bucket that a row visits, with what it does there. Blocks of homes meet one another in cells
+    (smaller, larger) and blocks of probes in a second family of cells."""
+    cell = lambda at, kind: F.struct(at.cast("long").alias("cell"), kind.cast("int").alias("kind"))
+    met = lambda at: (F.lit(1 << 20) + at)
+    among = F.transform(F.sequence(F.lit(0), homes - 1), lambda j: cell(F.least(own, j) * BLOCKS + F.greatest(own, j), F.when(own == j, HOME).when(own < j, HOST).otherwise(GUEST)))
+    hosting = F.when(probes > 0, F.transform(F.sequence(F.lit(0), probes - 1), lambda p: cell(met(own * BLOCKS + p), F.lit(HOST)))).otherwise(F.array().cast("array<struct<cell:bigint,kind:int>>"))
+    visiting = F.transform(F.sequence(F.lit(0), homes - 1), lambda h: cell(met(h * BLOCKS + own), F.lit(GUEST)))
+    return F.when(probe, visiting).otherwise(F.concat(among, hosting))
+
+
+def buckets(classes: DataFrame, ring: Ring, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(key, kind, rep, f0, ..., carried...): where each class meets others, sorted within partitions by key and kind.
+
+    Of the columns ``carried``, a column ``size`` is the third sort key.
+    """
     names = [f"f{i}" for i in range(ring.lanes)]
-    at = F.col("entry") + 1
-    entries = classes.select("rep", *names, F.explode(F.sequence(F.lit(0), F.lit(len(ring.entries) - 1))).alias("entry"))
-    entries = entries.select(
-        "rep", *names,
-        F.element_at(F.array(*names), F.element_at(lits[0], at) + 1).alias("word"),
-        F.element_at(lits[1], at).alias("shift"),
-        F.element_at(lits[2], at).alias("mask"),
-        F.element_at(lits[3], at).alias("flip"),
-        F.element_at(lits[4], at).alias("segment"),
-        F.element_at(lits[5], at).alias("home"),
-    )
-    value = F.expr("(shiftrightunsigned(word, shift) & mask) ^ flip")
-    keyed = entries.select(F.expr("segment * 4294967296L").__add__(value).alias("bucket"), (~F.col("home")).alias("probe"), "rep", *names)
-    hot = store(keyed.filter("not probe").groupBy("bucket").count().filter(F.col("count") > HOT_HOMES).select("bucket", F.ceil(F.col("count") / HOT_HOMES).cast("int").alias("blocks")), "hot-buckets")
-    # a home lives in one block and probes the blocks before its own; a probe visits all blocks
-    dealt = keyed.join(hot, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    own = F.when(F.col("probe"), F.col("blocks")).otherwise(F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    visits = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.least(own, F.col("blocks") - 1)))
-    dealt = dealt.withColumn("own", own).withColumn("block", F.explode(visits))
-    return dealt.select((F.col("bucket") * 1024 + F.pmod("block", F.lit(1024))).alias("key"), (F.col("probe") | (F.col("block") < F.col("own"))).alias("probe"), "rep", *names)
+    parted = classes.select("rep", *names, *carried, F.explode(parts(ring)).alias("p")).select("*", "p.segment", "p.value").drop("p")
+    whole = lambda df: df.select("*", F.explode(_flips(ring, F.col("segment"))).alias("e")).withColumn("bucket", F.col("segment").cast("long") * (1 << 32) + F.col("value").bitwiseXOR(F.col("e.flip"))).withColumn("probe", ~F.col("e.home"))
+    # sizes of buckets from the counts of distinct segment values
+    sizes = whole(parted.groupBy("segment", "value").count()).groupBy("bucket").agg(*[F.coalesce(F.sum(F.when(F.col("probe") == p, F.col("count"))), F.lit(0)).alias(n) for n, p in (("homes", False), ("probes", True))])
+    blocks = lambda c: F.least(F.ceil(F.col(c) / HOT_HOMES), F.lit(BLOCKS)).cast("int").alias(c)
+    hot = store(sizes.filter(F.greatest("homes", "probes") > HOT_HOMES).select("bucket", blocks("homes"), blocks("probes")), "hot-buckets")
+    keyed = whole(parted).select("bucket", "probe", "rep", *names, *carried)
+    dealt = keyed.join(hot, "bucket", "left")
+    own = F.pmod(F.xxhash64("rep"), F.greatest(F.lit(1), F.when(F.col("probe"), F.col("probes")).otherwise(F.col("homes")))).cast("int")
+    plain = F.array(F.struct(F.lit(0).cast("long").alias("cell"), F.when(F.col("probe"), GUEST).otherwise(HOME).cast("int").alias("kind")))
+    cells = F.when(F.col("homes").isNull(), plain).when(F.col("homes") > 0, _grid(F.col("homes"), F.col("probes"), own, F.col("probe")))  # without homes there is nothing to meet
+    dealt = dealt.select("bucket", "rep", *names, *carried, F.explode(cells).alias("c")).select((F.col("bucket") * (1 << GRID) + F.col("c.cell")).alias("key"), "c.kind", "rep", *names, *carried)
+    return dealt.repartition("key").sortWithinPartitions("key", "kind", *[c for c in carried if c == "size"])
+
+
+def whole_keys(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[list[np.ndarray]]:
+    """The columns of some rows at a time; rows are sorted by the first column, and rows of one value come together."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            some = pa.Table.from_batches(held)
+            key = some.column(0).to_numpy()
+            last = int(np.searchsorted(key, key[-1]))
+            if last:
+                yield [c.to_numpy() for c in some.slice(0, last).columns]
+            held, n = some.slice(last).combine_chunks().to_batches(), some.num_rows - last
+    if n:
+        yield [c.to_numpy() for c in pa.Table.from_batches(held).columns]
+
+
+def meetings(key: np.ndarray, kind: np.ndarray, size: np.ndarray | None = None, share: int = 1, of: int = 1) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(segment, i, j): the pairs of rows that meet in whole buckets, at most PAIRS at once. Given sizes, only those
+    whose smaller size is at least share / of of the larger."""
+    bucket = np.cumsum(np.r_[False, key[1:] != key[:-1]]).astype(np.int64)
+    size = np.zeros(len(key), np.int64) if size is None else size.astype(np.int64)
+    at = ((bucket * 4 + kind) << 32) + size
+    least, most = -(-size * share // of), size * of // share
+    homes, hosts = np.flatnonzero(kind == HOME), np.flatnonzero(kind != GUEST)
+    others, guests = (bucket * 4 + HOME) << 32, (bucket * 4 + GUEST) << 32
+    spans = [
+        (homes, homes + 1, np.searchsorted(at, (others + most)[homes], "right")),
+        (hosts, np.searchsorted(at, (guests + least)[hosts]), np.searchsorted(at, (guests + most)[hosts], "right")),
+    ]
+    for rows, start, stop in spans:
+        segment = key[rows] >> (32 + GRID)
+        cuts = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1], True]) if len(rows) else [0]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            done = np.r_[0, np.cumsum(stop[lo:hi] - start[lo:hi])]
+            for first in range(0, int(done[-1]), PAIRS):
+                n = np.arange(first, min(first + PAIRS, int(done[-1])))
+                w = np.searchsorted(done, n, "right") - 1
+                yield int(segment[lo]), rows[lo + w], start[lo + w] + n - done[w]
 
 
 def _links(ring: Ring):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, rest = Forest(), None
-        lanes = range(ring.lanes)
-
-        def work(cols: list[np.ndarray]) -> None:
-            """Whole buckets: each home meets all rows after it in its bucket (homes come first)."""
-            key, probe, rep, words = cols[0], cols[1], cols[2], cols[3:]
-            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            ends = np.repeat(np.r_[first[1:], len(key)], np.diff(np.r_[first, len(key)]))
-            count = np.where(probe, 0, ends - np.arange(len(key)) - 1)
-            homes = np.flatnonzero(count)
-            done = np.r_[0, np.cumsum(count[homes])]
-            # chunks of pairs, cut where another segment begins
-            turns = np.searchsorted(homes, np.searchsorted(key, np.arange(1, len(ring.parts)) << 42))
-            edges = sorted({*range(0, int(done[-1]), PAIRS), *done[turns].tolist(), int(done[-1])})
-            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                n0, n1 = np.searchsorted(done, lo, "right") - 1, np.searchsorted(done, hi, "left")
-                cut = np.clip(done[n0 : n1 + 1], lo, hi)
-                which = np.repeat(np.arange(n0, n1), np.diff(cut))
-                i = homes[which]
-                j = i + 1 + np.arange(lo, hi) - done[which]
-                xor = [words[w][i] ^ words[w][j] for w in lanes]
-                ok = ring.linked(xor, int(key[i[0]] >> 42))
+        forest = Forest()
+        for key, kind, rep, *words in whole_keys(batches):
+            words = [w.view(np.uint64) for w in words]
+            for segment, i, j in meetings(key, kind):
+                ok = ring.linked([w[i] ^ w[j] for w in words], segment)
                 forest.link(rep[i[ok]], rep[j[ok]])
-
-        for batch in batches:
-            cols = [np.asarray(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False), np.asarray(batch.column(2)), *(np.asarray(batch.column(3 + w)).view(np.uint64) for w in lanes)]
-            if rest is not None:
-                cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
-            last = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0
-            if last:
-                work([c[:last] for c in cols])
-            rest = [c[last:] for c in cols]
             if forest.full():
                 yield forest.drain()
-        if rest is not None and len(rest[0]):
-            work(rest)
         yield forest.drain()
 
     return run
@@ -184,7 +240,7 @@ def near_components(prints: DataFrame, ring: Ring) -> DataFrame:
     prints = store(prints, "fingerprints")
     classes = store(prints.filter("doc_id is not null").groupBy(*names).agg(F.min("doc_id").alias("rep")), "classes")
     names_of = store(classes, "class-reps")
-    edges = _buckets(classes, ring).repartition("key").sortWithinPartitions("key", "probe").mapInArrow(_links(ring), "a long, b long")
+    edges = buckets(classes, ring).mapInArrow(_links(ring), "a long, b long")
     # an id that repeats with other texts is a representative of several classes; they are one document
     found = components(edges)
     labelled = names_of.join(found, names_of["rep"] == found["node"], "left").select(*[F.col(n).alias(f"c_{n}") for n in names], F.coalesce("component", "rep").alias("component_id"))
@@ -206,5 +262,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every row of ``documents``: 4-word shingles, 4 bits of 64.
+
+    Null and empty texts have fingerprint zero and link like any others; copies share a component. A row with a null id
+    has a null component, a repeated id comes back once a row, an empty table gives no rows.
+    """
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")

@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from clinprep.llm import exact, graph, lines, simhash
+from clinprep.llm import exact, graph, lines, simhash, text
 
 from .helpers import TEXTS, documents, tuples
 
@@ -19,11 +19,14 @@ def brute_exact(rows):
     groups = defaultdict(list)
     for i, t in rows:
         groups[SPACE.sub("", t or "")].append((-len(t or ""), float("inf") if i is None else i, i))
-    out = []
+    out, done = [], set()
     for i, t in rows:
         norm = SPACE.sub("", t or "")
         best = min(groups[norm], key=lambda g: g[:2])
-        out.append((i, best[2], len(groups[norm]), (i, -len(t or "")) == (best[2], best[0]), hashlib.sha256(norm.encode()).hexdigest()))
+        kept = (i, -len(t or "")) == (best[2], best[0]) and norm not in done
+        if kept:
+            done.add(norm)
+        out.append((i, best[2], len(groups[norm]), kept, hashlib.sha256(norm.encode()).hexdigest()))
     return sorted(out, key=repr)
 
 
@@ -48,7 +51,26 @@ def test_exact_empty_and_kept_documents(spark):
     assert exact.exact_groups(documents(spark, [])).count() == 0
     kept = exact.drop_exact_copies(documents(spark), weight=F.length)
     assert kept.columns == documents(spark).columns
-    assert sorted(r.doc_id for r in kept.filter("doc_id is not null").collect()) == [0, 1, 2, 5, 6, 7, 8, 10, 11, 11, 12]
+    assert sorted(r.doc_id for r in kept.filter("doc_id is not null").collect()) == [0, 1, 2, 5, 6, 7, 8, 10, 11, 12]
+
+
+REPEATS = [(2, "a b"), (5, "ab"), (5, "other"), (7, "same"), (7, "same"), (None, "x y"), (None, "xy"), (None, None), (None, " "), (8, "xy z"), (8, "x yz")]
+
+
+@pytest.mark.parametrize("digest", [None, lambda c: F.lit("same").cast("binary")])
+def test_exact_keeps_one_row_of_repeated_and_null_ids(spark, digest):
+    how = {"weight": F.length} | ({"digest": digest} if digest else {})
+    got = exact.exact_groups(documents(spark, REPEATS), **how)
+    assert tuples(got, *COLUMNS) == brute_exact(REPEATS)
+    kept = tuples(exact.drop_exact_copies(documents(spark, REPEATS), **how), "doc_id", "text")
+    assert [(i, SPACE.sub("", t or "")) for i, t in kept] == [(2, "ab"), (5, "other"), (7, "same"), (8, "xyz"), (None, ""), (None, "xy")]
+    assert (None, "x y") in kept and (None, " ") in kept  # the longer originals
+
+
+def test_exact_groups_too_many_to_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(text, "BROADCAST_BYTES", -1)
+    assert tuples(exact.exact_groups(documents(spark), weight=F.length), *COLUMNS) == brute_exact(TEXTS)
+    assert exact.drop_exact_copies(documents(spark), weight=F.length).count() == len({SPACE.sub("", t or "") for _, t in TEXTS})
 
 
 def test_exact_hot_group(spark):

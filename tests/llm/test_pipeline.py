@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from clinprep.llm import packing, quality, simhash, toxicity
+from clinprep.llm import exact, jaccard, packing, quality, simhash, toxicity
 
 from .helpers import documents
 from .test_dedup import brute_exact
@@ -30,6 +30,38 @@ def tables(spark):
     return folder, dict(rows), labels
 
 
+def near_links(rows):
+    """Index pairs with a Jaccard similarity of 0.8 or more, and those of them that are in the ring."""
+    known = [jaccard.shingles((t or "").encode(), pipeline.NEAR_WORDS) for _, t in rows]
+
+    def sets(text):
+        w = (text or "").encode().lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    index, own, similar = {}, [sets(t) for _, t in rows], []
+    for a, x in enumerate(own):
+        for b in set().union(*(index.setdefault(g, []) for g in x)):
+            if 5 * len(x & own[b]) >= 4 * len(x | own[b]):
+                similar.append((a, b))
+        for g in x:
+            index[g].append(a)
+    bits = lambda a, b: sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(known[a][1], known[b][1], strict=True))
+    return similar, [p for p in similar if bits(*p) <= jaccard.RING.bits]
+
+
+def brute_near(rows):
+    """The smallest id that each id reaches by such links; rows of one id are one document."""
+    up = {i: i for i, _ in rows}
+    links = [(rows[a][0], rows[b][0]) for a, b in near_links(rows)[1]]
+    for _ in up:
+        before = dict(up)
+        for i, j in links:
+            up[i] = up[j] = min(up[i], up[j])
+        if up == before:
+            break
+    return up
+
+
 def texts_of(df):
     return {r.doc_id: r.text for r in df.select("doc_id", "text").collect()}
 
@@ -63,14 +95,7 @@ def test_stages_follow_their_brute_force_versions(spark, tables):
 
     apart = steps["near_dedup"](spark, single, folder)
     left = texts_of(single)
-    prints = {i: simhash.fingerprint((t or "").encode(), pipeline.NEAR_WORDS, 2) for i, t in left.items()}
-    near = lambda a, b: sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(prints[a], prints[b], strict=True)) <= pipeline.NEAR_RING.bits
-    up = {i: i for i in left if i is not None}
-    for _ in range(len(up)):
-        new = {i: min(up[j] for j in up if near(i, j)) for i in up}
-        if new == up:
-            break
-        up = new
+    up = brute_near([(i, t) for i, t in left.items() if i is not None])
     assert apart.columns == docs.columns and set(texts_of(apart)) == {i for i in left if i is None or up[i] == i}
     assert not {2000 + n for n in range(12)} & set(texts_of(apart)) or not {3000 + n for n in range(12)} & set(texts_of(apart))
 
@@ -108,17 +133,50 @@ def test_near_dedup_decides_by_jaccard_similarity(spark):
             rows.append((1000 * (k + 1) + n, " ".join(other + [word() for _ in range(draw.choice((0, 0, 1, 9)))])))
     rows += [(9000, None), (9001, " "), (None, rows[0][1]), (9002, rows[5][1]), (9002, "two texts of one id here")]
 
-    def shingles(text):
-        w = (text or "").lower().split()
-        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
-
-    sets = [(i, shingles(t)) for i, t in rows if i is not None]
-    up = {i: i for i, _ in sets}
-    links = [(i, j) for a, (i, x) in enumerate(sets) for j, y in sets[:a] if 5 * len(x & y) >= 4 * len(x | y)]
-    for _ in up:
-        for i, j in links:
-            up[i] = up[j] = min(up[i], up[j])
+    up = brute_near([r for r in rows if r[0] is not None])
     apart = pipeline.drop_near_copies(spark, documents(spark, rows), "")
     want = sorted((i for i, _ in rows if i is None or up[i] == i), key=repr)
     assert 100 < len(want) < len(rows) - 100
     assert sorted((r.doc_id for r in apart.select("doc_id").collect()), key=repr) == want
+    similar, within = near_links([r for r in rows if r[0] is not None])
+    assert len(within) > 0.95 * len(similar) > 100
+
+
+def test_near_dedup_recall_on_documents(spark):
+    """Of the pairs with a similarity of 0.8 or more, the ring must reach nearly all; no other pair is linked."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in exact.drop_exact_copies(docs, weight=F.length).select("doc_id", "text").collect()]
+    similar, within = near_links(rows)
+    assert similar and len(within) >= 0.95 * len(similar)
+    found = {r.doc_id: r.component_id for r in jaccard.near_copies(docs.filter(F.col("doc_id").isin([i for i, _ in rows]))).collect()}
+    up = brute_near(rows)
+    assert {i: found.get(i, i) for i in up} == up
+
+
+@pytest.mark.parametrize("size", [1, 2, 90])
+def test_near_dedup_of_one_group_in_dealt_out_buckets(spark, monkeypatch, size):
+    monkeypatch.setattr(simhash, "HOT_HOMES", 16)
+    draw = random.Random(size)
+    base = [f"w{draw.randrange(10**6)}" for _ in range(300)]
+    rows = []
+    for n in range(size):
+        one = list(base)
+        one[draw.randrange(300)] = f"x{n}"
+        rows.append((n, " ".join(one)))
+    rows += [(500 + n, " ".join(f"y{draw.randrange(10**6)}" for _ in range(200))) for n in range(60)]
+    apart = pipeline.drop_near_copies(spark, documents(spark, rows), "")
+    assert sorted(r.doc_id for r in apart.select("doc_id").collect()) == [0, *range(500, 560)]
+
+
+def test_pipeline_of_empty_tables_and_one_class(spark):
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    documents(spark, []).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], LABELS).write.parquet(f"{folder}/labels.parquet")
+    assert pipeline.run(spark, folder).count() == 0
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    rows, labels = corpus(30, seed=3)
+    rows = rows + rows[:5] + [rows[0]] * 3  # repeated rows, and labels of one class only
+    documents(spark, rows).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i, _, _ in labels], LABELS).write.parquet(f"{folder}/labels.parquet")
+    got = {r.doc_id: r.n for r in pipeline.run(spark, folder).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
+    assert set(got) <= {i for i, _ in rows} and len(got) >= 0.5 * len(set(dict(rows).values()))
