@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clinprep.llm import exact, jaccard, packing, quality, simhash, toxicity
+from clinprep.llm import exact, jaccard, packing, quality, toxicity
 from clinprep.llm.text import table
 from clinprep.sources.shared import store
 
@@ -20,18 +20,20 @@ REJECT_QUALITY, REJECT_TOXICITY = 0.5, 0.7
 
 #: Near copies: a Jaccard similarity of 0.8 or more of the sets of five-word shingles (see clinprep.llm.jaccard).
 NEAR_WORDS = 5
-#: Fingerprints that near copies mostly share, for comparison in tests; the stage doesn't decide by them.
-NEAR_RING = simhash.Ring(23, widths=(16,) * 8, budgets=(2,) * 8)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents of low quality, judged by a model trained on the labelled documents of ``sf_dir``."""
+    """Rejects documents of low quality, judged by a model trained on the labelled documents of ``sf_dir``.
+
+    Null texts are scored as empty; repeated rows get the same score and stay or go together; without labels of both classes
+    the score is the share of good labels, or one half, so all stay or all go. An empty table stays empty.
+    """
     model = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.lit(True))
     return _filtered(docs, lambda d: quality.quality(d, model), F.col("score") >= REJECT_QUALITY)
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects toxic documents, judged by a model trained on the labelled documents of ``sf_dir``."""
+    """Rejects toxic documents, judged by a model trained on the labelled documents of ``sf_dir``; cases as in keep_good."""
     model = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.lit(True))
     return _filtered(docs, lambda d: toxicity.toxicity(d, model), F.col("score") < REJECT_TOXICITY)
 
@@ -44,19 +46,26 @@ def _filtered(docs: DataFrame, score, keeps) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One of equal texts stays: the longest original, then the smallest doc_id."""
+    """One row of equal texts stays: the longest original, then the smallest doc_id, then the row that hashes lowest.
+
+    Null and empty texts, and those of white space only, are one group; null ids come last, repeated ids are rows like any others.
+    """
     return exact.drop_exact_copies(docs, weight=F.length)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies stays; a document without an id stays."""
+    """The document with the smallest doc_id of each group of near copies stays.
+
+    SimHash fingerprints find candidates by pigeonring, the sets of shingles decide. A document without an id stays; rows that
+    repeat an id are one document, and stay or go together. Texts without words are near copies of one another.
+    """
     found = jaccard.near_copies(docs, words=NEAR_WORDS)
     gone = found.filter(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
 def pack_rest(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of what is left and their places in sequences of 4096 tokens."""
+    """Pieces of what is left and their places in sequences of 4096 tokens; null texts are empty and hold the end token only."""
     return packing.packed_documents(docs)
 
 
