@@ -5,7 +5,7 @@ position of every document, the word's place in that dictionary. Only dictionari
 by parts of the vocabulary (a word's part is its hash), all blocks' words of a part meet in one task, which encodes each
 distinct word once for the whole corpus, and the ids join back to their block, where documents are reassembled by
 position. The positions themselves stay in a written table bucketed by block, so the join back moves
-dictionaries only. A word comes at most once a block, however often the corpus holds it. Decoding joins ids with the
+dictionaries only. A word comes at most once a block, however often the corpus holds it. Decoding joins the
 table of token bytes, whose size is the vocabulary's.
 """
 
@@ -23,7 +23,6 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from clinprep.llm.text import small_batches, table
 from clinprep.sources.shared import shuffle_partitions, store_bucketed
@@ -46,36 +45,11 @@ def encoder(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks(path), special_tokens={})
 
 
-@lru_cache(maxsize=2)
-def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The token-byte table by id: all bytes end to end, where each token's begin, and how many they are."""
-    found = ranks(path)
-    tokens = [b""] * (max(found.values(), default=-1) + 1)
-    for token, rank in found.items():
-        tokens[rank] = token
-    size = np.fromiter(map(len, tokens), np.int64, len(tokens))
-    return np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(size) - size, size
-
-
-#: Ids that are decoded at once.
-DECODE_IDS = 500_000
-
-
-def decode_lists(lists: pa.ListArray, path: str) -> pa.Array:
-    """The bytes of each list of ids; null lists stay null."""
-    data, start, size = token_bytes(path)
-    offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
-    out, lo = [], 0
-    while lo < len(lists):
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + DECODE_IDS, "right")) - 1)
-        ids = values[offsets[lo] : offsets[hi]]
-        n = size[ids]
-        upto = np.r_[0, np.cumsum(n)]
-        found = data[np.repeat(start[ids] - upto[:-1], n) + np.arange(upto[-1])].tobytes()
-        cut = upto[offsets[lo : hi + 1] - offsets[lo]].tolist()
-        out += [found[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        lo = hi
-    return pa.array(out, pa.binary(), mask=lists.is_null().to_numpy(zero_copy_only=False))
+def token_table(spark: SparkSession, path: str) -> DataFrame:
+    """(id, token): the bytes of every id from 0 to the largest rank, null for a rank that no token has."""
+    found = {rank: token for token, rank in ranks(path).items()}
+    ids = range(max(found, default=-1) + 1)
+    return spark.createDataFrame(pa.table({"id": pa.array(ids, pa.int32()), "token": pa.array(map(found.get, ids), pa.binary())}))
 
 
 CHUNK = pa.struct([("part", pa.int32()), ("sizes", pa.binary()), ("words", pa.binary())])
@@ -125,12 +99,14 @@ def _blocks(pattern: str, parts: int):
 
 
 def _encode(path: str, pattern: str):
-    """A task holds whole parts of the vocabulary; each distinct word is encoded when it first comes."""
+    """A task takes whole parts of the vocabulary, one at a time; each distinct word is encoded when it first comes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, known = encoder(path, pattern).encode_ordinary, {}
+        encode, known, last = encoder(path, pattern).encode_ordinary, {}, None
         for batch in batches:
-            for at in range(batch.num_rows):
+            for at, part in enumerate(batch.column(1).to_pylist()):
+                if part != last:  # rows are sorted by part, and no other part has its words
+                    known, last = {}, part
                 sizes, words = (batch.column(i)[at].as_py() for i in (2, 3))
                 cut = np.r_[0, np.cumsum(np.frombuffer(sizes, np.uint32), dtype=np.int64)].tolist()
                 out = []
@@ -191,7 +167,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     blocks = base.mapInArrow(_blocks(pattern, PARTS_A_TASK * tasks), BLOCKS_DDL)
     blocks, _ = store_bucketed(blocks, "bpe_blocks", "block", tasks, sort=False)
     words = blocks.select("block", F.explode("chunks").alias("chunk")).select("block", "chunk.*")
-    coded = words.repartition(tasks, "part").mapInArrow(_encode(path, pattern), "block long, part int, counts binary, ids binary")
+    coded = words.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(_encode(path, pattern), "block long, part int, counts binary, ids binary")
     back = coded.groupBy("block").agg(F.collect_list(F.struct("part", "counts", "ids")).alias("coded"))
     joined = blocks.select("block", "doc_ids", "lengths", "places", "order").join(back, "block", "left")
     # a block of empty texts only has no words
@@ -200,18 +176,27 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", out: str = "bytes", path: str | None = None) -> DataFrame:
-    """``encoded`` with the bytes of its ids in a further column; null ids give null bytes."""
-    path = path or public_tokenizers.path(RANKS)
-    schema = T.StructType([*encoded.schema.fields, T.StructField(out, T.BinaryType())])
-    at = encoded.columns.index(ids_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, decode_lists(batch.column(at), path)], [*batch.schema.names, out])
+    """``encoded`` with the bytes of its ids in a further column ``out``, which replaces one of that name.
 
-    return encoded.mapInArrow(run, schema)
+    The token-byte table joins as one broadcast row, an array by id, whose size is the vocabulary's; each id of a list
+    finds its bytes there and they are put together in the order of the list. Null ids give null bytes, empty lists
+    empty ones; an id that the table lacks has no bytes.
+    """
+    tokens = token_table(encoded.sparkSession, path or public_tokenizers.path(RANKS))
+    by_id = tokens.agg(F.sort_array(F.collect_list(F.struct("id", "token"))).alias("all")).select(F.col("all.token").alias("_tokens"))
+    names = encoded.columns
+    numbered = encoded.toDF(*[f"_{i}" for i in range(len(names))])
+    ids = F.col(f"_{names.index(ids_col)}")
+    # texts are bytes to array_join: a token may end within a character
+    found = F.array_join(F.transform(ids, lambda i: F.get("_tokens", i).cast("string")), "").cast("binary")
+    kept = [(F.col(f"_{i}").alias(n)) for i, n in enumerate(names) if n != out]
+    return numbered.join(F.broadcast(by_id)).select(*kept, found.alias(out))
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row of ``documents``.
+
+    A null text is empty and has no ids; repeated rows and null ids come back as they stand; an empty table gives no rows.
+    """
     out = decode(encode(table(spark, sf_dir, "documents")))
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))

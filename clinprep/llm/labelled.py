@@ -15,6 +15,9 @@ from clinprep.llm.text import small_batches
 #: Labelled documents of each class that a model is fitted on, at most. They are the ones whose
 #: ids hash lowest, so the sample does not depend on the order or the partitions of the table.
 SAMPLE_PER_CLASS = 1_500
+#: Longer labelled texts are not trained on (they are scored whole like any other), so a sample holds at most
+#: 2 * SAMPLE_PER_CLASS * TEXT_BYTES bytes.
+TEXT_BYTES = 128 << 10
 
 
 def held_out(id_col: Column, folds: int, fold: int) -> Column:
@@ -23,14 +26,17 @@ def held_out(id_col: Column, folds: int, fold: int) -> Column:
 
 
 def training_texts(docs: DataFrame, labels: DataFrame, label_col: str, usable: Column, id_col: str = "doc_id", text_col: str = "text", per_class: int = SAMPLE_PER_CLASS) -> tuple[list[str], np.ndarray]:
-    """Whole texts and 0/1 labels of the sample, per_class rows of each class at most."""
-    rows = labels.filter(usable & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).dropDuplicates(["_id"])
+    """Whole texts and 0/1 labels of the sample: per_class documents of each class at most, of TEXT_BYTES at most each.
+
+    Of rows that repeat an id one takes part, of labels that repeat an id the smallest.
+    """
+    rows = labels.filter(usable & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).groupBy("_id").agg(F.min("_label").alias("_label"))
     rows = rows.withColumn("_order", F.xxhash64("_id"))
     parts = [rows.filter(F.col("_label") == y).orderBy("_order", "_id").limit(per_class) for y in (0, 1)]
     picked = F.broadcast(parts[0].unionByName(parts[1]))  # 2 x per_class ids
     texts = docs.select(F.col(id_col).alias("_doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    found = texts.join(picked, F.col("_doc") == F.col("_id")).select("_order", "_label", "_text").collect()
-    found = sorted(found)[: 2 * per_class]
+    fit = texts.filter(F.octet_length("_text") <= TEXT_BYTES).join(picked, F.col("_doc") == F.col("_id"))
+    found = sorted(fit.groupBy("_order", "_id", "_label").agg(F.min("_text").alias("_text")).drop("_id").collect())
     return [r["_text"] for r in found], np.array([r["_label"] for r in found], np.int64)
 
 

@@ -6,21 +6,26 @@ with every run (run and batch share the bucketing, so no run is shuffled), and a
 lines that no run holds bring the document that keeps them, known lines only add their counts. When a
 level holds FANOUT runs they are compacted into one run of the next level, so a batch meets a
 number of runs that grows with the logarithm of the batches. Batches go from the largest ids down; thus the
-first document to bring a line is the one that keeps it.
+first document to bring a line is the one that keeps it. Only texts that lose a line are shuffled to meet their lines, unless
+the ids of those are too many to broadcast.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clinprep.llm.text import SPACE, ascii_lower, digest128, table
+from clinprep.llm.text import BROADCAST_BYTES, SPACE, ascii_lower, digest128, small_batches, table
 from clinprep.sources.shared import shuffle_partitions, store, store_bucketed
 
 BATCHES = 4
 FANOUT = 3
+#: Bytes that the id of a document takes in a broadcast table, at most.
+ID_BYTES = 64
 
 
 def line_key(line: Column) -> Column:
@@ -87,17 +92,45 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         runs.add(seen.filter(F.col("batch") == b).select("line", "doc_id"))
     drop = store(runs.merged().filter(F.col("n_docs") >= min_docs).select(F.col("line").alias("d_line"), "keeper"), "line-drops")
     hits = seen.join(drop, seen["line"] == drop["d_line"]).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    marks = hits.groupBy(F.col("doc_id").alias("m_doc")).agg(F.collect_set("line").alias("drops"))
-    marked = base.join(marks, base["doc_id"].eqNullSafe(marks["m_doc"]), "left")
+    marks = store(hits.groupBy(F.col("doc_id").alias("m_doc")).agg(F.collect_set("line").alias("drops")), "line-marks")
+    same = base["doc_id"].eqNullSafe(marks["m_doc"])
     lines = F.split("text", "\n", -1)
-    stays = F.filter(lines, lambda x: (F.length(line_key(x)) < min_chars) | ~F.array_contains("drops", digest128(line_key(x))))
-    kept = F.when(F.col("drops").isNull(), lines).otherwise(stays)
-    return marked.select("doc_id", F.size(lines).cast("long").alias("n_lines"), kept.alias("kept")).select(
-        "doc_id", "n_lines", (F.col("n_lines") - F.size("kept")).cast("long").alias("n_dropped"), F.array_join("kept", "\n").alias("kept_text")
-    )
+    count = F.size(lines).cast("long").alias("n_lines")
+    if (n := marks.count()) * ID_BYTES > BROADCAST_BYTES:
+        return _without(base.join(marks, same, "left"))
+    # texts without a line to drop stay where they are
+    ids = F.broadcast(marks.select(F.col("m_doc").alias("t_doc")))  # n ids
+    touched = base["doc_id"].eqNullSafe(ids["t_doc"])
+    rest = base.join(ids, touched, "left_anti").select("doc_id", count, F.lit(0).cast("long").alias("n_dropped"), F.col("text").alias("kept_text"))
+    return _without(base.join(ids, touched, "left_semi").join(marks, same)).unionByName(rest) if n else rest
+
+
+def _without(marked: DataFrame) -> DataFrame:
+    """The lines of each text but those whose digest is in ``drops``; digests come from built-in functions."""
+    lines = F.split("text", "\n", -1)
+    ready = marked.select("doc_id", lines.alias("lines"), F.transform(lines, lambda x: digest128(line_key(x))).alias("digests"), "drops")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total, dropped, kept = [], [], []
+            for whole, digests, drops in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                gone = frozenset(drops or ())
+                stays = [x for x, d in zip(whole, digests, strict=True) if d not in gone]
+                total.append(len(whole))
+                dropped.append(len(whole) - len(stays))
+                kept.append("\n".join(stays))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_text"])
+
+    small_batches(marked.sparkSession)
+    return ready.mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_text string")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_lines, n_dropped, kept_sha256) of every row of ``documents``.
+
+    Null and empty texts are one empty line; lines under 20 code points always stay; rows that share the largest id of a line
+    all keep it; an empty table gives no rows.
+    """
     out = line_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 

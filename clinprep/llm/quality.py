@@ -41,6 +41,8 @@ def line_shape(line: bytes) -> tuple[float, ...]:
 
 
 SHAPES = 9
+#: One in so many pairs of a good and a bad training document also makes a chain of both.
+MIXED = 4
 
 
 def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,6 +120,13 @@ class LineField:
         return (1 / (1 + np.exp(-self.slope * (share - self.middle)))).tolist(), [g.tolist() for g in good]
 
 
+def _mixed(texts: list[str], labels: np.ndarray) -> tuple[list[str], list[tuple[int, int]]]:
+    """Chains of a good and a bad text, either first, for one in MIXED pairs; with the first's label and lines."""
+    good, bad = (np.flatnonzero(labels == y)[::MIXED].tolist() for y in (1, 0))
+    pairs = [(a, b) if n % 2 else (b, a) for n, (a, b) in enumerate(zip(good, bad, strict=False))]
+    return [texts[a] + "\n" + texts[b] for a, b in pairs], [(int(labels[a]), texts[a].count("\n") + 1) for a, _ in pairs]
+
+
 def fit(texts: list[str], labels: np.ndarray, steps: int = 120) -> LineField:
     """Gradient ascent on the likelihood of the line labels, then the logistic curve of the document score.
 
@@ -127,18 +136,22 @@ def fit(texts: list[str], labels: np.ndarray, steps: int = 120) -> LineField:
     n1, n0 = int(labels.sum()), int((1 - labels).sum())
     if not n1 or not n0:
         return LineField(np.zeros(width), np.zeros((2, 2)), np.zeros(width), np.ones(width), 0.0 if not len(labels) else 1.0, -8.0 if n1 else 8.0)
-    x, _, counts = line_features(texts)
+    mixed, turns = _mixed(texts, labels)
+    x, _, counts = line_features(texts + mixed)
     of = np.repeat(np.arange(len(counts)), counts)
-    y = labels[of]
+    label = np.r_[labels, [y for y, _ in turns]].astype(np.int64)
+    turn = np.r_[counts[: len(texts)], [n for _, n in turns]].astype(np.int64)  # lines before the label changes
+    at = np.arange(len(of)) - (np.cumsum(counts) - counts)[of]
+    y = np.where(at < turn[of], label[of], 1 - label[of])
     # each document counts alike, and so does each class
-    per_line = (np.where(labels > 0, 0.5 / n1, 0.5 / n0) / counts)[of]
+    per_line = (np.where(label > 0, 0.5 / n1, 0.5 / n0) / counts)[of]
     mean, scale = x.mean(0), x.std(0) + 1e-6
     mean[-1], scale[-1] = 0, 1
     field = LineField(np.zeros(width), np.zeros((2, 2)), mean, scale)
     z = np.clip((x - mean) / scale, -6, 6)
     pairs_seen = np.zeros((2, 2))
-    for c, label in zip(counts, labels, strict=True):
-        pairs_seen[label, label] += c - 1
+    inner = np.flatnonzero(at > 0)
+    np.add.at(pairs_seen, (y[inner - 1], y[inner]), 1)
     links = max(1, int((counts - 1).sum()))
     params, m, v = np.zeros(width + 4), np.zeros(width + 4), np.zeros(width + 4)
     for step in range(1, steps + 1):
@@ -175,11 +188,17 @@ def quality(docs: DataFrame, model: LineField, text_col: str = "text") -> DataFr
     r"""``docs`` with ``score`` (0 to 1) and ``lines``: the probability of each line (cut at \n) of being good.
 
     Columns of these names are replaced. A null or empty text is one empty line and scored like any other. Whole texts are read.
+    Each row is scored by its text alone, so repeated rows get equal scores; an empty table gives an empty result.
     """
     return score_texts(docs, text_col, model.score, [T.StructField("score", T.DoubleType()), T.StructField("lines", T.ArrayType(T.DoubleType()))])
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every row of ``documents``.
+
+    Labels of held-out ids are not read. Null, empty and repeated texts as in quality; a null id is never held out; without
+    labels of both classes all scores are on the side of the one that is there, and 0.5 without any.
+    """
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = train(docs, labels, ~held_out(F.col("doc_id"), 4, 2))
     out = quality(docs.select("doc_id", "text"), model)

@@ -5,20 +5,22 @@ dimension in which the node is widest (relative to the whole table). The median
 histograms that refine the range of the dimension; rows that tie in it are ordered by a hash of their
 text and only then by a hash of their id. Equal texts therefore stay in one shard, unless
 a group of copies is so heavy that shards of near-equal bytes need it split. All nodes of a level share
-each pass, a pass moves at most BUCKETS sums a node and task, and only one row a node reaches the driver.
+each pass, a pass moves at most BUCKETS sums a node and task, and at most SUMS (two a node) reach the driver. The rows of each
+level, without their texts, are a written table.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clinprep.llm.text import inline_table, positions, table
 from clinprep.sources.shared import store
 
 BUCKETS = 1024
+SUMS = 1 << 20
 #: A cut may miss its share of bytes by this part of a shard.
 SLACK = 0.005
 #: Equal texts stay together if that costs at most this part of a shard.
@@ -39,25 +41,27 @@ def _find(rows: DataFrame, nodes: dict[int, dict], column: str, slack: float) ->
     spark = rows.sparkSession
     open_nodes = {k: n for k, n in nodes.items() if not n["done"]}
     while open_nodes:
-        params = [(k, n["lo"], (n["hi"] - n["lo"]) // BUCKETS + 1, n["hi"], n["want"] - n["before"]) for k, n in open_nodes.items()]
-        small = inline_table(spark, params, "node long, lo long, width long, hi long, want double")
+        buckets = max(2, min(BUCKETS, SUMS // len(open_nodes)))
+        params = [(k, n["lo"], (n["hi"] - n["lo"]) // buckets + 1, n["hi"], n["want"] - n["before"]) for k, n in open_nodes.items()]
+        small = inline_table(spark, [p[:4] for p in params], "node long, lo long, width long, hi long")
         found = rows.join(F.broadcast(small), "node").filter(F.col(column).between(F.col("lo"), F.col("hi")))
-        sums = found.groupBy("node", "lo", "width", "want", F.floor((F.col(column) - F.col("lo")) / F.col("width")).cast("long").alias("bucket")).agg(F.sum("size").alias("weight"))
-        upto = Window.partitionBy("node").orderBy("bucket")
-        cut = (
-            sums.withColumn("total", F.sum("weight").over(upto))
-            .withColumn("nth", F.row_number().over(Window.partitionBy("node").orderBy((F.col("total") < F.col("want")).cast("int"), "bucket")))
-            .filter((F.col("nth") == 1))
-            .select("node", "bucket", "weight", (F.col("total") - F.col("weight")).alias("below"))
-        )
-        for r in cut.collect():
-            n = nodes[r["node"]]
-            width = (n["hi"] - n["lo"]) // BUCKETS + 1
-            n["lo"] += r["bucket"] * width
+        bucket = F.floor((F.col(column) - F.col("lo")) / F.col("width")).cast("long").alias("bucket")
+        sums: dict[int, list] = {}
+        for r in found.groupBy("node", bucket).agg(F.sum("size").alias("weight")).collect():  # SUMS at most
+            sums.setdefault(r["node"], []).append((r["bucket"], r["weight"]))
+        for (node, _, width, _, want) in params:
+            n, below = nodes[node], 0
+            for at, weight in sorted(sums[node]):
+                if below + weight >= want:
+                    break
+                below += weight
+            else:  # the rows' sum, in floating point, may miss what is wanted of it
+                below -= weight
+            n["lo"] += at * width
             n["hi"] = min(n["hi"], n["lo"] + width - 1)
-            n["before"] += r["below"]
-            n["weight"] = r["weight"]
-            if r["weight"] <= slack:
+            n["before"] += below
+            n["weight"] = weight
+            if weight <= slack:
                 n["done"] = True
         open_nodes = {k: n for k, n in open_nodes.items() if not n["done"] and n["lo"] < n["hi"]}
 
@@ -127,7 +131,7 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
     """One row per document: ``doc_id, size`` and the columns of ``keep``, ``shard`` (from 0), ``slot`` (from 0, gapless).
 
     Give ``shards`` or ``target_bytes``; a tree of ceil(bytes / target_bytes) leaves is built. ``dims``
-    are non-negative longs (default: characters, lines and bytes of a text); null counts as 0. A null or empty
+    are non-negative longs (default: characters, lines, and bytes beyond one a character); null counts as 0. A null or empty
     text has size 1. Ties and repeated rows get different slots. An empty table gives an empty result;
     with fewer documents than shards some shards stay empty. Other columns are ignored.
     """
@@ -166,7 +170,7 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
         value = F.element_at(F.array(*[F.col(d) for d in names]), F.col("cut_dim") + 1)
         at = F.struct(value.alias("v"), F.col("text_hash").alias("t"), F.col("id_hash").alias("i"))
         limit = F.struct(F.col("cut_value").alias("v"), F.col("cut_text").alias("t"), F.col("cut_id").alias("i"))
-        placed = placed.join(small, "node").withColumn("node", F.col("node") * 2 + (at > limit).cast("long")).drop("cut_dim", "cut_value", "cut_text", "cut_id")
+        placed = store(placed.join(small, "node").withColumn("node", F.col("node") * 2 + (at > limit).cast("long")).drop("cut_dim", "cut_value", "cut_text", "cut_id"), "shard-level")
         halves = {n: ((k + 1) // 2 if k > 1 else 1, k // 2 if k > 1 else 0) for n, k in parts.items()}
         firsts = {2 * n + side: firsts[n] + side * halves[n][0] for n in parts for side in (0, 1) if halves[n][side]}
         parts = {2 * n + side: halves[n][side] for n in parts for side in (0, 1) if halves[n][side]}
@@ -177,6 +181,11 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
 
 
 def op8_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every row of ``documents``: eight shards by law ``bytes``.
+
+    A null text has size 1 and the CRC of no bytes; equal texts share a shard unless that unbalances it; repeated rows and null ids
+    have slots of their own; an empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents")
     out = kd_shards(docs, shards=8, keep={"text_crc32": F.crc32(F.coalesce("text", F.lit("")))})
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

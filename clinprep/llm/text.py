@@ -34,9 +34,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: More rows than these don't go into the text of a query.
+INLINE_ROWS = 1_000
+
+
 def inline_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A few driver-made rows of numbers as an inline table of the plan."""
+    """Some driver-made rows of numbers as a table: inline in the plan if they are few."""
     fields = [f.split() for f in schema.split(", ")]
+    if len(rows) > INLINE_ROWS:
+        return spark.createDataFrame(rows, schema)
     values = ", ".join("(" + ", ".join(f"cast({v!r} AS {kind})" for v, (_, kind) in zip(row, fields, strict=True)) + ")" for row in rows)
     if not rows:
         return spark.sql("SELECT " + ", ".join(f"cast(NULL AS {kind}) AS {name}" for name, kind in fields)).limit(0)

@@ -2,206 +2,202 @@
 
 Vectors lie in blocks of consecutive ids; a block is a forward index (its rows' values, by dimension)
 with the largest and smallest value of each dimension. What a block can score at most for a query is
-the sum over dimensions of the query's value times that extreme. Blocks are taken in falling order of this bound
-and scored whole, until the bound falls below the query's k-th best score. Groups of blocks are dealt out to
-tasks; each group has bounds of its own, and a first pass over each query's most promising group gives
-the score that later groups must reach, so groups that cannot hold a result are not even sent to the query.
+the sum over dimensions of the query's value times that extreme. A task reads the blocks of its partition a few at a
+time; each query takes them in falling order of this bound and scores them whole, until the bound falls below its k-th
+best score so far. The queries go to the blocks, in batches of bounded bytes; only k results a query leave a task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from clinprep.llm.text import table
+from clinprep.llm.text import small_batches, table
 from clinprep.sources.shared import store
 
 BLOCK_ROWS = 256
-GROUP_BLOCKS = 16
-QUERY_ROWS = 1_024
-#: Group bounds that a query block meets in one task.
-GROUPS_AT_ONCE = 1_024
+#: Blocks that queries put in order at a time, and blocks of a partition of the index.
+TURN, PART_BLOCKS = 16, 64
+#: Bytes of a batch of queries, which each task holds whole.
+QUERY_BYTES = 32 << 20
+LOWEST, HIGHEST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
 
 def quantised(vector: Column, scale: int = 1024) -> Column:
-    """floor(scale * x) of every component, as longs."""
+    """floor(scale * x) of every component, as longs; what leaves 64 bits stays at their ends."""
     return F.transform(vector, lambda x: F.floor(x.cast("double") * F.lit(float(scale))))
 
 
 def usable(vector: Column) -> Column:
-    """Not null, and every component finite; components beyond 2^52 / scale are no exact integers and count as not finite."""
-    return vector.isNotNull() & F.coalesce(F.forall(vector, lambda x: x.isNotNull() & (F.abs(x.cast("double")) < F.lit(2.0**40))), F.lit(False))
-
-
-def _matrix(vectors: list[np.ndarray], dims: int) -> np.ndarray:
-    out = np.zeros((len(vectors), dims), np.int64)
-    for i, v in enumerate(vectors):
-        out[i, : len(v)] = v
-    return out
+    """Not null, and every component finite."""
+    finite = lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(float("inf")))
+    return vector.isNotNull() & F.coalesce(F.forall(vector, finite), F.lit(False))
 
 
 def dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer products a @ b.T: by floating point where no sum can leave 2^53, else by integers held in 64 bits."""
-    top = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
-    if top < 2.0**53:
-        return np.rint(a.astype(float) @ b.astype(float).T).astype(np.int64)
-    exact = np.dot(a.astype(object), b.T.astype(object))
-    return np.clip(exact, -(2**63), 2**63 - 1).astype(np.int64)
+    """Integer products a @ b.T: by floating point for rows where no sum can leave 2^53, else in whole numbers of any size.
+
+    Products that leave 64 bits stay at their ends.
+    """
+    size = np.abs(a.astype(float)).max(1, initial=0) * np.abs(b.astype(float)).max(initial=0) * a.shape[1]
+    exact = size < 2.0**53
+    out = np.empty((len(a), len(b)), np.int64)
+    out[exact] = np.rint(a[exact].astype(float) @ b.astype(float).T).astype(np.int64)
+    if not exact.all():
+        whole = np.dot(a[~exact].astype(object), b.T.astype(object))
+        out[~exact] = np.clip(whole, LOWEST, HIGHEST).astype(np.int64)
+    return out
 
 
 def bounds(q: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
-    """At most what any row of each block scores for each query."""
-    return dot(np.maximum(q, 0), high) + dot(np.minimum(q, 0), low)
-
-
-def merge_top(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of each row by score, ties to the smaller id; id -1 marks an empty place."""
-    order = np.lexsort((ids, np.where(ids < 0, np.iinfo(np.int64).max, -np.maximum(scores, -(2**63) + 1))), axis=1)[:, :k]
-    return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
-
-
-def search_group(q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, blocks: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Block-at-a-time search of one group: (scores, ids), k places a query. floor: a score that results must reach."""
-    lowest = np.iinfo(np.int64).min
-    high = np.stack([m.max(0) for _, m in blocks])
-    low = np.stack([m.min(0) for _, m in blocks])
-    bound = bounds(q, high, low)
-    turn = np.argsort(-bound, axis=1, kind="stable")
-    scores, ids = np.full((len(q), k), lowest), np.full((len(q), k), -1, np.int64)
-    for t in range(len(blocks)):
-        at = turn[:, t]
-        reach = bound[np.arange(len(q)), at]
-        kth = np.maximum(floor, np.where(ids[:, -1] >= 0, scores[:, -1], lowest))
-        alive = reach >= kth  # equal bounds go on: a smaller id may tie
-        if not alive.any():
-            break
-        for b in np.unique(at[alive]):
-            mine = np.flatnonzero(alive & (at == b))
-            d_ids, m = blocks[b]
-            s = dot(q[mine], m)
-            who = np.broadcast_to(d_ids, s.shape).copy()
-            who[d_ids[None, :] == q_ids[mine][:, None]] = -1
-            scores[mine], ids[mine] = merge_top(np.c_[scores[mine], np.where(who < 0, lowest, s)], np.c_[ids[mine], who], k)
-    return scores, ids
-
-
-BLOCKS = "grp long, block int, ids array<long>, vectors array<array<long>>, high array<long>, low array<long>"
+    """No row of a block scores more for a query. In floating point, raised by far more than its errors."""
+    q, high, low = (x.astype(float) for x in (q, high, low))
+    most = np.abs(q) @ np.maximum(np.abs(high), np.abs(low)).T
+    reach = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T + 1e-9 * most
+    return np.maximum(reach, float(LOWEST))  # where scores stay
+
+
+class Search:
+    """The k best of every query so far: by score, ties to the smaller id. A query's own row takes no part."""
+
+    def __init__(self, rows: np.ndarray, queries: np.ndarray, k: int):
+        self.rows, self.queries, self.k = rows, queries, k
+        self.scores, self.ids = (np.zeros((len(rows), k), np.int64) for _ in range(2))
+        self.none = np.ones((len(rows), k), bool)
+        self.scored = self.met = 0  # blocks, counted once a query
+
+    def kth(self) -> np.ndarray:
+        return np.where(self.none[:, -1], -np.inf, self.scores[:, -1].astype(float))
+
+    def take(self, blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        """Some blocks (rows, ids, values), each query in its own order."""
+        reach = bounds(self.queries, np.stack([m.max(0) for *_, m in blocks]), np.stack([m.min(0) for *_, m in blocks]))
+        order = np.argsort(-reach, axis=1, kind="stable")
+        self.met += reach.size
+        for at in order.T:
+            alive = np.take_along_axis(reach, at[:, None], 1)[:, 0] >= self.kth()  # equal bounds go on: a smaller id may tie
+            if not alive.any():
+                break
+            self.scored += int(alive.sum())
+            for b in np.unique(at[alive]):
+                self._score(np.flatnonzero(alive & (at == b)), *blocks[b])
+
+    def _score(self, mine: np.ndarray, rows: np.ndarray, ids: np.ndarray, values: np.ndarray) -> None:
+        scores = dot(self.queries[mine], values)
+        out = rows[None, :] == self.rows[mine][:, None]
+        better = (~out & (self.none[mine, -1:] | (scores >= self.scores[mine, -1:]))).any(1)
+        mine, scores, out = mine[better], scores[better], out[better]
+        scores = np.c_[self.scores[mine], scores]
+        ids = np.c_[self.ids[mine], np.broadcast_to(ids, (len(mine), len(ids)))]
+        none = np.c_[self.none[mine], out]
+        best = np.lexsort((ids, ~scores, none), axis=1)[:, : self.k]
+        self.scores[mine], self.ids[mine], self.none[mine] = (np.take_along_axis(x, best, 1) for x in (scores, ids, none))
+
+
+def _numbers(cell) -> np.ndarray:
+    return np.frombuffer(cell.as_buffer(), np.int64)
 
 
 def index_blocks(vectors: DataFrame, dims: int, rows: int) -> DataFrame:
-    """Blocks of consecutive ids; of rows that share an id only the one with the smallest vector takes part."""
+    """(rows, ids, values): blocks of consecutive ids, as 64-bit numbers; shorter vectors are padded with zeros."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, n = TaskContext.get().partitionId(), 0
-        ids, held = [], []
+        held: tuple[list, list, list] = ([], [], [])
 
         def flush() -> pa.RecordBatch:
-            m = _matrix(held, dims)
-            out = [[(part << 24) + n // GROUP_BLOCKS], [n % GROUP_BLOCKS], [ids], [m.tolist()], [m.max(0).tolist()], [m.min(0).tolist()]]
-            kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64())), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], ["grp", "block", "ids", "vectors", "high", "low"])
+            values = np.zeros((len(held[0]), dims), np.int64)
+            for i, v in enumerate(held[2]):
+                values[i, : len(v)] = v
+            cells = [np.array(x, np.int64).tobytes() for x in held[:2]] + [values.tobytes()]
+            for x in held:
+                x.clear()
+            return pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cells], ["rows", "ids", "values"])
 
-        last = None
         for batch in batches:
-            for vec_id, vector in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if vec_id == last:
-                    continue
-                last = vec_id
-                ids.append(vec_id)
-                held.append(vector.values.to_numpy())
-                if len(ids) == rows:
+            for row, vec_id, vector in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                for x, new in zip(held, (row, vec_id, vector.values.to_numpy()), strict=True):
+                    x.append(new)
+                if len(held[0]) == rows:
                     yield flush()
-                    ids, held, n = [], [], n + 1
-        if ids:
+        if held[0]:
             yield flush()
 
-    parts = max(1, -(-vectors.count() // (rows * GROUP_BLOCKS)))
-    ranged = vectors.repartitionByRange(int(parts), "vec_id").sortWithinPartitions("vec_id", "v")
-    return ranged.mapInArrow(run, BLOCKS)
+    parts = max(1, -(-vectors.count() // (rows * PART_BLOCKS)))
+    ranged = vectors.repartitionByRange(int(parts), "vec_id").sortWithinPartitions("vec_id", "row")
+    return ranged.mapInArrow(run, "rows binary, ids binary, values binary")
 
 
-FOUND = "query_id long, vec_id long, score long"
+def _answers(blocks: DataFrame, asked: list, dims: int, k: int) -> DataFrame:
+    """(query_row, query_id, vec_id, score): k places a query from each task. asked: a batch of bounded bytes."""
+    rows, ids = (np.array([r[n] for r in asked], np.int64) for n in ("row", "vec_id"))
+    queries = np.zeros((len(asked), dims), np.int64)
+    for i, r in enumerate(asked):
+        queries[i, : len(r["v"])] = r["v"]
+    sent = blocks.sparkSession.sparkContext.broadcast((rows, ids, queries))
 
+    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[list]:
+        held = []
+        for batch in batches:
+            for cells in zip(*batch.columns, strict=True):
+                row, vec, values = map(_numbers, cells)
+                held.append((row, vec, values.reshape(len(row), dims)))
+                if len(held) == TURN:
+                    yield held
+                    held = []
+        if held:
+            yield held
 
-def top_k(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, ids, queries = sent.value
+        search = Search(rows, queries, k)
+        for some in read(batches):
+            search.take(some)
+        i, j = np.nonzero(~search.none)
+        columns = (rows[i], ids[i], search.ids[i, j], search.scores[i, j])
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_row", "query_id", "vec_id", "score"])
+
+    return blocks.mapInArrow(run, "query_row long, query_id long, vec_id long, score long")
+
+
+def top_k(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024, block_rows: int = BLOCK_ROWS, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best integer inner products of every row that ``queries`` picks, against all others.
 
-    ``queries`` is a condition on ``vec_id``. Ties go to the smaller id; a query with fewer candidates has
-    fewer rows. Vectors that are null or hold null, non-finite or huge (2^40) components take no part, neither do null ids; shorter
-    vectors are padded with zeros. Of repeated ids the row with the smallest vector takes part. Scores that leave 64 bits
-    stay at their ends. An empty table gives an empty result. Other columns are ignored.
+    ``queries`` is a condition on ``vec_id``. Ties go to the smaller id; a query with fewer candidates has fewer rows.
+    Vectors that are null or hold null or non-finite components take no part, neither do null ids; shorter vectors are
+    padded with zeros. Rows that repeat an id are rows like any others: each may be a query and a candidate, and a query
+    leaves out its own row only. Components and scores beyond 64 bits count as the largest or smallest long. An empty
+    table gives an empty result. Other columns are ignored.
     """
-    spark = vectors.sparkSession
-    rows = vectors.filter(usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), quantised(F.col(vector_col), scale).alias("v"))
-    dims = rows.agg(F.max(F.size("v"))).first()[0] or 0
-    if not dims:
-        dims = 1
+    small_batches(vectors.sparkSession)
+    rows = vectors.filter(usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("vec_id"), quantised(F.col(vector_col), scale).alias("v"))
+    rows = store(rows, "vectors")
+    dims = max(1, rows.agg(F.max(F.size("v"))).first()[0] or 0)
     blocks = store(index_blocks(rows, dims, block_rows), "vector-blocks")
-    asked = blocks.select(F.explode(F.arrays_zip("ids", "vectors")).alias("x")).select(F.col("x.ids").alias("vec_id"), F.col("x.vectors").alias("v")).filter(queries)
-    query_blocks = -(-asked.count() // QUERY_ROWS)
-    asked = asked.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, query_blocks))))
-    asked = store(asked, "queries")
-    groups = store(
-        blocks.groupBy("grp").agg(*[F.array(*[f(F.col(c)[i]) for i in range(dims)]).alias(c) for f, c in ((F.max, "high"), (F.min, "low"))]).withColumn("chunk", F.pmod(F.xxhash64("grp"), F.lit(1 + blocks.select("grp").distinct().count() // GROUPS_AT_ONCE))),
-        "group-bounds",
-    )
-    chunks = [r[0] for r in groups.select("chunk").distinct().collect()]  # one a GROUPS_AT_ONCE groups
-    spread = asked.withColumn("floor", F.lit(None).cast("long"))
-
-    def reach(best_only: bool):
-        def run(q: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-            if not len(q) or not len(g):
-                return pd.DataFrame({"vec_id": [], "grp": [], "bound": []}).astype("int64")
-            bound = bounds(_matrix(list(q["v"]), dims), _matrix(list(g["high"]), dims), _matrix(list(g["low"]), dims))
-            if best_only:
-                i, j = np.arange(len(q)), bound.argmax(1)
-            else:
-                floor = np.where(q["floor"].isna(), np.iinfo(np.int64).min, q["floor"].fillna(0).astype("int64"))
-                i, j = np.nonzero((bound >= floor[:, None]) & (g["grp"].to_numpy()[None, :] != q["seen"].to_numpy()[:, None]))
-            return pd.DataFrame({"vec_id": q["vec_id"].to_numpy()[i], "grp": g["grp"].to_numpy()[j], "bound": bound[i, j]})
-
-        return run
-
-    def pairs(of: DataFrame, best_only: bool) -> DataFrame:
-        left = of.withColumn("chunk", F.explode(F.array(*[F.lit(c) for c in chunks]).cast("array<long>"))).groupBy("qb", "chunk")
-        right = groups.join(F.broadcast(spark.range(max(1, query_blocks)).select(F.col("id").alias("qb")))).groupBy("qb", "chunk")
-        return left.cogroup(right).applyInPandas(reach(best_only), "vec_id long, grp long, bound long")
-
-    def search(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(b):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        floor = np.where(q["floor"].isna(), np.iinfo(np.int64).min, q["floor"].fillna(0).astype("int64"))
-        held = [(np.asarray(ids, np.int64), _matrix(list(vs), dims)) for ids, vs in zip(b["ids"], b["vectors"], strict=True)]
-        q_ids = q["vec_id"].to_numpy()
-        scores, ids = search_group(q_ids, _matrix(list(q["v"]), dims), floor, held, k)
-        i, j = np.nonzero(ids >= 0)
-        return pd.DataFrame({"query_id": q_ids[i], "vec_id": ids[i, j], "score": scores[i, j]})
-
-    def answers(wanted: DataFrame) -> DataFrame:
-        left = wanted.select("vec_id", "v", "floor", "qb", "grp").groupBy("qb", "grp")
-        asks = wanted.select(F.col("qb").alias("b_qb"), F.col("grp").alias("b_grp")).distinct()
-        sent = asks.join(blocks, asks["b_grp"] == blocks["grp"]).select("b_qb", "b_grp", "ids", "vectors").groupBy("b_qb", "b_grp")
-        return left.cogroup(sent).applyInPandas(search, FOUND)
-
-    by_bound = Window.partitionBy("vec_id").orderBy(F.desc("bound"), "grp")
-    best = pairs(spread, True).withColumn("nth", F.row_number().over(by_bound)).filter("nth = 1").select("vec_id", F.col("grp"))
-    first = store(answers(spread.join(best, "vec_id")), "first-answers")
-    by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    kth = first.withColumn("nth", F.row_number().over(by_score)).filter(F.col("nth") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
-    again = store(asked.join(best.select("vec_id", F.col("grp").alias("seen")), "vec_id").join(kth, "vec_id", "left"), "floored-queries")
-    rest = store(again.join(pairs(again, False).select("vec_id", "grp"), "vec_id"), "reachable")
-    found = first.unionByName(answers(rest))
-    return found.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    asked = rows.filter(queries)
+    batches = max(1, -(-asked.count() * dims * 8 // query_bytes))
+    asked = asked.withColumn("batch", F.pmod(F.xxhash64("row"), F.lit(batches)))
+    by_score = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
+    found = []
+    for b in range(batches):
+        answers = _answers(blocks, asked.filter(F.col("batch") == b).drop("batch").collect(), dims, k)
+        best = answers.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        found.append(store(best, "answers") if batches > 1 else best)
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, rank, vec_id, score): the ten best of every vector whose id is divisible by 100, against all of ``embeddings``.
+
+    Null vectors and those with null or non-finite components take no part; ties go to the smaller id; an empty table
+    gives no rows.
+    """
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 

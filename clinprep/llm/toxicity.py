@@ -123,13 +123,19 @@ def toxicity(docs: DataFrame, model: NoisyOr, text_col: str = "text") -> DataFra
     """``docs`` with ``score`` (0 to 1) and ``offending``: (start, end, score) of sentences scored 0.5 or more.
 
     Columns of these names are replaced. A null or empty text, or one without words, has no sentence and scores 0.
-    Whole texts are read; offsets count code points of the lower-cased text.
+    Whole texts are read; offsets count code points of the lower-cased text. Each row is scored by its text alone, so
+    repeated rows get equal scores; an empty table gives an empty result.
     """
     return score_texts(docs, text_col, model.score, [T.StructField("score", T.DoubleType()), T.StructField("offending", OFFENDING)])
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, held_out, score, predicted, offending) of every row of ``documents``; offending locates its toxic sentences.
+
+    Labels of held-out ids are not read. Null, empty and repeated texts as in toxicity; a null id is never held out; without
+    labels of both classes every score is on the side of the one that is there, and near 0 without any.
+    """
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = train(docs, labels, ~held_out(F.col("doc_id"), 3, 1))
     out = toxicity(docs.select("doc_id", "text"), model)
-    return out.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return out.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "offending")

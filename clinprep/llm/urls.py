@@ -46,12 +46,12 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def gram_ids(urls: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed n-grams of all byte strings end to end, and the string of each."""
+def gram_ids(urls: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed n-grams of the characters of all texts end to end, and the text of each."""
     sizes = np.fromiter(map(len, urls), np.int64, len(urls))
-    data = np.frombuffer(b"".join(urls), np.uint8).astype(np.uint64)
+    data = np.frombuffer("".join(urls).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     of = np.repeat(np.arange(len(urls)), sizes)
-    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(data))  # bytes from here to the string's end
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(data))  # characters from here to the text's end
     ids, owner = [], []
     for n in GRAMS:
         at = np.flatnonzero(left >= n)
@@ -63,23 +63,23 @@ def gram_ids(urls: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(ids), np.concatenate(owner)
 
 
-def url_bytes(host: str, path: str) -> bytes:
-    """What is cut into n-grams: both ends marked, digits alike."""
-    return b"^" + host.encode() + b" " + path.encode().translate(bytes.maketrans(b"0123456789", b"0" * 10)) + b"$"
+def url_text(host: str, path: str) -> str:
+    """What is cut into n-grams: host and path, with both ends marked."""
+    return f"^{host} {path}$"
 
 
 class UrlModel:
     def __init__(self, weights: np.ndarray, bias: float):
         self.weights, self.bias = weights, bias
 
-    def score(self, urls: list[bytes]) -> np.ndarray:
+    def score(self, urls: list[str]) -> np.ndarray:
         ids, of = gram_ids(urls)
         n = np.maximum(1, np.bincount(of, minlength=len(urls)))
         z = self.bias + np.bincount(of, self.weights[ids], len(urls)) / np.sqrt(n)
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit(urls: list[bytes], labels: np.ndarray, steps: int = 80) -> UrlModel:
+def fit(urls: list[str], labels: np.ndarray, steps: int = 80) -> UrlModel:
     """Logistic regression with a small ridge, classes weighted alike; labels: 1 is to be blocked. No labels: 0.5 for all."""
     w, bias = np.zeros(1 << BITS), 0.0
     n1, n0 = int(labels.sum()), int((1 - labels).sum())
@@ -103,7 +103,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> UrlModel:
     """Fit on (host, path, block) rows: at most ``sample`` distinct ones, the same whatever the partitions."""
     rows = labelled.select("host", "path", "block").filter("block is not null").distinct()
     found = rows.orderBy(F.xxhash64("host", "path"), "host", "path", "block").limit(sample).collect()
-    return fit([url_bytes(r["host"], r["path"]) for r in found], np.array([int(r["block"]) for r in found], np.int64))
+    return fit([url_text(r["host"], r["path"]) for r in found], np.array([int(r["block"]) for r in found], np.int64))
 
 
 def filter_urls(pages: DataFrame, model: UrlModel, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
@@ -117,7 +117,7 @@ def filter_urls(pages: DataFrame, model: UrlModel, id_col: str = "page_id", url_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            urls = [url_bytes(h, p) for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            urls = [url_text(h, p) for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(urls))], [*batch.schema.names, "block_score"])
 
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
@@ -133,5 +133,10 @@ def rule_labels(pages: DataFrame, url_col: str = "url", rules=RULES) -> DataFram
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, host, path, rule, verdict, block_score) of every row of ``pages``; the model learns from what the rules decide.
+
+    A null URL or one without :// has an empty host and path and is judged by the model; repeated rows are judged alike;
+    an empty table gives no rows.
+    """
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return filter_urls(pages, train(rule_labels(pages)))

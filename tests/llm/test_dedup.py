@@ -109,6 +109,11 @@ def test_line_dedup_random(spark):
     assert tuples(lines.line_dedup(documents(spark, rows)), *LINE_COLUMNS) == brute_lines(rows)
 
 
+def test_line_dedup_of_too_many_ids_to_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(lines, "BROADCAST_BYTES", -1)
+    assert tuples(lines.line_dedup(documents(spark)), *LINE_COLUMNS) == brute_lines(TEXTS)
+
+
 def test_line_dedup_empty(spark):
     assert lines.line_dedup(documents(spark, [])).count() == 0
 

@@ -42,6 +42,13 @@ def test_sample_is_bounded_and_stable(spark):
     assert runs[0][0] == runs[1][0] and sorted(runs[0][1]) == [0] * 8 + [1] * 8
 
 
+def test_sample_of_long_and_repeated_texts(spark):
+    rows = [(i, f"text {i}") for i in range(6)] + [(1, "another text of 1")] * 40 + [(7, "x" * (labelled.TEXT_BYTES + 1))]
+    ldf = spark.createDataFrame([(i, 1, i % 2) for i in range(8)] + [(2, 1, 1)], LABELS)
+    texts, y = labelled.training_texts(documents(spark, rows), ldf, "toxic", F.lit(True))
+    assert sorted(zip(texts, y.tolist(), strict=True)) == sorted([("another text of 1", 1), *[(f"text {i}", i % 2) for i in (0, 2, 3, 4, 5)]])
+
+
 def test_toxicity_held_out_and_located(spark):
     rows, labels = corpus()
     df, ldf = documents(spark, rows), spark.createDataFrame(labels, LABELS)
@@ -141,7 +148,7 @@ def test_url_rules(spark):
 
 def test_url_model_held_out():
     draw = random.Random(4)
-    make = lambda bad: urls.url_bytes(draw.choice(["casino", "winbig"] if bad else ["news", "school"]) + str(draw.randint(1, 99)) + ".example.com", f"/p/{draw.randint(1, 999)}")
+    make = lambda bad: urls.url_text(draw.choice(["casino", "winbig"] if bad else ["news", "school"]) + str(draw.randint(1, 99)) + ".example.com", f"/p/{draw.randint(1, 999)}")
     labels = np.array([draw.random() < 0.4 for _ in range(600)], int)
     data = [make(y) for y in labels]
     model = urls.fit(data[:400], labels[:400])
@@ -149,7 +156,19 @@ def test_url_model_held_out():
 
 
 def test_grams_stay_inside_their_url():
-    a, b = b"^abc d$", b"^x$"
-    ids, of = urls.gram_ids([a, b, b""])
+    a, b = "^abc d$", "^ü$"
+    ids, of = urls.gram_ids([a, b, ""])
     alone, _ = urls.gram_ids([b])
     assert sorted(ids[of == 1]) == sorted(alone) and len(ids[of == 0]) == sum(len(a) - n + 1 for n in urls.GRAMS)
+
+
+def test_quality_of_mixed_documents():
+    """A text of good and bad lines is told line by line, and scores between its halves."""
+    rows, labels = corpus(200, seed=5)
+    texts, y = [t for _, t in rows], np.array([q for _, q, _ in labels])
+    model = quality.fit(texts, y)
+    good, bad = next(t for t, q in zip(texts, y, strict=True) if q), next(t for t, q in zip(texts, y, strict=True) if not q)
+    scores, lines = model.score([good, good + "\n" + bad, bad])
+    n = good.count("\n") + 1
+    assert min(lines[1][:n]) > 0.5 > max(lines[1][n:])
+    assert scores[0] > 0.7 and scores[0] >= scores[1] >= scores[2] and scores[2] < 0.5

@@ -1,7 +1,9 @@
 import hashlib
+import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 from hypothesis import given, settings
@@ -22,6 +24,13 @@ def test_bpe_round_trip(spark, monkeypatch):
     assert got == want
 
 
+def test_bpe_decoding_joins_by_id(spark):
+    df = spark.createDataFrame([(1, [5, 300, 5], "b"), (2, [], None), (3, None, "b"), (4, [65_535, 7], "b")], "doc_id long, ids array<int>, bytes string")
+    token = {rank: t for t, rank in bpe.ranks(P.path(bpe.RANKS)).items()}
+    got = {r.doc_id: r.bytes if r.bytes is None else bytes(r.bytes) for r in bpe.decode(df).collect()}
+    assert got == {1: token[5] + token[300] + token[5], 2: b"", 3: None, 4: token.get(65_535, b"") + token[7]}
+
+
 def test_bpe_empty(spark):
     assert bpe.decode(bpe.encode(documents(spark, []))).count() == 0
     assert [list(r.ids) for r in bpe.encode(documents(spark, [(1, None), (2, "")])).collect()] == [[], []]
@@ -132,44 +141,105 @@ def test_kd_shards_awkward(spark, rows):
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
 
 
+def brute_shards(rows, shards):
+    """rows: (key, size, dims, text hash, id hash); the k-d tree by sorting whole nodes, without slack."""
+    span = [max(1, max(r[2][d] for r in rows) - min(r[2][d] for r in rows)) for d in range(3)]
+    out = {}
+
+    def split(node, k, first):
+        if k == 1 or not node:
+            out.update({r[0]: first for r in node})
+            return
+        width = [(max(r[2][d] for r in node) - min(r[2][d] for r in node)) / span[d] for d in range(3)]
+        d = width.index(max(width))
+        at = lambda r: (r[2][d], r[3], r[4])
+        want, before, left = sum(r[1] for r in node) * ((k + 1) // 2) / k, 0, set()
+        for place in sorted({at(r) for r in node}):
+            weight = sum(r[1] for r in node if at(r) == place)
+            if before + weight >= want:
+                if want - before > weight / 2:
+                    left.add(place)
+                break
+            before += weight
+            left.add(place)
+        split([r for r in node if at(r) in left], (k + 1) // 2, first)
+        split([r for r in node if at(r) not in left], k // 2, first + (k + 1) // 2)
+
+    split(rows, shards, 0)
+    return out
+
+
+@pytest.mark.parametrize("shards,sums", [(2, 1 << 20), (5, 1 << 20), (8, 64)])
+def test_kd_shards_are_those_of_a_plain_tree(spark, monkeypatch, shards, sums):
+    for name, value in (("SLACK", 0), ("GROUP_SLACK", 0), ("SUMS", sums)):
+        monkeypatch.setattr(sharding, name, value)
+    draw = random.Random(shards)
+    texts = ["é" * draw.randint(0, 9) + "w" * draw.randint(1, 40) + "\n" * draw.randint(0, 6) for _ in range(90)]
+    rows = [(i, draw.choice(texts) if i % 3 else f"text {i} " * draw.randint(1, 9)) for i in range(160)]
+    df = documents(spark, rows)
+    hashes = {r.doc_id: (r.t, r.i) for r in df.select("doc_id", sharding._hash40(F.col("text")).alias("t"), sharding._hash40(F.col("doc_id"), F.lit("row")).alias("i")).collect()}
+    sized = lambda t: len(t.encode())
+    want = brute_shards([(i, sized(t) + 1, (len(t), t.count("\n"), sized(t) - len(t)), *hashes[i]) for i, t in rows], shards)
+    assert {r.doc_id: r.shard for r in sharding.kd_shards(df, shards=shards).collect()} == want
+
+
 def test_kd_shards_by_target(spark):
     got = shard_rows(spark, [(i, "x" * 99) for i in range(100)], target_bytes=1_700)
     assert len({r.shard for r in got}) == 6
 
 
 def brute_topk(vectors, k):
-    import math
-
-    ok = {i: [math.floor(1024 * x) for x in v] for i, v in vectors if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    """Rows are told apart by their place; products and components stay within 64 bits."""
+    lo, hi = -(2**63), 2**63 - 1
+    clip = lambda x: max(lo, min(hi, x))
+    ok = [(i, [clip(math.floor(1024 * x)) for x in v]) for i, v in vectors if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q, a in ok.items():
+    for n, (q, a) in enumerate(ok):
         if q % 5 == 0:
-            scored = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in ok.items() if i != q)[:k]
-            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored)]
+            scored = sorted((-clip(sum(x * y for x, y in zip(a, b, strict=False))), i) for m, (i, b) in enumerate(ok) if m != n)[:k]
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)]
     return sorted(out)
 
 
-@pytest.mark.parametrize("n,k", [(0, 3), (1, 3), (4, 10), (300, 7)])
-def test_topk(spark, monkeypatch, n, k):
-    monkeypatch.setattr(topk, "GROUP_BLOCKS", 3)
+@pytest.mark.parametrize("n,k,query_bytes", [(0, 3, 1 << 20), (1, 3, 1 << 20), (4, 10, 1 << 20), (300, 7, 1 << 20), (300, 3, 500)])
+def test_topk(spark, monkeypatch, n, k, query_bytes):
+    monkeypatch.setattr(topk, "TURN", 3)
     draw = random.Random(n)
     vectors = [(i, [draw.choice([-1.0, -0.25, 0.0, 0.3, 1.0]) + draw.choice([0.0, 0.001]) for _ in range(6)]) for i in range(n)]
     if n > 100:
-        vectors += [(n + 1, None), (n + 2, [1.0, None, 1.0]), (n + 3, [float("nan")] * 6), (n + 4, [float("inf")] * 6), (None, [1.0] * 6), (n + 5, [0.5, 0.5])]
-        vectors += [(n + 10 + i, [0.3] * 6) for i in range(80)] + [(0, vectors[0][1])]
+        vectors += [(n + 1, None), (n + 2, [1.0, None, 1.0]), (n + 3, [float("nan")] * 6), (n + 4, [float("inf")] * 6), (None, [1.0] * 6), (n + 5, [0.5, 0.5]), (n + 6, [])]
+        vectors += [(n + 10 + i, [0.3] * 6) for i in range(80)] + [(0, vectors[0][1]), (3, [1.0] * 6), (5, [-1.0] * 6)]
     draw.shuffle(vectors)
     df = spark.createDataFrame([(i, v, 1, "x") for i, v in vectors], "vec_id long, embedding array<float>, score int, grp string").repartition(3)
-    got = sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 5 == 0, k, block_rows=8).collect())
+    got = sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 5 == 0, k, block_rows=8, query_bytes=query_bytes).collect())
     # components are floats, and so are the brute-force ones
-    import numpy as np
-
     exact = [(i, v if v is None else [x if x is None else float(np.float32(x)) for x in v]) for i, v in vectors]
     assert got == brute_topk(exact, k)
 
 
-def test_large_products_stay_exact():
-    import numpy as np
+@pytest.mark.parametrize("most", [1e9, 1e13, 1e15, 1e300])
+def test_topk_of_components_of_any_size(spark, most):
+    draw = random.Random(9)
+    some = lambda: draw.choice([-1, 1]) * 10 ** draw.uniform(-3, math.log10(most))
+    vectors = [(i, [some() if draw.random() < 0.3 else draw.uniform(-1, 1) for _ in range(4)]) for i in range(60)] + [(60, [most, 0.0, 0.0, 0.0]), (65, [most, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(3)
+    assert sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 5 == 0, 4, block_rows=8).collect()) == brute_topk(vectors, 4)
+
+
+def test_bounds_hold_and_prune():
+    draw = np.random.default_rng(4)
+    q, m = draw.integers(-(2**62), 2**62, (3, 4)), draw.integers(-(2**62), 2**62, (9, 4))
+    best = np.array([[max(sum(int(x) * int(y) for x, y in zip(a, b, strict=True)) for b in m)] for a in q], float)
+    assert (topk.bounds(q, m.max(0)[None], m.min(0)[None]) >= best).all()
+    centres = draw.integers(-1000, 1000, (40, 8))  # every block near a centre of its own: most are never scored
+    blocks = [(np.arange(32) + 32 * b, np.arange(32) + 32 * b, c + draw.integers(-5, 6, (32, 8))) for b, c in enumerate(centres)]
+    search = topk.Search(np.array([-1, -2]), np.stack([centres[0], centres[7]]), 10)
+    for at in range(0, 40, topk.TURN):
+        search.take(blocks[at : at + topk.TURN])
+    assert search.scored < 0.5 * search.met and not search.none.any()
 
+
+def test_large_products_stay_exact():
     a = np.array([[2**40, -(2**39)]], np.int64)
     assert topk.dot(a, a)[0, 0] == 2**63 - 1
     assert topk.dot(np.array([[2**30, 3]]), np.array([[2**30, 5]]))[0, 0] == 2**60 + 15
