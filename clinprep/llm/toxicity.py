@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -35,6 +36,11 @@ def features(sentence: str) -> set[str]:
     return words | {w[:k] + "*" for w in words for k in STEMS if len(w) > k}
 
 
+def bag_of_sentences(text: str) -> list[set[str]]:
+    """The features of every sentence with a word in it."""
+    return [f for m in SENTENCE.finditer(text.lower()) if (f := features(m[0]))]
+
+
 class NoisyOr:
     def __init__(self, weights: dict[str, float], bias: float):
         self.weights, self.bias = weights, bias
@@ -74,11 +80,10 @@ def fit(texts: list[str], labels: np.ndarray, n_features: int = FEATURES, steps:
     n1, n0 = int(labels.sum()), int((1 - labels).sum())
     if not n1 or not n0:
         return NoisyOr({}, 8.0 if n1 else -20.0)
-    bags = [[features(m[0]) for m in SENTENCE.finditer(t.lower())] for t in texts]
-    bags = [[s for s in bag if s] for bag in bags]
+    # texts are cut twice, so that the features of all sentences are never held at once
     seen = [Counter(), Counter()]
-    for bag, y in zip(bags, labels.tolist(), strict=True):
-        seen[y].update(set().union(*bag) if bag else ())
+    for text, y in zip(texts, labels.tolist(), strict=True):
+        seen[y].update(set().union(*bag_of_sentences(text)))
     least = 3 if n1 >= 20 else 1
 
     def tells(f: str) -> float:
@@ -87,13 +92,14 @@ def fit(texts: list[str], labels: np.ndarray, n_features: int = FEATURES, steps:
         return (a / n1 - b / n0) / math.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-9)
 
     ranked = sorted(((d, f) for f in seen[1] if seen[0][f] + seen[1][f] >= least and (d := tells(f)) >= TELLS), reverse=True)[:n_features]
+    seen.clear()
     vocabulary = {f: i for i, (_, f) in enumerate(ranked)}
-    cols, sentence_of, bag_of, n = [], [], [], 0
-    for b, bag in enumerate(bags):
-        for s in bag:
+    cols, sentence_of, bag_of, n = array("q"), array("q"), array("q"), 0
+    for b, text in enumerate(texts):
+        for s in bag_of_sentences(text):
             found = [vocabulary[f] for f in s if f in vocabulary]
-            cols += found
-            sentence_of += [n] * len(found)
+            cols.extend(found)
+            sentence_of.extend([n] * len(found))
             bag_of.append(b)
             n += 1
     cols, sentence_of, bag_of, y = np.array(cols, np.int64), np.array(sentence_of, np.int64), np.array(bag_of, np.int64), labels.astype(float)
