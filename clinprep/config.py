@@ -47,6 +47,10 @@ SPELLINGS = [
 ]
 UNRECOGNISED = "Unrecognised"
 
+#: A cell that is a number and at most a unit; the unit behind a number.
+MEASUREMENT = r"^\s*(-?\d+(?:\.\d+)?)\s*([A-Za-z/%°]*)\s*$"
+UNIT_SUFFIX = r"^\s*-?\d+(?:\.\d+)?\s*([A-Za-z/%°]+)\s*$"
+
 MG_PER_MMOL = 18.0182
 FAHRENHEIT_BAND = (77.0, 113.0)
 MMOL_BAND = (1.0, 35.0)

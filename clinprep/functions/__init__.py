@@ -31,17 +31,14 @@ def numeric_view(c: Column) -> Column:
     return to_double(F.regexp_extract(c.cast("string"), r"(-?\d+(?:\.\d+)?)", 1))
 
 
-MEASUREMENT = r"^\s*(-?\d+(?:\.\d+)?)\s*([A-Za-z/%°]*)\s*$"
-
-
 def magnitude(c: Column) -> Column:
     """The number of a measurement; the whole cell must be a number and at most a unit."""
-    return to_double(F.regexp_extract(c.cast("string"), MEASUREMENT, 1))
+    return to_double(F.regexp_extract(c.cast("string"), config.MEASUREMENT, 1))
 
 
 def unit(c: Column) -> Column:
     """The lower-cased unit, empty for a bare number or no measurement."""
-    return F.coalesce(F.lower(F.regexp_extract(c.cast("string"), MEASUREMENT, 2)), F.lit(""))
+    return F.coalesce(F.lower(F.regexp_extract(c.cast("string"), config.MEASUREMENT, 2)), F.lit(""))
 
 
 def spelling(c: Column) -> Column:

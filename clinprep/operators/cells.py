@@ -100,7 +100,7 @@ def unmapped_values(df: DataFrame, vocabularies: dict[str, dict[str, str]] | Non
 
 
 def category_audit(df: DataFrame, vocabularies: dict[str, dict[str, str]] | None = None) -> DataFrame:
-    """(column, distinct_before, distinct_after, values_after, cells_changed)."""
+    """(column, distinct_before, distinct_after, values_before, values_after, cells_changed)."""
     vocabularies = vocabularies or config.VOCABULARIES
     names = _present(df, vocabularies)
     before = long_texts(df, names)
@@ -112,6 +112,7 @@ def category_audit(df: DataFrame, vocabularies: dict[str, dict[str, str]] | None
     return counted.groupBy("column").agg(
         F.countDistinct("value").alias("distinct_before"),
         F.countDistinct("after").alias("distinct_after"),
+        F.array_join(F.sort_array(F.collect_set("value")), "|").alias("values_before"),
         F.array_join(F.sort_array(F.collect_set("after")), "|").alias("values_after"),
         F.coalesce(F.sum(F.when(~F.col("value").eqNullSafe(F.col("after")), F.col("n"))), F.lit(0)).alias("cells_changed"),
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -39,26 +39,26 @@ def count_duplicates(df: DataFrame, subset: list[str] | None = None) -> DataFram
     return n.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("redundant"), F.coalesce(F.sum(F.when(F.col("count") > 1, F.col("count"))), F.lit(0)).alias("involved"))
 
 
-def dedup_audit(df: DataFrame, subset: list[str] | None = None, keep: str = "first") -> DataFrame:
-    """One row: strategy, rows before and after, removed, still redundant, involved."""
-    n = df.groupBy(*_keys(df, subset)).count()
-    total, sets = F.coalesce(F.sum("count"), F.lit(0)), F.count(F.lit(1))
-    return n.agg(
-        F.lit(f"keep_{keep}").alias("strategy"),
-        total.alias("rows_before"),
-        sets.alias("rows_after"),
-        (total - sets).alias("removed"),
-        F.lit(0).cast("long").alias("remaining"),
-        F.coalesce(F.sum(F.when(F.col("count") > 1, F.col("count"))), F.lit(0)).alias("involved"),
+def dedup_audit(df: DataFrame, subset: list[str] | None = None, keep: str = "first", kept: DataFrame | None = None) -> DataFrame:
+    """One row: strategy, rows before and after, removed, still redundant, involved. ``kept``: the deduplicated table, if it is there."""
+    kept = remove_duplicates(df, subset, keep) if kept is None else kept
+    size = lambda t: t.groupBy(*_keys(t, subset)).count()
+    total = F.coalesce(F.sum("count"), F.lit(0))
+    before = size(df).agg(total.alias("rows_before"), F.coalesce(F.sum(F.when(F.col("count") > 1, F.col("count"))), F.lit(0)).alias("involved"))
+    after = size(kept).agg(total.alias("rows_after"), (total - F.count(F.lit(1))).alias("remaining"))
+    return before.crossJoin(after).select(  # one row each
+        F.lit(f"keep_{keep}").alias("strategy"), "rows_before", "rows_after", (F.col("rows_before") - F.col("rows_after")).alias("removed"), "remaining", "involved"
     )
 
 
 def verify_dropped(df: DataFrame, dropped: DataFrame, subset: list[str] | None = None, keep: str = "first") -> DataFrame:
-    """(row_index, n_matches): how many kept rows each dropped row equals; 1 is right."""
+    """(row_index, n_matches): how many kept rows each dropped row equals; 1 is right.
+
+    Rows meet by a hash of their keys and are compared whole then.
+    """
     keys = _keys(df, subset)
-    kept = remove_duplicates(df, subset, keep).groupBy(*keys).count()
-    kept = kept.select(*[F.col(c).alias(f"_k_{c}") for c in keys], "count")
-    same: Column = F.lit(True)
-    for c in keys:
-        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
-    return dropped.join(kept, same, "left").select("row_index", F.coalesce("count", F.lit(0)).alias("n_matches"))
+    number = F.xxhash64(*keys)
+    kept = remove_duplicates(df, subset, keep).select(number.alias("k_hash"), F.struct(*keys).alias("k_row"))
+    left = dropped.select("row_index", number.alias("hash"), F.struct(*keys).alias("row"))
+    found = left.join(kept, (F.col("hash") == F.col("k_hash")) & F.col("row").eqNullSafe(F.col("k_row")), "left")
+    return found.groupBy("row_index").agg(F.count("k_hash").alias("n_matches"))

@@ -50,25 +50,34 @@ def hide(hourly: DataFrame, held: DataFrame, channels: list[str] | None = None)
     return joined.withColumns({c: F.when(F.col(f"_hide_{c}").isNull(), F.col(c)) for c in names}).drop(*[f"_hide_{c}" for c in names])
 
 
-def mask_cells(hourly: DataFrame, fraction: float = config.MASK_FRACTION, seed: int = config.SEED + 1) -> tuple[DataFrame, DataFrame]:
-    """(corrupted, truth): a share of the observed cells of each channel with enough of them is hidden."""
-    cells = observed_cells(hourly)
-    counts = cells.groupBy("channel").count().filter(F.col("count") >= MIN_CHANNEL).select("channel")  # at most one row a channel
-    truth = cells.join(F.broadcast(counts), "channel", "left_semi").filter(drawn(F.col("channel"), fraction, seed))
-    return hide(hourly, truth), truth
+def enough(hourly: DataFrame, channels: list[str] | None = None) -> list[str]:
+    """The channels with MIN_CHANNEL observed cells or more."""
+    names = channels or config.CHANNELS
+    seen = hourly.agg(*[F.count(c).alias(c) for c in names]).first()  # one row
+    return [c for c in names if seen[c] >= MIN_CHANNEL]
 
 
-def imputed_cells(df: DataFrame, field: str, out: str) -> DataFrame:
-    cells = [F.struct(F.lit(c).alias("channel"), F.col(f"{c}_{field}").alias(out)) for c in config.CHANNELS if f"{c}_{field}" in df.columns]
-    return df.select(*CELL[:2], F.explode(F.array(*cells)).alias("cell")).select(*CELL[:2], "cell.*")
+def mask_cells(hourly: DataFrame, fraction: float = config.MASK_FRACTION, seed: int = config.SEED + 1) -> tuple[DataFrame, DataFrame]:
+    """(corrupted, truth): a share of the observed cells of each channel with enough of them is hidden.
+
+    ``corrupted`` also has <channel>_truth, the values it hides; ``truth`` has a row for each of them.
+    """
+    names = enough(hourly)
+    hidden = {f"{c}_truth": F.when(drawn(F.lit(c), fraction, seed), F.col(c)) for c in names}
+    marked = hourly.withColumns(hidden) if names else hourly
+    corrupted = marked.withColumns({c: F.when(F.col(f"{c}_truth").isNull(), F.col(c)) for c in names}) if names else marked
+    cells = F.array(*[F.struct(F.lit(c).alias("channel"), F.col(f"{c}_truth").alias("truth")) for c in names]) if names else F.array().cast("array<struct<channel:string,truth:double>>")
+    return corrupted, corrupted.select(*CELL[:2], F.explode(cells).alias("cell")).select(*CELL[:2], "cell.*").filter("truth is not null")
 
 
 def held_errors(truth: DataFrame, imputed: DataFrame, fields: dict[str, str]) -> DataFrame:
     """The held cells with each method's value: fields maps a method to the column suffix that it fills."""
-    out = truth
-    for method, field in fields.items():
-        out = out.join(imputed_cells(imputed, field, method), CELL)
-    return out
+    key = CELL[:2]
+    have = lambda f: [c for c in config.CHANNELS if f"{c}_{f}" in imputed.columns]
+    pick = lambda f: F.coalesce(*[F.when(F.col("channel") == c, F.col(f"i_{c}_{f}")) for c in have(f)])
+    wanted = dict.fromkeys(fields.values())
+    rows = imputed.select(*key, *[F.col(f"{c}_{f}").alias(f"i_{c}_{f}") for f in wanted for c in have(f)])
+    return truth.join(rows, key).select(*CELL, "truth", *[pick(f).alias(m) for m, f in fields.items()])
 
 
 def score(errors: DataFrame, base: str = "locf", other: str = "refined") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clinprep import config
-from clinprep.functions import floor_hour, rint
+from clinprep.functions import floor_hour, hours_between, rint
 
 KEY = ["admission_id", "hour"]
 
@@ -15,13 +15,27 @@ def usable_events(df: DataFrame) -> DataFrame:
     return df.dropna(subset=["admission_id", *config.TIME_COLUMNS])
 
 
-def bin_hours(df: DataFrame, channels: list[str] | None = None) -> DataFrame:
-    """H1: a row for each admission and hour with events: means of channels, first non-null of static columns."""
+def _bins(df: DataFrame, channels: list[str] | None, *more: Column) -> DataFrame:
     channels = [c for c in (channels or config.CHANNELS) if c in df.columns]
     statics = [c for c in config.STATIC_COLUMNS if c in df.columns]
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("row_index")))
     hourly = usable_events(df).withColumn("hour", floor_hour(F.col("charttime")))
-    return hourly.groupBy(*KEY).agg(*[F.avg(c).alias(c) for c in channels], *[first(c).alias(c) for c in statics], F.count(F.lit(1)).alias("events"))
+    return hourly.groupBy(*KEY).agg(*[F.avg(c).alias(c) for c in channels], *[first(c).alias(c) for c in statics], F.count(F.lit(1)).alias("events"), *more)
+
+
+def bin_hours(df: DataFrame, channels: list[str] | None = None) -> DataFrame:
+    """H1: a row for each admission and hour with events: means of channels, first non-null of static columns."""
+    return _bins(df, channels)
+
+
+def _hours_of(start: Column, end: Column) -> tuple[Column, Column]:
+    """The first and the last hour of a window."""
+    floor_end = floor_hour(end)
+    return floor_hour(start), F.when(floor_end == end, floor_end).otherwise(floor_end + F.expr("interval 1 hour"))
+
+
+def _last_hour(max_hours: int) -> Column:
+    return F.col("start") + F.make_dt_interval(F.lit(0), F.lit(max_hours - 1))
 
 
 def hour_grid(df: DataFrame, max_hours: int = config.MAX_HOURS) -> DataFrame:
@@ -30,9 +44,9 @@ def hour_grid(df: DataFrame, max_hours: int = config.MAX_HOURS) -> DataFrame:
     The cap is applied before hours are made, so a corrupt discharge cannot blow up the grid.
     """
     stays = usable_events(df).groupBy("admission_id").agg(F.min("intime").alias("i"), F.max("outtime").alias("o"))
-    start, floor_end = floor_hour(F.col("i")), floor_hour(F.col("o"))
-    stays = stays.select("admission_id", start.alias("start"), F.when(floor_end == F.col("o"), floor_end).otherwise(floor_end + F.expr("interval 1 hour")).alias("end")).filter("end >= start")
-    last = F.col("start") + F.make_dt_interval(F.lit(0), F.lit(max_hours - 1))
+    start, end = _hours_of(F.col("i"), F.col("o"))
+    stays = stays.select("admission_id", start.alias("start"), end.alias("end")).filter("end >= start")
+    last = _last_hour(max_hours)
     hours = F.sequence("start", F.least("end", last), F.expr("interval 1 hour"))
     return stays.select("admission_id", (F.col("end") > last).alias("truncated"), F.posexplode(hours).alias("hours_since_admission", "hour"))
 
@@ -45,11 +59,26 @@ def fill_both_ways(c: str) -> Column:
 
 
 def build_hourly(df: DataFrame, max_hours: int = config.MAX_HOURS) -> DataFrame:
-    """H1-H5: the hourly table. Both sides of the alignment are hashed on the admission, which the windows then reuse."""
-    bins, grid = bin_hours(df), hour_grid(df, max_hours)
+    """H1-H5: the hourly table.
+
+    Bins are dealt out by admission once. There each bin makes the rows from its own hour up to the next bin's, the first one also
+    those before it, so the grid is never joined nor shuffled, and the windows that fill static columns find their rows in place.
+    """
+    bins = _bins(df, None, F.min("intime").alias("in_"), F.max("outtime").alias("out_"))
     statics = [c for c in config.STATIC_COLUMNS if c in bins.columns]
     channels = [c for c in config.CHANNELS if c in bins.columns]
-    rows = grid.join(bins, KEY, "left")
+    stay = Window.partitionBy("admission_id")
+    order = stay.orderBy("hour")
+    start, end = _hours_of(F.min("in_").over(stay), F.max("out_").over(stay))
+    placed = bins.select(*KEY, *channels, *statics, start.alias("start"), end.alias("end"), F.lag("hour").over(order).alias("before"), F.lead("hour").over(order).alias("next"))
+    one = F.expr("interval 1 hour")
+    last = F.least("end", _last_hour(max_hours))
+    since = F.when(F.col("before").isNull(), F.col("start")).otherwise(F.greatest("hour", "start"))
+    until = F.least(F.coalesce(F.col("next") - one, last), last)
+    ranged = placed.withColumns({"since": since, "until": until}).filter("end >= start and since <= until")
+    grid = ranged.select("admission_id", F.col("hour").alias("bin"), "start", *channels, *statics, F.explode(F.sequence("since", "until", one)).alias("hour"))
+    own = F.col("hour") == F.col("bin")
+    rows = grid.select(*KEY, *[F.when(own, F.col(c)).alias(c) for c in [*channels, *statics]], F.floor(hours_between(F.col("start"), F.col("hour"))).cast("int").alias("hours_since_admission"))
     return rows.select("hour", "admission_id", *channels, *[fill_both_ways(c).alias(c) for c in statics], "hours_since_admission")
 
 

@@ -10,7 +10,6 @@ from clinprep.functions import numeric_view, rint, strip
 from clinprep.operators.datetimes import long_texts, spelling_counts
 from clinprep.operators.dedup import count_duplicates
 
-UNIT_SUFFIX = r"^\s*-?\d+(?:\.\d+)?\s*([A-Za-z/%°]+)\s*$"
 BARE = "<bare number>"
 MAX_VARIANTS = 25
 
@@ -41,7 +40,7 @@ def date_formats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def unit_tokens(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(column, token, n) of columns with more than one token; the token's case is kept."""
     names = [c for c in (columns or config.CHANNELS) if c in df.columns]
-    token = F.regexp_extract(strip(F.col("value")), UNIT_SUFFIX, 1)
+    token = F.regexp_extract(strip(F.col("value")), config.UNIT_SUFFIX, 1)
     counted = long_texts(df, names).filter("value is not null").groupBy("column", F.when(token == "", BARE).otherwise(token).alias("token")).agg(F.count(F.lit(1)).alias("n"))
     return counted.withColumn("_tokens", F.count(F.lit(1)).over(Window.partitionBy("column"))).filter("_tokens > 1").drop("_tokens")
 

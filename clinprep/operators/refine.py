@@ -1,18 +1,19 @@
 """A ridge regression for each channel refines imputed cells from the other channels.
 
-Only the fit leaves built-in functions: tasks sum 43 x 43 normal equations of their rows, and the sums of all tasks are
-solved on the driver. Predictions are column expressions.
+Features are built and weighed in Arrow batches, all channels of a row at once. For the fit, tasks sum 43 x 43 normal
+equations of their rows, and the sums of all tasks are solved on the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clinprep import config
 from clinprep.functions import rint
@@ -23,8 +24,11 @@ HARMONICS = 4
 PERIOD_HOURS = 24.0 * 3.0
 RIDGE = 1.0
 MIN_ROWS = 30
-#: Fixed order: the target's own terms, then the other channels', then the temporal basis.
-N_FEATURES = 6 + 4 * (len(config.CHANNELS) - 1) + 1 + 2 * HARMONICS
+#: The order of features: the target's own terms (and between them one that weighs both neighbours), the same four of every
+#: other channel, and the temporal basis.
+OWN, OTHER = ["z", "next_z", "decay", "backward_decay", "mask"], ["z", "next_z", "mask", "decay"]
+GAPS = ["gap_hours", "backward_gap_hours"]
+N_FEATURES = len(OWN) + 1 + len(OTHER) * (len(config.CHANNELS) - 1) + 1 + 2 * HARMONICS
 
 
 def temporal_basis(hours: Column) -> list[Column]:
@@ -35,36 +39,67 @@ def temporal_basis(hours: Column) -> list[Column]:
 
 
 def design(df: DataFrame, target: str, channels: list[str] | None = None) -> list[Column]:
-    """the features of a target channel; nulls and absent columns are 0."""
-    def col(name: str) -> Column:
+    """the features of a target channel as columns; nulls and absent columns are 0."""
+    def term(channel: str, suffix: str) -> Column:
+        name = f"{channel}_{suffix}"
         return F.coalesce(F.col(name).cast("double"), F.lit(0.0)) if name in df.columns else F.lit(0.0)
 
-    out = []
-    for c in channels or config.CHANNELS:
-        z, ahead = col(f"{c}_z"), col(f"{c}_next_z")
-        if c == target:
-            forward, backward = col(f"{c}_gap_hours"), col(f"{c}_backward_gap_hours")
-            span = forward + backward
-            near = F.when(span > 0, backward / F.when(span > 0, span).otherwise(1.0)).otherwise(1.0)
-            out += [z, ahead, col(f"{c}_decay"), col(f"{c}_backward_decay"), near * z + (1.0 - near) * ahead, col(f"{c}_mask")]
-        else:
-            out += [z, ahead, col(f"{c}_mask"), col(f"{c}_decay")]
+    own = [term(target, suffix) for suffix in OWN]
+    gap, back = (term(target, suffix) for suffix in GAPS)
+    share = F.coalesce(back / F.nullif(gap + back, F.lit(0.0)), F.lit(1.0))
+    between = share * own[0] + (1.0 - share) * own[1]
+    others = [term(c, suffix) for c in (channels or config.CHANNELS) if c != target for suffix in OTHER]
     hours = F.col("hours_since_admission").cast("double") if "hours_since_admission" in df.columns else F.lit(0.0)
-    return out + temporal_basis(hours)
+    return [*own[:-1], between, own[-1], *others, *temporal_basis(hours)]
+
+
+class Features:
+    """The features of design() for the rows of an Arrow batch."""
+
+    def __init__(self, batch: pa.RecordBatch, channels: list[str]):
+        self.batch, self.channels, self.n = batch, channels, batch.num_rows
+        self.part = {s: np.stack([self.column(f"{c}_{s}") for c in channels], 1) for s in {*OWN, *OTHER, *GAPS}}
+        angle = np.pi * self.column("hours_since_admission")[:, None] * np.arange(1, HARMONICS + 1) / PERIOD_HOURS
+        self.basis = np.c_[np.ones(self.n), np.stack([np.sin(angle), np.cos(angle)], 2).reshape(self.n, -1)]
+
+    def column(self, name: str, missing: float = 0.0) -> np.ndarray:
+        at = self.batch.schema.get_field_index(name)
+        if at < 0:
+            return np.full(self.n, missing)
+        return self.batch.column(at).cast(pa.float64()).fill_null(missing).to_numpy(zero_copy_only=False)
+
+    def of(self, target: str) -> np.ndarray:
+        k, part = self.channels.index(target), self.part
+        own = [part[s][:, k] for s in OWN]
+        gap, back = (part[s][:, k] for s in GAPS)
+        share = np.divide(back, gap + back, out=np.ones(self.n), where=gap + back != 0)
+        others = [part[s][:, i] for i in range(len(self.channels)) if i != k for s in OTHER]
+        return np.c_[np.stack([*own[:-1], share * own[0] + (1.0 - share) * own[1], own[-1], *others], 1), self.basis]
 
 
 def training_rows(standardised: DataFrame, hourly: DataFrame, channels: list[str] | None = None) -> DataFrame:
     """(channel, x, y): features of hidden cells, rebuilt from what is left, and their true standardised value."""
     channels = channels or config.CHANNELS
-    key = holdout.CELL[:2]
-    corrupted, truth = holdout.mask_cells(hourly)
+    corrupted, _ = holdout.mask_cells(hourly)
+    hidden = [c for c in channels if f"{c}_truth" in corrupted.columns]
+    stats = vmd.statistics(standardised, channels).first()  # two numbers a channel
     # means and statistics read these tables before their rows do, so they are written once
     rebuilt = vmd.standardise(store(vmd.value_mask_decay(store(corrupted, "corrupted")), "rebuilt"))
-    targets = standardised.select(*key, *[F.coalesce(f"{c}_z", F.lit(0.0)).alias(f"_y_{c}") for c in channels])
-    hidden = truth.groupBy(*key).agg(F.collect_set("channel").alias("_hidden"))
-    rows = rebuilt.join(hidden, key).join(targets, key)  # only rows that hide a cell build features
-    cells = [F.when(F.array_contains("_hidden", c), F.struct(F.lit(c).alias("channel"), F.array(*design(rebuilt, c)).alias("x"), F.col(f"_y_{c}").alias("y"))) for c in channels]
-    return rows.select(F.explode(F.array(*cells)).alias("cell")).filter("cell is not null").select("cell.*")
+    if hidden:
+        rebuilt = rebuilt.filter(F.coalesce(*[F.col(f"{c}_truth") for c in hidden]).isNotNull())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = Features(batch, channels)
+            for c in hidden:
+                truth = np.rint(rows.column(f"{c}_truth", np.nan) * 1e3) / 1e3
+                at = np.flatnonzero(~np.isnan(truth))
+                x, y = rows.of(c)[at], np.rint((truth[at] - stats[f"mu_{c}"]) / stats[f"sd_{c}"] * 1e4) / 1e4
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * N_FEATURES, pa.int32()), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array([c] * len(at), pa.string()), lists, pa.array(y)], ["channel", "x", "y"])
+
+    needed = ["hours_since_admission", *[f"{c}_{s}" for c in channels for s in sorted({*OWN, *OTHER, *GAPS}) if f"{c}_{s}" in rebuilt.columns], *[f"{c}_truth" for c in hidden]]
+    return rebuilt.select(*needed).mapInArrow(run, "channel string, x array<double>, y double")
 
 
 def _partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -98,25 +133,31 @@ def fit_refiner(rows: DataFrame, ridge: float = RIDGE) -> dict[str, dict]:
     return out
 
 
-def _predicted(df: DataFrame, c: str, weights: dict[str, list[float]]) -> Column:
-    z = F.coalesce(F.col(f"{c}_z"), F.lit(0.0))
-    if c not in weights:
-        return z
-    return reduce(lambda a, b: a + b, (x * F.lit(float(w)) for x, w in zip(design(df, c), weights[c], strict=True)))
-
-
 def refine(standardised: DataFrame, weights: dict[str, list[float]], channels: list[str] | None = None) -> DataFrame:
-    """<channel>_refined_z and <channel>_refined; observed cells are copied, never round-tripped."""
+    """<channel>_refined_z and <channel>_refined; observed cells are copied, never round-tripped.
+
+    Columns of these names are replaced. A channel without weights keeps its carried value.
+    """
     channels = [c for c in (channels or config.CHANNELS) if f"{c}_z" in standardised.columns]
-    stats = vmd.statistics(standardised, channels)
-    joined = standardised.crossJoin(F.broadcast(stats))  # one row
-    new = {}
-    for c in channels:
-        z, observed, d = F.coalesce(F.col(f"{c}_z"), F.lit(0.0)), F.col(f"{c}_mask") == 1, F.col(f"{c}_decay")
-        exact = F.when(observed, z).otherwise(d * z + (1.0 - d) * _predicted(standardised, c, weights))
-        mean = F.coalesce(F.col(f"mu_{c}"), F.col(f"{c}_value"))
-        new |= {f"{c}_refined_z": rint(exact, 4), f"{c}_refined": F.when(observed, F.col(f"{c}_value")).otherwise(rint(exact * F.col(f"sd_{c}") + mean, 3))}
-    return joined.withColumns(new).drop(*[f"{k}_{c}" for c in channels for k in ("mu", "sd")])
+    stats = vmd.statistics(standardised, channels).first()  # two numbers a channel
+    new = [f"{c}_{s}" for c in channels for s in ("refined_z", "refined")]
+    kept = standardised.drop(*new)
+    schema = T.StructType([*kept.schema.fields, *[T.StructField(n, T.DoubleType()) for n in new]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, out = Features(batch, config.CHANNELS), []
+            for c in channels:
+                z, value, decay = rows.column(f"{c}_z"), rows.column(f"{c}_value", np.nan), rows.column(f"{c}_decay", np.nan)
+                observed = rows.column(f"{c}_mask") == 1
+                predicted = rows.of(c) @ np.asarray(weights[c], float) if c in weights else z
+                exact = np.where(observed, z, decay * z + (1.0 - decay) * predicted)
+                middle = value if stats[f"mu_{c}"] is None else stats[f"mu_{c}"]
+                natural = np.rint((exact * stats[f"sd_{c}"] + middle) * 1e3) / 1e3
+                out += [np.rint(exact * 1e4) / 1e4, np.where(observed, value, natural)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(x, pa.float64(), from_pandas=True) for x in out]], [*batch.schema.names, *new])
+
+    return kept.mapInArrow(run, schema)
 
 
 def refinement_audit(refined: DataFrame, channels: list[str] | None = None) -> DataFrame:

@@ -42,10 +42,10 @@ def table_assertions(raw: DataFrame, cleaned: DataFrame, expected_rows: DataFram
     one = one.crossJoin(raw.agg(F.countDistinct("admission_id").alias("admissions"))).crossJoin(count_duplicates(cleaned)).crossJoin(expected_rows.select("rows_after"))  # one row each
     return _rows(
         one,
-        _row("row_count_after_deduplication_matches_audit", F.col("rows") == F.col("rows_after"), F.col("rows_after"), F.col("rows")),
-        _none("no_duplicate_rows_remain", F.col("redundant")),
-        _row("every_admission_survived_cleaning", F.col("kept") == F.col("admissions"), F.col("admissions"), F.col("kept")),
-        _row("all_lengths_of_stay_positive", F.col("stay") > 0, "> 0 hours", F.col("stay")),
+        _row("rows_kept_as_audited", F.col("rows") == F.col("rows_after"), F.col("rows_after"), F.col("rows")),
+        _none("cleaned_rows_are_distinct", F.col("redundant")),
+        _row("all_admissions_kept", F.col("kept") == F.col("admissions"), F.col("admissions"), F.col("kept")),
+        _row("stays_last_some_time", F.col("stay") > 0, "> 0 hours", F.col("stay")),
     )
 
 
@@ -53,7 +53,7 @@ def range_assertions(cleaned: DataFrame, ranges: dict[str, tuple[float, float]]
     """A2: every ranged column within its bounds."""
     ranges = {c: r for c, r in (ranges or config.RANGES).items() if c in cleaned.columns}
     one = cleaned.agg(*[F.count(F.when(~F.col(c).between(*r), 1)).alias(c) for c, r in ranges.items()])
-    return _rows(one, *[_none(f"{c}_within_physiological_range", F.col(c), f"allowed {lo}-{hi}") for c, (lo, hi) in ranges.items()])
+    return _rows(one, *[_none(f"{c}_in_range", F.col(c), f"allowed {lo}-{hi}") for c, (lo, hi) in ranges.items()])
 
 
 def grid_assertions(hourly: DataFrame) -> DataFrame:
@@ -64,8 +64,8 @@ def grid_assertions(hourly: DataFrame) -> DataFrame:
     one = stays.agg(F.coalesce(F.sum("doubled"), F.lit(0)).alias("doubled"), F.count(F.when(F.col("contiguous"), 1)).alias("whole"), F.count(F.lit(1)).alias("stays"))
     return _rows(
         one,
-        _none("one_row_per_admission_hour", F.col("doubled")),
-        _row("hourly_grid_contiguous_within_every_admission", F.col("whole") == F.col("stays"), "all admissions", F.concat_ws("/", F.col("whole").cast("string"), F.col("stays").cast("string"))),
+        _none("hours_not_doubled", F.col("doubled")),
+        _row("hours_without_gaps", F.col("whole") == F.col("stays"), "all admissions", F.concat_ws("/", F.col("whole").cast("string"), F.col("stays").cast("string"))),
     )
 
 
@@ -76,15 +76,16 @@ def channel_assertions(processed: DataFrame, channels: list[str] | None = None)
     sums = []
     for c in channels:
         sums += [bad(F.col(f"{c}_value").isNotNull()).alias(f"v_{c}"), bad(F.col(f"{c}_mask").isin(0, 1)).alias(f"m_{c}"), bad(F.col(f"{c}_decay").between(0, 1)).alias(f"d_{c}")]
-    rows = [_none(f"{c}_{what}", F.col(f"{k}_{c}")) for c in channels for k, what in (("v", "value_complete"), ("m", "mask_binary"), ("d", "decay_in_unit_interval"))]
+    rows = [_none(f"{c}_{what}", F.col(f"{k}_{c}")) for c in channels for k, what in (("v", "values_present"), ("m", "mask_is_0_or_1"), ("d", "decay_from_0_to_1"))]
     return _rows(processed.agg(*sums), *rows)
 
 
-def fabrication_assertions(processed: DataFrame, channels: list[str] | None = None) -> DataFrame:
-    """A5: refinement left observed values as they were."""
+def fabrication_assertions(processed: DataFrame, audit: DataFrame, channels: list[str] | None = None) -> DataFrame:
+    """A5: refinement left observed values as they were, by the table and by its own audit (channel, observed_modified)."""
     channels = [c for c in (channels or config.CHANNELS) if f"{c}_refined" in processed.columns]
     worst = [F.coalesce(F.max(F.when(F.col(f"{c}_mask") == 1, F.abs(F.col(f"{c}_refined") - F.col(f"{c}_value")))), F.lit(0.0)).alias(c) for c in channels]
-    return _rows(processed.agg(*worst), *[_row(f"{c}_observed_values_unmodified_by_refinement", F.col(c) < 1e-6, "0 (exact)", F.col(c)) for c in channels])
+    rows = _rows(processed.agg(*worst), *[_row(f"{c}_observed_values_unchanged", F.col(c) < 1e-6, "0 (exact)", F.col(c)) for c in channels])
+    return rows.unionByName(_rows(audit.agg(F.sum("observed_modified").alias("n")), _none("refinement_reports_no_observed_change", F.col("n"))))
 
 
 def verdict(assertions: DataFrame) -> DataFrame:

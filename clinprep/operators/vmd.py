@@ -90,8 +90,8 @@ def long_channels(df: DataFrame, fields: list[str], channels: list[str] | None =
 
 
 def channel_audit(vmd: DataFrame, channels: list[str] | None = None) -> DataFrame:
-    """V9: (channel, observed, locf, neutral, observed_pct, max_gap, mean_decay_imputed)."""
-    cells = long_channels(vmd, ["mask", "decay", "gap_hours", "fill_kind"], channels)
+    """V9: (channel, observed, locf, neutral, observed_pct, max_gap, mean_decay_imputed, mean_used); mean_used: what neutral fills hold."""
+    cells = long_channels(vmd, ["mask", "decay", "gap_hours", "fill_kind", "value"], channels)
     n = lambda kind: F.count(F.when(F.col("fill_kind") == kind, 1))
     return cells.groupBy("channel").agg(
         n("observed").alias("observed"),
@@ -100,6 +100,7 @@ def channel_audit(vmd: DataFrame, channels: list[str] | None = None) -> DataFram
         rint(100.0 * F.avg("mask"), 2).alias("observed_pct"),
         F.max("gap_hours").alias("max_gap"),
         rint(F.avg(F.when(F.col("mask") == 0, F.col("decay"))), 4).alias("mean_decay_imputed"),
+        rint(F.avg(F.when(F.col("mask") == 1, F.col("value"))), 3).alias("mean_used"),
     )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from clinprep import config
 from clinprep.operators import cells, datetimes, dedup, hourly, profile, refine, validate, vmd
+from clinprep.sources.events import write_report
 from clinprep.sources.shared import store
 
 STEPS = [
@@ -23,6 +24,11 @@ STEPS = [
 ]
 ALWAYS = {"standardise_datetimes", "build_hourly_timeseries", "build_value_mask_decay", "refine_missing_values"}
 HIGH_MISSING_PCT = 25.0
+#: Which step must come before.
+NEEDS = {"build_hourly_timeseries": "standardise_datetimes", "build_value_mask_decay": "build_hourly_timeseries", "refine_missing_values": "build_value_mask_decay"}
+#: Checks of a step's result, the first one included, before the job halts; between two of them comes the step's repair.
+ATTEMPTS = 2
+TRACE = "position int, step string, attempt int, passed boolean, failed string"
 
 
 class PostconditionFailed(RuntimeError):
@@ -30,57 +36,74 @@ class PostconditionFailed(RuntimeError):
 
 
 def check_duplicates(df: DataFrame) -> DataFrame:
-    return validate._rows(dedup.count_duplicates(df), validate._none("no_exact_duplicates_remain", F.col("redundant")))
+    return validate._rows(dedup.count_duplicates(df), validate._none("rows_are_distinct", F.col("redundant")))
 
 
-def check_datetimes(df: DataFrame, audit: DataFrame) -> DataFrame:
+def check_datetimes(df: DataFrame) -> DataFrame:
     kinds = dict(df.dtypes)
-    typed = [validate._row(f"{c}_is_datetime", F.lit(kinds[c].startswith("timestamp")), "timestamp", kinds[c]) for c in config.TIME_COLUMNS if c in kinds]
-    one = df.agg(F.min("length_of_stay_hours").alias("stay")).crossJoin(audit)  # one row each
-    return validate._rows(one, *typed, validate._none("no_inverted_admission_windows", F.col("inverted_windows"), "counted in rows"), validate._row("length_of_stay_positive", F.col("stay") > 0, "> 0", F.col("stay")))
+    typed = [validate._row(f"{c}_is_timestamp", F.lit(kinds[c].startswith("timestamp")), "timestamp", kinds[c]) for c in config.TIME_COLUMNS if c in kinds]
+    one = df.agg(F.min("length_of_stay_hours").alias("stay"), F.count(F.when(F.col("outtime") <= F.col("intime"), 1)).alias("inverted_windows"))
+    return validate._rows(one, *typed, validate._none("windows_end_after_they_start", F.col("inverted_windows"), "counted in rows"), validate._row("stay_is_positive", F.col("stay") > 0, "> 0", F.col("stay")))
 
 
 def check_units(df: DataFrame) -> DataFrame:
     kinds = dict(df.dtypes)
-    typed = [validate._row(f"{c}_is_numeric", F.lit(kinds[c] == "double"), "double", kinds[c]) for c in ("temperature", "glucose", "sbp", "mbp") if c in kinds]
+    typed = [validate._row(f"{c}_is_a_number", F.lit(kinds[c] == "double"), "double", kinds[c]) for c in ("temperature", "glucose", "sbp", "mbp") if c in kinds]
     x = F.col("temperature").try_cast("double")
     one = df.agg(F.count(F.when(x.between(*config.STRAY_FAHRENHEIT_BAND), 1)).alias("stray"))
-    return validate._rows(one, *typed, validate._none("no_temperature_left_in_fahrenheit_band", F.col("stray")))
+    return validate._rows(one, *typed, validate._none("no_stray_fahrenheit", F.col("stray")))
 
 
 def check_categories(df: DataFrame, vocabularies=None) -> DataFrame:
     """``df`` is the table before the step."""
     one = cells.unmapped_values(df, vocabularies).agg(F.count(F.lit(1)).alias("n"))
-    return validate._rows(one, validate._none("all_categories_mapped", F.col("n")))
+    return validate._rows(one, validate._none("categories_all_known", F.col("n")))
 
 
 def check_ranges(df: DataFrame, audit: DataFrame) -> DataFrame:
     outside = validate.range_assertions(df).agg(F.count(F.when(~F.col("passed"), 1)).alias("outside"))
     lost = cells.channel_loss(audit).agg(F.count(F.when(~F.col("passed"), 1)).alias("lost"))
-    return validate._rows(outside.crossJoin(lost), validate._none("all_values_within_physiological_range", F.col("outside")), validate._none("no_channel_lost_the_majority_of_its_observations", F.col("lost")))  # one row each
+    return validate._rows(outside.crossJoin(lost), validate._none("all_values_in_range", F.col("outside")), validate._none("no_column_lost_most_values", F.col("lost")))  # one row each
 
 
 def check_hourly(df: DataFrame, audit: DataFrame) -> DataFrame:
-    grew = validate._rows(audit, validate._row("expansion_increased_row_count", F.col("rows_after") > F.col("rows_before"), F.col("rows_before"), F.col("rows_after")))
+    grew = validate._rows(audit, validate._row("grid_has_more_rows", F.col("rows_after") > F.col("rows_before"), F.col("rows_before"), F.col("rows_after")))
     return validate.grid_assertions(df).unionByName(grew)
 
 
 def check_vmd(df: DataFrame) -> DataFrame:
     worst = vmd.neutral_check(df).agg(F.max("worst").alias("worst"))
-    neutral = validate._rows(worst, validate._row("neutral_fill_standardises_to_zero", F.col("worst") < 0.01, "< 0.01", F.col("worst")))
+    neutral = validate._rows(worst, validate._row("neutral_fill_is_zero", F.col("worst") < 0.01, "< 0.01", F.col("worst")))
     return validate.channel_assertions(df).unionByName(neutral)
 
 
 def check_refinement(df: DataFrame) -> DataFrame:
     one = refine.refinement_audit(df).agg(F.sum("observed_modified").alias("n"))
-    return validate._rows(one, validate._none("observed_cells_never_modified", F.col("n")))
+    return validate._rows(one, validate._none("observed_cells_unchanged", F.col("n")))
 
 
-def gate(assertions: DataFrame, step: str) -> None:
-    """Raises if any assertion failed; a step has a few dozen at most."""
-    failed = [f"{r['name']}: {r['observed']}" for r in assertions.filter(~F.col("passed")).collect()]
-    if failed:
-        raise PostconditionFailed(f"{step}: {'; '.join(failed)}")
+def failures(assertions: DataFrame) -> list[str]:
+    """Name and finding of each assertion that failed; a step has a few dozen at most."""
+    return [f"{r['name']}: {r['observed']}" for r in assertions.filter(~F.col("passed")).collect()]
+
+
+class Gates:
+    """Checks a step's result, repairs it where that is allowed, and keeps a trace of what was found."""
+
+    def __init__(self, active: bool = True):
+        self.active, self.trace = active, []
+
+    def passed(self, step: str, df: DataFrame, check) -> DataFrame:
+        """``df``, or its repaired form, once ``check(df)`` has nothing to say against it."""
+        for attempt in range(1, ATTEMPTS + 1) if self.active else ():
+            failed = failures(check(df))
+            self.trace.append((STEPS.index(step), step, attempt, not failed, "; ".join(failed)))
+            if not failed:
+                return df
+            if step not in REPAIRS or attempt == ATTEMPTS:
+                raise PostconditionFailed(f"{step}: {self.trace[-1][-1]}")
+            df = store(REPAIRS[step](df), "repaired")
+        return df
 
 
 def repair_temperature(df: DataFrame) -> DataFrame:
@@ -89,7 +112,7 @@ def repair_temperature(df: DataFrame) -> DataFrame:
     return df.withColumn("temperature", F.when(x.between(*config.STRAY_FAHRENHEIT_BAND), cells.rint(cells._to_celsius(x), 2)).otherwise(x))
 
 
-#: What may be done about a failed step, and nothing else.
+#: What may be done about a failed step, and nothing else. A repair takes the step's result and gives a new one.
 REPAIRS = {"remove_duplicates": dedup.remove_duplicates, "validate_ranges": cells.validate_ranges, "convert_units": repair_temperature}
 
 
@@ -107,9 +130,9 @@ def plan_steps(raw: DataFrame) -> DataFrame:
     return validate.union_all([always, *found])
 
 
-def concerns(raw: DataFrame) -> DataFrame:
-    """A10: (column, missing_pct) of columns missing in more than a quarter of the rows."""
-    return profile.column_profile(raw).filter(F.col("missing_pct") > HIGH_MISSING_PCT).select("column", "missing_pct")
+def concerns(raw: DataFrame, above: float = HIGH_MISSING_PCT) -> DataFrame:
+    """A10: (column, missing_pct) of columns missing in more than ``above`` percent of the rows."""
+    return profile.column_profile(raw).filter(F.col("missing_pct") > above).select("column", "missing_pct")
 
 
 def ordered(steps: list[str]) -> list[str]:
@@ -122,71 +145,86 @@ def ordered(steps: list[str]) -> list[str]:
 
 @dataclass
 class Result:
+    """What a job made: tables that its steps don't reach are None; audits by step; the trace of checks and repairs."""
+
     cleaned: DataFrame
-    hourly: DataFrame
-    processed: DataFrame
+    hourly: DataFrame | None = None
+    processed: DataFrame | None = None
     audits: dict[str, DataFrame] = field(default_factory=dict)
     steps: list[str] = field(default_factory=list)
+    trace: list[tuple] = field(default_factory=list)
+
 
+def clean(raw: DataFrame, steps: list[str] | None = None, vocabularies=None, gated: bool = False, gates: Gates | None = None) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """The event steps, with their audits; ``gated`` checks each step's postconditions and repairs what may be repaired.
 
-def clean(raw: DataFrame, steps: list[str] | None = None, vocabularies=None, gated: bool = False) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """The event steps, with their audits; ``gated`` checks each step's postconditions and repairs what may be repaired."""
-    steps, df, audits = ordered(steps or STEPS), raw, {}
+    Gated, the rows are stored where they have been shuffled, so that checks and later steps read them back.
+    """
+    gates = gates or Gates(gated)
+    kept = (lambda t: store(t, "step")) if gates.active else (lambda t: t)
+    steps, df, audits = ordered(STEPS if steps is None else steps), raw, {}
     if "remove_duplicates" in steps:
-        audits["remove_duplicates"] = dedup.dedup_audit(df)
-        df = dedup.remove_duplicates(df)
-        if gated:
-            gate(check_duplicates(df), "remove_duplicates")
-    parsed = datetimes.parse_times(df)
-    audits["standardise_datetimes"] = datetimes.window_audit(parsed)
-    df = datetimes.reconcile_windows(parsed)
-    if gated:
-        gate(check_datetimes(df, audits["standardise_datetimes"]), "standardise_datetimes")
+        df = gates.passed("remove_duplicates", kept(dedup.remove_duplicates(raw)), check_duplicates)
+    audits["remove_duplicates"] = dedup.dedup_audit(raw, kept=df)
+    if "standardise_datetimes" in steps:
+        parsed = datetimes.parse_times(df)
+        audits["standardise_datetimes"] = datetimes.window_audit(parsed)
+        df = gates.passed("standardise_datetimes", kept(datetimes.reconcile_windows(parsed)), check_datetimes)
     if "convert_units" in steps:
         audits["convert_units"] = cells.unit_paths(df)
-        df = cells.convert_units(df)
-        if gated and check_units(df).filter(~F.col("passed")).take(1):
-            df = REPAIRS["convert_units"](df)
-            gate(check_units(df), "convert_units")
+        df = gates.passed("convert_units", cells.convert_units(df), check_units)
     if "standardise_categories" in steps:
-        audits["standardise_categories"] = cells.category_audit(df, vocabularies)
-        if gated:
-            gate(check_categories(df, vocabularies), "standardise_categories")
-        df = cells.standardise_categories(df, vocabularies)
+        before = df
+        audits["standardise_categories"] = cells.category_audit(before, vocabularies)
+        df = gates.passed("standardise_categories", cells.standardise_categories(df, vocabularies), lambda _: check_categories(before, vocabularies))
     if "validate_ranges" in steps:
-        audits["validate_ranges"] = cells.range_audit(df)
-        df = cells.validate_ranges(df)
-        if gated:
-            gate(check_ranges(df, audits["validate_ranges"]), "validate_ranges")
+        audit = audits["validate_ranges"] = cells.range_audit(df)
+        df = gates.passed("validate_ranges", kept(cells.validate_ranges(df)), lambda t: check_ranges(t, audit))
     return df, audits
 
 
-def run(raw: DataFrame, steps: list[str] | None = None, vocabularies=None, gated: bool = True, max_hours: int = config.MAX_HOURS) -> Result:
-    """Profile, plan, eight steps with gates. The three tables that are kept are written once and read back."""
+def run(raw: DataFrame, steps: list[str] | None = None, vocabularies=None, gated: bool = True, max_hours: int = config.MAX_HOURS, report: str | None = None) -> Result:
+    """Profile, plan, and the steps of the plan with gates. The tables that are kept are written once and read back.
+
+    With a ``report`` folder, audits, trace and assertions are written there as tables.
+    """
+    raw = store(raw, "raw")
     steps = ordered(steps if steps is not None else [r["step"] for r in plan_steps(raw).collect()])  # eight at most
-    df, audits = clean(raw, steps, vocabularies, gated)
-    cleaned = store(df, "cleaned")
-    table = store(hourly.build_hourly(cleaned, max_hours), "hourly")
-    audits["build_hourly_timeseries"] = hourly.expansion_audit(cleaned, max_hours)
-    standardised = store(vmd.standardise(vmd.value_mask_decay(table)), "standardised")
-    audits["build_value_mask_decay"] = vmd.channel_audit(standardised)
-    if gated:
-        gate(check_hourly(table, audits["build_hourly_timeseries"]), "build_hourly_timeseries")
-        gate(check_vmd(standardised), "build_value_mask_decay")
-    fitted = refine.fit_refiner(refine.training_rows(standardised, table))
-    processed = store(refine.refine(standardised, {c: f["weights"] for c, f in fitted.items()}), "processed")
-    audits["refine_missing_values"] = refine.refinement_audit(processed)
-    if gated:
-        gate(check_refinement(processed), "refine_missing_values")
-    return Result(cleaned, table, processed, audits, steps)
+    for step in steps:
+        if NEEDS.get(step, step) not in steps:
+            raise ValueError(f"{step} needs {NEEDS[step]}")
+    gates = Gates(gated)
+    df, audits = clean(raw, steps, vocabularies, gates=gates)
+    out = Result(store(df, "cleaned"), audits=audits, steps=steps, trace=gates.trace)
+    if "build_hourly_timeseries" in steps:
+        audit = audits["build_hourly_timeseries"] = hourly.expansion_audit(out.cleaned, max_hours)
+        out.hourly = gates.passed("build_hourly_timeseries", store(hourly.build_hourly(out.cleaned, max_hours), "hourly"), lambda t: check_hourly(t, audit))
+    if "build_value_mask_decay" in steps:
+        expanded = store(vmd.value_mask_decay(out.hourly), "vmd")
+        out.processed = gates.passed("build_value_mask_decay", store(vmd.standardise(expanded), "standardised"), check_vmd)
+        audits["build_value_mask_decay"] = vmd.channel_audit(out.processed)
+    if "refine_missing_values" in steps:
+        fitted = refine.fit_refiner(refine.training_rows(out.processed, out.hourly))
+        refined = store(refine.refine(out.processed, {c: f["weights"] for c, f in fitted.items()}), "processed")
+        out.processed = gates.passed("refine_missing_values", refined, check_refinement)
+        audits["refine_missing_values"] = refine.refinement_audit(out.processed)
+    if report:
+        write_report({**audits, "trace": trace(raw, out), "assertions": assertions(raw, out)}, report)
+    return out
+
+
+def trace(raw: DataFrame, result: Result) -> DataFrame:
+    """S3: a row for each check of a step: (position, step, attempt, passed, failed)."""
+    return raw.sparkSession.createDataFrame(result.trace, TRACE)
 
 
 def assertions(raw: DataFrame, result: Result) -> DataFrame:
-    """A1-A5 over a run."""
-    return validate.union_all([
-        validate.table_assertions(raw, result.cleaned, result.audits["remove_duplicates"]),
-        validate.range_assertions(result.cleaned),
-        validate.grid_assertions(result.processed),
-        validate.channel_assertions(result.processed),
-        validate.fabrication_assertions(result.processed),
-    ])
+    """A1-A5 over a run, as far as its steps went."""
+    parts = [validate.table_assertions(raw, result.cleaned, result.audits["remove_duplicates"]), validate.range_assertions(result.cleaned)]
+    if result.hourly is not None:
+        parts.append(validate.grid_assertions(result.hourly if result.processed is None else result.processed))
+    if result.processed is not None:
+        parts.append(validate.channel_assertions(result.processed))
+    if "refine_missing_values" in result.audits:
+        parts.append(validate.fabrication_assertions(result.processed, result.audits["refine_missing_values"]))
+    return validate.union_all(parts)

@@ -21,6 +21,8 @@ from clinprep.sources.shared import fresh_path, store
 FLAGSHIP = "w2_heart_rate_value_mask_decay"
 #: Stays are 58 to 68 hours long here, so this cap truncates all of them.
 SHORT_STAY = 48
+#: Columns missing in more than so many percent of the rows are shown as concerns; a few are, here.
+CONCERN_PCT = 15.0
 #: Fixed weights for the refinement whose SQL twin cannot fit any.
 FROZEN = {c: [((7 * i + k) % 11 - 5) / 50.0 for i in range(refine.N_FEATURES)] for k, c in enumerate(config.CHANNELS)}
 VOCABULARIES = config.VOCABULARIES | {"admission_type": config.VOCABULARIES["admission_type"] | {"hospice": "Hospice"}}
@@ -165,11 +167,12 @@ of_raw("r4_channel_loss", lambda df: cells.channel_loss(cells.range_audit(df)),
 
 # Hourly grid
 of_raw("h1_bin_hours", lambda df: rounded(hourly.bin_hours(df)), stored_events)
-of_raw("h2_hour_grid", lambda df: hourly.hour_grid(df, SHORT_STAY), stored_events)
+of_raw("h2_hour_grid", hourly.hour_grid, stored_events)
+of_raw("h2_capped_grid", lambda df: hourly.hour_grid(df, SHORT_STAY).groupBy("admission_id").agg(F.count(F.lit(1)).alias("hours"), F.max("truncated").alias("truncated")), stored_events)
 of_raw("h3_align", lambda df: rounded(hourly.hour_grid(df).join(hourly.bin_hours(df), hourly.KEY, "left").select("admission_id", "hour", *config.CHANNELS)), stored_events)
 of_raw("h4_spread_statics", lambda df: df.select("admission_id", "hour", *config.STATIC_COLUMNS), hourly_table)
 of_raw("h5_hours_since_admission", lambda df: df.select("admission_id", "hour", "hours_since_admission"), hourly_table)
-of_raw("h6_expansion_audit", lambda df: hourly.expansion_audit(df, SHORT_STAY), stored_events)
+of_raw("h6_expansion_audit", hourly.expansion_audit, stored_events)
 of_raw("h7_missing_before_after", lambda df: hourly.missing_before_after(df, hourly.build_hourly(df)), stored_events)
 
 # Value, mask and decay
@@ -275,7 +278,7 @@ def a1_table_assertions(s, d):
 of_raw("a2_range_assertions", validate.range_assertions, cleaned_events)
 of_raw("a3_grid_assertions", validate.grid_assertions, hourly_table)
 of_raw("a4_channel_assertions", validate.channel_assertions, expanded)
-of_raw("a5_fabrication_assertions", validate.fabrication_assertions, refined_frozen)
+of_raw("a5_fabrication_assertions", lambda df: validate.fabrication_assertions(df, refine.refinement_audit(df)), lambda s, d: store(refined_frozen(s, d), "refined"))
 of_raw("a6_verdict", lambda df: validate.verdict(validate.range_assertions(df)), united_events)
 
 
@@ -297,40 +300,40 @@ of_raw("a7_schema", validate.schema_table, hourly_table)
 @query
 def a8_recovery(s, d):
     raw = events.raw_events(s, d)
-    original = raw.filter("row_index < 100000000")
-    fahrenheit = original.filter(F.col("temperature").endswith("F") | (numeric_view(F.col("temperature")) > 90))
-    noise = cells.category_audit(original).agg(F.sum("cells_changed").alias("n"))
-    n = lambda df, what, out: df.select(F.lit(what).alias("defect"), F.col("n").cast("long").alias(out))
-    count = lambda df: df.agg(F.count(F.lit(1)).alias("n"))
-    truth = validate.union_all([n(count(raw.filter("row_index >= 100000000")), "duplicate_rows", "injected"), n(count(fahrenheit), "fahrenheit_cells", "injected"), n(noise, "category_noise_cells", "injected")])
     distinct = dedup.remove_duplicates(raw)
+    n = lambda df, what: df.select(F.lit(what).alias("defect"), F.col("n").cast("long").alias("recovered"))
     found = validate.union_all([
-        n(dedup.dedup_audit(raw).select(F.col("removed").alias("n")), "duplicate_rows", "recovered"),
-        n(cells.converted_totals(distinct).filter("column = 'temperature'").select(F.col("converted").alias("n")), "fahrenheit_cells", "recovered"),
-        n(cells.category_audit(distinct).agg(F.sum("cells_changed").alias("n")), "category_noise_cells", "recovered"),
+        n(dedup.dedup_audit(raw).select(F.col("removed").alias("n")), "duplicate_rows"),
+        n(cells.converted_totals(distinct).filter("column = 'temperature'").select(F.col("converted").alias("n")), "fahrenheit_cells"),
+        n(cells.category_audit(distinct).agg(F.sum("cells_changed").alias("n")), "category_noise_cells"),
     ])
-    return validate.recovery(truth, found)
+    return validate.recovery(events.injected(s, d), found)
 
 
 @query
 def a9_postconditions(s, d):
     raw = events.raw_events(s, d)
-    distinct = dedup.remove_duplicates(raw)
-    parsed = datetimes.parse_times(distinct)
-    windowed = datetimes.reconcile_windows(parsed)
+    distinct = store(dedup.remove_duplicates(raw), "distinct")
+    windowed = store(datetimes.reconcile_windows(datetimes.parse_times(distinct)), "windowed")
     united = cells.convert_units(windowed)
+    cleaned = store(cells.validate_ranges(cells.standardise_categories(united)), "cleaned")
+    table = store(hourly.build_hourly(cleaned), "hourly")
+    scaled = store(vmd.standardise(store(vmd.value_mask_decay(table), "vmd")), "standardised")
     parts = [
         pipeline.check_duplicates(distinct),
-        pipeline.check_datetimes(windowed, datetimes.window_audit(parsed)),
+        pipeline.check_datetimes(windowed),
         pipeline.check_units(united),
         pipeline.check_categories(united),
-        pipeline.check_ranges(cells.validate_ranges(united), cells.range_audit(united)),
+        pipeline.check_ranges(cleaned, cells.range_audit(united)),
+        pipeline.check_hourly(table, hourly.expansion_audit(cleaned)),
+        pipeline.check_vmd(scaled),
+        pipeline.check_refinement(refine.refine(scaled, FROZEN)),
     ]
     return validate.union_all(parts).select("name", "passed")
 
 
 of_raw("a10_plan", pipeline.plan_steps)
-of_raw("a10_concerns", pipeline.concerns)
+of_raw("a10_concerns", lambda raw: pipeline.concerns(raw, CONCERN_PCT))
 
 
 @query
@@ -339,6 +342,20 @@ def a11_run(s, d):
     return validate.verdict(pipeline.assertions(raw, pipeline.run(raw, vocabularies=VOCABULARIES)))
 
 
+@query
+def a11_trace(s, d):
+    raw = events.raw_events(s, d)
+    return pipeline.trace(raw, pipeline.run(raw, vocabularies=VOCABULARIES))
+
+
+@query
+def s3_report_of_a_run(s, d):
+    """The assertions of a run, read back from the report that it wrote."""
+    path = fresh_path(s, "run-report")
+    pipeline.run(events.raw_events(s, d), vocabularies=VOCABULARIES, report=path)
+    return s.read.schema("name string, passed boolean, expected string, observed string, note string").json(f"{path}/assertions").select("name", "passed")
+
+
 # Review tables
 of_raw("n1_temperature_raw", lambda raw: review.histogram(raw.select(magnitude(F.col("temperature")).alias("x")), "x", 20.0, 120.0))
 of_raw("n1_temperature_converted", lambda df: review.histogram(df, "temperature", 30.0, 45.0), united_events)
@@ -360,5 +377,5 @@ def n5_ranked_channels(s, d):
 
 
 of_raw("n6_order_ablation", review.order_ablation, distinct_events)
-of_raw("a3_gap_starts", validate.gap_starts, lambda s, d: hourly_table(s, d).filter("hours_since_admission % 7 <> 3"))
+of_raw("a3_gap_starts", lambda df: validate.gap_starts(hourly.bin_hours(df)), stored_events)
 of_raw("p3_stripped_spellings", lambda raw: raw.groupBy(spelling(strip(F.col("charttime"))).alias("spelling")).agg(F.count(F.lit(1)).alias("n")))

@@ -88,10 +88,34 @@ WITH f0 AS (
 ), f4 AS (
   SELECT e AS row_index, {", ".join(f"{expression} AS {name}" for name, expression in _COLUMNS.items())} FROM f3
 )
-SELECT * FROM f4 UNION ALL SELECT 100000000 + row_index AS row_index, {", ".join(_COLUMNS)} FROM f4 WHERE row_index % 10 = 3
+SELECT * FROM f4 UNION ALL SELECT (SELECT greatest(100000000, max(e) + 1) FROM f0) + row_index AS row_index, {", ".join(_COLUMNS)} FROM f4 WHERE row_index % 10 = 3
 """
 
 
+#: What the rules above put in, by defect; from the numbers of the events alone.
+_NOISE = [
+    "e % 6 IN (0, 1)",  # gender
+    "u % 3 IN (0, 1) AND e % 5 = 0",  # ethnicity
+    "u % 4 = 3 OR u % 4 = 0 AND e % 4 IN (0, 1) OR u % 4 = 1 AND e % 4 = 0",  # admission type
+    "sev = 1 OR sev IN (3, 4) AND e % 4 = 0",  # diagnosis
+    "e % 6 IN (0, 1, 2, 5)",  # medication
+    "e % 4 <> 3",  # data source
+]
+INJECTED_SQL = f"""
+WITH f0 AS (
+  SELECT CAST(event_id AS BIGINT) AS e, CAST(user_id AS BIGINT) AS u, (CAST(user_id AS BIGINT) * 7 + CAST(floor((dayofyear(ts) - 1) / 3) AS BIGINT)) % 5 AS sev FROM {{events}}
+)
+SELECT 'duplicate_rows' AS defect, CAST(coalesce(sum(CASE WHEN e % 10 = 3 THEN 1 ELSE 0 END), 0) AS BIGINT) AS injected FROM f0
+UNION ALL SELECT 'fahrenheit_cells', CAST(coalesce(sum(CASE WHEN e % 7 <> 0 AND e % 41 <> 1 AND e % 5 IN (1, 3) THEN 1 ELSE 0 END), 0) AS BIGINT) FROM f0
+UNION ALL SELECT 'category_noise_cells', CAST(coalesce(sum({" + ".join(f"CASE WHEN {rule} THEN 1 ELSE 0 END" for rule in _NOISE)}), 0) AS BIGINT) FROM f0
+"""
+
+
+def injected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(defect, injected): the truth that a recovery of raw_events is held against."""
+    return spark.sql(INJECTED_SQL, events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     return spark.sql(RAW_SQL, events=events)

@@ -2,7 +2,7 @@
 
 A written table survives the loss of the executors that made it, is computed once however
 often it is read, and lets later reads prune columns. The folder is ``spark.checkpoint.dir``;
-only where that is unset (tests, a laptop) does a session get a folder of its own.
+where that is unset, a session on one machine (tests, a laptop) gets a folder of its own and any other one an error.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this session, without a trailing slash."""
     found = spark.conf.get(SETTING, None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError(f"set {SETTING} to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set(SETTING, found)
     return found.rstrip("/")

@@ -232,11 +232,65 @@ def test_unknown_step_is_rejected_and_order_is_fixed():
 @needs_data
 def test_gate_halts_on_unmapped_categories(spark):
     raw = events.raw_events(spark, SF)
-    with pytest.raises(pipeline.PostconditionFailed, match="all_categories_mapped"):
+    with pytest.raises(pipeline.PostconditionFailed, match="categories_all_known"):
         pipeline.clean(raw, gated=True)
     assert [r.step for r in pipeline.plan_steps(raw).orderBy("position").collect()] == pipeline.STEPS
 
 
+@needs_data
+def test_a_run_without_duplicates_and_with_a_part_of_the_steps(spark, tmp_path):
+    raw = dedup.remove_duplicates(events.raw_events(spark, SF)).filter("row_index % 3 = 0")
+    steps = ["standardise_datetimes", "convert_units", "standardise_categories", "validate_ranges", "build_hourly_timeseries"]
+    out = pipeline.run(raw, steps, registry.VOCABULARIES, report=str(tmp_path))
+    assert out.processed is None and out.hourly.count() > 0 and "refine_missing_values" not in out.audits
+    assert [t[1] for t in out.trace] == steps and all(t[3] for t in out.trace)
+    found = pipeline.assertions(raw, out)
+    assert found.count() == 4 + 13 + 2 and found.filter("not passed").count() == 0
+    assert spark.read.json(f"{tmp_path}/trace").count() == 5 and spark.read.json(f"{tmp_path}/assertions").count() == 19
+    assert out.audits["remove_duplicates"].first().removed == 0
+    with pytest.raises(ValueError, match="needs"):
+        pipeline.run(raw, ["build_hourly_timeseries"])
+    texts = pipeline.run(raw, ["convert_units"])
+    assert dict(texts.cleaned.dtypes)["charttime"] == "string" and texts.hourly is None
+
+
+def test_repairs_are_tried_once_and_checked_again(spark):
+    rows = [(1, 99.5), (2, 37.0), (3, None)]
+    df = frame(spark, rows, "row_index long, temperature double")
+    gates = pipeline.Gates()
+    fixed = gates.passed("convert_units", df, pipeline.check_units)
+    assert {r.row_index: r.temperature for r in fixed.collect()} == {1: 37.5, 2: 37.0, 3: None}
+    assert [t[2:4] for t in gates.trace] == [(1, False), (2, True)]
+    twice = frame(spark, [(1, "a"), (2, "a")], "row_index long, gender string")
+    assert gates.passed("remove_duplicates", twice, pipeline.check_duplicates).count() == 1
+    wide = frame(spark, [(float(h),) for h in (80, 90, 999)], "heart_rate double")
+    inside = gates.passed("validate_ranges", wide, lambda t: pipeline.check_ranges(t, cells.range_audit(wide)))
+    assert inside.filter("heart_rate is null").count() == 1
+    lost = frame(spark, [(999.0,)] * 30, "heart_rate double")
+    with pytest.raises(pipeline.PostconditionFailed, match="no_column_lost_most_values"):
+        gates.passed("validate_ranges", lost, lambda t: pipeline.check_ranges(t, cells.range_audit(lost)))
+    assert gates.trace[-1][2:4] == (2, False)
+
+
+@needs_data
+def test_the_grid_is_never_shuffled(spark):
+    plan = hourly.build_hourly(registry.stored_events(spark, SF))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2  # bins by admission and hour, and by admission
+    assert "Join" not in plan and plan.index("Generate") < plan.index("Exchange hashpartitioning")
+
+
+@needs_data
+def test_features_of_a_batch_are_the_design(spark):
+    import pyarrow as pa
+
+    df = registry.standardised(spark, SF).limit(50)
+    batch = pa.Table.from_pandas(df.drop("hour").toPandas(), preserve_index=False).combine_chunks().to_batches()[0]
+    stored = spark.createDataFrame(pa.Table.from_batches([batch]))
+    for c in ("heart_rate", "sbp", "glucose"):
+        want = np.array([list(r) for r in stored.select(*[x.alias(f"x{i}") for i, x in enumerate(refine.design(stored, c))]).collect()])
+        assert np.allclose(refine.Features(batch, config.CHANNELS).of(c), want) and want.shape[1] == refine.N_FEATURES
+
+
 @needs_data
 def test_result_does_not_depend_on_partitions_or_order(spark):
     raw = registry.events.raw_events(spark, SF).filter("row_index % 7 < 3")
