@@ -5,7 +5,7 @@ position of every document, the word's place in that dictionary. Only dictionari
 by parts of the vocabulary (a word's part is its hash), all blocks' words of a part meet in one task, which encodes each
 distinct word once for the whole corpus, and the ids join back to their block, where documents are reassembled by
 position. The positions themselves stay in a written table bucketed by block, so the join back moves
-dictionaries only. A word comes at most once a block, however often the corpus holds it. Decoding joins the
+dictionaries only, compressed. A word comes at most once a block, however often the corpus holds it. Decoding joins the
 table of token bytes, whose size is the vocabulary's.
 """
 
@@ -21,6 +21,7 @@ import public_tokenizers
 import pyarrow as pa
 import regex
 import tiktoken
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ from clinprep.sources.shared import shuffle_partitions, store_bucketed
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: A block ends with the document that brings it to so many characters.
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 9_000_000
 #: The vocabulary is dealt out in so many parts for each shuffle partition.
 PARTS_A_TASK = 4
 
@@ -61,7 +62,7 @@ def _blocks(pattern: str, parts: int):
     """places: each position's word, the most frequent first, as byte planes. order: those words by their part of the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = regex.compile(pattern).findall
+        split, squeeze = regex.compile(pattern).findall, zstandard.ZstdCompressor(level=3).compress
         places, ids, lengths, seen, chars, first = [], [], [], {}, 0, None
 
         def block() -> pa.RecordBatch:
@@ -77,7 +78,7 @@ def _blocks(pattern: str, parts: int):
             chunks = []
             for p in np.flatnonzero(np.diff(cuts)):
                 mine = [words[i] for i in order[cuts[p] : cuts[p + 1]]]
-                chunks.append({"part": int(p), "sizes": np.fromiter(map(len, mine), np.uint32, len(mine)).tobytes(), "words": b"".join(mine)})
+                chunks.append({"part": int(p), "sizes": np.fromiter(map(len, mine), np.uint32, len(mine)).tobytes(), "words": squeeze(b"".join(mine))})
             row = [[first], [ids], [lengths], [planes.tobytes()], [order.tobytes()], [chunks]]
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, BLOCKS, strict=True)], schema=BLOCKS)
 
@@ -103,11 +104,12 @@ def _encode(path: str, pattern: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, known, last = encoder(path, pattern).encode_ordinary, {}, None
+        squeeze, expand = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for at, part in enumerate(batch.column(1).to_pylist()):
                 if part != last:  # rows are sorted by part, and no other part has its words
                     known, last = {}, part
-                sizes, words = (batch.column(i)[at].as_py() for i in (2, 3))
+                sizes, words = batch.column(2)[at].as_py(), expand(batch.column(3)[at].as_py())
                 cut = np.r_[0, np.cumsum(np.frombuffer(sizes, np.uint32), dtype=np.int64)].tolist()
                 out = []
                 for lo, hi in zip(cut[:-1], cut[1:], strict=True):
@@ -116,8 +118,8 @@ def _encode(path: str, pattern: str):
                     if ids is None:
                         ids = known[word] = np.asarray(encode(word.decode()), np.uint16).tobytes()
                     out.append(ids)
-                counts = np.fromiter((len(x) // 2 for x in out), np.uint32, len(out)).tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1), batch.column(1).slice(at, 1), pa.array([counts], pa.binary()), pa.array([b"".join(out)], pa.binary())], ["block", "part", "counts", "ids"])
+                counts = squeeze(np.fromiter((len(x) // 2 for x in out), np.uint32, len(out)).tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1), batch.column(1).slice(at, 1), pa.array([counts], pa.binary()), pa.array([squeeze(b"".join(out))], pa.binary())], ["block", "part", "counts", "ids"])
 
     return run
 
@@ -126,12 +128,13 @@ ENCODED = "doc_id long, ids array<int>"
 
 
 def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    expand = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         for at in range(batch.num_rows):
             doc_ids, lengths, packed, order, coded = (batch.column(i)[at] for i in range(5))
             coded = sorted(coded.as_py(), key=lambda c: c["part"])
-            flat = np.frombuffer(b"".join([c["ids"] for c in coded]), np.uint16)
-            counts_by_order = np.frombuffer(b"".join([c["counts"] for c in coded]), np.uint32).astype(np.int64)
+            flat = np.frombuffer(b"".join([expand(c["ids"]) for c in coded]), np.uint16)
+            counts_by_order = np.frombuffer(b"".join([expand(c["counts"]) for c in coded]), np.uint32).astype(np.int64)
             order = np.frombuffer(order.as_py(), np.uint32)
             # each word's ids: where they begin and how many they are
             size, start = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
