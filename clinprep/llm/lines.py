@@ -97,12 +97,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = F.split("text", "\n", -1)
     count = F.size(lines).cast("long").alias("n_lines")
     if (n := marks.count()) * ID_BYTES > BROADCAST_BYTES:
-        return _without(base.join(marks, same, "left"))
+        return _without(base.join(marks.hint("merge"), same, "left"))
     # texts without a line to drop stay where they are
     ids = F.broadcast(marks.select(F.col("m_doc").alias("t_doc")))  # n ids
     touched = base["doc_id"].eqNullSafe(ids["t_doc"])
     rest = base.join(ids, touched, "left_anti").select("doc_id", count, F.lit(0).cast("long").alias("n_dropped"), F.col("text").alias("kept_text"))
-    return _without(base.join(ids, touched, "left_semi").join(marks, same)).unionByName(rest) if n else rest
+    # a merge at any size, so that the plan of a small table is that of a large one
+    return _without(base.join(ids, touched, "left_semi").join(marks.hint("merge"), same)).unionByName(rest) if n else rest
 
 
 def _without(marked: DataFrame) -> DataFrame:
