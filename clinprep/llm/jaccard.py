@@ -6,7 +6,9 @@ never has more bits than their sets have unshared shingles. What passes is decid
 
 A large group of copies would meet in n^2 pairs, so links are found in two rounds. In the first, documents meet the smallest
 id of each of their segment values only, which mostly makes one component of such a group; in the second, all
-candidates of the ring that are in different components by then are compared.
+candidates of the ring that are in different components by then are compared. Near copies of one text need not be near
+one another, and the ring takes in pairs well below 0.8, so every fingerprint carries a short parity bitmap into its
+buckets: a pair leaves a task only if that bitmap does not rule it out.
 """
 
 from __future__ import annotations
@@ -29,6 +31,9 @@ SHARE, OF = 4, 5
 #: 29 bits of 128: of pairs at a similarity of 0.8 to 0.85 on the check tables 99 % are within it.
 RING = simhash.Ring(29, widths=(13, 13, 13, 13, 12) * 2, budgets=(2,) * 10)
 NAMES = [f"f{i}" for i in range(RING.lanes)]
+#: Words of 64 bits of the bitmap that goes with a fingerprint into its buckets, and their columns.
+SKETCH = 4
+SKETCHED = [f"g{i}" for i in range(SKETCH)]
 #: Texts that a task holds at a time.
 TEXTS = 256
 
@@ -40,13 +45,18 @@ def shingles(text: bytes, words: int) -> tuple[np.ndarray, list[int]]:
     return h, [simhash.majority(lane[at]) for lane in lanes]
 
 
-def parity(h: np.ndarray) -> bytes:
-    """For each residue whether an odd number of hashes has it; as many bits as hashes, rounded up to a power of two."""
-    bits = max(64, 1 << (len(h) - 1).bit_length())
+def parity(h: np.ndarray, bits: int = 0) -> bytes:
+    """For each residue whether an odd number of hashes has it; by default as many bits as hashes, rounded up to a power of two."""
+    bits = bits or max(64, 1 << (len(h) - 1).bit_length())
     odd = np.bincount((h % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def sketch(h: np.ndarray) -> list[int]:
+    """A parity bitmap of fixed size, as signed longs."""
+    return np.frombuffer(parity(h, 64 * SKETCH), np.int64).tolist()
+
+
 def unshared(x: bytes, y: bytes) -> int:
     """At least so many shingles are in one of two sets only, by their bitmaps; the wider one is folded."""
     n = min(len(x), len(y))
@@ -85,15 +95,20 @@ def _heads(prints: DataFrame) -> DataFrame:
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a bucket within the ring and in different components, each where it meets first."""
+    """Pairs of a bucket within the ring and in different components that their sketches don't rule out, each where it meets first."""
     for key, kind, doc, *words, size, part in simhash.whole_keys(batches):
         words = [w.view(np.uint64) for w in words]
+        words, sketched = words[: RING.lanes], words[RING.lanes :]
+        size = size.astype(np.int64)
         value = ((key >> simhash.GRID) & 0xFFFFFFFF).astype(np.uint64)
         for segment, i, j in simhash.meetings(key, kind, size, SHARE, OF):
             apart = part[i] != part[j]
             i, j = i[apart], j[apart]
             ok = RING.linked([w[i] ^ w[j] for w in words], segment)
             i, j = i[ok], j[ok]
+            least = sum(np.bitwise_count(g[i] ^ g[j]).astype(np.int64) for g in sketched)
+            ok = least * (OF + SHARE) <= (OF - SHARE) * (size[i] + size[j])
+            i, j = i[ok], j[ok]
             ok = RING.first_meeting([w[i] for w in words], [w[j] for w in words], segment, value[i])
             i, j = doc[i[ok]], doc[j[ok]]
             if len(i):
@@ -130,11 +145,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).filter("doc_id is not null")
-    columns = ", ".join(["size int", "parity binary", *(f"{n} long" for n in NAMES)])
-    prints = store(_mapped(base, lambda h, f: (len(h), parity(h), *f), words, columns), "near-prints")
+    columns = ", ".join(["size int", "parity binary", *(f"{n} long" for n in [*NAMES, *SKETCHED])])
+    prints = store(_mapped(base, lambda h, f: (len(h), parity(h), *f, *sketch(h)), words, columns), "near-prints")
     first = _similar(_heads(prints), prints, base, words)
     part = components(first).select(F.col("node").alias("doc_id"), "component")
-    rows = prints.join(part, "doc_id", "left").select(F.col("doc_id").alias("rep"), *NAMES, "size", F.coalesce("component", "doc_id").alias("component"))
-    found = simhash.buckets(store(rows, "parted"), RING, ("size", "component")).mapInArrow(_candidates, "a long, b long")
+    rows = prints.join(part, "doc_id", "left").select(F.col("doc_id").alias("rep"), *NAMES, *SKETCHED, "size", F.coalesce("component", "doc_id").alias("component"))
+    found = simhash.buckets(store(rows, "parted"), RING, (*SKETCHED, "size", "component")).mapInArrow(_candidates, "a long, b long")
     second = _similar(store(found, "candidates"), prints, base, words)
     return components(first.unionByName(second)).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))

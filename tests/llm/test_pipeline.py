@@ -180,3 +180,30 @@ def test_pipeline_of_empty_tables_and_one_class(spark):
     spark.createDataFrame([(i, 1, 0) for i, _, _ in labels], LABELS).write.parquet(f"{folder}/labels.parquet")
     got = {r.doc_id: r.n for r in pipeline.run(spark, folder).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
     assert set(got) <= {i for i, _ in rows} and len(got) >= 0.5 * len(set(dict(rows).values()))
+
+
+def test_sketches_never_overstate_what_is_unshared():
+    draw = np.random.default_rng(3)
+    for n, m, both in [(0, 0, 0), (0, 1, 0), (1, 1, 1), (15, 5, 75), (400, 300, 10), (7_000, 6_000, 59_000)]:
+        h = np.unique(draw.integers(0, 1 << 63, n + m + both, dtype=np.uint64))
+        x, y = h[: both + n], np.r_[h[:both], h[both + n :]]
+        a, b = (np.array(jaccard.sketch(z)).view(np.uint64) for z in (x, y))
+        assert int(np.bitwise_count(a ^ b).sum()) <= n + m
+        assert jaccard.unshared(jaccard.parity(x), jaccard.parity(y)) <= n + m
+
+
+def test_few_pairs_leave_the_buckets_of_copies_that_are_not_near_one_another(spark, monkeypatch):
+    draw = random.Random(5)
+    base = [f"w{draw.randrange(10**6)}" for _ in range(150)]
+    rows = []
+    for n in range(100):
+        one = list(base)
+        for k, at in enumerate(draw.sample(range(5, 145), 3)):
+            one[at] = f"x{n}y{k}"
+        rows.append((n, " ".join(one)))
+    made, plain = {}, jaccard.store
+    monkeypatch.setattr(jaccard, "store", lambda df, tag: made.setdefault(tag, plain(df, tag)) if tag == "candidates" else plain(df, tag))
+    found = {r.doc_id: r.component_id for r in jaccard.near_copies(documents(spark, rows)).collect()}
+    similar, reached = near_links(rows)
+    assert all(found.get(rows[i][0]) == found.get(rows[j][0]) is not None for i, j in reached)
+    assert made["candidates"].count() <= 2 * len(similar) + len(rows)
