@@ -2,13 +2,17 @@
 
 Only a histogram of piece lengths (at most one row for each length up to the context) reaches the driver. Lengths
 are placed longest first: each goes to the shortest packs that it fits, a pattern and its count at a time, and
-opens new packs when it fits none. The resulting patterns are intervals of ranks for each length; each
-piece gets its rank within its length in a distributed way and finds its pack in the interval that holds it.
+opens new packs when it fits none. A pack takes several pieces of one length at once where more are left than packs
+(new packs are filled with them), so that a corpus of equal lengths fills its packs too. The resulting patterns are
+intervals of ranks for each length; each piece gets its rank within its length in a distributed way and finds its pack
+in the interval that holds it.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -39,18 +43,35 @@ def tokenizer(path: str):
 
 
 STOPS = (b".", b",")
+#: A capital letter before a combining mark (all of them start with a byte of 0xCC or more): NFC may compose the two.
+COMPOSED = re.compile(rb"[A-Z][\xcc-\xff]")
+#: The steps of a tokenizer whose words can be encoded one by one, and its pattern of pieces.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def drops_white_space(path: str) -> bool:
+    """True if the tokenizer of this file composes and lower-cases a text and makes every word's pieces by themselves."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    steps = (spec.get("normalizer") or {}).get("normalizers", [])
+    first = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    kinds = [step["type"] for step in steps]
+    return kinds == NORMALIZERS and steps[1]["pattern"] == {"Regex": "\\s+"} and first.get("pattern") == {"Regex": PIECE} and first.get("invert") is True
 
 
 class WordEncoder:
     """The ids of a text as little-endian unsigned 32-bit integers.
 
-    The tokenizer drops white space, so a text's ids are those of its words (cut at ASCII white space) end to end;
-    words are encoded in batches and remembered. A stop or comma after a letter or digit is always a piece of its own,
-    so such words are made of two remembered ones.
+    A tokenizer that drops white space gives a text the ids of its words (cut at ASCII white space) end to end;
+    words are encoded in batches and remembered in lower case. That may change the ids of added tokens, which are looked
+    for in the raw text, and of capitals that are composed; a text with either keeps all but its plain ASCII words. A stop or comma after a letter or digit is always a piece of its own,
+    so such words are made of two remembered ones. Any other tokenizer encodes whole texts.
     """
 
     def __init__(self, path: str):
         self.path, self.known = path, {}
+        self.by_word = drops_white_space(path)
 
     def learn(self, words: list[bytes]) -> None:
         texts = [w.decode() for w in words]
@@ -75,10 +96,19 @@ class WordEncoder:
         self.known.update((w, ids[cut[i] : cut[i + 1]]) for i, (w, _) in enumerate(words))
         return True
 
+    def words(self, text: str) -> list[bytes]:
+        raw = text.encode()
+        if b"<|" not in raw and (raw.isascii() or COMPOSED.search(raw) is None):
+            return raw.lower().split()
+        return [w.lower() if w.isascii() and b"<|" not in w else w for w in raw.split()]
+
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.by_word:
+            found = tokenizer(self.path).encode_batch(texts, add_special_tokens=False)
+            return [np.asarray(f.ids, "<u4").tobytes() for f in found]
         if len(self.known) > REMEMBER:
             self.known = {}
-        split = [t.encode().lower().split() for t in texts]
+        split = [self.words(t) for t in texts]
         known, missing = self.known, {}
         for words in split:
             for w in words:

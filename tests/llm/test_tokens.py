@@ -56,6 +56,21 @@ def test_words_encode_like_whole_texts(text):
     assert list(memoryview(got).cast("I")) == tok.encode(text.encode("utf-8", "ignore").decode(), add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["a <|ENDOFTEXT|> b", "a <|endoftext|> B", "X<|startoftext|>Y. Z,", "H\u0331 J\u030c H\u0331.", "I\u0307 HA\u0331,", "ÉCOLE Über A, B.", "K\u05b0\u0331 \u0331K"])
+def test_words_keep_the_case_that_counts(text):
+    tok = packing.tokenizer(P.path(packing.VOCABULARY))
+    encoder = packing.WordEncoder(P.path(packing.VOCABULARY))
+    for t in (text.lower(), text, text.upper()):  # what is remembered of one does not leak into another
+        assert list(memoryview(encoder.encode([t])[0]).cast("I")) == tok.encode(t, add_special_tokens=False).ids
+
+
+def test_other_tokenizers_encode_whole_texts():
+    path = P.path("byte_bpe_50k.json")
+    texts = ["Two  words, <|endoftext|> HERE.", "", "a\n b"]
+    got = packing.WordEncoder(path).encode(texts)
+    assert [list(memoryview(g).cast("I")) for g in got] == [packing.tokenizer(path).encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 500), max_size=20))
 @settings(max_examples=200, deadline=None)
 def test_shortest_pack_first_places_everything(histogram):
