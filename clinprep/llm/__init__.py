@@ -1,6 +1,6 @@
 """Operators of a training-data pipeline over large text corpora; QUERIES and ORACLES register them."""
 
-from clinprep.llm import bpe, exact, lines, packing, quality, sharding, simhash, topk, toxicity, urls
+from clinprep.llm import alignment, bpe, decontamination, exact, lines, negatives, packing, quality, sharding, simhash, topk, toxicity, urls
 
 QUERIES = {
     "op1_exact_topk": topk.op1_exact_topk,
@@ -13,10 +13,15 @@ QUERIES = {
     "op8_kd_sharding": sharding.op8_kd_sharding,
     "op9_packing": packing.op9_packing,
     "op10_exact_dedup": exact.op10_exact_dedup,
+    "op11_hard_negatives": negatives.op11_hard_negatives,
+    "op12_alignment": alignment.op12_alignment,
+    "op13_decontamination": decontamination.op13_decontamination,
 }
 
 ORACLES = {
     "op1_exact_topk": topk.ORACLE,
     "op3_line_dedup": lines.ORACLE,
     "op10_exact_dedup": exact.ORACLE,
+    "op11_hard_negatives": negatives.ORACLE,
+    "op13_decontamination": decontamination.ORACLE,
 }
