@@ -37,7 +37,9 @@ A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Parts of the distinct pairs. With two vocabularies below 65,536 a part holds 2^32 / PARTS pairs at the very most.
 PARTS = 1024
 #: Distinct stretches, and their characters, that a task remembers; characters of the documents that it takes at a time.
-STRETCHES, STRETCH_CHARS, CHARS = 200_000, 8_000_000, 2_000_000
+STRETCHES, STRETCH_CHARS, CHARS = 400_000, 16_000_000, 2_000_000
+#: Stretches that are placed together, and that A encodes as one text.
+RUN, SHORT = 2_000, 100
 #: Pairs of a part that are gathered before repeats go.
 GATHERED = 4_000_000
 #: Bytes of hash, pairs and counts that are broadcast at a time, and what a pair takes of them at most.
@@ -136,25 +138,16 @@ class PerfectHash:
         return out
 
 
-def _groups(a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[bytes]) -> str:
-    out, x, y, i, j, ahead = [], [], [], 0, 0, 0
-    while i < len(a):
-        if ahead <= 0:  # bytes of A's tokens so far less those of B's
-            x.append(str(a[i]))
-            ahead += len(a_bytes[a[i]])
-            i += 1
-        while ahead > 0:
-            y.append(str(b[j]))
-            ahead -= len(b_bytes[b[j]])
-            j += 1
-        if not ahead:
-            out.append(f"{','.join(x)}|{','.join(y)}")
-            x, y = [], []
-    return ";".join(out)
+@lru_cache(maxsize=2)
+def _written(a_size: int, b_size: int) -> tuple[list[str], np.ndarray]:
+    """Token ids as they stand in the text of groups: of A before another one and before B's, of B before another one, before the next group
+    and at the end; and the lengths of these texts."""
+    texts = [f"{i}{end}" for size, ends in ((a_size, ",|"), (b_size, [",", ";", ""])) for end in ends for i in range(size)]
+    return texts, np.array([len(t) for t in texts], np.int64)
 
 
 class Stretches:
-    """Aligned stretches of texts, by number: tokens of A and B, groups, links and their pairs; what a look-up gave for them."""
+    """Aligned stretches of texts, by number: tokens of A and B, groups, links and their pairs; with a look-up, what it gave and the groups' texts."""
 
     def __init__(self, a_path: str, b_path: str, look=None):
         (self.a, self.a_bytes), (self.b, self.b_bytes) = byte_level(a_path), pieces(b_path)
@@ -167,45 +160,85 @@ class Stretches:
     def clear(self) -> None:
         self.place: dict[str, int] = {}
         self.groups: list[str] = []
-        self.chars = 0
+        self.n = self.chars = 0
         #: tokens of A, of B, groups, links, and of the links: those at their B id's highest count, the sum of counts
         self.numbers = np.zeros((0, 6), np.int64)
+        self.added: list[np.ndarray] = []
         self.pairs: list[np.ndarray] = []
 
     def full(self) -> bool:
         return len(self.place) > STRETCHES or self.chars > STRETCH_CHARS
 
     def _add(self, new: list[str]) -> None:
-        a = [e.ids for e in self.a.encode_batch([" " + s for s in new], add_special_tokens=False)]
-        b = [x or self.space for x in self.b.encode(new, num_threads=1)]
-        good_a, good_b = [], []
-        for s, x, y in zip(new, a, b, strict=True):
-            raw = (" " + s).encode()
-            self.chars += len(s)
-            if b"".join([self.a_bytes[i] for i in x]) == raw == b"".join([self.b_bytes[i] for i in y]):
-                self.place[s] = len(self.groups)
-                self.groups.append(_groups(x, y, self.a_bytes, self.b_bytes))
-                good_a.append(x)
-                good_b.append(y)
-            else:
+        """Encode stretches: as running text, many at once, where each ends in what is no space and so leaves the next one alone."""
+        self.chars += sum(map(len, new))
+        running = [s for s in new if s and not s[-1].isspace()]
+        for lo in range(0, len(running), RUN):
+            some = running[lo : lo + RUN]
+            texts = [" " + " ".join(some[at : at + SHORT]) for at in range(0, len(some), SHORT)]
+            text = "".join(texts)
+            a = [i for e in self.a.encode_batch_fast(texts, add_special_tokens=False) for i in e.ids]
+            b = self.b.encode(text[1:])
+            if not self._given(text, a, b) or not self._placed(some, a, b):
+                self._single(some)
+        self._single([s for s in new if not s or s[-1].isspace()])
+
+    def _single(self, new: list[str]) -> None:
+        for s in new:
+            a, b = self.a.encode(" " + s, add_special_tokens=False).ids, self.b.encode(s) or self.space
+            if not self._given(" " + s, a, b) or not self._placed([s], a, b):
                 self.place[s] = -1
-        if not good_a:
-            return
-        n_a, n_b = (np.array([len(x) for x in y], np.int64) for y in (good_a, good_b))
-        a, b = (np.array([i for x in y for i in x], np.int64) for y in (good_a, good_b))
+
+    def _given(self, text: str, a: list[int], b: list[int]) -> bool:
+        """Whether both give the text back."""
+        raw = text.encode()
+        return b"".join([self.a_bytes[i] for i in a]) == raw == b"".join([self.b_bytes[i] for i in b])
+
+    def _placed(self, new: list[str], a: list[int], b: list[int]) -> bool:
+        """Number the stretches of a text; False if a token goes on over the end of one."""
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
         a_end, b_end = np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b])
+        ends = np.cumsum([len(s.encode()) + 1 for s in new])
+        a_last, b_last = np.searchsorted(a_end, ends), np.searchsorted(b_end, ends)
+        if (a_end[a_last] != ends).any() or (b_end[b_last] != ends).any():
+            return False
+        n_a, n_b = np.diff(a_last, prepend=-1), np.diff(b_last, prepend=-1)
         first, last = np.searchsorted(b_end, a_end - self.a_len[a], "right"), np.searchsorted(b_end, a_end)
         n = last - first + 1
         linked = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
         pairs = (np.repeat(a, n) << 16 | b[linked]).astype(np.uint32)
-        starts = np.cumsum(n_a) - n_a
-        links, groups = np.add.reduceat(n, starts), np.add.reduceat((b_end[last] == a_end).astype(np.int64), starts)
-        best, total = np.zeros((2, len(n_a)), np.int64)
+        starts, a_cut = a_last + 1 - n_a, b_end[last] == a_end
+        links, groups = np.add.reduceat(n, starts), np.add.reduceat(a_cut.astype(np.int64), starts)
+        best, total = np.zeros((2, len(new)), np.int64)
         if self.look:
             at = np.cumsum(links) - links
             best, total = (np.add.reduceat(x, at) for x in self.look(pairs))
-        self.numbers = np.r_[self.numbers, np.stack([n_a, n_b, groups, links, best, total], 1)]
+            self.groups += self._texts(a, b, a_cut, a_end[np.minimum(np.searchsorted(a_end, b_end), len(a) - 1)] == b_end, b_last, np.cumsum(n_a + n_b))
+        self.place.update(zip(new, range(self.n, self.n + len(new)), strict=True))
+        self.n += len(new)
+        self.added.append(np.stack([n_a, n_b, groups, links, best, total], 1))
         self.pairs.append(pairs)
+        return True
+
+    def _texts(self, a: np.ndarray, b: np.ndarray, a_cut: np.ndarray, b_cut: np.ndarray, b_last: np.ndarray, upto: np.ndarray) -> list[str]:
+        """The groups of each stretch: A's ids, B's ids. Tokens are put in the order of groups, in each A's first, with what follows them."""
+        sizes = len(self.a_bytes), len(self.b_bytes)
+        texts, lengths = _written(*sizes)
+        end = b_cut.astype(np.int64)
+        end[b_last] = 2
+        codes = np.r_[a + a_cut * sizes[0], 2 * sizes[0] + b + end * sizes[1]]
+        group = np.r_[2 * (np.cumsum(a_cut) - a_cut), 2 * (np.cumsum(b_cut) - b_cut) + 1]
+        codes = codes[np.argsort(group, kind="stable")]
+        whole = "".join([texts[c] for c in codes.tolist()])
+        cuts = np.r_[0, np.cumsum(lengths[codes])[upto - 1]].tolist()
+        return [whole[lo:hi] for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def settled(self) -> np.ndarray:
+        """The numbers of all stretches."""
+        if self.added:
+            self.numbers = np.concatenate([self.numbers, *self.added])
+            self.added = []
+        return self.numbers
 
     def numbered(self, texts: list[str | None]) -> list[np.ndarray]:
         """The stretches of each text in their order; none where a text has no tokens."""
@@ -218,7 +251,7 @@ class Stretches:
             at = np.fromiter(map(self.place.__getitem__, ss), np.int64, len(ss))
             if len(at) and at.min() < 0:  # some stretch is not given back: the text is, or has no tokens
                 if t not in self.place:
-                    self._add([t])
+                    self._single([t])
                 at = np.array([self.place[t]] if self.place[t] >= 0 else [], np.int64)
             out.append(at)
         return out
@@ -244,7 +277,7 @@ def _gather(a_path: str, b_path: str):
         def rows() -> Iterator[pa.RecordBatch]:
             if not known.pairs:
                 return
-            times = np.repeat(seen, known.numbers[:, 3])
+            times = np.repeat(seen, known.settled()[:, 3])
             keys, at = np.unique(np.concatenate(known.pairs)[times > 0], return_inverse=True)
             counts = np.bincount(at, times[times > 0]).astype(np.int64) if times.sum() < 1 << 52 else _exact(at, times[times > 0])
             part = part_of(keys)
@@ -256,7 +289,7 @@ def _gather(a_path: str, b_path: str):
 
         for _, texts in _slices(batches, 0):
             at = known.numbered(texts)
-            seen = np.r_[seen, np.zeros(len(known.groups) - len(seen), np.int64)]
+            seen = np.r_[seen, np.zeros(known.n - len(seen), np.int64)]
             seen += np.bincount(np.concatenate(at), minlength=len(seen))
             if known.full():
                 yield from rows()
@@ -411,7 +444,7 @@ def _look_up(a_path: str, b_path: str, sent):
         for batch, texts in _slices(batches, 2):
             at = known.numbered(texts)
             ends = np.cumsum([len(x) for x in at])
-            upto = np.r_[np.zeros((1, 6), np.int64), np.cumsum(known.numbers[np.concatenate(at)], axis=0)]
+            upto = np.r_[np.zeros((1, 6), np.int64), np.cumsum(known.settled()[np.concatenate(at)], axis=0)]
             sums = upto[ends] - upto[ends - [len(x) for x in at]]
             shas = [hashlib.sha256(";".join([known.groups[i] for i in x.tolist()]).encode()).hexdigest() if len(x) else "" for x in at]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c) for c in sums.T), pa.array(shas, pa.string())], [c.split()[0] for c in ALIGNED.split(", ")])

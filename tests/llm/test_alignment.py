@@ -93,7 +93,7 @@ def test_alignment_when_a_task_forgets(spark, monkeypatch):
     known = alignment.Stretches(public_tokenizers.path(alignment.A_FILE), public_tokenizers.path(alignment.B_FILE))
     for _, t in rows:
         at = known.numbered([t])[0]
-        a, b = known.numbers[at].sum(0)[:2]
+        a, b = known.settled()[at].sum(0)[:2]
         assert (a == 0) == (not t or "▁" in t)
         if known.full():
             known.clear()
