@@ -199,6 +199,8 @@ def pack(pieces: DataFrame, context: int = CONTEXT) -> DataFrame:
     places of their own. An empty table gives an empty result.
     """
     spark = pieces.sparkSession
+    # stored with a number of its own, so that pieces that agree in all else are spread too
+    pieces = store(pieces.withColumn("piece_row", F.monotonically_increasing_id()), "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `context` rows
     patterns = shortest_pack_first(counts, context)
     rows, first, used = [], 0, dict.fromkeys(counts, 0)
@@ -213,22 +215,22 @@ def pack(pieces: DataFrame, context: int = CONTEXT) -> DataFrame:
     # the number of intervals follows from the context alone, not from the number of pieces
     names = ["p_length", "lo", "hi", "first", "times", "at"]
     intervals = F.broadcast(spark.createDataFrame(pa.table({n: pa.array([r[i] for r in rows], pa.int64()) for i, n in enumerate(names)})))
-    spread = F.shiftrightunsigned(F.xxhash64("doc_id", "start"), 24)
-    ranked = positions(pieces.withColumn("spread", spread), ["length"], [F.col("spread"), F.col("doc_id"), F.col("start")], "rank").drop("spread")
+    spread = F.shiftrightunsigned(F.xxhash64("piece_row"), 24)
+    ranked = positions(pieces.withColumn("spread", spread), ["length"], [F.col("spread"), F.col("piece_row")], "rank").drop("spread")
     inside = (F.col("length") == F.col("p_length")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))
     nth = F.col("rank") - F.col("lo")
     return (
         ranked.join(intervals, inside)
         .withColumn("sequence_id", F.col("first") + F.expr("(rank - lo) div times"))
         .withColumn("offset", F.col("at") + nth % F.col("times") * F.col("length"))
-        .drop(*names, "rank")
+        .drop(*names, "rank", "piece_row")
     )
 
 
 def packed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """Pieces of documents with the CRC-32 of their ids and their places; ids themselves are left out."""
     pieces = token_pieces(docs, id_col, text_col, **how).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return pack(store(pieces, "pieces"), how.get("context", CONTEXT))
+    return pack(pieces, how.get("context", CONTEXT))
 
 
 def sequences(packed: DataFrame, context: int = CONTEXT, padding: int = 0) -> DataFrame:
@@ -252,5 +254,10 @@ def crc32_of(ids: list[int]) -> int:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of every piece of ``documents``, in sequences of 4096 tokens.
+
+    A null or empty text is one piece with the end id; pieces of equal length and repeated rows have places of their own; an empty
+    table gives no rows.
+    """
     out = packed_documents(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

@@ -3,8 +3,8 @@
 Only DataFrame functions run. Each node of the tree is cut where its bytes halve, along the
 dimension in which the node is widest (relative to the whole table). The median is found by
 histograms that refine the range of the dimension; rows that tie in it are ordered by a hash of their
-text and only then by a hash of their id. Equal texts therefore stay in one shard, unless
-a group of copies is so heavy that shards of near-equal bytes need it split. All nodes of a level share
+text, then by a hash of their id, and rows that agree in both by a hash of their number in a stored table. Equal texts therefore
+stay in one shard, unless a group of copies is so heavy that shards of near-equal bytes need it split. All nodes of a level share
 each pass, a pass moves at most BUCKETS sums a node and task, and at most SUMS (two a node) reach the driver. The rows of each
 level, without their texts, are a written table.
 """
@@ -26,6 +26,8 @@ SLACK = 0.005
 #: Equal texts stay together if that costs at most this part of a shard.
 GROUP_SLACK = 0.02
 HASH_BITS = 40
+#: What orders the rows of a node: the cut's dimension, and what follows where rows tie.
+LEVELS = ("value", "text_hash", "id_hash", "row_hash")
 
 
 def _hash40(*cols: Column) -> Column:
@@ -72,59 +74,41 @@ def _near(n: dict) -> bool:
 
 
 def _cuts(rows: DataFrame, parts: dict[int, int], dims: list[str], spans: dict[str, int], leaf: float) -> list[tuple]:
-    """For each node that holds several shards: (node, dimension, value, hash, id hash); rows up to it go left."""
+    """For each node that holds several shards: (node, dimension, and a limit for each of LEVELS); rows up to it go left."""
     ranges = rows.groupBy("node").agg(F.sum("size").alias("total"), *[f(d).alias(f"{k}_{d}") for d in dims for k, f in (("lo", F.min), ("hi", F.max))]).collect()
-    stats = {r["node"]: r for r in ranges if parts[r["node"]] > 1}
     cut: dict[int, dict] = {}
-    for node, r in stats.items():
-        dim = max(dims, key=lambda d: (r[f"hi_{d}"] - r[f"lo_{d}"]) / max(1, spans[d]))
-        k = parts[node]
-        cut[node] = {"dim": dim, "lo": r[f"lo_{dim}"], "hi": r[f"hi_{dim}"], "want": r["total"] * ((k + 1) // 2) / k, "before": 0, "weight": r["total"], "done": False, "key": {}}
+    for r in ranges:
+        k = parts[r["node"]]
+        if k > 1:
+            dim = max(dims, key=lambda d: (r[f"hi_{d}"] - r[f"lo_{d}"]) / max(1, spans[d]))
+            cut[r["node"]] = {"dim": dim, "lo": r[f"lo_{dim}"], "hi": r[f"hi_{dim}"], "want": r["total"] * ((k + 1) // 2) / k, "before": 0, "weight": r["total"], "done": False, "key": {}}
     if not cut:
         return []
     chosen = inline_table(rows.sparkSession, [(n, dims.index(c["dim"])) for n, c in cut.items()], "node long, dim int")
     value = F.element_at(F.array(*[F.col(d) for d in dims]), F.col("dim") + 1)
-    within = rows.join(F.broadcast(chosen), "node").withColumn("value", value)
-    for column in ("value", "text_hash", "id_hash"):
-        if column != "value":
-            tied = {n: c for n, c in cut.items() if not c["done"]}
+    within, tied = rows.join(F.broadcast(chosen), "node").withColumn("value", value), dict(cut)
+    for level, column in enumerate(LEVELS):
+        if column == "id_hash":  # equal texts stay together where that costs little
             for c in tied.values():
-                if column == "id_hash":
-                    off = min(abs(c["want"] - c["before"]), abs(c["want"] - c["before"] - c["weight"]))
-                    c["done"] = off <= GROUP_SLACK * leaf
-                if not c["done"]:
-                    c["lo"], c["hi"] = 0, (1 << HASH_BITS) - 1
-            tied = {n: c for n, c in cut.items() if not c["done"]}
-            if not tied:
-                break
-            last = "value" if column == "text_hash" else "text_hash"
+                if min(abs(c["want"] - c["before"]), abs(c["want"] - c["before"] - c["weight"])) <= GROUP_SLACK * leaf:
+                    c["key"]["text_hash"] -= not _near(c)
+                    c["done"] = True
+            tied = {n: c for n, c in tied.items() if not c["done"]}
+        if not tied:
+            break
+        if level:
+            last = LEVELS[level - 1]
             fixed = inline_table(rows.sparkSession, [(n, c["key"][last]) for n, c in tied.items()], "node long, tie long")
             within = within.join(F.broadcast(fixed), "node").filter(F.col(last) == F.col("tie")).drop("tie")
-        _find(within, cut, column, SLACK * leaf)
-        for c in cut.values():
-            if column not in c["key"] and "end" not in c:
-                c["key"][column] = c["hi"] if c["done"] and _near(c) else c["lo"] - 1 if c["done"] else c["lo"]
-                if c["done"]:
-                    c["end"] = True
-    top = 1 << HASH_BITS
-    out = []
-    for n, c in cut.items():
-        key = c["key"]
-        if "end" in c:  # all ties of the last searched column fall on one side
-            texts, ids = (key.get("text_hash", top), key.get("id_hash", top))
-        else:
-            left = _near(c)
-            texts, ids = key.get("text_hash", top), key.get("id_hash", top)
-            last = [x for x in ("value", "text_hash", "id_hash") if x in key][-1]
-            if not left:
-                if last == "value":
-                    key["value"] -= 1
-                elif last == "text_hash":
-                    texts -= 1
-                else:
-                    ids -= 1
-        out.append((n, dims.index(c["dim"]), key["value"], texts, ids))
-    return out
+            for c in tied.values():
+                c["lo"], c["hi"] = 0, (1 << HASH_BITS) - 1
+        _find(within, tied, column, SLACK * leaf)
+        for c in tied.values():  # done: what lies between lo and hi goes to one side; else rows tie at lo
+            c["key"][column] = c["lo"] if not c["done"] else c["hi"] if _near(c) else c["lo"] - 1
+        tied = {n: c for n, c in tied.items() if not c["done"]}
+    for c in tied.values():  # rows that tie to the end
+        c["key"][LEVELS[-1]] -= not _near(c)
+    return [(n, dims.index(c["dim"]), *[c["key"].get(x, 1 << HASH_BITS) for x in LEVELS]) for n, c in cut.items()]
 
 
 def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None, id_col: str = "doc_id", text_col: str = "text", dims: dict[str, Column] | None = None, keep: dict[str, Column] | None = None) -> DataFrame:
@@ -132,7 +116,8 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
 
     Give ``shards`` or ``target_bytes``; a tree of ceil(bytes / target_bytes) leaves is built. ``dims``
     are non-negative longs (default: characters, lines, and bytes beyond one a character); null counts as 0. A null or empty
-    text has size 1. Ties and repeated rows get different slots. An empty table gives an empty result;
+    text has size 1. Rows that agree in all are dealt out like others, so bytes stay even whatever ids and texts repeat; each row has
+    a slot of its own. An empty table gives an empty result;
     with fewer documents than shards some shards stay empty. Other columns are ignored.
     """
     spark = docs.sparkSession
@@ -147,6 +132,7 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
             size.alias("size"),
             _hash40(text).alias("text_hash"),
             _hash40(F.col(id_col), F.lit("row")).alias("id_hash"),
+            _hash40(F.monotonically_increasing_id()).alias("row_hash"),
             *[F.coalesce(c.cast("long"), F.lit(0)).alias(n) for n, c in zip(names, dims.values(), strict=True)],
             *[c.alias(f"k{i}") for i, c in enumerate(held.values())],
         ),
@@ -165,18 +151,19 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
         # a node that holds one shard or no rows goes on unchanged as its own left child
         known = {c[0]: c for c in cuts}
         for n in parts:
-            known.setdefault(n, (n, 0, 1 << 62, 0, 0))
-        small = F.broadcast(inline_table(spark, list(known.values()), "node long, cut_dim int, cut_value long, cut_text long, cut_id long"))
+            known.setdefault(n, (n, 0, 1 << 62, 0, 0, 0))
+        limits = [f"cut_{x}" for x in LEVELS]
+        small = F.broadcast(inline_table(spark, list(known.values()), "node long, cut_dim int, " + ", ".join(f"{x} long" for x in limits)))
         value = F.element_at(F.array(*[F.col(d) for d in names]), F.col("cut_dim") + 1)
-        at = F.struct(value.alias("v"), F.col("text_hash").alias("t"), F.col("id_hash").alias("i"))
-        limit = F.struct(F.col("cut_value").alias("v"), F.col("cut_text").alias("t"), F.col("cut_id").alias("i"))
-        placed = store(placed.join(small, "node").withColumn("node", F.col("node") * 2 + (at > limit).cast("long")).drop("cut_dim", "cut_value", "cut_text", "cut_id"), "shard-level")
+        at = F.struct(value.alias("value"), *LEVELS[1:])
+        limit = F.struct(*[F.col(x).alias(n) for x, n in zip(limits, LEVELS, strict=True)])
+        placed = store(placed.join(small, "node").withColumn("node", F.col("node") * 2 + (at > limit).cast("long")).drop("cut_dim", *limits), "shard-level")
         halves = {n: ((k + 1) // 2 if k > 1 else 1, k // 2 if k > 1 else 0) for n, k in parts.items()}
         firsts = {2 * n + side: firsts[n] + side * halves[n][0] for n in parts for side in (0, 1) if halves[n][side]}
         parts = {2 * n + side: halves[n][side] for n in parts for side in (0, 1) if halves[n][side]}
     leaves = F.broadcast(inline_table(spark, list(firsts.items()), "node long, shard int"))
-    sharded = placed.join(leaves, "node").withColumn("spread", F.col("id_hash"))
-    sharded = positions(sharded, ["shard"], [F.col("id_hash"), F.col("doc_id"), F.col("text_hash")], "slot")
+    sharded = placed.join(leaves, "node").withColumn("spread", F.col("row_hash"))
+    sharded = positions(sharded, ["shard"], [F.col("row_hash"), F.col("id_hash"), F.col("text_hash")], "slot")
     return sharded.select("doc_id", "size", *[F.col(f"k{i}").alias(n) for i, n in enumerate(held)], "shard", F.col("slot").cast("long").alias("slot"))
 
 

@@ -116,19 +116,13 @@ class Ring:
             alive, spent, xor = alive[ok], spent[ok], [x[ok] for x in xor]
         return alive  # after the whole ring, allowed is self.bits: this was the full check
 
-    def first_meeting(self, x: list[np.ndarray], y: list[np.ndarray], start: int, value: np.ndarray) -> np.ndarray:
-        """Of linked pairs that met in the buckets ``value`` of segment ``start``, those that meet there first: in no earlier
-        segment that starts a chain, and in one of their common buckets only. Needs even budgets of 2 at most."""
-        xor = [a ^ b for a, b in zip(x, y, strict=True)]
-        lane, shift, width = self.parts[start]
-        mask = np.uint64((1 << width) - 1)
-        a, b = ((z[lane] >> np.uint64(shift)) & mask for z in (x, y))
-        apart = a ^ b
-        lowest = np.where(np.bitwise_count(apart) == 2, apart & (~apart + np.uint64(1)), np.uint64(0))
-        here = np.flatnonzero(np.minimum(a, b) ^ lowest == value)
-        for s in range(start):
-            here = np.delete(here, self.linked([z[here] for z in xor], s))
-        return here
+    def near(self, xor: list[np.ndarray]) -> np.ndarray:
+        """The pairs that keep a chain from some segment, and so the full Hamming bound."""
+        found = np.zeros(len(xor[0]), bool)
+        for s in range(len(self.parts)):
+            rest = np.flatnonzero(~found)
+            found[rest[self.linked([x[rest] for x in xor], s)]] = True
+        return np.flatnonzero(found)
 
 
 def parts(ring: Ring) -> Column:
@@ -154,25 +148,22 @@ def _grid(homes: Column, probes: Column, own: Column, probe: Column) -> Column:
     return F.when(probe, visiting).otherwise(F.concat(among, hosting))
 
 
-def buckets(classes: DataFrame, ring: Ring, carried: tuple[str, ...] = ()) -> DataFrame:
-    """(key, kind, rep, f0, ..., carried...): where each class meets others, sorted within partitions by key and kind.
-
-    Of the columns ``carried``, a column ``size`` is the third sort key.
-    """
+def buckets(classes: DataFrame, ring: Ring) -> DataFrame:
+    """(key, kind, rep, f0, ...): where each class meets others, sorted within partitions by key and kind."""
     names = [f"f{i}" for i in range(ring.lanes)]
-    parted = classes.select("rep", *names, *carried, F.explode(parts(ring)).alias("p")).select("*", "p.segment", "p.value").drop("p")
+    parted = classes.select("rep", *names, F.explode(parts(ring)).alias("p")).select("*", "p.segment", "p.value").drop("p")
     whole = lambda df: df.select("*", F.explode(_flips(ring, F.col("segment"))).alias("e")).withColumn("bucket", F.col("segment").cast("long") * (1 << 32) + F.col("value").bitwiseXOR(F.col("e.flip"))).withColumn("probe", ~F.col("e.home"))
     # sizes of buckets from the counts of distinct segment values
     sizes = whole(parted.groupBy("segment", "value").count()).groupBy("bucket").agg(*[F.coalesce(F.sum(F.when(F.col("probe") == p, F.col("count"))), F.lit(0)).alias(n) for n, p in (("homes", False), ("probes", True))])
     blocks = lambda c: F.least(F.ceil(F.col(c) / HOT_HOMES), F.lit(BLOCKS)).cast("int").alias(c)
     hot = store(sizes.filter(F.greatest("homes", "probes") > HOT_HOMES).select("bucket", blocks("homes"), blocks("probes")), "hot-buckets")
-    keyed = whole(parted).select("bucket", "probe", "rep", *names, *carried)
+    keyed = whole(parted).select("bucket", "probe", "rep", *names)
     dealt = keyed.join(hot, "bucket", "left")
     own = F.pmod(F.xxhash64("rep"), F.greatest(F.lit(1), F.when(F.col("probe"), F.col("probes")).otherwise(F.col("homes")))).cast("int")
     plain = F.array(F.struct(F.lit(0).cast("long").alias("cell"), F.when(F.col("probe"), GUEST).otherwise(HOME).cast("int").alias("kind")))
     cells = F.when(F.col("homes").isNull(), plain).when(F.col("homes") > 0, _grid(F.col("homes"), F.col("probes"), own, F.col("probe")))  # without homes there is nothing to meet
-    dealt = dealt.select("bucket", "rep", *names, *carried, F.explode(cells).alias("c")).select((F.col("bucket") * (1 << GRID) + F.col("c.cell")).alias("key"), "c.kind", "rep", *names, *carried)
-    return dealt.repartition("key").sortWithinPartitions("key", "kind", *[c for c in carried if c == "size"])
+    dealt = dealt.select("bucket", "rep", *names, F.explode(cells).alias("c")).select((F.col("bucket") * (1 << GRID) + F.col("c.cell")).alias("key"), "c.kind", "rep", *names)
+    return dealt.repartition("key").sortWithinPartitions("key", "kind")
 
 
 def whole_keys(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[list[np.ndarray]]:
@@ -234,15 +225,19 @@ def _links(ring: Ring):
 def near_components(prints: DataFrame, ring: Ring) -> DataFrame:
     """(doc_id, f0, ..., component_id): fingerprints within ring.bits are linked; the smallest id reachable names a component.
 
-    Rows with a null id come back with a null component. Repeated ids are one document each time.
+    Rows with a null id come back with a null component. Rows that repeat an id are one document, linked to all that any of
+    its fingerprints is near.
     """
     names = [f"f{i}" for i in range(ring.lanes)]
     prints = store(prints, "fingerprints")
     classes = store(prints.filter("doc_id is not null").groupBy(*names).agg(F.min("doc_id").alias("rep")), "classes")
     names_of = store(classes, "class-reps")
     edges = buckets(classes, ring).mapInArrow(_links(ring), "a long, b long")
-    # an id that repeats with other texts is a representative of several classes; they are one document
-    found = components(edges)
+    # an id with several fingerprints links their classes
+    print_of = F.struct(*names)
+    several = prints.filter("doc_id is not null").groupBy("doc_id").agg(F.min(print_of).alias("lo"), F.max(print_of).alias("hi")).filter("lo <> hi").select("doc_id")
+    own = store(prints.join(several, "doc_id", "left_semi").join(names_of, names).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "own-classes")
+    found = components(edges.unionByName(own))
     labelled = names_of.join(found, names_of["rep"] == found["node"], "left").select(*[F.col(n).alias(f"c_{n}") for n in names], F.coalesce("component", "rep").alias("component_id"))
     labelled = store(labelled, "class-components")
     same = F.lit(True)

@@ -68,7 +68,8 @@ def positions(df: DataFrame, keys: list[str], order: list[Column], out: str, row
     Rows fall into bins by hash; a bin's first number is the count of rows in the bins before it,
     and numbers inside a bin come from a window. The bin count follows the row count, so that
     a key with a third of all rows spreads over all tasks. Needs a column ``spread`` (a
-    non-negative long, even over rows) and a total ``order`` inside a bin.
+    non-negative long, even over rows: a hash of a stored row number, not of an id that rows may share) and a total
+    ``order`` inside a bin.
     """
     from pyspark.sql import Window
 

@@ -195,3 +195,29 @@ def test_components_of_long_paths_and_stars(spark):
     df = spark.createDataFrame(edges, "a long, b long").repartition(5)
     got = {r.node: r.component for r in graph.components(df).collect()}
     assert got == {**{i: 0 for i in range(201)}, **{i: 500 for i in range(500, 600)}, 940: 940, 950: 940}
+
+
+def brute_documents(rows, bits):
+    """rows: (id, fingerprint); rows of one id are one document."""
+    up = {i: i for i, _ in rows}
+    links = [(i, j) for n, (i, a) in enumerate(rows) for j, b in rows[:n] if (a ^ b).bit_count() <= bits]
+    changed = True
+    while changed:
+        changed = False
+        for i, j in links:
+            low = min(up[i], up[j])
+            changed |= low != up[i] or low != up[j]
+            up[i] = up[j] = low
+    return up
+
+
+@pytest.mark.parametrize("more", [[], [(4, -1)]])
+def test_rows_of_one_id_are_one_document(spark, more):
+    big = (1 << 63) - 1
+    rows = [(2, 3), (5, 1), (5, big), (9, big), (7, 0x0F0F << 20), (7, 0x0F0F << 40), (8, 0x0F0F << 40), (3, 0x0F0F << 20 | 1)] + [(i, big ^ 0x3FFFFF << 9) for i, _ in more]
+    rows += [(5, big ^ 0x3FFFFF << 9)] if more else []
+    df = spark.createDataFrame(rows + [(None, 3)], "doc_id long, f0 long").repartition(3)
+    got = {(r.doc_id, r.component_id) for r in simhash.near_components(df, simhash.Ring(4)).collect()}
+    want = brute_documents([(i, f & (2**64 - 1)) for i, f in rows], 4)
+    assert got == {*want.items(), (None, None)}
+    assert want[9] == 2

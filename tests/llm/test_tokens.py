@@ -263,3 +263,50 @@ def test_large_products_stay_exact():
 def test_digest_helpers():
     assert packing.crc32_of([1, 2]) == __import__("zlib").crc32(bytes([1, 0, 0, 0, 2, 0, 0, 0]))
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_kd_shards_balance_rows_that_agree_in_all(spark, doc_id):
+    rows = [(doc_id, "one text that stands in many rows")] * 800 + [(100 + i, f"text number {i:06d} of a plain kind") for i in range(100)]
+    size, slots = Counter(), defaultdict(list)
+    for r in shard_rows(spark, rows, shards=8):
+        size[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    mean = sum(size.values()) / 8
+    assert sorted(size) == list(range(8)) and max(abs(v - mean) for v in size.values()) < 0.02 * mean
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
+def test_pieces_of_null_ids_spread_over_bins(spark, monkeypatch):
+    seen, plain = {}, packing.positions
+    monkeypatch.setattr(packing, "positions", lambda df, keys, order, out: seen.setdefault("df", plain(seen.setdefault("in", df), keys, order, out, rows_per_bin=10)))
+    packed = packing.pack(packing.token_pieces(documents(spark, [(None, "one two")] * 600), context=64), 64)
+    assert packed.count() == 600
+    bins = Counter(r.spread % 60 for r in seen["in"].collect())
+    assert max(bins.values()) <= 30
+
+
+def plain_packs(lengths, context):
+    """Shortest-pack-first, a piece at a time: the longest first, each into the shortest pack that it fits."""
+    packs = []
+    for n in sorted(lengths, reverse=True):
+        open_ = [p for p in packs if sum(p) + n <= context]
+        (min(open_, key=sum) if open_ else packs.append([]) or packs[-1]).append(n)
+    return packs
+
+
+@given(st.lists(st.integers(34, 100), max_size=60))
+@settings(max_examples=150, deadline=None)
+def test_patterns_fill_packs_like_plain_packing_where_two_pieces_fit_at_most(lengths):
+    found = Counter()
+    for packs, items in packing.shortest_pack_first(Counter(lengths), 100):
+        found[sum(n * k for n, k in items)] += packs
+    assert found == Counter(map(sum, plain_packs(lengths, 100)))
+
+
+@given(st.lists(st.integers(1, 64), min_size=1, max_size=80))
+@settings(max_examples=150, deadline=None)
+def test_patterns_take_about_as_many_packs_as_plain_packing(lengths):
+    packs = sum(n for n, _ in packing.shortest_pack_first(Counter(lengths), 64))
+    plain = len(plain_packs(lengths, 64))
+    assert packs <= 1.25 * plain + 1
