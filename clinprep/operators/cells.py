@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clinprep import config
@@ -91,6 +91,12 @@ def standardise_categories(df: DataFrame, vocabularies: dict[str, dict[str, str]
     return df.withColumns({c: F.coalesce(_mapped(F.col(c), vocabularies[c]), F.col(c)) for c in _present(df, vocabularies)})
 
 
+def unknown_cells(df: DataFrame, vocabularies: dict[str, dict[str, str]] | None = None) -> list[Column]:
+    """For each column with a vocabulary, whether a cell holds something that the vocabulary lacks."""
+    vocabularies = vocabularies or config.VOCABULARIES
+    return [F.col(c).isNotNull() & _mapped(F.col(c), vocabularies[c]).isNull() for c in _present(df, vocabularies)]
+
+
 def unmapped_values(df: DataFrame, vocabularies: dict[str, dict[str, str]] | None = None) -> DataFrame:
     """(column, value, n) of values that the vocabulary lacks."""
     vocabularies = vocabularies or config.VOCABULARIES
@@ -99,23 +105,35 @@ def unmapped_values(df: DataFrame, vocabularies: dict[str, dict[str, str]] | Non
     return left.unpivot("row_index", names, "column", "value").filter("value is not null").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def category_audit(df: DataFrame, vocabularies: dict[str, dict[str, str]] | None = None) -> DataFrame:
-    """(column, distinct_before, distinct_after, values_before, values_after, cells_changed)."""
+#: Values that an audit shows of a column; the rest are counted.
+SHOWN = 100
+
+
+def category_audit(df: DataFrame, vocabularies: dict[str, dict[str, str]] | None = None, shown: int = SHOWN) -> DataFrame:
+    """(column, distinct_before, distinct_after, values_before, values_after, cells_changed).
+
+    The values are listed in order; of a column with more than ``shown`` of them the commonest, and how many more there are.
+    """
     vocabularies = vocabularies or config.VOCABULARIES
     names = _present(df, vocabularies)
-    before = long_texts(df, names)
     after = F.lit(None).cast("string")
     for c in names:
         after = F.when(F.col("column") == c, F.coalesce(_mapped(F.col("value"), vocabularies[c]), F.col("value"))).otherwise(after)
     # values are few, cells are many: count equal values first
-    counted = before.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")).withColumn("after", after)
-    return counted.groupBy("column").agg(
-        F.countDistinct("value").alias("distinct_before"),
-        F.countDistinct("after").alias("distinct_after"),
-        F.array_join(F.sort_array(F.collect_set("value")), "|").alias("values_before"),
-        F.array_join(F.sort_array(F.collect_set("after")), "|").alias("values_after"),
-        F.coalesce(F.sum(F.when(~F.col("value").eqNullSafe(F.col("after")), F.col("n"))), F.lit(0)).alias("cells_changed"),
-    )
+    counted = long_texts(df, names).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")).withColumn("after", after)
+    changed = counted.groupBy("column").agg(F.coalesce(F.sum(F.when(~F.col("value").eqNullSafe(F.col("after")), F.col("n"))), F.lit(0)).alias("cells_changed"))
+    kinds = counted.filter("value is not null").select("column", "n", F.inline(F.array(*[F.struct(F.lit(s).alias("side"), F.col(c).alias("text")) for s, c in (("before", "value"), ("after", "after"))])))
+    values = kinds.groupBy("column", "side", "text").agg(F.sum("n").alias("n"))
+    # ranks are cut in each task before the shuffle, so a column of very many values costs a row for each of them and no list
+    place = F.row_number().over(Window.partitionBy("column", "side").orderBy(F.desc("n"), "text"))
+    top = values.withColumn("place", place).filter(F.col("place") <= shown).groupBy("column", "side").agg(F.array_join(F.sort_array(F.collect_list("text")), "|").alias("texts"))
+    sizes = values.groupBy("column", "side").agg(F.count(F.lit(1)).alias("distinct"))
+    more = F.when(F.col("distinct") > shown, F.concat(F.lit("|… and "), (F.col("distinct") - shown).cast("string"), F.lit(" more"))).otherwise("")
+    both = sizes.join(top, ["column", "side"]).withColumn("texts", F.concat("texts", more))
+    pick = lambda c, side: F.max(F.when(F.col("side") == side, F.col(c)))
+    wide = both.groupBy("column").agg(*[pick(c, side).alias(f"{n}_{side}") for n, c in (("distinct", "distinct"), ("values", "texts")) for side in ("before", "after")])
+    none = lambda c, value: F.coalesce(F.col(c), F.lit(value))
+    return changed.join(wide, "column", "left").select("column", none("distinct_before", 0).alias("distinct_before"), none("distinct_after", 0).alias("distinct_after"), none("values_before", "").alias("values_before"), none("values_after", "").alias("values_after"), "cells_changed")
 
 
 def _number(c: Column) -> Column:
@@ -160,8 +178,16 @@ def rejections(df: DataFrame, ranges: dict[str, tuple[float, float]] | None = No
     return cells.select("row_index", "admission_id", "charttime", "column", "value", F.col("state").alias("reason"))
 
 
+def _lost(before: Column, after: Column) -> Column:
+    return rint(1 - after / F.greatest(before, F.lit(1)), 4)
+
+
+def keeps_most(before: Column, after: Column) -> Column:
+    """No column with enough observations may lose the majority of them."""
+    return (before < config.MIN_OBSERVATIONS) | (_lost(before, after) <= config.MAX_CHANNEL_LOSS)
+
+
 def channel_loss(audit: DataFrame) -> DataFrame:
-    """(column, lost, passed): no column with enough observations may lose the majority of them."""
-    lost = rint(1 - F.col("observed_after") / F.greatest("observed_before", F.lit(1)), 4)
-    gated = F.col("observed_before") >= config.MIN_OBSERVATIONS
-    return audit.select("column", lost.alias("lost"), (~gated | (lost <= config.MAX_CHANNEL_LOSS)).alias("passed"))
+    """(column, lost, passed)."""
+    before, after = F.col("observed_before"), F.col("observed_after")
+    return audit.select("column", _lost(before, after).alias("lost"), keeps_most(before, after).alias("passed"))

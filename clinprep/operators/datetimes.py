@@ -2,22 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from clinprep import config
 from clinprep.functions import hours_between, parse_datetime, parse_stripped, rint, spelling, strip
+from clinprep.sources.shared import fresh_name, store
 
 
 def _present(df: DataFrame, columns: list[str] | None) -> list[str]:
     return [c for c in (columns or config.TIME_COLUMNS) if c in df.columns]
 
 
-def parse_times(df: DataFrame, columns: list[str] | None = None, fallbacks: list[str] | None = None) -> DataFrame:
-    """Text columns become timestamps without a zone. Texts are stripped in a projection of their own, once."""
+def parse_times(df: DataFrame, columns: list[str] | None = None, fallbacks: list[str] | None = None, tolerant: bool = False) -> DataFrame:
+    """Text columns become timestamps without a zone. Texts are stripped in a projection of their own, once.
+
+    ``tolerant`` also reads, day first, whatever spelling a general parser knows of texts that begin with no listed one:
+    each distinct text of that kind goes through it once. Without such texts nothing leaves the JVM.
+    """
     names = _present(df, columns)
-    stripped = df.withColumns({f"_text_{c}": strip(F.col(c)) for c in names})
-    return stripped.withColumns({c: parse_stripped(F.col(f"_text_{c}"), fallbacks) for c in names}).drop(*[f"_text_{c}" for c in names])
+    texts = {c: fresh_name(df, f"text_{c}") for c in names}
+    out = df.withColumns({texts[c]: strip(F.col(c)) for c in names})
+    parsed = {c: parse_stripped(F.col(texts[c]), fallbacks) for c in names}
+    if tolerant:
+        found = tolerant_times(out, list(texts.values()), fallbacks)
+        if found is not None:
+            for c in names:
+                known, made = fresh_name(out, f"known_{c}"), fresh_name(out, f"made_{c}")
+                out = out.join(found.select(F.col("text").alias(known), F.col("instant").alias(made)), F.col(texts[c]) == F.col(known), "left").drop(known).withColumnRenamed(made, f"{texts[c]}_made")
+                parsed[c] = F.coalesce(parsed[c], F.col(f"{texts[c]}_made"))
+    return out.withColumns(parsed).select(*df.columns)
+
+
+#: Distinct texts that are broadcast once they are parsed; beyond, cells are shuffled to meet them.
+BROADCAST_TEXTS = 200_000
+
+
+def _general(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column(0).to_pandas()
+        zoned = texts.map(lambda t: pd.to_datetime(t, dayfirst=True, errors="coerce"))
+        plain = zoned.map(lambda t: t.tz_localize(None) if isinstance(t, pd.Timestamp) and t.tzinfo else t)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pd.to_datetime(plain, errors="coerce").astype("datetime64[us]"), pa.timestamp("us"), from_pandas=True)], ["text", "instant"])
+
+
+def tolerant_times(df: DataFrame, columns: list[str], fallbacks: list[str] | None = None) -> DataFrame | None:
+    """(text, instant) of the distinct stripped texts that begin with no known spelling and that no listed form reads; None without any."""
+    cells = df.select(F.explode(F.array(*[F.col(c) for c in columns])).alias("text")).distinct()
+    left = store(cells.filter((spelling(F.col("text")) == config.UNRECOGNISED) & parse_stripped(F.col("text"), fallbacks).isNull() & (F.col("text") != "")), "leftover-texts")
+    n = left.count()
+    if not n:
+        return None
+    found = store(left.mapInArrow(_general, "text string, instant timestamp_ntz").filter("instant is not null"), "tolerant-times")
+    return F.broadcast(found) if n <= BROADCAST_TEXTS else found
 
 
 def long_texts(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -58,28 +99,42 @@ def admission_windows(df: DataFrame) -> DataFrame:
     return df.filter("admission_id is not null").groupBy("admission_id").agg(F.mode("intime", True).alias("w_intime"), F.mode("outtime", True).alias("w_outtime"))
 
 
+def _voted(df: DataFrame) -> tuple[DataFrame, dict[str, str], WindowSpec]:
+    """``df`` with the majority's times of each row's admission, the names of these columns, and the window of an admission.
+
+    One shuffle deals rows out by admission; rows without one are each alone and keep their own times, so they are no
+    hot key. Ties go to the earliest time.
+    """
+    lone = fresh_name(df, "lone")
+    keyed = df.withColumn(lone, F.when(F.col("admission_id").isNull(), F.monotonically_increasing_id()))
+    stay = Window.partitionBy("admission_id", lone)
+    names = {c: fresh_name(df, f"voted_{c}") for c in ("intime", "outtime")}
+    return keyed.withColumns({name: F.mode(c, True).over(stay) for c, name in names.items()}), names, stay
+
+
 def reconcile_windows(df: DataFrame) -> DataFrame:
-    """One window an admission, chart times inside it, and the length of stay in hours."""
-    # rows without an admission keep their own times: they would be one hot key of the vote
-    joined = df.join(admission_windows(df), "admission_id", "left")
-    windowed = joined.withColumns({c: F.coalesce(F.col(f"w_{c}"), F.col(c)) for c in ("intime", "outtime")}).drop("w_intime", "w_outtime")
+    """One window an admission, chart times inside it, and the length of stay in hours. ``df`` is read once."""
+    votes, names, _ = _voted(df)
+    start, end = F.col(names["intime"]), F.col(names["outtime"])
     chart = F.col("charttime")
-    clamped = F.when(chart < F.col("intime"), F.col("intime")).when(chart > F.col("outtime"), F.col("outtime")).otherwise(chart)
-    return windowed.withColumn("charttime", clamped).withColumn("length_of_stay_hours", rint(hours_between(F.col("intime"), F.col("outtime")), 2))
+    clamped = F.when(chart < start, start).when(chart > end, end).otherwise(chart)
+    windowed = votes.withColumns({"charttime": clamped, "intime": start, "outtime": end}).select(*df.columns)
+    return windowed.withColumn("length_of_stay_hours", rint(hours_between(F.col("intime"), F.col("outtime")), 2))
 
 
 def window_audit(df: DataFrame) -> DataFrame:
     """One row of counts over parsed times: conflicting and inverted windows, chart times before and after."""
-    votes = df.filter("admission_id is not null").groupBy("admission_id").agg(F.countDistinct("intime").alias("ins"), F.countDistinct("outtime").alias("outs"))
-    conflicts = votes.agg(F.coalesce(F.sum((F.col("ins") > 1).cast("long") + (F.col("outs") > 1).cast("long")), F.lit(0)).alias("conflicting_windows"))
-    joined = df.join(admission_windows(df), "admission_id", "left")
-    start, end = F.coalesce("w_intime", "intime"), F.coalesce("w_outtime", "outtime")
-    rows = joined.agg(
-        F.count(F.when(end <= start, 1)).alias("inverted_windows"),
-        F.count(F.when(F.col("charttime") < start, 1)).alias("clamped_before"),
-        F.count(F.when(F.col("charttime") > end, 1)).alias("clamped_after"),
+    votes, names, stay = _voted(df)
+    start, end = F.col(names["intime"]), F.col(names["outtime"])
+    differ = lambda c: F.min(c).over(stay) < F.max(c).over(stay)
+    first = F.row_number().over(stay.orderBy("admission_id")) == 1
+    flags = votes.select(
+        F.when(first & F.col("admission_id").isNotNull(), differ("intime").cast("long")).alias("ins"), F.when(first & F.col("admission_id").isNotNull(), differ("outtime").cast("long")).alias("outs"),
+        (end <= start).alias("inverted"), (F.col("charttime") < start).alias("before"), (F.col("charttime") > end).alias("after"),
     )
-    return conflicts.crossJoin(rows)  # one row each
+    count = lambda c: F.count(F.when(F.col(c), 1))
+    total = F.coalesce(F.sum(F.coalesce("ins", F.lit(0)) + F.coalesce("outs", F.lit(0))), F.lit(0))
+    return flags.agg(total.alias("conflicting_windows"), count("inverted").alias("inverted_windows"), count("before").alias("clamped_before"), count("after").alias("clamped_after"))
 
 
 def stay_summary(df: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from clinprep import config
 from clinprep.functions import rint
+from clinprep.sources.shared import fresh_name
 
 MIN_CHANNEL = 40
 CELL = ["admission_id", "hours_since_admission", "channel"]
@@ -45,9 +46,10 @@ def holdout(hourly: DataFrame, mode: str = "random", fraction: float = config.HO
 def hide(hourly: DataFrame, held: DataFrame, channels: list[str] | None = None) -> DataFrame:
     """``hourly`` without the held cells."""
     names = channels or config.CHANNELS
-    flags = held.groupBy(*CELL[:2]).agg(*[F.max(F.when(F.col("channel") == c, True)).alias(f"_hide_{c}") for c in names])
+    hidden = fresh_name(hourly, "hidden")
+    flags = held.groupBy(*CELL[:2]).agg(F.collect_set("channel").alias(hidden))  # a name for each channel at most
     joined = hourly.join(flags, CELL[:2], "left")
-    return joined.withColumns({c: F.when(F.col(f"_hide_{c}").isNull(), F.col(c)) for c in names}).drop(*[f"_hide_{c}" for c in names])
+    return joined.withColumns({c: F.when(F.coalesce(F.array_contains(hidden, c), F.lit(False)), None).otherwise(F.col(c)) for c in names}).drop(hidden)
 
 
 def enough(hourly: DataFrame, channels: list[str] | None = None) -> list[str]:
@@ -57,12 +59,12 @@ def enough(hourly: DataFrame, channels: list[str] | None = None) -> list[str]:
     return [c for c in names if seen[c] >= MIN_CHANNEL]
 
 
-def mask_cells(hourly: DataFrame, fraction: float = config.MASK_FRACTION, seed: int = config.SEED + 1) -> tuple[DataFrame, DataFrame]:
-    """(corrupted, truth): a share of the observed cells of each channel with enough of them is hidden.
+def mask_cells(hourly: DataFrame, fraction: float = config.MASK_FRACTION, seed: int = config.SEED + 1, names: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(corrupted, truth): a share of the observed cells of each channel with enough of them (``names``, if known) is hidden.
 
     ``corrupted`` also has <channel>_truth, the values it hides; ``truth`` has a row for each of them.
     """
-    names = enough(hourly)
+    names = enough(hourly) if names is None else names
     hidden = {f"{c}_truth": F.when(drawn(F.lit(c), fraction, seed), F.col(c)) for c in names}
     marked = hourly.withColumns(hidden) if names else hourly
     corrupted = marked.withColumns({c: F.when(F.col(f"{c}_truth").isNull(), F.col(c)) for c in names}) if names else marked

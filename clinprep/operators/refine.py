@@ -1,7 +1,8 @@
 """A ridge regression for each channel refines imputed cells from the other channels.
 
-Features are built and weighed in Arrow batches, all channels of a row at once. For the fit, tasks sum 43 x 43 normal
-equations of their rows, and the sums of all tasks are solved on the driver.
+Features are built and weighed in Arrow batches, all channels of a row at once. For the fit, the same stage sums the 43 x 43 normal
+equations of its rows; the matrices of the tasks, one a channel, are added in levels and solved on the driver. What was fitted is a versioned
+table that another job can apply.
 """
 
 from __future__ import annotations
@@ -9,21 +10,23 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clinprep import config
 from clinprep.functions import rint
 from clinprep.operators import holdout, vmd
-from clinprep.sources.shared import store
+from clinprep.sources.shared import store, store_observed
 
 HARMONICS = 4
 PERIOD_HOURS = 24.0 * 3.0
 RIDGE = 1.0
 MIN_ROWS = 30
+#: Matrices of tasks that are added in a step.
+FAN = 32
 #: The order of features: the target's own terms (and between them one that weighs both neighbours), the same four of every
 #: other channel, and the temporal basis.
 OWN, OTHER = ["z", "next_z", "decay", "backward_decay", "mask"], ["z", "next_z", "mask", "decay"]
@@ -77,53 +80,84 @@ class Features:
         return np.c_[np.stack([*own[:-1], share * own[0] + (1.0 - share) * own[1], own[-1], *others], 1), self.basis]
 
 
-def training_rows(standardised: DataFrame, hourly: DataFrame, channels: list[str] | None = None) -> DataFrame:
-    """(channel, x, y): features of hidden cells, rebuilt from what is left, and their true standardised value."""
+def _needed(channels: list[str], df: DataFrame) -> list[str]:
+    return ["hours_since_admission", *[f"{c}_{s}" for c in channels for s in sorted({*OWN, *OTHER, *GAPS}) if f"{c}_{s}" in df.columns]]
+
+
+def hidden_rows(hourly: DataFrame, channels: list[str] | None = None, names: list[str] | None = None) -> tuple[DataFrame, list[str]]:
+    """Rows with a hidden cell, rebuilt from what is left with parameters of their own, and the channels that hide cells; one pass over
+    the hourly table for the parameters, one for the rows."""
     channels = channels or config.CHANNELS
-    corrupted, _ = holdout.mask_cells(hourly)
+    corrupted, _ = holdout.mask_cells(hourly, names=names)
     hidden = [c for c in channels if f"{c}_truth" in corrupted.columns]
-    stats = vmd.statistics(standardised, channels).first()  # two numbers a channel
-    # means and statistics read these tables before their rows do, so they are written once
-    rebuilt = vmd.standardise(store(vmd.value_mask_decay(store(corrupted, "corrupted")), "rebuilt"))
+    own = vmd.parameters(corrupted.agg(*vmd.channel_sums(channels)))
+    rebuilt = vmd.standardise(vmd.value_mask_decay(corrupted, channels, means=own), channels, stats=own)
     if hidden:
         rebuilt = rebuilt.filter(F.coalesce(*[F.col(f"{c}_truth") for c in hidden]).isNotNull())
+    return rebuilt.select(*_needed(channels, rebuilt), *[f"{c}_truth" for c in hidden]), hidden
+
+
+def _examples(batch: pa.RecordBatch, channels: list[str], hidden: list[str], stats: vmd.Parameters) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """(channel, features, standardised truth) of a batch's hidden cells."""
+    rows = Features(batch, channels)
+    for c in hidden:
+        truth = np.rint(rows.column(f"{c}_truth", np.nan) * 1e3) / 1e3
+        at = np.flatnonzero(~np.isnan(truth))
+        if len(at):
+            yield c, rows.of(c)[at], np.rint((truth[at] - stats[f"mu_{c}"]) / stats[f"sd_{c}"] * 1e4) / 1e4
+
+
+def training_rows(hourly: DataFrame, stats: vmd.Parameters, channels: list[str] | None = None) -> DataFrame:
+    """(channel, x, y): features of hidden cells, rebuilt from what is left, and their true value standardised by ``stats``."""
+    channels = channels or config.CHANNELS
+    rebuilt, hidden = hidden_rows(hourly, channels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = Features(batch, channels)
-            for c in hidden:
-                truth = np.rint(rows.column(f"{c}_truth", np.nan) * 1e3) / 1e3
-                at = np.flatnonzero(~np.isnan(truth))
-                x, y = rows.of(c)[at], np.rint((truth[at] - stats[f"mu_{c}"]) / stats[f"sd_{c}"] * 1e4) / 1e4
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * N_FEATURES, pa.int32()), pa.array(x.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array([c] * len(at), pa.string()), lists, pa.array(y)], ["channel", "x", "y"])
+            for c, x, y in _examples(batch, channels, hidden, stats):
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(y) + 1) * N_FEATURES, pa.int32()), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array([c] * len(y), pa.string()), lists, pa.array(y)], ["channel", "x", "y"])
 
-    needed = ["hours_since_admission", *[f"{c}_{s}" for c in channels for s in sorted({*OWN, *OTHER, *GAPS}) if f"{c}_{s}" in rebuilt.columns], *[f"{c}_truth" for c in hidden]]
-    return rebuilt.select(*needed).mapInArrow(run, "channel string, x array<double>, y double")
+    return rebuilt.mapInArrow(run, "channel string, x array<double>, y double")
 
 
-def _partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    sums: dict[str, np.ndarray] = {}
-    for frame in frames:
-        for channel, rows in frame.groupby("channel"):
-            x, y = np.stack(rows["x"].to_numpy()), rows["y"].to_numpy()
-            design_y = np.c_[x, y, np.ones(len(y))]  # one product holds x'x, x'y, y'y, sums and the count
-            sums[channel] = sums.get(channel, 0.0) + design_y.T @ design_y
-    for channel, gram in sums.items():
-        yield pd.DataFrame({"channel": channel, "at": np.arange(gram.size), "v": gram.ravel()})
+GRAMS = "channel string, leg int, gram binary"
 
 
-def fit_refiner(rows: DataFrame, ridge: float = RIDGE) -> dict[str, dict]:
-    """by channel: weights, rows, n_features and in-sample r2. The intercept is penalised like the rest.
+def _gram_rows(sums: dict[str, np.ndarray]) -> pa.RecordBatch:
+    leg = TaskContext.get().partitionId()
+    cells = [list(sums), [leg] * len(sums), [g.tobytes() for g in sums.values()]]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, (pa.string(), pa.int32(), pa.binary()), strict=True)], ["channel", "leg", "gram"])
 
-    A few thousand sums a channel reach the driver, however many rows there are.
-    """
-    sums = rows.mapInPandas(_partial, "channel string, at int, v double").groupBy("channel", "at").agg(F.sum("v").alias("v")).toPandas()
+
+def _add(sums: dict[str, np.ndarray], channel: str, x: np.ndarray, y: np.ndarray) -> None:
+    both = np.c_[x, y, np.ones(len(y))]  # one product holds x'x, x'y, y'y, sums and the count
+    sums[channel] = sums.get(channel, 0.0) + both.T @ both
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One matrix for each (channel, leg) of a task."""
+    sums: dict[tuple, np.ndarray] = {}
+    for batch in batches:
+        for channel, leg, gram in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            sums[channel, leg] = sums.get((channel, leg), 0.0) + np.frombuffer(gram)
+    cells = [[k[0] for k in sums], [k[1] for k in sums], [g.tobytes() for g in sums.values()]]
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, (pa.string(), pa.int32(), pa.binary()), strict=True)], ["channel", "leg", "gram"])
+
+
+def _solved(grams: DataFrame, ridge: float) -> dict[str, dict]:
+    """Matrices of tasks are added FAN at a time until FAN or fewer a channel are left, which the driver adds and solves."""
+    grams = store(grams, "grams")
+    while (grams.agg(F.max("leg")).first()[0] or 0) >= FAN:
+        legs = grams.withColumn("leg", F.floor(F.col("leg") / FAN).cast("int")).repartition("channel", "leg")
+        grams = store(legs.mapInArrow(_merge, GRAMS), "grams")
+    sums: dict[str, np.ndarray] = {}
+    for r in grams.select("channel", "gram").collect():
+        sums[r["channel"]] = sums.get(r["channel"], 0.0) + np.frombuffer(bytes(r["gram"]))
     out = {}
-    for channel, part in sums.groupby("channel"):
-        size = int(np.sqrt(len(part)))
-        gram = part.sort_values("at")["v"].to_numpy().reshape(size, size)
-        k, n = size - 2, gram[-1, -1]
+    for channel, gram in sorted(sums.items()):
+        gram = gram.reshape(int(np.sqrt(gram.size)), -1)
+        k, n = len(gram) - 2, gram[-1, -1]
         if n < MIN_ROWS:
             continue
         weights = np.linalg.solve(gram[:k, :k] + ridge * np.eye(k), gram[:k, k])
@@ -133,13 +167,80 @@ def fit_refiner(rows: DataFrame, ridge: float = RIDGE) -> dict[str, dict]:
     return out
 
 
-def refine(standardised: DataFrame, weights: dict[str, list[float]], channels: list[str] | None = None) -> DataFrame:
+def fit_refiner(rows: DataFrame, ridge: float = RIDGE) -> dict[str, dict]:
+    """F4 of rows (channel, x, y): by channel: weights, rows, n_features and in-sample r2. The intercept is penalised like the rest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            channels, x, y = np.array(batch.column(0).to_pylist()), batch.column(1), batch.column(2).to_numpy()
+            for c in np.unique(channels):
+                at = np.flatnonzero(channels == c)
+                _add(sums, str(c), np.stack(x.take(pa.array(at)).to_numpy(zero_copy_only=False)), y[at])
+        yield _gram_rows(sums)
+
+    return _solved(rows.select("channel", "x", "y").mapInArrow(run, GRAMS), ridge)
+
+
+def fit(hourly: DataFrame, stats: vmd.Parameters, channels: list[str] | None = None, ridge: float = RIDGE) -> dict[str, dict]:
+    """F3, F4 of the hourly table: features and normal equations in one stage, so no row of features is ever written or shuffled.
+
+    ``stats`` standardises the true values. Where they have counts (n_<channel>), channels with few cells are known from them.
+    """
+    channels = channels or config.CHANNELS
+    known = [c for c in channels if stats[f"n_{c}"] >= holdout.MIN_CHANNEL] if all(f"n_{c}" in stats for c in channels) else None
+    rebuilt, hidden = hidden_rows(hourly, channels, known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for c, x, y in _examples(batch, channels, hidden, stats):
+                _add(sums, c, x, y)
+        yield _gram_rows(sums)
+
+    return _solved(rebuilt.mapInArrow(run, GRAMS), ridge)
+
+
+MODEL = "version long, channel string, mean double, mu double, sd double, weights array<double>"
+
+
+def save_model(spark: SparkSession, path: str, parameters: vmd.Parameters, weights: dict[str, list[float]]) -> int:
+    """Statistics and weights as a new version of a table: a row for each channel. Earlier versions stay."""
+    version = max(model_versions(spark, path), default=0) + 1
+    rows = [(version, c, parameters.get(f"mean_{c}"), parameters.get(f"mu_{c}"), parameters.get(f"sd_{c}"), weights.get(c)) for c in config.CHANNELS if f"mu_{c}" in parameters]
+    spark.createDataFrame(rows, MODEL).coalesce(1).write.parquet(f"{path}/version={version}")
+    return version
+
+
+def model_versions(spark: SparkSession, path: str) -> list[int]:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in system.listStatus(folder)] if system.exists(folder) else []
+    return sorted(int(n.removeprefix("version=")) for n in names if n.startswith("version="))
+
+
+def load_model(spark: SparkSession, path: str, version: int | None = None) -> dict:
+    """{parameters, weights} of a version, the newest by default; for value_mask_decay, standardise and refine of other tables."""
+    version = version or max(model_versions(spark, path))
+    rows = spark.read.schema(MODEL).parquet(f"{path}/version={version}").collect()  # a row for each channel
+    parameters = {f"{k}_{r['channel']}": r[k] for r in rows for k in ("mean", "mu", "sd")}
+    return {"version": version, "parameters": parameters, "weights": {r["channel"]: list(r["weights"]) for r in rows if r["weights"] is not None}}
+
+
+def serve(hourly: DataFrame, model: dict) -> DataFrame:
+    """V2-V8 and F5, F6 of an hourly table with frozen parameters and weights; nothing is fitted, nothing but ``hourly`` is read."""
+    known = model["parameters"]
+    return refine(vmd.standardise(vmd.value_mask_decay(hourly, means=known), stats=known), model["weights"], stats=known)
+
+
+def refine(standardised: DataFrame, weights: dict[str, list[float]], channels: list[str] | None = None, stats: vmd.Parameters | DataFrame | None = None) -> DataFrame:
     """<channel>_refined_z and <channel>_refined; observed cells are copied, never round-tripped.
 
-    Columns of these names are replaced. A channel without weights keeps its carried value.
+    Columns of these names are replaced. A channel without weights keeps its carried value. ``stats`` are the parameters of V8; without
+    them the table is read for them.
     """
     channels = [c for c in (channels or config.CHANNELS) if f"{c}_z" in standardised.columns]
-    stats = vmd.statistics(standardised, channels).first()  # two numbers a channel
+    stats = vmd.parameters(vmd.statistics(standardised, channels) if stats is None else stats)
     new = [f"{c}_{s}" for c in channels for s in ("refined_z", "refined")]
     kept = standardised.drop(*new)
     schema = T.StructType([*kept.schema.fields, *[T.StructField(n, T.DoubleType()) for n in new]])
@@ -176,8 +277,10 @@ def refinement_audit(refined: DataFrame, channels: list[str] | None = None) -> D
 def benchmark_errors(hourly: DataFrame, mode: str = "block") -> DataFrame:
     """B1-B3 with refinement: held cells with the carried and the refined value, the refiner fitted on what is left."""
     held = store(holdout.holdout(hourly, mode), "held")
-    left = store(holdout.hide(hourly, held), "left")
-    standardised = store(vmd.standardise(store(vmd.value_mask_decay(left), "vmd")), "standardised")
-    fitted = fit_refiner(training_rows(standardised, left))
-    refined = refine(standardised, {c: f["weights"] for c, f in fitted.items()})
+    left, seen = store_observed(holdout.hide(hourly, held).select(*holdout.CELL[:2], *config.CHANNELS), "left", *vmd.channel_sums(config.CHANNELS))
+    known = vmd.parameters(seen)
+    weights = {c: f["weights"] for c, f in fit(left, known).items()}
+    standardised = vmd.standardise(vmd.value_mask_decay(left, means=known), stats=known)
+    keys = [holdout.CELL[0], *_needed(config.CHANNELS, standardised), *[f"{c}_value" for c in config.CHANNELS]]
+    refined = refine(standardised.select(*dict.fromkeys(keys)), weights, stats=known)
     return holdout.held_errors(held, refined, {"locf": "value", "refined": "refined"})

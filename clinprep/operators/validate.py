@@ -69,15 +69,20 @@ def grid_assertions(hourly: DataFrame) -> DataFrame:
     )
 
 
-def channel_assertions(processed: DataFrame, channels: list[str] | None = None) -> DataFrame:
-    """A4: for each channel, values complete, masks 0 or 1, decays between 0 and 1."""
+def channel_claims(processed: DataFrame, channels: list[str] | None = None) -> tuple[list[Column], list[Column]]:
+    """A4 as aggregates, and the claims over them."""
     channels = [c for c in (channels or config.CHANNELS) if f"{c}_value" in processed.columns]
     bad = lambda ok: F.count(F.when(~F.coalesce(ok, F.lit(False)), 1))
     sums = []
     for c in channels:
         sums += [bad(F.col(f"{c}_value").isNotNull()).alias(f"v_{c}"), bad(F.col(f"{c}_mask").isin(0, 1)).alias(f"m_{c}"), bad(F.col(f"{c}_decay").between(0, 1)).alias(f"d_{c}")]
-    rows = [_none(f"{c}_{what}", F.col(f"{k}_{c}")) for c in channels for k, what in (("v", "values_present"), ("m", "mask_is_0_or_1"), ("d", "decay_from_0_to_1"))]
-    return _rows(processed.agg(*sums), *rows)
+    return sums, [_none(f"{c}_{what}", F.col(f"{k}_{c}")) for c in channels for k, what in (("v", "values_present"), ("m", "mask_is_0_or_1"), ("d", "decay_from_0_to_1"))]
+
+
+def channel_assertions(processed: DataFrame, channels: list[str] | None = None) -> DataFrame:
+    """A4: for each channel, values complete, masks 0 or 1, decays between 0 and 1."""
+    sums, claims = channel_claims(processed, channels)
+    return _rows(processed.agg(*sums), *claims)
 
 
 def fabrication_assertions(processed: DataFrame, audit: DataFrame, channels: list[str] | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from clinprep import config
 from clinprep.functions import rint
+from clinprep.sources.shared import fresh_name
 
 
 def _up() -> Window:
@@ -28,18 +29,36 @@ def population_means(hourly: DataFrame, channels: list[str] | None = None) -> Da
     return hourly.agg(*[F.avg(c).alias(f"mean_{c}") for c in channels or config.CHANNELS])
 
 
+def channel_sums(channels: list[str]) -> list[Column]:
+    """Aggregates of the hourly table that fix the parameters of V1 and V8: the values that are standardised are the observed ones, rounded."""
+    out = []
+    for c in channels:
+        x = rint(F.col(c), 3)
+        out += [F.avg(c).alias(f"mean_{c}"), F.avg(x).alias(f"mu_{c}"), F.stddev_pop(x).alias(f"sd_{c}"), F.count(c).alias(f"n_{c}")]
+    return out
+
+
+Parameters = dict[str, float | None]
+
+
+def parameters(found: Parameters | DataFrame) -> Parameters:
+    """mean_, mu_, sd_ (and n_) of each channel by name, from aggregates or a table of one row; a spread of 0 or none counts as 1."""
+    row = found.first().asDict() if isinstance(found, DataFrame) else found  # a few numbers a channel
+    return {k: (v if v is not None and v > 0 else 1.0) if k.startswith("sd_") else v for k, v in row.items()}
+
+
 def neutral_fill(hourly: DataFrame, channel: str) -> DataFrame:
     """V2: only the leading gap (a whole series that was never observed) becomes the population mean."""
-    joined = hourly.crossJoin(population_means(hourly, [channel]))  # one row
+    mean = F.lit(parameters(population_means(hourly, [channel]))[f"mean_{channel}"]).cast("double")
     seen = F.last(channel, True).over(_up())
-    return joined.withColumn(channel, F.when(seen.isNull(), F.col(f"mean_{channel}")).otherwise(F.col(channel))).drop(f"mean_{channel}")
+    return hourly.withColumn(channel, F.when(seen.isNull(), mean).otherwise(F.col(channel)))
 
 
-def _expand(c: str, base: float) -> dict[str, Column]:
-    x, pos, mean = F.col(c), F.col("hours_since_admission"), F.col(f"mean_{c}")
+def _expand(c: str, base: float, mean: Column, hours: Column) -> dict[str, Column]:
+    x, pos = F.col(c), F.col("hours_since_admission")
     before, after = F.max(F.when(x.isNotNull(), pos)).over(_up()), F.min(F.when(x.isNotNull(), pos)).over(_down())
     carried, ahead = F.last(x, True).over(_up()), F.last(x, True).over(_down())
-    end = F.coalesce(after, F.col("_hours"))
+    end = F.coalesce(after, hours)
     gap = F.when(before.isNull(), end - pos).otherwise(pos - before)
     back = end - pos
     value = F.coalesce(carried, mean)
@@ -55,13 +74,14 @@ def _expand(c: str, base: float) -> dict[str, Column]:
     }
 
 
-def value_mask_decay(hourly: DataFrame, channels: list[str] | None = None, base: float = config.DECAY_BASE, means: DataFrame | None = None) -> DataFrame:
-    """V2-V7: eight further columns a channel. Needs admission_id and hours_since_admission (0, 1, ...)."""
+def value_mask_decay(hourly: DataFrame, channels: list[str] | None = None, base: float = config.DECAY_BASE, means: Parameters | DataFrame | None = None) -> DataFrame:
+    """V2-V7: eight further columns a channel. Needs admission_id and hours_since_admission (0, 1, ...). Without ``means`` the table is read for them."""
     channels = [c for c in (channels or config.CHANNELS) if c in hourly.columns]
-    rows = hourly.crossJoin(F.broadcast(means if means is not None else population_means(hourly, channels)))  # one row
-    hours = F.max("hours_since_admission").over(Window.partitionBy("admission_id")) + 1
-    new = reduce(lambda a, b: a | b, (_expand(c, base) for c in channels), {})
-    return rows.withColumn("_hours", hours).withColumns(new).drop("_hours", *[f"mean_{c}" for c in channels])
+    known = parameters(population_means(hourly, channels) if means is None else means)
+    hours = fresh_name(hourly, "hours")
+    rows = hourly.withColumn(hours, F.max("hours_since_admission").over(Window.partitionBy("admission_id")) + 1)
+    new = reduce(lambda a, b: a | b, (_expand(c, base, F.lit(known[f"mean_{c}"]).cast("double"), F.col(hours)) for c in channels), {})
+    return rows.withColumns(new).drop(hours)
 
 
 def statistics(vmd: DataFrame, channels: list[str] | None = None) -> DataFrame:
@@ -74,13 +94,15 @@ def statistics(vmd: DataFrame, channels: list[str] | None = None) -> DataFrame:
     return vmd.agg(*out)
 
 
-def standardise(vmd: DataFrame, channels: list[str] | None = None, stats: DataFrame | None = None) -> DataFrame:
-    """V8: <channel>_z and <channel>_next_z, with given statistics when serving; their spread is guarded alike."""
+def standardise(vmd: DataFrame, channels: list[str] | None = None, stats: Parameters | DataFrame | None = None) -> DataFrame:
+    """V8: <channel>_z and <channel>_next_z, with given statistics when serving; their spread is guarded alike.
+
+    Without statistics the table is read for them; ``channel_sums`` of the hourly table gives the same numbers without its windows.
+    """
     channels = [c for c in (channels or config.CHANNELS) if f"{c}_value" in vmd.columns]
-    joined = vmd.crossJoin(F.broadcast(stats if stats is not None else statistics(vmd, channels)))  # one row
-    sd = lambda c: F.when(F.col(f"sd_{c}") > 0, F.col(f"sd_{c}")).otherwise(1.0)
-    z = lambda c, of: rint((F.col(f"{c}_{of}") - F.col(f"mu_{c}")) / sd(c), 4)
-    return joined.withColumns({f"{c}_{out}": z(c, of) for c in channels for out, of in (("z", "value"), ("next_z", "next_value"))}).drop(*[f"{k}_{c}" for c in channels for k in ("mu", "sd")])
+    known = parameters(statistics(vmd, channels) if stats is None else stats)
+    z = lambda c, of: rint((F.col(f"{c}_{of}") - F.lit(known[f"mu_{c}"]).cast("double")) / F.lit(known[f"sd_{c}"]), 4)
+    return vmd.withColumns({f"{c}_{out}": z(c, of) for c in channels for out, of in (("z", "value"), ("next_z", "next_value"))})
 
 
 def long_channels(df: DataFrame, fields: list[str], channels: list[str] | None = None, carried: tuple[str, ...] = ()) -> DataFrame:

@@ -378,3 +378,24 @@ ORACLES["a9_postconditions"] = after("refined", " UNION ALL ".join([
 _ALL = " UNION ALL ".join(f"SELECT name, passed FROM ({ORACLES[q]})" for q in ("a1_table_assertions", "a2_range_assertions", "a3_grid_assertions", "a4_channel_assertions", "a5_fabrication_assertions"))
 ORACLES["s3_report_of_a_run"] = _ALL
 ORACLES["a11_run"] = f"SELECT count(*) AS total, count(*) FILTER (NOT passed) AS failed, coalesce(string_agg(name, ',' ORDER BY name) FILTER (NOT passed), '') AS failed_names FROM ({_ALL})"
+
+# Twins of what runs on texts before units and forms are settled
+_raw_states = per(RG, "SELECT row_index, admission_id, charttime, '{c}' AS \"column\", {c} AS value, TRY_CAST({c} AS DOUBLE) AS x FROM ev")
+_BAD = f"CASE WHEN value IS NULL THEN NULL WHEN x IS NULL OR isnan(x) THEN 'unparseable' WHEN NOT x BETWEEN {BOUNDS[0]} AND {BOUNDS[1]} THEN 'out_of_range' ELSE 'plausible' END"
+ORACLES["r2_range_audit_of_texts"] = after("ev", f"""SELECT "column", count(*) FILTER (state IN ('out_of_range', 'unparseable')) AS rejected, count(*) FILTER (state = 'out_of_range') AS out_of_range, count(*) FILTER (state = 'unparseable') AS unparseable,
+ count(state) AS observed_before, count(*) FILTER (state = 'plausible') AS observed_after, count(*) AS total FROM (SELECT "column", {_BAD} AS state FROM ({_raw_states})) GROUP BY "column" """)
+ORACLES["r3_rejections_of_texts"] = after("ev", f"SELECT row_index, admission_id, charttime, \"column\", value, state AS reason FROM (SELECT *, {_BAD} AS state FROM ({_raw_states})) WHERE state IN ('out_of_range', 'unparseable')")
+_dotted = lambda c: f"regexp_replace({c}, '^(\\d\\d)/(\\d\\d)/(\\d{{4}})', '\\1.\\2.\\3')"
+ORACLES["t3_parse_audit_of_other_forms"] = after("parsed", " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", count(DISTINCT s) FILTER (s <> 'Unrecognised') AS spellings, count(*) FILTER (s = 'Unrecognised' AND t IS NOT NULL) AS fallback_parsed, count(*) FILTER (t IS NULL) AS unparseable
+    FROM (SELECT {spelling('x')} AS s, coalesce({instant('x')}, CASE WHEN {spelling('x')} = 'Unrecognised' THEN try_strptime(x, '%d.%m.%Y %H:%M') END) AS t FROM (SELECT {strip(_dotted(c))} AS x FROM ev WHERE {c} IS NOT NULL))""" for c in TIMES))
+ORACLES["t2_parse_tolerantly"] = ORACLES["t2_parse_with_fallback"]
+ORACLES["s1_line_numbers"] = after("raw", "SELECT row_number() OVER (ORDER BY row_index) - 1 AS row_index, row_index AS written FROM raw")
+ORACLES["p1_profile_of_dictionary"] = ORACLES["p1_column_profile"]
+ORACLES["p8_exact_medians"] = after("raw", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {rint(f'median({number(c)})', 2)} AS median FROM raw" for c in CH))
+ORACLES["v8_serve"] = after("refined", f"SELECT {K}, {', '.join(f'{c}_z, {c}_refined_z' for c in CH)} FROM refined")
+_tokens = "SELECT \"column\", token, n FROM (" + P4 + ")"
+ORACLES["a10_evidence"] = after("raw", f"""SELECT 'remove_duplicates' AS step, CAST(NULL AS VARCHAR) AS "column", n AS evidence, 'rows equal to an earlier one' AS detail FROM (SELECT CAST(sum(k - 1) AS BIGINT) AS n FROM (SELECT count(*) AS k FROM raw GROUP BY {cols(RAW)})) WHERE n > 0
+  UNION ALL SELECT 'convert_units', "column", CAST(sum(n) AS BIGINT), string_agg(token, ', ' ORDER BY token) FROM ({_tokens}) GROUP BY "column"
+  UNION ALL SELECT 'standardise_categories', "column", distinct_raw, CAST(distinct_raw AS VARCHAR) || ' spellings of ' || CAST(distinct_casefold AS VARCHAR) FROM ({P7})
+  UNION ALL SELECT 'validate_ranges', "column", out_of_range + unparseable, 'outside ' || CAST(low AS VARCHAR) || ' to ' || CAST(high AS VARCHAR) FROM ({P6})""")

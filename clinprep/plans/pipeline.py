@@ -1,10 +1,17 @@
-"""Postconditions of each step, planning from a profile, and the job from raw events to the refined matrix."""
+"""Postconditions of each step, planning from a profile, and the job from raw events to the refined matrix.
+
+A step's claims are checked from aggregates that are observed while its table is written, so a gate reads nothing again but where it
+needs rows brought together (duplicates, gaps of the grid). Steps that change cells only are written together, each with
+aggregates of its own.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from clinprep import config
@@ -26,7 +33,7 @@ ALWAYS = {"standardise_datetimes", "build_hourly_timeseries", "build_value_mask_
 HIGH_MISSING_PCT = 25.0
 #: Which step must come before.
 NEEDS = {"build_hourly_timeseries": "standardise_datetimes", "build_value_mask_decay": "build_hourly_timeseries", "refine_missing_values": "build_value_mask_decay"}
-#: Checks of a step's result, the first one included, before the job halts; between two of them comes the step's repair.
+#: Checks of a step's result, the first one included, before the job halts; between two of them comes the repair of what failed.
 ATTEMPTS = 2
 TRACE = "position int, step string, attempt int, passed boolean, failed string"
 
@@ -35,29 +42,76 @@ class PostconditionFailed(RuntimeError):
     """A step's result broke a claim that the next step relies on."""
 
 
-def check_duplicates(df: DataFrame) -> DataFrame:
-    return validate._rows(dedup.count_duplicates(df), validate._none("rows_are_distinct", F.col("redundant")))
+@dataclass
+class Check:
+    """Claims about a step's result, over aggregates of the table before and after it."""
+
+    claims: list[Column]
+    after: list[Column] = field(default_factory=list)
+    before: list[Column] = field(default_factory=list)
 
+    def of(self, after: DataFrame, before: DataFrame | None = None) -> DataFrame:
+        """The claims as assertions, by aggregating the tables."""
+        one = after.agg(*self.after) if self.after else None
+        if self.before:
+            then = before.agg(*self.before)
+            one = then if one is None else one.crossJoin(then)  # one row each
+        return validate._rows(one, *self.claims)
 
-def check_datetimes(df: DataFrame) -> DataFrame:
+    def seen(self, after: DataFrame, before: DataFrame, values: dict) -> DataFrame:
+        """The claims as assertions, from aggregates that were observed."""
+        fields = [f for df, metrics in ((after, self.after), (before, self.before)) if metrics for f in df.agg(*metrics).schema.fields]
+        one = after.sparkSession.createDataFrame([tuple(values.get(f.name) for f in fields)], "struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in fields) + ">")
+        return validate._rows(one, *self.claims)
+
+
+def check_duplicates(df: DataFrame, found: dedup.Repeats | None = None) -> DataFrame:
+    return validate._rows((found or dedup.Repeats(df)).counts(), validate._none("rows_are_distinct", F.col("redundant")))
+
+
+def datetimes_check(df: DataFrame) -> Check:
     kinds = dict(df.dtypes)
     typed = [validate._row(f"{c}_is_timestamp", F.lit(kinds[c].startswith("timestamp")), "timestamp", kinds[c]) for c in config.TIME_COLUMNS if c in kinds]
-    one = df.agg(F.min("length_of_stay_hours").alias("stay"), F.count(F.when(F.col("outtime") <= F.col("intime"), 1)).alias("inverted_windows"))
-    return validate._rows(one, *typed, validate._none("windows_end_after_they_start", F.col("inverted_windows"), "counted in rows"), validate._row("stay_is_positive", F.col("stay") > 0, "> 0", F.col("stay")))
+    sums = [F.min("length_of_stay_hours").alias("stay"), F.count(F.when(F.col("outtime") <= F.col("intime"), 1)).alias("inverted_windows")]
+    claims = [validate._none("windows_end_after_they_start", F.col("inverted_windows"), "counted in rows"), validate._row("stay_is_positive", F.col("stay") > 0, "> 0", F.col("stay"))]
+    return Check([*typed, *claims], sums)
 
 
-def check_units(df: DataFrame) -> DataFrame:
+def check_datetimes(df: DataFrame) -> DataFrame:
+    return datetimes_check(df).of(df)
+
+
+def units_check(df: DataFrame) -> Check:
     kinds = dict(df.dtypes)
     typed = [validate._row(f"{c}_is_a_number", F.lit(kinds[c] == "double"), "double", kinds[c]) for c in ("temperature", "glucose", "sbp", "mbp") if c in kinds]
-    x = F.col("temperature").try_cast("double")
-    one = df.agg(F.count(F.when(x.between(*config.STRAY_FAHRENHEIT_BAND), 1)).alias("stray"))
-    return validate._rows(one, *typed, validate._none("no_stray_fahrenheit", F.col("stray")))
+    x = F.col("temperature").try_cast("double") if "temperature" in kinds else F.lit(None).cast("double")
+    return Check([*typed, validate._none("no_stray_fahrenheit", F.col("stray"))], [F.count(F.when(x.between(*config.STRAY_FAHRENHEIT_BAND), 1)).alias("stray")])
 
 
-def check_categories(df: DataFrame, vocabularies=None) -> DataFrame:
+def check_units(df: DataFrame) -> DataFrame:
+    return units_check(df).of(df)
+
+
+def categories_check(df: DataFrame, vocabularies=None) -> Check:
     """``df`` is the table before the step."""
-    one = cells.unmapped_values(df, vocabularies).agg(F.count(F.lit(1)).alias("n"))
-    return validate._rows(one, validate._none("categories_all_known", F.col("n")))
+    unknown = [F.count(F.when(x, 1)) for x in cells.unknown_cells(df, vocabularies)]
+    return Check([validate._none("categories_all_known", F.col("unknown_cells"))], before=[reduce(Column.__add__, unknown, F.lit(0)).alias("unknown_cells")])
+
+
+def check_categories(df: DataFrame, vocabularies=None) -> DataFrame:
+    return categories_check(df, vocabularies).of(df, df)
+
+
+def ranges_check(before: DataFrame, ranges=None) -> Check:
+    ranges = {c: r for c, r in (ranges or config.RANGES).items() if c in before.columns}
+    had, kept = {}, {}
+    for c, r in ranges.items():
+        state = cells._state(F.col(c), *r)
+        had[c], kept[c] = F.count(state).alias(f"had_{c}"), F.count(F.when(state == "plausible", 1)).alias(f"kept_{c}")
+    outside = [F.count(F.when(~F.col(c).between(*r), 1)) for c, r in ranges.items()]
+    total = reduce(Column.__add__, outside, F.lit(0)).alias("outside")
+    lost = reduce(Column.__add__, [(~cells.keeps_most(F.col(f"had_{c}"), F.col(f"kept_{c}"))).cast("int") for c in ranges], F.lit(0))
+    return Check([validate._none("all_values_in_range", F.col("outside")), validate._none("no_column_lost_most_values", lost)], [total], [*had.values(), *kept.values()])
 
 
 def check_ranges(df: DataFrame, audit: DataFrame) -> DataFrame:
@@ -71,20 +125,30 @@ def check_hourly(df: DataFrame, audit: DataFrame) -> DataFrame:
     return validate.grid_assertions(df).unionByName(grew)
 
 
+def vmd_check(df: DataFrame) -> Check:
+    sums, claims = validate.channel_claims(df)
+    channels = [c for c in config.CHANNELS if f"{c}_z" in df.columns]
+    worst = [F.max(F.when(F.col(f"{c}_fill_kind") == "neutral_fill", F.abs(f"{c}_z"))).alias(f"worst_{c}") for c in channels]
+    most = F.greatest(F.lit(0.0), F.lit(0.0), *[F.col(f"worst_{c}") for c in channels])
+    return Check([*claims, validate._row("neutral_fill_is_zero", most < 0.01, "< 0.01", most)], [*sums, *worst])
+
+
 def check_vmd(df: DataFrame) -> DataFrame:
-    worst = vmd.neutral_check(df).agg(F.max("worst").alias("worst"))
-    neutral = validate._rows(worst, validate._row("neutral_fill_is_zero", F.col("worst") < 0.01, "< 0.01", F.col("worst")))
-    return validate.channel_assertions(df).unionByName(neutral)
+    return vmd_check(df).of(df)
+
+
+def refinement_check(df: DataFrame) -> Check:
+    moved = [F.count(F.when((F.col(f"{c}_mask") == 1) & ~F.col(f"{c}_refined").eqNullSafe(F.col(f"{c}_value")), 1)) for c in config.CHANNELS if f"{c}_refined" in df.columns]
+    return Check([validate._none("observed_cells_unchanged", F.col("modified"))], [reduce(Column.__add__, moved, F.lit(0)).alias("modified")])
 
 
 def check_refinement(df: DataFrame) -> DataFrame:
-    one = refine.refinement_audit(df).agg(F.sum("observed_modified").alias("n"))
-    return validate._rows(one, validate._none("observed_cells_unchanged", F.col("n")))
+    return refinement_check(df).of(df)
 
 
-def failures(assertions: DataFrame) -> list[str]:
+def failures(assertions: DataFrame) -> list[tuple[str, str]]:
     """Name and finding of each assertion that failed; a step has a few dozen at most."""
-    return [f"{r['name']}: {r['observed']}" for r in assertions.filter(~F.col("passed")).collect()]
+    return [(r["name"], r["observed"]) for r in assertions.filter(~F.col("passed")).collect()]
 
 
 class Gates:
@@ -93,18 +157,62 @@ class Gates:
     def __init__(self, active: bool = True):
         self.active, self.trace = active, []
 
-    def passed(self, step: str, df: DataFrame, check) -> DataFrame:
+    def settled(self, step: str, attempt: int, failed: list[tuple[str, str]]) -> list[str]:
+        """Notes what was found; the assertions to repair, none if all hold. Raises if one has no repair, or had it already."""
+        self.trace.append((STEPS.index(step), step, attempt, not failed, "; ".join(f"{n}: {x}" for n, x in failed)))
+        if failed and (attempt == ATTEMPTS or any(n not in REPAIRS for n, _ in failed)):
+            raise PostconditionFailed(f"{step}: {self.trace[-1][-1]}")
+        return [n for n, _ in failed]
+
+    def passed(self, step: str, df: DataFrame, check: Callable[[DataFrame], DataFrame], attempt: int = 1) -> DataFrame:
         """``df``, or its repaired form, once ``check(df)`` has nothing to say against it."""
-        for attempt in range(1, ATTEMPTS + 1) if self.active else ():
-            failed = failures(check(df))
-            self.trace.append((STEPS.index(step), step, attempt, not failed, "; ".join(failed)))
-            if not failed:
+        if not self.active:
+            return df
+        for attempt in range(attempt, ATTEMPTS + 1):
+            found = self.settled(step, attempt, failures(check(df)))
+            if not found:
                 return df
-            if step not in REPAIRS or attempt == ATTEMPTS:
-                raise PostconditionFailed(f"{step}: {self.trace[-1][-1]}")
-            df = store(REPAIRS[step](df), "repaired")
+            df = store(_repaired(df, found), "repaired")
         return df
 
+    def written(self, df: DataFrame, stages: list[tuple[str, Callable, Callable]], tag: str, attempt: int = 1) -> DataFrame:
+        """The table that the stages make of ``df``, written once with the aggregates of all their checks observed.
+
+        A stage is (step, what it makes of a table, its check of the tables before and after). If the claims of one fail, its result is repaired and
+        written, and the stages after it are done anew.
+        """
+        if not self.active:
+            return reduce(lambda t, stage: stage[1](t), stages, df)
+        now, told = df, []
+        for step, make, check_of in stages:
+            # plain twins name the tables' columns; observations ride along
+            after = make(now)
+            check = check_of(now, after)
+            seen = {}
+            if check.before:
+                seen["before"] = Observation()
+                after = make(now.observe(seen["before"], *check.before))
+            plain = after
+            if check.after:
+                seen["after"] = Observation()
+                after = after.observe(seen["after"], *check.after)
+            told.append((step, check, seen, now, plain))
+            now = after
+        out = store(now, tag)
+        for i, (step, check, seen, before, after) in enumerate(told):
+            values = {k: v for o in seen.values() for k, v in o.get.items()}
+            found = self.settled(step, attempt if not i else 1, failures(check.seen(after, before, values)))
+            if found:
+                fix = (step, lambda t, found=found: _repaired(t, found), lambda _, t, check=check: Check(check.claims, check.after, []))
+                if check.before:  # what was lost before stays lost: only claims over the result can be repaired
+                    fix = (step, fix[1], lambda _, t, check=check: Check(check.claims[:1], check.after))
+                return self.written(store(after, "failed"), [fix, *stages[i + 1 :]], tag, ATTEMPTS)
+        return out
+
+
+def _repaired(df: DataFrame, failed: list[str]) -> DataFrame:
+    return reduce(lambda t, name: REPAIRS[name](t), failed, df)
+
 
 def repair_temperature(df: DataFrame) -> DataFrame:
     """Values left in the Fahrenheit band of body temperature are converted."""
@@ -112,24 +220,42 @@ def repair_temperature(df: DataFrame) -> DataFrame:
     return df.withColumn("temperature", F.when(x.between(*config.STRAY_FAHRENHEIT_BAND), cells.rint(cells._to_celsius(x), 2)).otherwise(x))
 
 
-#: What may be done about a failed step, and nothing else. A repair takes the step's result and gives a new one.
-REPAIRS = {"remove_duplicates": dedup.remove_duplicates, "validate_ranges": cells.validate_ranges, "convert_units": repair_temperature}
+#: What may be done about a failed assertion, and nothing else. A repair takes the step's result and gives a new one.
+REPAIRS = {"rows_are_distinct": dedup.remove_duplicates, "all_values_in_range": cells.validate_ranges, "no_stray_fahrenheit": repair_temperature}
 
 
 def plan_steps(raw: DataFrame) -> DataFrame:
-    """A10: (position, step, evidence): steps that the profile justifies, in the fixed order."""
+    """A10: (position, step, evidence): steps that the profile justifies, in the fixed order.
+
+    The table is read once, for the dictionary of its values and of its rows' digests.
+    """
+    counts = raw if raw.columns == profile.DICTIONARY else store(profile.value_counts(raw, rows=True), "value-counts")
     n = lambda df: df.agg(F.count(F.lit(1)).alias("evidence"))
     evidence = {
-        "remove_duplicates": dedup.count_duplicates(raw).select(F.col("redundant").alias("evidence")),
-        "convert_units": n(profile.unit_tokens(raw)),
-        "standardise_categories": n(profile.categorical_variants(raw)),
-        "validate_ranges": profile.implausible_values(raw).agg(F.coalesce(F.sum(F.col("out_of_range") + F.col("unparseable")), F.lit(0)).alias("evidence")),
+        "remove_duplicates": profile.redundant_rows(counts).select(F.col("redundant").alias("evidence")),
+        "convert_units": n(profile.unit_tokens(counts)),
+        "standardise_categories": n(profile.categorical_variants(counts)),
+        "validate_ranges": profile.implausible_values(counts).agg(F.coalesce(F.sum(F.col("out_of_range") + F.col("unparseable")), F.lit(0)).alias("evidence")),
     }
     found = [df.select(F.lit(STEPS.index(s)).alias("position"), F.lit(s).alias("step"), F.col("evidence").cast("long").alias("evidence")).filter("evidence > 0") for s, df in evidence.items()]
-    always = raw.sparkSession.range(1).select(F.inline(F.array(*[F.struct(F.lit(STEPS.index(s)).alias("position"), F.lit(s).alias("step"), F.lit(0).cast("long").alias("evidence")) for s in STEPS if s in ALWAYS])))
+    always = counts.sparkSession.range(1).select(F.inline(F.array(*[F.struct(F.lit(STEPS.index(s)).alias("position"), F.lit(s).alias("step"), F.lit(0).cast("long").alias("evidence")) for s in STEPS if s in ALWAYS])))
     return validate.union_all([always, *found])
 
 
+def plan_evidence(raw: DataFrame) -> DataFrame:
+    """A10: (step, column, evidence, detail): what speaks for each chosen step: columns with their tokens, variants and cells out of range."""
+    counts = raw if raw.columns == profile.DICTIONARY else store(profile.value_counts(raw, rows=True), "value-counts")
+    row = lambda df, step, column, evidence, detail: df.select(F.lit(step).alias("step"), column.alias("column"), evidence.cast("long").alias("evidence"), detail.alias("detail"))
+    names = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ", ")
+    tokens = profile.unit_tokens(counts).groupBy("column").agg(F.sum("n").alias("n"), names("token").alias("tokens"))
+    return validate.union_all([
+        row(profile.redundant_rows(counts).filter("redundant > 0"), "remove_duplicates", F.lit(None).cast("string"), F.col("redundant"), F.lit("rows equal to an earlier one")),
+        row(tokens, "convert_units", F.col("column"), F.col("n"), F.col("tokens")),
+        row(profile.categorical_variants(counts), "standardise_categories", F.col("column"), F.col("distinct_raw"), F.concat(F.col("distinct_raw").cast("string"), F.lit(" spellings of "), F.col("distinct_casefold").cast("string"))),
+        row(profile.implausible_values(counts), "validate_ranges", F.col("column"), F.col("out_of_range") + F.col("unparseable"), F.concat(F.lit("outside "), F.col("low").cast("string"), F.lit(" to "), F.col("high").cast("string"))),
+    ])
+
+
 def concerns(raw: DataFrame, above: float = HIGH_MISSING_PCT) -> DataFrame:
     """A10: (column, missing_pct) of columns missing in more than ``above`` percent of the rows."""
     return profile.column_profile(raw).filter(F.col("missing_pct") > above).select("column", "missing_pct")
@@ -153,40 +279,47 @@ class Result:
     audits: dict[str, DataFrame] = field(default_factory=dict)
     steps: list[str] = field(default_factory=list)
     trace: list[tuple] = field(default_factory=list)
+    model: dict | None = None
 
 
 def clean(raw: DataFrame, steps: list[str] | None = None, vocabularies=None, gated: bool = False, gates: Gates | None = None) -> tuple[DataFrame, dict[str, DataFrame]]:
     """The event steps, with their audits; ``gated`` checks each step's postconditions and repairs what may be repaired.
 
-    Gated, the rows are stored where they have been shuffled, so that checks and later steps read them back.
+    Gated, the rows are written where they have been shuffled and after the steps that change cells.
     """
     gates = gates or Gates(gated)
-    kept = (lambda t: store(t, "step")) if gates.active else (lambda t: t)
     steps, df, audits = ordered(STEPS if steps is None else steps), raw, {}
+    first, left = dedup.Repeats(raw), None
     if "remove_duplicates" in steps:
-        df = gates.passed("remove_duplicates", kept(dedup.remove_duplicates(raw)), check_duplicates)
-    audits["remove_duplicates"] = dedup.dedup_audit(raw, kept=df)
+        df = first.distinct()
+        if gates.active:
+            df = store(df, "distinct")
+            left = dedup.Repeats(df)  # for the gate and the audit
+            passed = gates.passed("remove_duplicates", df, lambda t: check_duplicates(t, left if t is df else None))
+            left, df = left if passed is df else None, passed
+    audits["remove_duplicates"] = dedup.dedup_audit(raw, kept=df, before=first, after=left or (None if "remove_duplicates" in steps else first))
     if "standardise_datetimes" in steps:
         parsed = datetimes.parse_times(df)
         audits["standardise_datetimes"] = datetimes.window_audit(parsed)
-        df = gates.passed("standardise_datetimes", kept(datetimes.reconcile_windows(parsed)), check_datetimes)
-    if "convert_units" in steps:
-        audits["convert_units"] = cells.unit_paths(df)
-        df = gates.passed("convert_units", cells.convert_units(df), check_units)
-    if "standardise_categories" in steps:
-        before = df
-        audits["standardise_categories"] = cells.category_audit(before, vocabularies)
-        df = gates.passed("standardise_categories", cells.standardise_categories(df, vocabularies), lambda _: check_categories(before, vocabularies))
-    if "validate_ranges" in steps:
-        audit = audits["validate_ranges"] = cells.range_audit(df)
-        df = gates.passed("validate_ranges", kept(cells.validate_ranges(df)), lambda t: check_ranges(t, audit))
-    return df, audits
-
-
-def run(raw: DataFrame, steps: list[str] | None = None, vocabularies=None, gated: bool = True, max_hours: int = config.MAX_HOURS, report: str | None = None) -> Result:
+        df = gates.written(parsed, [("standardise_datetimes", datetimes.reconcile_windows, lambda _, t: datetimes_check(t))], "windowed")
+    stages = [
+        ("convert_units", cells.convert_units, lambda _, t: units_check(t)),
+        ("standardise_categories", lambda t: cells.standardise_categories(t, vocabularies), lambda t, _: categories_check(t, vocabularies)),
+        ("validate_ranges", cells.validate_ranges, lambda t, _: ranges_check(t)),
+    ]
+    audit_of = {"convert_units": cells.unit_paths, "standardise_categories": lambda t: cells.category_audit(t, vocabularies), "validate_ranges": cells.range_audit}
+    stages, before = [s for s in stages if s[0] in steps], df
+    for step, make, _ in stages:
+        audits[step] = audit_of[step](before)
+        before = make(before)
+    return (gates.written(df, stages, "cleaned") if stages else df), audits
+
+
+def run(raw: DataFrame, steps: list[str] | None = None, vocabularies=None, gated: bool = True, max_hours: int = config.MAX_HOURS, report: str | None = None, model: dict | None = None) -> Result:
     """Profile, plan, and the steps of the plan with gates. The tables that are kept are written once and read back.
 
-    With a ``report`` folder, audits, trace and assertions are written there as tables.
+    With a ``report`` folder, audits, trace and assertions are written there as tables. With a ``model`` (see refine.load_model) nothing
+    is fitted: its statistics and weights are applied.
     """
     raw = store(raw, "raw")
     steps = ordered(steps if steps is not None else [r["step"] for r in plan_steps(raw).collect()])  # eight at most
@@ -195,18 +328,28 @@ def run(raw: DataFrame, steps: list[str] | None = None, vocabularies=None, gated
             raise ValueError(f"{step} needs {NEEDS[step]}")
     gates = Gates(gated)
     df, audits = clean(raw, steps, vocabularies, gates=gates)
-    out = Result(store(df, "cleaned"), audits=audits, steps=steps, trace=gates.trace)
+    out = Result(df if gated and steps else store(df, "cleaned"), audits=audits, steps=steps, trace=gates.trace)
     if "build_hourly_timeseries" in steps:
-        audit = audits["build_hourly_timeseries"] = hourly.expansion_audit(out.cleaned, max_hours)
-        out.hourly = gates.passed("build_hourly_timeseries", store(hourly.build_hourly(out.cleaned, max_hours), "hourly"), lambda t: check_hourly(t, audit))
+        audits["build_hourly_timeseries"] = hourly.expansion_audit(out.cleaned, max_hours)
+        source, grid = Observation(), Observation()
+        usable = reduce(Column.__and__, [F.col(c).isNotNull() for c in ("admission_id", *config.TIME_COLUMNS)])
+        events = out.cleaned.observe(source, F.count(F.when(usable, 1)).alias("rows_before"))
+        out.hourly = store(hourly.build_hourly(events, max_hours).observe(grid, F.count(F.lit(1)).alias("rows_after"), *vmd.channel_sums(config.CHANNELS)), "hourly")
+        sums = {**source.get, **grid.get}
+        rows = raw.sparkSession.createDataFrame([(sums.get("rows_before") or 0, sums.get("rows_after") or 0)], "rows_before long, rows_after long")
+        out.hourly = gates.passed("build_hourly_timeseries", out.hourly, lambda t: check_hourly(t, rows))
     if "build_value_mask_decay" in steps:
-        expanded = store(vmd.value_mask_decay(out.hourly), "vmd")
-        out.processed = gates.passed("build_value_mask_decay", store(vmd.standardise(expanded), "standardised"), check_vmd)
+        known = model["parameters"] if model else vmd.parameters(sums)
+        expand = lambda t: vmd.standardise(vmd.value_mask_decay(t, means=known), stats=known)
+        expanded = gates.written(out.hourly, [("build_value_mask_decay", expand, lambda _, t: vmd_check(t))], "standardised")
+        out.processed = expanded if gated else store(expanded, "standardised")
         audits["build_value_mask_decay"] = vmd.channel_audit(out.processed)
     if "refine_missing_values" in steps:
-        fitted = refine.fit_refiner(refine.training_rows(out.processed, out.hourly))
-        refined = store(refine.refine(out.processed, {c: f["weights"] for c, f in fitted.items()}), "processed")
-        out.processed = gates.passed("refine_missing_values", refined, check_refinement)
+        weights = model["weights"] if model else {c: f["weights"] for c, f in refine.fit(out.hourly, known).items()}
+        refined = lambda t: refine.refine(t, weights, stats=known)
+        done = gates.written(out.processed, [("refine_missing_values", refined, lambda _, t: refinement_check(t))], "processed")
+        out.processed = done if gated else store(done, "processed")
+        out.model = {"parameters": known, "weights": weights}
         audits["refine_missing_values"] = refine.refinement_audit(out.processed)
     if report:
         write_report({**audits, "trace": trace(raw, out), "assertions": assertions(raw, out)}, report)

@@ -16,7 +16,7 @@ from clinprep.operators import cells, datetimes, dedup, holdout, hourly, profile
 from clinprep.plans import pipeline
 from clinprep.plans.oracles import ORACLES  # noqa: F401
 from clinprep.sources import events
-from clinprep.sources.shared import fresh_path, store
+from clinprep.sources.shared import fresh_path, store, store_observed
 
 FLAGSHIP = "w2_heart_rate_value_mask_decay"
 #: Stays are 58 to 68 hours long here, so this cap truncates all of them.
@@ -37,8 +37,14 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.withColumns({c: rint(F.col(c), digits) for c, t in df.dtypes if t == "double"})
 
 
+def stored_raw(s: SparkSession, d: str) -> DataFrame:
+    """The raw table as a written one: digests, suspects and the rest of the rows read it each."""
+    return store(events.raw_events(s, d), "raw")
+
+
 def distinct_events(s: SparkSession, d: str) -> DataFrame:
-    return dedup.remove_duplicates(events.raw_events(s, d))
+    """Written once: what follows reads it by columns, and its plan starts from a scan."""
+    return store(dedup.remove_duplicates(stored_raw(s, d)), "distinct")
 
 
 def parsed_events(s: SparkSession, d: str) -> DataFrame:
@@ -75,12 +81,20 @@ def expanded(s: SparkSession, d: str) -> DataFrame:
     return vmd.value_mask_decay(stored_hourly(s, d))
 
 
+def with_parameters(s: SparkSession, d: str) -> tuple[DataFrame, dict]:
+    """The hourly table, written with the sums that value, mask, decay and their standard scores need."""
+    table, seen = store_observed(hourly_table(s, d), "hourly", *vmd.channel_sums(config.CHANNELS))
+    return table, vmd.parameters(seen)
+
+
 def standardised(s: SparkSession, d: str) -> DataFrame:
-    return vmd.standardise(store(expanded(s, d), "vmd"))
+    table, known = with_parameters(s, d)
+    return vmd.standardise(vmd.value_mask_decay(table, means=known), stats=known)
 
 
 def refined_frozen(s: SparkSession, d: str) -> DataFrame:
-    return refine.refine(store(standardised(s, d), "standardised"), FROZEN)
+    table, known = with_parameters(s, d)
+    return refine.serve(table, {"parameters": known, "weights": FROZEN})
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,6 +117,15 @@ def s1_read_events(s, d):
     return events.read_events(s, path).drop("row_index")
 
 
+@query
+def s1_line_numbers(s, d):
+    """Rows with the line that they stand in, of a file that was written in the order of ``row_index``."""
+    path = fresh_path(s, "lines-csv")
+    ordered = events.raw_events(s, d).repartitionByRange(3, "row_index").sortWithinPartitions("row_index")
+    ordered.withColumn("sofa_score", F.col("row_index").cast("string")).drop("row_index").write.options(header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return events.read_events(s, path).select("row_index", F.col("sofa_score").cast("long").alias("written"))
+
+
 @query
 def s2_write_table(s, d):
     path = fresh_path(s, "cleaned-table")
@@ -112,33 +135,37 @@ def s2_write_table(s, d):
 
 @query
 def s3_write_report(s, d):
-    path, raw = fresh_path(s, "report"), events.raw_events(s, d)
+    path, raw = fresh_path(s, "report"), stored_raw(s, d)
     events.write_report({"duplicates": dedup.dedup_audit(raw)}, path)
     return s.read.schema("strategy string, rows_before long, rows_after long, removed long, remaining long, involved long").json(f"{path}/duplicates")
 
 
 # Profiling
 of_raw("p1_column_profile", profile.column_profile)
-of_raw("p2_duplicate_profile", profile.duplicate_profile)
+of_raw("p2_duplicate_profile", profile.duplicate_profile, stored_raw)
 of_raw("p3_date_formats", profile.date_formats)
 of_raw("p4_unit_tokens", profile.unit_tokens)
 of_raw("p5_numeric_view", lambda raw: raw.select("row_index", *[numeric_view(F.col(c)).alias(c) for c in config.RANGES]))
 of_raw("p6_implausible_values", profile.implausible_values)
 of_raw("p7_categorical_variants", profile.categorical_variants)
 of_raw("p8_numeric_summary", profile.numeric_summary)
+of_raw("p1_profile_of_dictionary", lambda raw: profile.column_profile(store(profile.value_counts(raw, rows=True), "value-counts")))
+of_raw("p8_exact_medians", lambda raw: profile.medians(profile.numbers_of(raw), most=5).select("column", rint(F.col("median"), 2).alias("median")))
 of_raw("p9_top_missing", lambda raw: profile.top_missing(profile.column_profile(raw)))
 
 # Duplicates
-of_raw("d1_remove_duplicates", dedup.remove_duplicates)
-of_raw("d2_remove_key_duplicates", lambda raw: dedup.remove_duplicates(raw, ["admission_id", "charttime"], "last").select("row_index", "admission_id", "charttime"))
-of_raw("d3_dropped_rows", lambda raw: dedup.dropped_rows(raw).select("row_index"))
-of_raw("d4_dedup_audit", dedup.dedup_audit)
-of_raw("d5_verify_dropped", lambda raw: dedup.verify_dropped(raw, dedup.dropped_rows(raw)))
+of_raw("d1_remove_duplicates", dedup.remove_duplicates, stored_raw)
+of_raw("d2_remove_key_duplicates", lambda raw: dedup.remove_duplicates(raw, ["admission_id", "charttime"], "last").select("row_index", "admission_id", "charttime"), stored_raw)
+of_raw("d3_dropped_rows", lambda raw: dedup.dropped_rows(raw).select("row_index"), stored_raw)
+of_raw("d4_dedup_audit", dedup.dedup_audit, stored_raw)
+of_raw("d5_verify_dropped", lambda raw: dedup.verify_dropped(raw, dedup.dropped_rows(raw)), stored_raw)
 
 # Datetimes and windows
 of_raw("t1_parse_datetimes", lambda df: df.select("row_index", *config.TIME_COLUMNS), parsed_events)
 of_raw("t2_parse_with_fallback", lambda df: df.select("row_index", parse_datetime(F.regexp_replace("charttime", r"^(\d{2})/(\d{2})/(\d{4})", "$1-$2-$3")).alias("charttime")), distinct_events)
+of_raw("t2_parse_tolerantly", lambda df: datetimes.parse_times(df.select("row_index", F.regexp_replace("charttime", r"^(\d{2})/(\d{2})/(\d{4})", "$1-$2-$3 at").alias("charttime")), tolerant=True), distinct_events)
 of_raw("t3_parse_audit", lambda df: datetimes.parse_audit(df).join(datetimes.spelling_counts(df), "column"), distinct_events)
+of_raw("t3_parse_audit_of_other_forms", lambda df: datetimes.parse_audit(df.withColumns({c: F.regexp_replace(c, r"^(\d{2})/(\d{2})/(\d{4})", "$1.$2.$3") for c in config.TIME_COLUMNS})), distinct_events)
 of_raw("t4_naive_disagreements", datetimes.naive_disagreements, distinct_events)
 of_raw("t5_reconcile_windows", lambda df: df.select("row_index", "admission_id", "intime", "outtime"), windowed_events)
 of_raw("t6_window_audit", lambda df: datetimes.window_audit(df).select("conflicting_windows", "inverted_windows"), parsed_events)
@@ -161,7 +188,9 @@ of_raw("c2_unmapped_values", cells.unmapped_values, distinct_events)
 of_raw("c3_category_audit", cells.category_audit, distinct_events)
 of_raw("r1_validate_ranges", lambda df: cells.validate_ranges(df).select("row_index", *config.RANGES), united_events)
 of_raw("r2_range_audit", cells.range_audit, united_events)
+of_raw("r2_range_audit_of_texts", cells.range_audit, distinct_events)
 of_raw("r3_rejections", cells.rejections, united_events)
+of_raw("r3_rejections_of_texts", cells.rejections, distinct_events)
 of_raw("r3_rejection_log", lambda df: cells.rejections(df, limit=200), united_events)
 of_raw("r4_channel_loss", lambda df: cells.channel_loss(cells.range_audit(df)), united_events)
 
@@ -212,8 +241,8 @@ def f3_mask_cells(s, d):
 
 
 def _fitted(s, d) -> dict[str, dict]:
-    table = stored_hourly(s, d)
-    return refine.fit_refiner(refine.training_rows(store(vmd.standardise(vmd.value_mask_decay(table)), "standardised"), table))
+    table, known = with_parameters(s, d)
+    return refine.fit(table, known)
 
 
 @query
@@ -271,8 +300,8 @@ def b4_pooled_refined(s, d):
 # Validation
 @query
 def a1_table_assertions(s, d):
-    raw = events.raw_events(s, d)
-    return validate.table_assertions(raw, cleaned_events(s, d), dedup.dedup_audit(raw)).drop("note")
+    raw = stored_raw(s, d)
+    return validate.table_assertions(raw, stored_events(s, d), dedup.dedup_audit(raw)).drop("note")
 
 
 of_raw("a2_range_assertions", validate.range_assertions, cleaned_events)
@@ -299,11 +328,11 @@ of_raw("a7_schema", validate.schema_table, hourly_table)
 
 @query
 def a8_recovery(s, d):
-    raw = events.raw_events(s, d)
-    distinct = dedup.remove_duplicates(raw)
+    raw = stored_raw(s, d)
+    distinct = store(dedup.remove_duplicates(raw), "distinct")
     n = lambda df, what: df.select(F.lit(what).alias("defect"), F.col("n").cast("long").alias("recovered"))
     found = validate.union_all([
-        n(dedup.dedup_audit(raw).select(F.col("removed").alias("n")), "duplicate_rows"),
+        n(dedup.dedup_audit(raw, kept=distinct).select(F.col("removed").alias("n")), "duplicate_rows"),
         n(cells.converted_totals(distinct).filter("column = 'temperature'").select(F.col("converted").alias("n")), "fahrenheit_cells"),
         n(cells.category_audit(distinct).agg(F.sum("cells_changed").alias("n")), "category_noise_cells"),
     ])
@@ -312,13 +341,14 @@ def a8_recovery(s, d):
 
 @query
 def a9_postconditions(s, d):
-    raw = events.raw_events(s, d)
+    raw = stored_raw(s, d)
     distinct = store(dedup.remove_duplicates(raw), "distinct")
     windowed = store(datetimes.reconcile_windows(datetimes.parse_times(distinct)), "windowed")
     united = cells.convert_units(windowed)
     cleaned = store(cells.validate_ranges(cells.standardise_categories(united)), "cleaned")
-    table = store(hourly.build_hourly(cleaned), "hourly")
-    scaled = store(vmd.standardise(store(vmd.value_mask_decay(table), "vmd")), "standardised")
+    table, seen = store_observed(hourly.build_hourly(cleaned), "hourly", *vmd.channel_sums(config.CHANNELS))
+    known = vmd.parameters(seen)
+    scaled = store(vmd.standardise(vmd.value_mask_decay(table, means=known), stats=known), "standardised")
     parts = [
         pipeline.check_duplicates(distinct),
         pipeline.check_datetimes(windowed),
@@ -327,15 +357,26 @@ def a9_postconditions(s, d):
         pipeline.check_ranges(cleaned, cells.range_audit(united)),
         pipeline.check_hourly(table, hourly.expansion_audit(cleaned)),
         pipeline.check_vmd(scaled),
-        pipeline.check_refinement(refine.refine(scaled, FROZEN)),
+        pipeline.check_refinement(refine.refine(scaled, FROZEN, stats=known)),
     ]
     return validate.union_all(parts).select("name", "passed")
 
 
 of_raw("a10_plan", pipeline.plan_steps)
+of_raw("a10_evidence", pipeline.plan_evidence)
 of_raw("a10_concerns", lambda raw: pipeline.concerns(raw, CONCERN_PCT))
 
 
+@query
+def v8_serve(s, d):
+    """Standard scores of the hourly table with the statistics of a saved model, which are those of its own."""
+    table, known = with_parameters(s, d)
+    path = fresh_path(s, "model")
+    refine.save_model(s, path, known, FROZEN)
+    served = refine.serve(table, refine.load_model(s, path))
+    return served.select(*_KEYS, *[f"{c}_{f}" for c in config.CHANNELS for f in ("z", "refined_z")])
+
+
 @query
 def a11_run(s, d):
     raw = events.raw_events(s, d)

@@ -6,11 +6,13 @@ other engines can run as well.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clinprep import config
+from clinprep.sources.shared import store
 
 
 def _t(x: str) -> str:
@@ -124,9 +126,25 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 RAW_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in config.RAW_COLUMNS])
 
 
-def read_events(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
-    """A CSV of events, every column as text, with ``row_index`` that rises in file order."""
-    return spark.read.schema(RAW_SCHEMA).option("header", header).csv(path).withColumn("row_index", F.monotonically_increasing_id())
+#: Parts of files whose first line numbers are broadcast; beyond, rows are shuffled to meet them.
+BROADCAST_PARTS = 1_000_000
+
+
+def read_events(spark: SparkSession, path: str | list[str], header: bool = True) -> DataFrame:
+    """A CSV of events, every column as text, with ``row_index``: the place of the row in the files, from 0, headers not counted.
+
+    Files follow one another by name, and files may be read in parts: a first pass counts the rows of each part, and the sums of the parts
+    before it give its first number. For one file that is the line that a log of dropped rows points to.
+    """
+    rows = spark.read.schema(RAW_SCHEMA).option("header", header).csv(path)
+    numbered = rows.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    # a part is read by one task from its first row to its last, so its ids have no gaps
+    parts = store(numbered.groupBy("file", "block").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")), "file-parts")
+    found = parts.orderBy("file", "block").select("file", "block", "first", "n").toArrow()  # a row for each part of a file
+    n = found.column("n").to_numpy()
+    starts = spark.createDataFrame(found.append_column("start", pa.array(n.cumsum() - n)).drop_columns(["n"]))
+    joined = numbered.join(F.broadcast(starts) if len(n) <= BROADCAST_PARTS else starts, ["file", "block"])
+    return joined.select(*rows.columns, (F.col("start") + F.col("id") - F.col("first")).alias("row_index"))
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", key: str | None = "admission_id") -> None:

@@ -3,16 +3,21 @@
 A written table survives the loss of the executors that made it, is computed once however
 often it is read, and lets later reads prune columns. The folder is ``spark.checkpoint.dir``;
 where that is unset, a session on one machine (tests, a laptop) gets a folder of its own and any other one an error.
+Within ``scratch`` the tables that were written are dropped at its end, but for those that are kept.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+#: Paths and tables of the open scratch scopes, the innermost last.
+_SCOPES: list[list[tuple[str, str | None]]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,10 +35,36 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def store(df: DataFrame, tag: str, partition_by: str | None = None, codec: str = "zstd") -> DataFrame:
+def _written(path: str, name: str | None = None, keep: bool = False) -> None:
+    scope = _SCOPES[:-1] if keep else _SCOPES
+    if scope:
+        scope[-1].append((path, name))
+
+
+def drop(spark: SparkSession, path: str, name: str | None = None) -> None:
+    """Delete a written table; what still reads it fails from then on."""
+    if name:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Drop at the end what was written meanwhile, but for tables stored with ``keep``, which belong to the scope around this one."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path, name in _SCOPES.pop():
+            drop(spark, path, name)
+
+
+def store(df: DataFrame, tag: str, partition_by: str | None = None, codec: str = "zstd", keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and return the table read back."""
     spark = df.sparkSession
     path = fresh_path(spark, tag)
+    _written(path, keep=keep)
     writer = df.write.option("compression", codec)
     if partition_by:
         writer = writer.partitionBy(partition_by)
@@ -41,6 +72,13 @@ def store(df: DataFrame, tag: str, partition_by: str | None = None, codec: str =
     return spark.read.schema(df.schema).parquet(path)
 
 
+def store_observed(df: DataFrame, tag: str, *metrics: Column) -> tuple[DataFrame, dict]:
+    """``store``, with aggregates of ``df`` (no distinct ones) that are taken while it is written."""
+    seen = Observation()
+    table = store(df.observe(seen, *metrics), tag)
+    return table, seen.get
+
+
 def store_bucketed(df: DataFrame, tag: str, key: str, buckets: int, sort: bool = True) -> tuple[DataFrame, str]:
     """Write ``df`` in ``buckets`` hash buckets of ``key``: the table and its folder. Joins on the key need no shuffle of it.
 
@@ -49,6 +87,7 @@ def store_bucketed(df: DataFrame, tag: str, key: str, buckets: int, sort: bool =
     """
     spark = df.sparkSession
     name, path = f"{tag}_{uuid.uuid4().hex}", fresh_path(spark, tag)
+    _written(path, name)
     writer = df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, key)
     if sort:
         writer = writer.sortBy(key)
@@ -58,3 +97,11 @@ def store_bucketed(df: DataFrame, tag: str, key: str, buckets: int, sort: bool =
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it (case does not tell names apart)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
