@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from clinprep.llm import exact, jaccard, packing, quality, toxicity
 from clinprep.llm.text import table
-from clinprep.sources.shared import store
+from clinprep.sources.shared import scratch, store
 
 #: Documents below this quality, or at or above this toxicity, go.
 REJECT_QUALITY, REJECT_TOXICITY = 0.5, 0.7
@@ -56,8 +56,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near copies stays.
 
-    SimHash fingerprints find candidates by pigeonring, the sets of shingles decide. A document without an id stays; rows that
-    repeat an id are one document, and stay or go together. Texts without words are near copies of one another.
+    MinHash bands propose pairs, pigeonring filtering of SimHash fingerprints prunes them, the sets of shingles decide. A document
+    without an id stays; rows that repeat an id are one document, and stay or go together. Texts without words are near
+    copies of one another; an empty table stays empty.
     """
     found = jaccard.near_copies(docs, words=NEAR_WORDS)
     gone = found.filter(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
@@ -65,7 +66,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def pack_rest(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of what is left and their places in sequences of 4096 tokens; null texts are empty and hold the end token only."""
+    """Pieces of what is left and their places in sequences of 4096 tokens; null and empty texts hold the end token only.
+
+    Pieces of equal length and repeated rows have places of their own; an empty table gives no rows.
+    """
     return packing.packed_documents(docs)
 
 
@@ -82,7 +86,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of the packed corpus, with their places: STAGES applied to ``documents`` one after another.
+
+    Each stage's result is a written table that the next one reads; what a stage wrote on its way is dropped once its
+    result is there. Nulls, empty texts, ties, repeated rows and further columns are each stage's affair; an empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = store(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch(spark):
+            docs = store(stage(spark, docs, sf_dir), f"stage-{name}", keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)
