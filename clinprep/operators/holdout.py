@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from clinprep import config
 from clinprep.functions import rint
-from clinprep.sources.shared import fresh_name
+from clinprep.sources.shared import fresh_name, store
 
 MIN_CHANNEL = 40
 CELL = ["admission_id", "hours_since_admission", "channel"]
@@ -29,18 +29,64 @@ def observed_cells(hourly: DataFrame, channels: list[str] | None = None) -> Data
     return hourly.unpivot(CELL[:2], names, "channel", "truth").filter("truth is not null")
 
 
-def holdout(hourly: DataFrame, mode: str = "random", fraction: float = config.HOLDOUT_FRACTION, block_length: int = 3, seed: int = config.SEED) -> DataFrame:
-    """B1, B2: the held cells. Blocks are runs of consecutive observed cells of one admission and channel that fit in it."""
+def _hash(channel: Column, seed: int) -> Column:
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), channel, "admission_id", F.col("hours_since_admission").cast("string")))
+
+
+#: Hexadecimal digits of a hash by which cells are counted before the last ones are told apart.
+DIGITS = 3
+
+
+def smallest(cells: DataFrame, hashed: str, fraction: float) -> DataFrame:
+    """For each channel the cells with the smallest hashes: as many as ``fraction`` of all (rounded half up), and what ties with the last.
+
+    No sort of all cells: counts by the first digits of the hash tell which digits hold the last hash that is taken; only cells
+    with these digits are ranked. ``total`` counts the cells of a channel, also those without a hash.
+    """
+    digits = F.substring(hashed, 1, DIGITS)
+    counts = cells.groupBy("channel", digits.alias("digits")).agg(F.count(F.lit(1)).alias("n"))
+    per: dict[str, list] = {}
+    for r in counts.collect():  # 16^DIGITS rows a channel at most
+        per.setdefault(r["channel"], []).append((r["digits"], r["n"]))
+    edges = []
+    for channel, found in per.items():
+        left = int(fraction * sum(n for _, n in found) + 0.5)
+        for at, n in sorted(f for f in found if f[0] is not None):
+            if left <= n:
+                edges.append((channel, at, left))
+                break
+            left -= n
+        else:
+            edges.append((channel, "g", 0))  # fewer hashes than wanted: all are taken
+    edge = F.broadcast(cells.sparkSession.createDataFrame(edges, "e_channel string, e_digits string, e_left int"))  # a row for each channel
+    near = cells.join(edge, F.col("channel") == F.col("e_channel"))
+    rank = F.rank().over(Window.partitionBy("channel").orderBy(hashed))
+    last = near.filter(digits == F.col("e_digits")).withColumn("rank", rank).filter(F.col("rank") <= F.col("e_left")).drop("rank")
+    return near.filter(digits < F.col("e_digits")).unionByName(last).select(*cells.columns)
+
+
+def holdout(hourly: DataFrame, mode: str = "random", fraction: float = config.HOLDOUT_FRACTION, block_length: int = 3, seed: int = config.SEED, exact: bool = False) -> DataFrame:
+    """B1, B2: the held cells. Blocks are runs of consecutive observed cells of one admission and channel that fit in it.
+
+    Shares are met up to the square root of the number of cells. ``exact``: as many cells of each channel as the share asks for, in whole
+    runs until it is met for blocks, whatever the partitions.
+    """
     cells = observed_cells(hourly)
-    if mode == "random":
-        return cells.filter(drawn(F.col("channel"), fraction, seed))
     series = Window.partitionBy("admission_id", "channel")
     order = series.orderBy("hours_since_admission")
-    share = 1 - (1 - fraction) ** (1 / block_length)
     nth, n = F.row_number().over(order), F.count(F.lit(1)).over(series)
-    starts = cells.withColumn("start", drawn(F.col("channel"), share, seed) & (nth + block_length - 1 <= n))
-    held = F.max("start").over(order.rowsBetween(1 - block_length, 0))
-    return starts.withColumn("held", held).filter("held").select(*CELL, "truth")
+    if mode == "random":
+        if not exact:
+            return cells.filter(drawn(F.col("channel"), fraction, seed))
+        return smallest(store(cells.withColumn("hashed", _hash(F.col("channel"), seed)), "cells"), "hashed", fraction).select(*CELL, "truth")
+    fits = nth + block_length - 1 <= n
+    covering = order.rowsBetween(1 - block_length, 0)
+    if exact:  # a cell goes with the smallest hash of the runs that hold it
+        starts = cells.withColumn("start", F.when(fits, _hash(F.col("channel"), seed)))
+        return smallest(store(starts.withColumn("hashed", F.min("start").over(covering)), "cells"), "hashed", fraction).select(*CELL, "truth")
+    share = 1 - (1 - fraction) ** (1 / block_length)
+    starts = cells.withColumn("start", drawn(F.col("channel"), share, seed) & fits)
+    return starts.withColumn("held", F.max("start").over(covering)).filter("held").select(*CELL, "truth")
 
 
 def hide(hourly: DataFrame, held: DataFrame, channels: list[str] | None = None) -> DataFrame:

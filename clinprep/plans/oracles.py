@@ -399,3 +399,13 @@ ORACLES["a10_evidence"] = after("raw", f"""SELECT 'remove_duplicates' AS step, C
   UNION ALL SELECT 'convert_units', "column", CAST(sum(n) AS BIGINT), string_agg(token, ', ' ORDER BY token) FROM ({_tokens}) GROUP BY "column"
   UNION ALL SELECT 'standardise_categories', "column", distinct_raw, CAST(distinct_raw AS VARCHAR) || ' spellings of ' || CAST(distinct_casefold AS VARCHAR) FROM ({P7})
   UNION ALL SELECT 'validate_ranges', "column", out_of_range + unparseable, 'outside ' || CAST(low AS VARCHAR) || ' to ' || CAST(high AS VARCHAR) FROM ({P6})""")
+
+ORACLES["h5_from_buckets"] = ORACLES["h5_hours_since_admission"]
+_md5 = f"md5('{SEED}|' || channel || '|' || admission_id || '|' || CAST(pos AS VARCHAR))"
+_least = {
+    "random": f"SELECT *, {_md5} AS h FROM cells",
+    "block": f"SELECT * EXCLUDE (s), min(s) OVER {SERIES} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS h FROM (SELECT *, CASE WHEN row_number() OVER {SERIES}) + 2 <= count(*) OVER (PARTITION BY admission_id, channel) THEN {_md5} END AS s FROM cells)",
+}
+for _n, _m in ((1, "random"), (2, "block")):
+    ORACLES[f"b{_n}_exact_holdout"] = after("cells", f"""SELECT admission_id, CAST(pos AS INTEGER) AS hours_since_admission, channel, {rint('truth', 6)} AS truth FROM (
+      SELECT *, rank() OVER (PARTITION BY channel ORDER BY h NULLS LAST) AS nth, count(*) OVER (PARTITION BY channel) AS n FROM ({_least[_m]})) WHERE h IS NOT NULL AND nth <= floor({config.HOLDOUT_FRACTION}::DOUBLE * n + 0.5)""")

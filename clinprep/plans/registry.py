@@ -201,6 +201,7 @@ of_raw("h2_capped_grid", lambda df: hourly.hour_grid(df, SHORT_STAY).groupBy("ad
 of_raw("h3_align", lambda df: rounded(hourly.hour_grid(df).join(hourly.bin_hours(df), hourly.KEY, "left").select("admission_id", "hour", *config.CHANNELS)), stored_events)
 of_raw("h4_spread_statics", lambda df: df.select("admission_id", "hour", *config.STATIC_COLUMNS), hourly_table)
 of_raw("h5_hours_since_admission", lambda df: df.select("admission_id", "hour", "hours_since_admission"), hourly_table)
+of_raw("h5_from_buckets", lambda df: df.select("admission_id", "hour", "hours_since_admission"), lambda s, d: hourly.build_hourly(events.store_by_admission(stored_events(s, d), 8)))
 of_raw("h6_expansion_audit", hourly.expansion_audit, stored_events)
 of_raw("h7_missing_before_after", lambda df: hourly.missing_before_after(df, hourly.build_hourly(df)), stored_events)
 
@@ -277,6 +278,16 @@ def b2_block_holdout(s, d):
     return rounded(_held(s, d, "block"))
 
 
+@query
+def b1_exact_holdout(s, d):
+    return rounded(holdout.holdout(stored_hourly(s, d), "random", exact=True))
+
+
+@query
+def b2_exact_holdout(s, d):
+    return rounded(holdout.holdout(stored_hourly(s, d), "block", exact=True))
+
+
 @query
 def b3_score_carried(s, d):
     return holdout.score(_carried_errors(s, d, "block"))

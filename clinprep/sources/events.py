@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clinprep import config
-from clinprep.sources.shared import store
+from clinprep.sources.shared import store, store_bucketed
 
 
 def _t(x: str) -> str:
@@ -157,6 +157,11 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", key: str | None
     writer.format(fmt).save(path)
 
 
+def store_by_admission(df: DataFrame, buckets: int) -> DataFrame:
+    """S2 for what comes after: events in hash buckets of their admission, so that bins and windows of an admission need no shuffle."""
+    return store_bucketed(df.repartition(buckets, "admission_id"), "events", "admission_id", buckets)[0]
+
+
 def write_report(audits: dict[str, DataFrame], path: str) -> None:
     """S3: one JSON table for each audit."""
     for name, audit in audits.items():

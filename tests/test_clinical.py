@@ -260,6 +260,30 @@ def test_block_holdout_is_made_of_runs(spark):
     assert left.filter("heart_rate is not null").count() == 20 * len(observed) + 2 - len(held)
 
 
+@pytest.mark.parametrize("mode", ["random", "block"])
+def test_exact_holdout_meets_its_share(spark, mode):
+    series = [[float(h) if (h + n) % 3 else None for h in range(40 + n)] for n in range(25)] + [[1.0, None, 2.0]]
+    table = stays(spark, *series)
+    for c in config.CHANNELS[1:]:
+        table = table.withColumn(c, F.lit(None).cast("double"))
+    observed = sum(x is not None for s in series for x in s)
+    want = None
+    for parts in (1, 7):
+        held = sorted(map(tuple, holdout.holdout(table.repartition(parts), mode, exact=True).collect()))
+        want = want or held
+        assert held == want
+    n = int(config.HOLDOUT_FRACTION * observed + 0.5)
+    assert len(held) == n if mode == "random" else n <= len(held) <= n + 2
+    assert holdout.holdout(table.limit(0), mode, exact=True).count() == 0
+
+
+@needs_data
+def test_bucketed_events_need_no_shuffle(spark):
+    table = events.store_by_admission(registry.stored_events(spark, SF), 4)
+    plan = hourly.build_hourly(table)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Bucketed: true" in plan
+
+
 def test_ridge_solves_its_normal_equations(spark):
     draw = np.random.default_rng(0)
     x, w = draw.normal(size=(200, 43)), draw.normal(size=43)
@@ -473,7 +497,7 @@ def test_refinement_leaves_observed_cells_alone(spark):
 
 
 @needs_data
-@pytest.mark.parametrize("name", ["d1_remove_duplicates", "p4_unit_tokens", "p8_numeric_summary", "t3_parse_audit", "t5_reconcile_windows", "u6_unit_paths", "c3_category_audit", "r2_range_audit", "h6_expansion_audit", "w2_heart_rate_value_mask_decay", "v9_channel_audit", "b2_block_holdout", "a6_verdict", "a10_evidence", "s1_line_numbers", "t2_parse_tolerantly", "t3_parse_audit_of_other_forms", "r2_range_audit_of_texts", "r3_rejections_of_texts", "p1_profile_of_dictionary", "p8_exact_medians", "v8_serve", "n6_order_ablation"])
+@pytest.mark.parametrize("name", ["d1_remove_duplicates", "p4_unit_tokens", "p8_numeric_summary", "t3_parse_audit", "t5_reconcile_windows", "u6_unit_paths", "c3_category_audit", "r2_range_audit", "h6_expansion_audit", "w2_heart_rate_value_mask_decay", "v9_channel_audit", "b2_block_holdout", "a6_verdict", "a10_evidence", "s1_line_numbers", "t2_parse_tolerantly", "t3_parse_audit_of_other_forms", "r2_range_audit_of_texts", "r3_rejections_of_texts", "p1_profile_of_dictionary", "p8_exact_medians", "v8_serve", "b1_exact_holdout", "b2_exact_holdout", "h5_from_buckets", "n6_order_ablation"])
 def test_sql_twin(spark, name):
     import duckdb
 
