@@ -409,3 +409,48 @@ _least = {
 for _n, _m in ((1, "random"), (2, "block")):
     ORACLES[f"b{_n}_exact_holdout"] = after("cells", f"""SELECT admission_id, CAST(pos AS INTEGER) AS hours_since_admission, channel, {rint('truth', 6)} AS truth FROM (
       SELECT *, rank() OVER (PARTITION BY channel ORDER BY h NULLS LAST) AS nth, count(*) OVER (PARTITION BY channel) AS n FROM ({_least[_m]})) WHERE h IS NOT NULL AND nth <= floor({config.HOLDOUT_FRACTION}::DOUBLE * n + 0.5)""")
+
+
+# The fit: hidden cells, their features, X'X in long form, and Gauss-Jordan elimination, a column a step
+SIZE = len(design(CH[0]))
+
+
+def fit_ctes(hourly: str, std: str, tag: str) -> list[tuple[str, str]]:
+    """``examples``: features and standardised truth of the cells hidden in ``hourly``; ``matrix``: X'X plus the ridge, and X'y as a last column."""
+    cells = f"cells{tag}"
+    examples = " UNION ALL ".join(
+        f"SELECT '{c}' AS channel, row_number() OVER () AS id, [{', '.join(f'({x})::DOUBLE' for x in design(c))}] AS x, {rint(f'({rint("truth", 3)} - mu) / sd', 4)} AS y FROM hidden{tag} JOIN std{tag} ON std{tag}.admission_id = hidden{tag}.admission_id AND hours_since_admission = pos, (SELECT any_value({c}_mu) AS mu, any_value({c}_sd) AS sd FROM {std}) WHERE channel = '{c}'"
+        for c in CH)
+    return [
+        (cells, per(CH, "SELECT admission_id, pos, '{c}' AS channel, {c} AS truth FROM " + hourly + " WHERE {c} IS NOT NULL")),
+        (f"hidden{tag}", f"SELECT * FROM {cells} WHERE {drawn(config.MASK_FRACTION, SEED + 1)} AND channel IN (SELECT channel FROM {cells} GROUP BY channel HAVING count(*) >= 40)"),
+        (f"flags{tag}", f"SELECT admission_id, pos, {cols(CH, "bool_or(channel = '{0}') AS h_{0}")} FROM hidden{tag} GROUP BY ALL"),
+        (f"left{tag}", f"SELECT {hourly}.* REPLACE ({cols(CH, 'CASE WHEN h_{0} THEN NULL ELSE {0} END AS {0}')}) FROM {hourly} LEFT JOIN flags{tag} USING (admission_id, pos)"),
+        *vmd_ctes(f"left{tag}", tag),
+        (f"examples{tag}", examples),
+        (f"long{tag}", f"SELECT channel, id, y, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM examples{tag}"),
+        (f"entries{tag}", f"SELECT a.channel, a.i, b.i AS j, sum(a.v * b.v) + CASE WHEN a.i = b.i THEN 1.0 ELSE 0.0 END AS v FROM long{tag} a JOIN long{tag} b ON a.channel = b.channel AND a.id = b.id GROUP BY a.channel, a.i, b.i UNION ALL SELECT channel, i, {SIZE + 1}, sum(v * y) FROM long{tag} GROUP BY channel, i"),
+        (f"matrix{tag}", f"SELECT channel, list(r ORDER BY i) AS m FROM (SELECT channel, i, list(v ORDER BY j) AS r FROM entries{tag} GROUP BY channel, i) GROUP BY channel"),
+    ]
+
+
+def solved(tag: str) -> str:
+    """(channel, w): the weights of channels with enough rows."""
+    return f"""SELECT * FROM (WITH RECURSIVE steps AS (
+      SELECT channel, 1 AS k, m FROM matrix{tag} WHERE channel IN (SELECT channel FROM examples{tag} GROUP BY channel HAVING count(*) >= 30)
+      UNION ALL SELECT channel, k + 1, list_transform(m, lambda r, i: CASE WHEN i = k THEN p ELSE list_transform(r, lambda v, j: v - r[k] * p[j]) END)
+      FROM (SELECT channel, k, m, list_transform(m[k], lambda v: v / m[k][k]) AS p FROM steps WHERE k <= {SIZE})
+    ) SELECT channel, list_transform(m, lambda r: r[{SIZE + 1}]) AS w FROM steps WHERE k = {SIZE + 1})"""
+
+
+CTES += [*fit_ctes("hourly", "std", "_f"), ("weights_f", solved("_f")), *fit_ctes("b_left", "std_b", "_g"), ("weights_g", solved("_g"))]
+CTES += [("refined_errors", "SELECT * FROM (" + " UNION ALL ".join(
+    f"""SELECT '{c}' AS channel, truth, {c}_value AS locf, {rint(f'({c}_decay * {c}_z + (1.0 - {c}_decay) * coalesce(list_dot_product([{", ".join(f"({x})::DOUBLE" for x in design(c))}], w), {c}_z)) * {c}_sd + {c}_mu', 3)} AS refined
+    FROM b_block JOIN std_b ON std_b.admission_id = b_block.admission_id AND hours_since_admission = pos LEFT JOIN weights_g ON weights_g.channel = '{c}' WHERE b_block.channel = '{c}'""" for c in CH) + ")")]
+ORACLES["f4_fit_refiner"] = after("weights_f", f"""SELECT e.channel, count(*) AS rows, {SIZE} AS n_features, {rint('1 - sum((y - p) * (y - p)) / (sum(y * y) - sum(y) * sum(y) / count(*))', 4)} AS r2, list_transform(any_value(w), lambda v: {rint('v', 4)} + 0.0) AS weights
+  FROM (SELECT channel, y, w, list_dot_product(x, w) AS p FROM examples_f JOIN weights_f USING (channel)) e GROUP BY e.channel""")
+_score = f"""SELECT channel, n, mae_locf, mae_refined, rmse_locf, rmse_refined, CASE WHEN mae_locf > 0 THEN {rint('100.0::DOUBLE * (mae_locf - mae_refined) / mae_locf', 2)} END AS improvement_pct FROM (
+  SELECT channel, count(*) AS n, {', '.join(f"{rint(f'avg(abs({m} - truth))', 4)} AS mae_{m}, {rint(f'sqrt(avg(({m} - truth) * ({m} - truth)))', 4)} AS rmse_{m}" for m in ('locf', 'refined'))} FROM refined_errors GROUP BY channel)"""
+ORACLES["b3_score_refined"] = ORACLES["n5_ranked_channels"] = after("refined_errors", _score)
+ORACLES["b4_pooled_refined"] = after("refined_errors", f"""SELECT CAST(sum(n) AS BIGINT) AS cells, {', '.join(f"{rint(f'sum({m} / sd) / sum(n)', 4)} AS pooled_mae_{m}" for m in ('locf', 'refined'))}, count(*) FILTER (refined < locf) AS channels_improved, count(*) AS channels_tested FROM (
+  SELECT count(*) AS n, CASE WHEN stddev_pop(truth) > 0 THEN stddev_pop(truth) ELSE 1.0 END AS sd, sum(abs(locf - truth)) AS locf, sum(abs(refined - truth)) AS refined FROM refined_errors GROUP BY channel)""")

@@ -248,8 +248,10 @@ def _fitted(s, d) -> dict[str, dict]:
 
 @query
 def f4_fit_refiner(s, d):
+    """The fit of each channel, weights to four digits."""
     rows = [(c, f["rows"], f["n_features"], f["r2"], [float(w) for w in f["weights"]]) for c, f in _fitted(s, d).items()]
-    return s.createDataFrame(rows, "channel string, rows long, n_features long, r2 double, weights array<double>")
+    fitted = s.createDataFrame(rows, "channel string, rows long, n_features int, r2 double, weights array<double>")
+    return fitted.withColumn("weights", F.transform("weights", lambda w: rint(w, 4) + F.lit(0.0)))
 
 
 _fields("f5_refine", "refined_z", table=refined_frozen)
