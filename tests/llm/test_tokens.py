@@ -218,7 +218,7 @@ def brute_topk(vectors, k):
 
 @pytest.mark.parametrize("n,k,query_bytes", [(0, 3, 1 << 20), (1, 3, 1 << 20), (4, 10, 1 << 20), (300, 7, 1 << 20), (300, 3, 500)])
 def test_topk(spark, monkeypatch, n, k, query_bytes):
-    monkeypatch.setattr(topk, "TURN", 3)
+    monkeypatch.setattr(topk, "HELD_BYTES", 3 * 8 * 6 * 8)  # three blocks at a time
     draw = random.Random(n)
     vectors = [(i, [draw.choice([-1.0, -0.25, 0.0, 0.3, 1.0]) + draw.choice([0.0, 0.001]) for _ in range(6)]) for i in range(n)]
     if n > 100:
@@ -247,13 +247,31 @@ def test_bounds_hold_and_prune():
     best = np.array([[max(sum(int(x) * int(y) for x, y in zip(a, b, strict=True)) for b in m)] for a in q], float)
     assert (topk.bounds(q, m.max(0)[None], m.min(0)[None]) >= best).all()
     centres = draw.integers(-1000, 1000, (40, 8))  # every block near a centre of its own: most are never scored
-    blocks = [(np.arange(32) + 32 * b, np.arange(32) + 32 * b, c + draw.integers(-5, 6, (32, 8))) for b, c in enumerate(centres)]
+    blocks = [(m.max(0), m.min(0), np.arange(32) + 32 * b, np.arange(32) + 32 * b, m) for b, c in enumerate(centres) for m in [c + draw.integers(-5, 6, (32, 8))]]
     search = topk.Search(np.array([-1, -2]), np.stack([centres[0], centres[7]]), 10)
-    for at in range(0, 40, topk.TURN):
-        search.take(blocks[at : at + topk.TURN])
+    for at in range(0, 40, 16):
+        some = blocks[at : at + 16]
+        search.take(some, [np.zeros(0, int)] * len(some))
     assert search.scored < 0.5 * search.met and not search.none.any()
 
 
+def test_topk_sends_scores_of_the_best_blocks(spark):
+    """Near centres by block, a query's first blocks of the whole table leave next to nothing to other tasks; results are all the same."""
+    draw = np.random.default_rng(5)
+    centres = draw.normal(size=(100, 16))
+    vectors = [(i, [float(x) for x in np.float32(centres[i // 16] + 0.05 * draw.normal(size=16))]) for i in range(1_600)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").repartition(5)
+    visits = tuple(spark.sparkContext.accumulator(0) for _ in range(2))
+    got = sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 5 == 0, 10, block_rows=16, visits=visits).collect())
+    assert got == brute_topk(vectors, 10)
+    assert visits[1].value >= 320 * 100 and visits[0].value < 0.05 * visits[1].value
+
+
+def test_topk_of_no_query(spark):
+    df = spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<double>")
+    assert topk.top_k(df, F.col("vec_id") == 2).collect() == []
+
+
 def test_large_products_stay_exact():
     a = np.array([[2**40, -(2**39)]], np.int64)
     assert topk.dot(a, a)[0, 0] == 2**63 - 1
