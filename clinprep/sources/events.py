@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clinprep import config
-from clinprep.sources.shared import store, store_bucketed
+from clinprep.sources.shared import compiled_methods, store, store_bucketed
 
 
 def _t(x: str) -> str:
@@ -119,6 +119,7 @@ def injected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    compiled_methods(spark)
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     return spark.sql(RAW_SQL, events=events)
 
@@ -136,6 +137,7 @@ def read_events(spark: SparkSession, path: str | list[str], header: bool = True)
     Files follow one another by name, and files may be read in parts: a first pass counts the rows of each part, and the sums of the parts
     before it give its first number. For one file that is the line that a log of dropped rows points to.
     """
+    compiled_methods(spark)
     rows = spark.read.schema(RAW_SCHEMA).option("header", header).csv(path)
     numbered = rows.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
     # a part is read by one task from its first row to its last, so its ids have no gaps

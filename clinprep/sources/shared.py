@@ -16,6 +16,8 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+#: Bytes of a generated method that the JVM still compiles; Spark's own limit is far above.
+METHOD_SETTING, SPARKS_METHOD_BYTES, METHOD_BYTES = "spark.sql.codegen.hugeMethodLimit", 65_535, 8_000
 #: Paths and tables of the open scratch scopes, the innermost last.
 _SCOPES: list[list[tuple[str, str | None]]] = []
 
@@ -95,6 +97,16 @@ def store_bucketed(df: DataFrame, tag: str, key: str, buckets: int, sort: bool =
     return spark.table(name), path
 
 
+def compiled_methods(spark: SparkSession) -> None:
+    """Keep the stages of wide tables compiled; a limit that the user has set stays.
+
+    Projections of many columns become one generated method that is too long for the JVM's compiler, so it runs
+    interpreted, row by row. Beyond this limit Spark cuts them into functions instead.
+    """
+    if int(spark.conf.get(METHOD_SETTING, str(SPARKS_METHOD_BYTES))) == SPARKS_METHOD_BYTES:
+        spark.conf.set(METHOD_SETTING, str(METHOD_BYTES))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

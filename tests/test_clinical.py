@@ -12,7 +12,7 @@ from clinprep import config
 from clinprep.functions import magnitude, numeric_view, parse_datetime, rint, spelling, strip, unit
 from clinprep.operators import cells, datetimes, dedup, holdout, hourly, profile, refine, review, validate, vmd
 from clinprep.plans import pipeline, registry
-from clinprep.sources import events
+from clinprep.sources import events, shared
 
 SF = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -27,6 +27,19 @@ def frame(spark, rows, schema):
     return spark.createDataFrame(rows, schema)
 
 
+@needs_data
+def test_wide_stages_stay_compiled_unless_the_user_says_otherwise(spark):
+    name = shared.METHOD_SETTING
+    before = spark.conf.get(name)
+    try:
+        for was, then in ((str(shared.SPARKS_METHOD_BYTES), str(shared.METHOD_BYTES)), ("12345", "12345")):
+            spark.conf.set(name, was)
+            rows = events.raw_events(spark, SF)
+            assert spark.conf.get(name) == then and len(rows.columns) == 25
+    finally:
+        spark.conf.set(name, before)
+
+
 # Numbers, texts, times
 def test_rint_is_half_even(spark):
     xs = [0.125, 0.135, 2.5, -0.125, 1.005, 2.675, 1e9 + 0.125]
