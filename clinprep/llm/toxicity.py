@@ -10,7 +10,9 @@ from __future__ import annotations
 import math
 import re
 from array import array
+from bisect import bisect_right
 from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -41,13 +43,24 @@ def bag_of_sentences(text: str) -> list[set[str]]:
     return [f for m in SENTENCE.finditer(text.lower()) if (f := features(m[0]))]
 
 
+def in_original(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans (start, end) of the lower-cased text as spans of the text itself, with all characters that they touch.
+
+    A few capitals become two characters in lower case, so that what follows them lies further on there.
+    """
+    ends = list(accumulate(len(c.lower()) for c in text)) if spans else []
+    if not ends or ends[-1] == len(text):
+        return spans
+    return [(bisect_right(ends, a), bisect_right(ends, b - 1) + 1) for a, b in spans]
+
+
 class NoisyOr:
     def __init__(self, weights: dict[str, float], bias: float):
         self.weights, self.bias = weights, bias
         self.roots = {f[: STEMS[0]] for f in weights if f.endswith("*")}
 
     def sentences(self, text: str) -> list[tuple[int, int, float]]:
-        """(start, end, score) of every sentence with a word in it."""
+        """(start, end, score) of every sentence of the lower-cased text with a word in it."""
         weights, roots, out = self.weights, self.roots, []
         for m in SENTENCE.finditer(text.lower()):
             words = set(WORD.findall(m[0]))
@@ -68,7 +81,9 @@ class NoisyOr:
             for _, _, p in found:
                 clean += math.log1p(-min(p, 1 - 1e-12))
             scores.append(-math.expm1(clean))
-            where.append([{"start": a, "end": b, "score": p} for a, b, p in found if p >= 0.5])
+            bad = [(a, b, p) for a, b, p in found if p >= 0.5]
+            spans = in_original(text, [(a, b) for a, b, _ in bad])
+            where.append([{"start": a, "end": b, "score": p} for (a, b), (_, _, p) in zip(spans, bad, strict=True)])
         return scores, where
 
 
@@ -129,7 +144,7 @@ def toxicity(docs: DataFrame, model: NoisyOr, text_col: str = "text") -> DataFra
     """``docs`` with ``score`` (0 to 1) and ``offending``: (start, end, score) of sentences scored 0.5 or more.
 
     Columns of these names are replaced. A null or empty text, or one without words, has no sentence and scores 0.
-    Whole texts are read; offsets count code points of the lower-cased text. Each row is scored by its text alone, so
+    Whole texts are read; offsets count code points of the text. Each row is scored by its text alone, so
     repeated rows get equal scores; an empty table gives an empty result.
     """
     return score_texts(docs, text_col, model.score, [T.StructField("score", T.DoubleType()), T.StructField("offending", OFFENDING)])

@@ -132,6 +132,17 @@ def rule_labels(pages: DataFrame, url_col: str = "url", rules=RULES) -> DataFram
     return cut.select("host", "path", (verdict == "block").alias("block"))
 
 
+def agreement_without_rule(pages: DataFrame, rule: str, url_col: str = "url", rules=RULES, sample: int = SAMPLE) -> DataFrame:
+    """(rule, n, agree): the pages that ``rule`` decides, and those of them that a model trained on the other rules' pages judges alike.
+
+    Says what the model knows of sites that no rule names. A rule that decides no page gives two zeros.
+    """
+    cut = pages.select(F.col(url_col).alias("url"), *[c.alias(n) for n, c in zip(("fits", "says"), rule_for(url_host(F.col(url_col)), url_path(F.col(url_col)), rules), strict=True)])
+    model = train(rule_labels(cut.filter(F.col("fits") != rule), rules=rules), sample)
+    judged = filter_urls(cut.filter(F.col("fits") == rule), model, "says", "url", rules=())
+    return judged.agg(F.lit(rule).alias("rule"), F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("verdict") == F.col("page_id"), 1)).alias("agree"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page_id, host, path, rule, verdict, block_score) of every row of ``pages``; the model learns from what the rules decide.
 

@@ -172,3 +172,22 @@ def test_quality_of_mixed_documents():
     n = good.count("\n") + 1
     assert min(lines[1][:n]) > 0.5 > max(lines[1][n:])
     assert scores[0] > 0.7 and scores[0] >= scores[1] >= scores[2] and scores[2] < 0.5
+
+
+def test_offending_sentences_lie_in_the_original_text():
+    model = toxicity.NoisyOr({"vile": 6.0}, -3.0)
+    text = "İİ İstanbul. You vile İ one! Fine. So vile"
+    _, where = model.score([text, text.replace("İ", "I"), "", "fine"])
+    assert [text[s["start"] : s["end"]] for s in where[0]] == [" You vile İ one", " So vile"]
+    assert [(s["start"], s["end"]) for s in where[0]] == [(s["start"], s["end"]) for s in where[1]]
+    assert where[2:] == [[], []]
+
+
+def test_agreement_without_a_rule(spark):
+    """A rule whose sites look like another rule's is foreseen; one that decides nothing gives zeros."""
+    rules = (("block", "casino.example.com/"), ("block", "casino.example.net/"), ("allow", "school.example.com/"), ("allow", "never.example.org/"))
+    pages = [(i, f"http://{'casino' if i % 2 else 'school'}.example.{'net' if i % 4 == 1 else 'com'}/{i}") for i in range(200)]
+    df = spark.createDataFrame(pages, "page_id long, url string")
+    got = {r: urls.agreement_without_rule(df, r, rules=rules).first() for r in ("casino.example.net/", "never.example.org/")}
+    assert got["casino.example.net/"].n == 50 and got["casino.example.net/"].agree >= 48
+    assert tuple(got["never.example.org/"]) == ("never.example.org/", 0, 0)
