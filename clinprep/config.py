@@ -55,6 +55,20 @@ MG_PER_MMOL = 18.0182
 FAHRENHEIT_BAND = (77.0, 113.0)
 MMOL_BAND = (1.0, 35.0)
 STRAY_FAHRENHEIT_BAND = (90.0, 115.0)
+#: Ways that a cell goes when units are settled, by what it says and what is inferred of a bare number.
+PATHS = {
+    "fahrenheit": "fahrenheit_explicit",
+    "celsius": "celsius_explicit",
+    "likely_fahrenheit": "inferred_fahrenheit",
+    "bare_temperature": "unitless_kept_as_celsius",
+    "mmol": "mmol_per_l_explicit",
+    "mg": "mg_per_dl_explicit",
+    "likely_mmol": "inferred_mmol_per_l",
+    "bare_glucose": "bare_mg_per_dl",
+    "suffix": "suffix_stripped",
+    "bare": "bare_number",
+    "unparseable": "unparseable",
+}
 UNIT_COLUMNS = ["temperature", "glucose", "sbp", "dbp", "mbp", "heart_rate", "spo2", "resp_rate", "creatinine", "wbc_count", "platelet_count", "age", "sofa_score"]
 
 DECAY_BASE = 0.75
@@ -64,4 +78,15 @@ MASK_FRACTION = 0.25
 SEED = 2026
 MAX_CHANNEL_LOSS = 0.5
 MIN_OBSERVATIONS = 20
+
+STEPS = [
+    "remove_duplicates",
+    "standardise_datetimes",
+    "convert_units",
+    "standardise_categories",
+    "validate_ranges",
+    "build_hourly_timeseries",
+    "build_value_mask_decay",
+    "refine_missing_values",
+]
 # End of fixed values.

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from clinprep import config
 from clinprep.functions import literal_map, magnitude, numeric_view, rint, strip, unit
 from clinprep.operators.datetimes import long_texts
+from clinprep.sources.shared import fresh_name
+
+PATHS = config.PATHS
+#: Ways whose cells change scale.
+TO_CELSIUS, TO_MG = (PATHS["fahrenheit"], PATHS["likely_fahrenheit"]), (PATHS["mmol"], PATHS["likely_mmol"])
 
 
 def _to_celsius(x: Column) -> Column:
@@ -16,12 +21,12 @@ def _to_celsius(x: Column) -> Column:
 
 def _path(column: str, c: Column, x: Column, u: Column) -> Column:
     if column == "temperature":
-        path = F.when(u.startswith("f"), "fahrenheit_explicit").when(u.startswith("c"), "celsius_explicit").when(x.between(*config.FAHRENHEIT_BAND), "inferred_fahrenheit").otherwise("unitless_kept_as_celsius")
+        path = F.when(u.startswith("f"), PATHS["fahrenheit"]).when(u.startswith("c"), PATHS["celsius"]).when(x.between(*config.FAHRENHEIT_BAND), PATHS["likely_fahrenheit"]).otherwise(PATHS["bare_temperature"])
     elif column == "glucose":
-        path = F.when(u.contains("mmol"), "mmol_per_l_explicit").when(u.contains("mg"), "mg_per_dl_explicit").when(x.between(*config.MMOL_BAND), "inferred_mmol_per_l").otherwise("bare_mg_per_dl")
+        path = F.when(u.contains("mmol"), PATHS["mmol"]).when(u.contains("mg"), PATHS["mg"]).when(x.between(*config.MMOL_BAND), PATHS["likely_mmol"]).otherwise(PATHS["bare_glucose"])
     else:
-        path = F.when(u != "", "suffix_stripped").otherwise("bare_number")
-    return F.when(c.isNull(), None).when(x.isNull(), "unparseable").otherwise(path)
+        path = F.when(u != "", PATHS["suffix"]).otherwise(PATHS["bare"])
+    return F.when(c.isNull(), None).when(x.isNull(), PATHS["unparseable"]).otherwise(path)
 
 
 def unit_path(column: str, c: Column) -> Column:
@@ -31,9 +36,9 @@ def unit_path(column: str, c: Column) -> Column:
 
 def _converted(column: str, x: Column, path: Column) -> Column:
     if column == "temperature":
-        x = F.when(path.isin("fahrenheit_explicit", "inferred_fahrenheit"), _to_celsius(x)).otherwise(x)
+        x = F.when(path.isin(*TO_CELSIUS), _to_celsius(x)).otherwise(x)
     elif column == "glucose":
-        x = F.when(path.isin("mmol_per_l_explicit", "inferred_mmol_per_l"), x * F.lit(config.MG_PER_MMOL)).otherwise(x)
+        x = F.when(path.isin(*TO_MG), x * F.lit(config.MG_PER_MMOL)).otherwise(x)
     return rint(x, 2)
 
 
@@ -49,8 +54,10 @@ def _present(df: DataFrame, columns) -> list[str]:
 def convert_units(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """All known measurement columns. Texts are split once, before the rules that read number and unit several times."""
     names = _present(df, columns or config.UNIT_COLUMNS)
-    split = {f"_number_{c}": magnitude(F.col(c)) for c in names} | {f"_unit_{c}": unit(F.col(c)) for c in names if c in ("temperature", "glucose")}
-    cells = {c: _converted(c, F.col(f"_number_{c}"), _path(c, F.col(c), F.col(f"_number_{c}"), F.col(f"_unit_{c}")) if f"_unit_{c}" in split else F.lit(None)) for c in names}
+    number = {c: fresh_name(df, f"number_{c}") for c in names}
+    units = {c: fresh_name(df, f"unit_{c}") for c in names if c in ("temperature", "glucose")}
+    split = {number[c]: magnitude(F.col(c)) for c in names} | {units[c]: unit(F.col(c)) for c in units}
+    cells = {c: _converted(c, F.col(number[c]), _path(c, F.col(c), F.col(number[c]), F.col(units[c])) if c in units else F.lit(None)) for c in names}
     return df.withColumns(split).withColumns(cells).drop(*split)
 
 
@@ -64,7 +71,7 @@ def unit_paths(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def converted_totals(df: DataFrame) -> DataFrame:
     """(column, converted): cells converted from Fahrenheit and from mmol/L."""
     paths = unit_paths(df, ["temperature", "glucose"])
-    return paths.filter(F.col("path").isin("fahrenheit_explicit", "inferred_fahrenheit", "mmol_per_l_explicit", "inferred_mmol_per_l")).groupBy("column").agg(F.sum("n").alias("converted"))
+    return paths.filter(F.col("path").isin(*TO_CELSIUS, *TO_MG)).groupBy("column").agg(F.sum("n").alias("converted"))
 
 
 def unit_distributions(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -115,9 +115,10 @@ def record_counts(raw: DataFrame, cleaned: DataFrame, hourly: DataFrame) -> Data
 
 
 def schema_table(df: DataFrame) -> DataFrame:
-    """(position, column, dtype) of a table."""
-    rows = [F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), F.lit(t).alias("dtype")) for i, (c, t) in enumerate(df.dtypes)]
-    return df.sparkSession.range(1).select(F.inline(F.array(*rows)))
+    """(position, column, dtype, observed) of a table: its columns with their types and their cells that are not null."""
+    counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(df.columns)])
+    rows = [F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), F.lit(t).alias("dtype"), F.col(f"n{i}").alias("observed")) for i, (c, t) in enumerate(df.dtypes)]
+    return counts.select(F.inline(F.array(*rows)))
 
 
 def missing_by_stage(cleaned: DataFrame, hourly: DataFrame, processed: DataFrame) -> DataFrame:

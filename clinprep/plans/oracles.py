@@ -10,6 +10,8 @@ from clinprep import config
 from clinprep.sources.events import INJECTED_SQL, RAW_SQL
 
 CH, RG, UC, TIMES, VOC, STATIC, RAW = config.CHANNELS, config.RANGES, config.UNIT_COLUMNS, config.TIME_COLUMNS, config.VOCABULARIES, config.STATIC_COLUMNS, config.RAW_COLUMNS
+WAYS = config.PATHS
+FROM_F, FROM_MMOL = f"'{WAYS['fahrenheit']}', '{WAYS['likely_fahrenheit']}'", f"'{WAYS['mmol']}', '{WAYS['likely_mmol']}'"
 
 
 def cols(names, template="{0}", sep=", ") -> str:
@@ -55,20 +57,20 @@ def instant(x: str) -> str:
 def path(c: str) -> str:
     x, u = magnitude(c), unit(c)
     if c == "temperature":
-        ways = f"WHEN {u} LIKE 'f%' THEN 'fahrenheit_explicit' WHEN {u} LIKE 'c%' THEN 'celsius_explicit' WHEN {x} BETWEEN 77 AND 113 THEN 'inferred_fahrenheit' ELSE 'unitless_kept_as_celsius'"
+        ways = f"WHEN {u} LIKE 'f%' THEN '{WAYS['fahrenheit']}' WHEN {u} LIKE 'c%' THEN '{WAYS['celsius']}' WHEN {x} BETWEEN 77 AND 113 THEN '{WAYS['likely_fahrenheit']}' ELSE '{WAYS['bare_temperature']}'"
     elif c == "glucose":
-        ways = f"WHEN {u} LIKE '%mmol%' THEN 'mmol_per_l_explicit' WHEN {u} LIKE '%mg%' THEN 'mg_per_dl_explicit' WHEN {x} BETWEEN 1 AND 35 THEN 'inferred_mmol_per_l' ELSE 'bare_mg_per_dl'"
+        ways = f"WHEN {u} LIKE '%mmol%' THEN '{WAYS['mmol']}' WHEN {u} LIKE '%mg%' THEN '{WAYS['mg']}' WHEN {x} BETWEEN 1 AND 35 THEN '{WAYS['likely_mmol']}' ELSE '{WAYS['bare_glucose']}'"
     else:
-        ways = f"WHEN {u} <> '' THEN 'suffix_stripped' ELSE 'bare_number'"
-    return f"CASE WHEN {c} IS NULL THEN NULL WHEN {x} IS NULL THEN 'unparseable' {ways} END"
+        ways = f"WHEN {u} <> '' THEN '{WAYS['suffix']}' ELSE '{WAYS['bare']}'"
+    return f"CASE WHEN {c} IS NULL THEN NULL WHEN {x} IS NULL THEN '{WAYS['unparseable']}' {ways} END"
 
 
 def converted(c: str) -> str:
     x = magnitude(c)
     if c == "temperature":
-        x = f"CASE WHEN {path(c)} IN ('fahrenheit_explicit', 'inferred_fahrenheit') THEN ({x} - 32.0) * 5.0 / 9.0 ELSE {x} END"
+        x = f"CASE WHEN {path(c)} IN ({FROM_F}) THEN ({x} - 32.0) * 5.0 / 9.0 ELSE {x} END"
     elif c == "glucose":
-        x = f"CASE WHEN {path(c)} IN ('mmol_per_l_explicit', 'inferred_mmol_per_l') THEN {x} * CAST(18.0182 AS DOUBLE) ELSE {x} END"
+        x = f"CASE WHEN {path(c)} IN ({FROM_MMOL}) THEN {x} * CAST(18.0182 AS DOUBLE) ELSE {x} END"
     return rint(x, 2)
 
 
@@ -274,7 +276,7 @@ ORACLES: dict[str, str] = {
     "u4_strip_unit": after("ev", f"SELECT row_index, {converted('sbp')} AS sbp, {converted('mbp')} AS mbp FROM ev"),
     "u5_convert_units": after("united", f"SELECT row_index, {cols(UC)} FROM united"),
     "u6_unit_paths": after("ev", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {path(c)} AS path, count(*) AS n FROM ev GROUP BY ALL" for c in UC) + ") WHERE path IS NOT NULL"),
-    "u6_converted_totals": after("ev", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS converted FROM ev WHERE {path(c)} IN ({w})" for c, w in (("temperature", "'fahrenheit_explicit', 'inferred_fahrenheit'"), ("glucose", "'mmol_per_l_explicit', 'inferred_mmol_per_l'")))),
+    "u6_converted_totals": after("ev", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS converted FROM ev WHERE {path(c)} IN ({w})" for c, w in (("temperature", FROM_F), ("glucose", FROM_MMOL)))),
     "u7_unit_distributions": after("ev", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{s}' AS stage, count(x) AS count, {rint('min(x)', 2)} AS min, {rint('avg(x)', 2)} AS mean, {rint('max(x)', 2)} AS max FROM (SELECT {e} AS x FROM ev)" for c in UC for s, e in (("before", number(c)), ("after", converted(c))))),
     "c1_standardise_categories": after("ev", f"SELECT row_index, {', '.join(f'{mapped(c)} AS {c}' for c in VOC)} FROM ev"),
     "c2_unmapped_values": after("ev", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c} AS value, count(*) AS n FROM ev WHERE {unknown(c)} GROUP BY ALL" for c in VOC)),
@@ -323,7 +325,7 @@ ORACLES: dict[str, str] = {
       UNION ALL SELECT 'all_admissions_kept', a = b, CAST(b AS VARCHAR), CAST(a AS VARCHAR) FROM o UNION ALL SELECT 'stays_last_some_time', stay > 0, '> 0 hours', CAST(stay AS VARCHAR) FROM o)"""),
     "a3_gap_starts": after("bins", "SELECT admission_id, CAST(hour AS VARCHAR) AS hour, step_hours FROM (SELECT admission_id, hour, epoch(hour - lag(hour) OVER (PARTITION BY admission_id ORDER BY hour)) / 3600.0::DOUBLE AS step_hours FROM bins) WHERE step_hours <> 1"),
     "a8_recovery": after("ev", f"""SELECT * FROM (WITH i AS ({INJECTED_SQL.format(events='events')}), r AS (
-      SELECT 'duplicate_rows' AS defect, (SELECT count(*) FROM raw) - (SELECT count(*) FROM ev) AS recovered UNION ALL SELECT 'fahrenheit_cells', count(*) FROM ev WHERE {path('temperature')} IN ('fahrenheit_explicit', 'inferred_fahrenheit')
+      SELECT 'duplicate_rows' AS defect, (SELECT count(*) FROM raw) - (SELECT count(*) FROM ev) AS recovered UNION ALL SELECT 'fahrenheit_cells', count(*) FROM ev WHERE {path('temperature')} IN ({FROM_F})
       UNION ALL SELECT 'category_noise_cells', count(*) FROM ({audit_rows('ev')}) WHERE v IS DISTINCT FROM w)
       SELECT defect, injected, recovered, CASE WHEN injected > 0 THEN {rint('100.0::DOUBLE * recovered / injected', 1)} END AS pct FROM i JOIN r USING (defect))"""),
     "a10_plan": after("raw", f"""SELECT * FROM (SELECT 0 AS position, 'remove_duplicates' AS step, (SELECT CAST(sum(n - 1) AS BIGINT) FROM (SELECT count(*) AS n FROM raw GROUP BY {cols(RAW)})) AS evidence
@@ -389,6 +391,7 @@ _dotted = lambda c: f"regexp_replace({c}, '^(\\d\\d)/(\\d\\d)/(\\d{{4}})', '\\1.
 ORACLES["t3_parse_audit_of_other_forms"] = after("parsed", " UNION ALL ".join(
     f"""SELECT '{c}' AS "column", count(DISTINCT s) FILTER (s <> 'Unrecognised') AS spellings, count(*) FILTER (s = 'Unrecognised' AND t IS NOT NULL) AS fallback_parsed, count(*) FILTER (t IS NULL) AS unparseable
     FROM (SELECT {spelling('x')} AS s, coalesce({instant('x')}, CASE WHEN {spelling('x')} = 'Unrecognised' THEN try_strptime(x, '%d.%m.%Y %H:%M') END) AS t FROM (SELECT {strip(_dotted(c))} AS x FROM ev WHERE {c} IS NOT NULL))""" for c in TIMES))
+ORACLES["h3_align_in_place"] = ORACLES["h3_align"]
 ORACLES["t2_parse_tolerantly"] = ORACLES["t2_parse_with_fallback"]
 ORACLES["s1_line_numbers"] = after("raw", "SELECT row_number() OVER (ORDER BY row_index) - 1 AS row_index, row_index AS written FROM raw")
 ORACLES["p1_profile_of_dictionary"] = ORACLES["p1_column_profile"]
@@ -454,3 +457,27 @@ _score = f"""SELECT channel, n, mae_locf, mae_refined, rmse_locf, rmse_refined,
 ORACLES["b3_score_refined"] = ORACLES["n5_ranked_channels"] = after("refined_errors", _score)
 ORACLES["b4_pooled_refined"] = after("refined_errors", f"""SELECT CAST(sum(n) AS BIGINT) AS cells, {', '.join(f"{rint(f'sum({m} / sd) / sum(n)', 4)} AS pooled_mae_{m}" for m in ('locf', 'refined'))}, count(*) FILTER (refined < locf) AS channels_improved, count(*) AS channels_tested FROM (
   SELECT count(*) AS n, CASE WHEN stddev_pop(truth) > 0 THEN stddev_pop(truth) ELSE 1.0 END AS sd, sum(abs(locf - truth)) AS locf, sum(abs(refined - truth)) AS refined FROM refined_errors GROUP BY channel)""")
+
+# Types as the twin's own chain gives them, by their names in Spark
+_NAMES = {"VARCHAR": "string", "DOUBLE": "double", "TIMESTAMP": "timestamp_ntz", "INTEGER": "int", "BIGINT": "bigint"}
+_dtype = "CASE any_value(typeof({0})) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _NAMES.items()) + " ELSE any_value(typeof({0})) END"
+ORACLES["a7_schema"] = after("hourly", " UNION ALL ".join(
+    f"SELECT {i} AS position, '{c}' AS \"column\", {_dtype.format(x)} AS dtype, count({x}) AS observed FROM hourly"
+    for i, (c, x) in enumerate([*((c, c) for c in ("hour", "admission_id", *CH, *STATIC)), ("hours_since_admission", "CAST(pos AS INTEGER)")])))
+
+# The trace of a run: the steps of the plan, each checked once, with what its claims say (a job whose claims failed would have halted or gone on to a second check)
+_CLAIMS = {
+    "remove_duplicates": ("rows_are_distinct",),
+    "standardise_datetimes": ("is_timestamp", "windows_end_after_they_start", "stay_is_positive"),
+    "convert_units": ("is_a_number", "no_stray_fahrenheit"),
+    "standardise_categories": ("categories_all_known",),
+    "validate_ranges": ("all_values_in_range", "no_column_lost_most_values"),
+    "build_hourly_timeseries": ("hours_not_doubled", "hours_without_gaps", "grid_has_more_rows"),
+    "build_value_mask_decay": ("values_present", "mask_is_0_or_1", "decay_from_0_to_1", "neutral_fill_is_zero"),
+    "refine_missing_values": ("observed_cells_unchanged",),
+}
+_hospice = "count(*) FILTER (" + " OR ".join(f"({unknown(c)}" + (f" AND lower({strip(c)}) <> 'hospice'" if c == "admission_type" else "") + ")" for c in VOC) + ")"
+_claims = f"SELECT name, passed FROM ({ORACLES['a9_postconditions']}) WHERE name <> 'categories_all_known' UNION ALL SELECT 'categories_all_known', n = 0 FROM ({after('united', f'SELECT {_hospice} AS n FROM united')})"
+_step_of = "CASE " + " ".join(f"WHEN ends_with(name, '{n}') THEN '{s}'" for s, names in _CLAIMS.items() for n in names) + " END"
+ORACLES["a11_trace"] = f"""SELECT CAST(p.position AS INTEGER) AS position, p.step, 1 AS attempt, c.passed, coalesce(c.failed, '') AS failed FROM ({ORACLES['a10_plan']}) p
+  JOIN (SELECT {_step_of} AS step, bool_and(passed) AS passed, string_agg(name, '; ' ORDER BY name) FILTER (NOT passed) AS failed FROM ({_claims}) GROUP BY 1) c ON c.step = p.step"""

@@ -19,16 +19,7 @@ from clinprep.operators import cells, datetimes, dedup, hourly, profile, refine,
 from clinprep.sources.events import write_report
 from clinprep.sources.shared import store
 
-STEPS = [
-    "remove_duplicates",
-    "standardise_datetimes",
-    "convert_units",
-    "standardise_categories",
-    "validate_ranges",
-    "build_hourly_timeseries",
-    "build_value_mask_decay",
-    "refine_missing_values",
-]
+STEPS = config.STEPS
 ALWAYS = {"standardise_datetimes", "build_hourly_timeseries", "build_value_mask_decay", "refine_missing_values"}
 HIGH_MISSING_PCT = 25.0
 #: Which step must come before.

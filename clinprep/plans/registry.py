@@ -199,6 +199,7 @@ of_raw("h1_bin_hours", lambda df: rounded(hourly.bin_hours(df)), stored_events)
 of_raw("h2_hour_grid", hourly.hour_grid, stored_events)
 of_raw("h2_capped_grid", lambda df: hourly.hour_grid(df, SHORT_STAY).groupBy("admission_id").agg(F.count(F.lit(1)).alias("hours"), F.max("truncated").alias("truncated")), stored_events)
 of_raw("h3_align", lambda df: rounded(hourly.hour_grid(df).join(hourly.bin_hours(df), hourly.KEY, "left").select("admission_id", "hour", *config.CHANNELS)), stored_events)
+of_raw("h3_align_in_place", lambda df: rounded(df.select("admission_id", "hour", *config.CHANNELS)), hourly_table)
 of_raw("h4_spread_statics", lambda df: df.select("admission_id", "hour", *config.STATIC_COLUMNS), hourly_table)
 of_raw("h5_hours_since_admission", lambda df: df.select("admission_id", "hour", "hours_since_admission"), hourly_table)
 of_raw("h5_from_buckets", lambda df: df.select("admission_id", "hour", "hours_since_admission"), lambda s, d: hourly.build_hourly(events.store_by_admission(stored_events(s, d), 8)))

@@ -95,6 +95,20 @@ def test_unit_conversion(spark):
     assert {(r.column, r.path): r.n for r in cells.unit_paths(df).collect()} == {("temperature", "celsius_explicit"): 1, ("temperature", "fahrenheit_explicit"): 1, ("temperature", "unparseable"): 1, ("glucose", "bare_mg_per_dl"): 1, ("glucose", "mmol_per_l_explicit"): 1}
 
 
+def test_units_leave_columns_of_the_names_of_helpers_alone(spark):
+    """Columns that are called like the helpers of a conversion come through as they are, whatever their case."""
+    df = frame(spark, [("98.6 F", "120 mmHg", "a", "b", 7)], "temperature string, sbp string, number_sbp string, Unit_Temperature string, _number_temperature int")
+    assert tuple(cells.convert_units(df).first()) == (37.0, 120.0, "a", "b", 7)
+    assert cells.convert_units(df).columns == df.columns
+
+
+def test_schema_counts_what_is_there(spark):
+    df = frame(spark, [(1, None), (2, "x"), (None, None)], "`a.b` int, c string")
+    rows = lambda t: [tuple(r) for r in validate.schema_table(t).orderBy("position").collect()]
+    assert rows(df) == [(0, "a.b", "int", 2), (1, "c", "string", 1)]
+    assert [r[3] for r in rows(df.limit(0))] == [0, 0]
+
+
 def test_categories_keep_what_they_do_not_know(spark):
     df = frame(spark, [(1, "\tER "), (2, "hospice "), (3, None), (4, "icu TRANSFER")], "row_index long, admission_type string")
     assert [r.admission_type for r in cells.standardise_categories(df).orderBy("row_index").collect()] == ["Emergency", "hospice ", None, "ICU"]
