@@ -524,7 +524,7 @@ def test_refinement_leaves_observed_cells_alone(spark):
 
 
 @needs_data
-@pytest.mark.parametrize("name", ["d1_remove_duplicates", "p4_unit_tokens", "p8_numeric_summary", "t3_parse_audit", "t5_reconcile_windows", "u6_unit_paths", "c3_category_audit", "r2_range_audit", "h6_expansion_audit", "w2_heart_rate_value_mask_decay", "v9_channel_audit", "b2_block_holdout", "a6_verdict", "a10_evidence", "s1_line_numbers", "t2_parse_tolerantly", "t3_parse_audit_of_other_forms", "r2_range_audit_of_texts", "r3_rejections_of_texts", "p1_profile_of_dictionary", "p8_exact_medians", "v8_serve", "b1_exact_holdout", "b2_exact_holdout", "h5_from_buckets", "n6_order_ablation"])
+@pytest.mark.parametrize("name", ["d1_remove_duplicates", "p4_unit_tokens", "p8_numeric_summary", "t3_parse_audit", "t5_reconcile_windows", "u6_unit_paths", "c3_category_audit", "r2_range_audit", "h6_expansion_audit", "w2_heart_rate_value_mask_decay", "v9_channel_audit", "b2_block_holdout", "a6_verdict", "a10_evidence", "s1_line_numbers", "t2_parse_tolerantly", "t3_parse_audit_of_other_forms", "r2_range_audit_of_texts", "r3_rejections_of_texts", "p1_profile_of_dictionary", "p8_exact_medians", "v8_serve", "b1_exact_holdout", "b2_exact_holdout", "h5_from_buckets", "n6_order_ablation", "a7_schema", "h3_align_in_place", "a11_trace"])
 def test_sql_twin(spark, name):
     import duckdb
 
