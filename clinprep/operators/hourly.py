@@ -51,7 +51,7 @@ def hour_grid(df: DataFrame, max_hours: int = config.MAX_HOURS) -> DataFrame:
     return stays.select("admission_id", (F.col("end") > last).alias("truncated"), F.posexplode(hours).alias("hours_since_admission", "hour"))
 
 
-def fill_both_ways(c: str) -> Column:
+def fill_both_ways(c: Column | str) -> Column:
     """H4: forward fill over the stay, then backward fill of what leads."""
     up = Window.partitionBy("admission_id").orderBy("hour").rowsBetween(Window.unboundedPreceding, 0)
     down = Window.partitionBy("admission_id").orderBy(F.desc("hour")).rowsBetween(Window.unboundedPreceding, 0)
@@ -62,7 +62,8 @@ def build_hourly(df: DataFrame, max_hours: int = config.MAX_HOURS) -> DataFrame:
     """H1-H5: the hourly table.
 
     Bins are dealt out by admission once. There each bin makes the rows from its own hour up to the next bin's, the first one also
-    those before it, so the grid is never joined nor shuffled, and the windows that fill static columns find their rows in place.
+    those before it, so the grid is never joined nor shuffled. Static columns are filled over the bins, which are few, before the rows are
+    made: what a row holds is what its bin holds. Bins outside the grid give nothing.
     """
     bins = _bins(df, None, F.min("intime").alias("in_"), F.max("outtime").alias("out_"))
     statics = [c for c in config.STATIC_COLUMNS if c in bins.columns]
@@ -73,13 +74,15 @@ def build_hourly(df: DataFrame, max_hours: int = config.MAX_HOURS) -> DataFrame:
     placed = bins.select(*KEY, *channels, *statics, start.alias("start"), end.alias("end"), F.lag("hour").over(order).alias("before"), F.lead("hour").over(order).alias("next"))
     one = F.expr("interval 1 hour")
     last = F.least("end", _last_hour(max_hours))
+    inside = F.col("hour").between(F.col("start"), last)
+    filled = placed.withColumns({c: fill_both_ways(F.when(inside, F.col(c))) for c in statics})
     since = F.when(F.col("before").isNull(), F.col("start")).otherwise(F.greatest("hour", "start"))
     until = F.least(F.coalesce(F.col("next") - one, last), last)
-    ranged = placed.withColumns({"since": since, "until": until}).filter("end >= start and since <= until")
+    ranged = filled.withColumns({"since": since, "until": until}).filter("end >= start and since <= until")
     grid = ranged.select("admission_id", F.col("hour").alias("bin"), "start", *channels, *statics, F.explode(F.sequence("since", "until", one)).alias("hour"))
     own = F.col("hour") == F.col("bin")
-    rows = grid.select(*KEY, *[F.when(own, F.col(c)).alias(c) for c in [*channels, *statics]], F.floor(hours_between(F.col("start"), F.col("hour"))).cast("int").alias("hours_since_admission"))
-    return rows.select("hour", "admission_id", *channels, *[fill_both_ways(c).alias(c) for c in statics], "hours_since_admission")
+    since_start = F.floor(hours_between(F.col("start"), F.col("hour"))).cast("int").alias("hours_since_admission")
+    return grid.select("hour", "admission_id", *[F.when(own, F.col(c)).alias(c) for c in channels], *statics, since_start)
 
 
 def expansion_audit(df: DataFrame, max_hours: int = config.MAX_HOURS) -> DataFrame:

@@ -54,10 +54,15 @@ def neutral_fill(hourly: DataFrame, channel: str) -> DataFrame:
     return hourly.withColumn(channel, F.when(seen.isNull(), mean).otherwise(F.col(channel)))
 
 
-def _expand(c: str, base: float, mean: Column, hours: Column) -> dict[str, Column]:
+def _seen(c: str) -> dict[str, Column]:
+    """What the windows say of a channel: the places of the last and the next observed cell, and their values, the row's own included."""
+    x, pos = F.col(c), F.when(F.col(c).isNotNull(), F.col("hours_since_admission"))
+    return {"before": F.max(pos).over(_up()), "after": F.min(pos).over(_down()), "carried": F.last(x, True).over(_up()), "ahead": F.last(x, True).over(_down())}
+
+
+def _expand(c: str, base: float, mean: Column, hours: Column, seen: dict[str, Column]) -> dict[str, Column]:
     x, pos = F.col(c), F.col("hours_since_admission")
-    before, after = F.max(F.when(x.isNotNull(), pos)).over(_up()), F.min(F.when(x.isNotNull(), pos)).over(_down())
-    carried, ahead = F.last(x, True).over(_up()), F.last(x, True).over(_down())
+    before, after, carried, ahead = (seen[k] for k in ("before", "after", "carried", "ahead"))
     end = F.coalesce(after, hours)
     gap = F.when(before.isNull(), end - pos).otherwise(pos - before)
     back = end - pos
@@ -75,13 +80,18 @@ def _expand(c: str, base: float, mean: Column, hours: Column) -> dict[str, Colum
 
 
 def value_mask_decay(hourly: DataFrame, channels: list[str] | None = None, base: float = config.DECAY_BASE, means: Parameters | DataFrame | None = None) -> DataFrame:
-    """V2-V7: eight further columns a channel. Needs admission_id and hours_since_admission (0, 1, ...). Without ``means`` the table is read for them."""
+    """V2-V7: eight further columns a channel. Needs admission_id and hours_since_admission (0, 1, ...). Without ``means`` the table is read for them.
+
+    Windows are columns of their own first: each mention of one inside an expression would be computed anew.
+    """
     channels = [c for c in (channels or config.CHANNELS) if c in hourly.columns]
     known = parameters(population_means(hourly, channels) if means is None else means)
     hours = fresh_name(hourly, "hours")
-    rows = hourly.withColumn(hours, F.max("hours_since_admission").over(Window.partitionBy("admission_id")) + 1)
-    new = reduce(lambda a, b: a | b, (_expand(c, base, F.lit(known[f"mean_{c}"]).cast("double"), F.col(hours)) for c in channels), {})
-    return rows.withColumns(new).drop(hours)
+    found = {c: {k: (fresh_name(hourly, f"{k}_{c}"), w) for k, w in _seen(c).items()} for c in channels}
+    windows = {name: w for of in found.values() for name, w in of.values()}
+    rows = hourly.withColumns({hours: F.max("hours_since_admission").over(Window.partitionBy("admission_id")) + 1} | windows)
+    new = reduce(lambda a, b: a | b, (_expand(c, base, F.lit(known[f"mean_{c}"]).cast("double"), F.col(hours), {k: F.col(name) for k, (name, _) in found[c].items()}) for c in channels), {})
+    return rows.withColumns(new).drop(hours, *windows)
 
 
 def statistics(vmd: DataFrame, channels: list[str] | None = None) -> DataFrame:

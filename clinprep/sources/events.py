@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clinprep import config
-from clinprep.sources.shared import compiled_methods, store, store_bucketed
+from clinprep.sources.shared import SPREAD_EVENTS, compiled_methods, spread, store, store_bucketed
 
 
 def _t(x: str) -> str:
@@ -120,7 +120,8 @@ def injected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     compiled_methods(spark)
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    # a file of few row groups is read by few tasks: the three columns are dealt out before they become wide texts
+    events = spread(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "ts"), "event_id", rows=SPREAD_EVENTS)
     return spark.sql(RAW_SQL, events=events)
 
 

@@ -549,3 +549,21 @@ def test_long_numbers_keep_all_digits_in_ids(spark):
     want = [("ADM00007-03", "P00007"), ("ADM12345-99", "P12345"), ("ADM123456-03", "P123456"), ("ADM123457-121", "P123457")]
     assert sorted(map(tuple, spark.sql(sql).collect())) == sorted(want)
     assert sorted(duckdb.sql(sql).fetchall()) == sorted(want)
+
+
+def test_tasks_of_a_spread_table_grow_in_number_not_in_rows(spark):
+    parts = lambda n: shared.spread(spark.range(n), "id", rows=100).rdd.getNumPartitions()
+    assert parts(1000) == 10 and parts(4000) == 40
+    assert "Exchange" not in shared.spread(spark.range(90), "id", rows=100)._jdf.queryExecution().executedPlan().toString()
+
+
+@needs_data
+def test_statics_are_filled_before_hours_are_made(spark):
+    plan = hourly.build_hourly(registry.stored_events(spark, SF))._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.index("Window")  # the plan is printed from its last step down
+
+
+def test_a_window_is_computed_once_for_all_columns_that_need_it(spark):
+    table = frame(spark, [("a", 0, 1.0), ("a", 1, None)], "admission_id string, hours_since_admission int, heart_rate double")
+    plan = vmd.value_mask_decay(table, ["heart_rate"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("windowspecdefinition") - plan.count("Window [") <= 5  # four of the channel, one of the stay
