@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from clinprep import config
 from clinprep.functions import rint
-from clinprep.sources.shared import fresh_name, store
+from clinprep.sources.shared import fresh_name, spread, store
 
 MIN_CHANNEL = 40
 CELL = ["admission_id", "hours_since_admission", "channel"]
@@ -72,6 +72,8 @@ def holdout(hourly: DataFrame, mode: str = "random", fraction: float = config.HO
     runs until it is met for blocks, whatever the partitions.
     """
     cells = observed_cells(hourly)
+    if mode != "random":
+        cells = spread(cells, "admission_id", "channel", like=hourly)
     series = Window.partitionBy("admission_id", "channel")
     order = series.orderBy("hours_since_admission")
     nth, n = F.row_number().over(order), F.count(F.lit(1)).over(series)
@@ -89,12 +91,14 @@ def holdout(hourly: DataFrame, mode: str = "random", fraction: float = config.HO
     return starts.withColumn("held", F.max("start").over(covering)).filter("held").select(*CELL, "truth")
 
 
-def hide(hourly: DataFrame, held: DataFrame, channels: list[str] | None = None) -> DataFrame:
-    """``hourly`` without the held cells."""
+def hide(hourly: DataFrame, held: DataFrame, channels: list[str] | None = None, flag: str | None = None) -> DataFrame:
+    """``hourly`` without the held cells. ``flag`` names a further column: whether any cell of the row is held."""
     names = channels or config.CHANNELS
     hidden = fresh_name(hourly, "hidden")
     flags = held.groupBy(*CELL[:2]).agg(F.collect_set("channel").alias(hidden))  # a name for each channel at most
-    joined = hourly.join(flags, CELL[:2], "left")
+    joined = spread(hourly, *CELL[:2]).join(flags, CELL[:2], "left")
+    if flag:
+        joined = joined.withColumn(flag, F.col(hidden).isNotNull())
     return joined.withColumns({c: F.when(F.coalesce(F.array_contains(hidden, c), F.lit(False)), None).otherwise(F.col(c)) for c in names}).drop(hidden)
 
 

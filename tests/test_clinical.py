@@ -567,3 +567,13 @@ def test_a_window_is_computed_once_for_all_columns_that_need_it(spark):
     table = frame(spark, [("a", 0, 1.0), ("a", 1, None)], "admission_id string, hours_since_admission int, heart_rate double")
     plan = vmd.value_mask_decay(table, ["heart_rate"])._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("windowspecdefinition") - plan.count("Window [") <= 5  # four of the channel, one of the stay
+
+
+@needs_data
+def test_weights_are_applied_to_the_rows_and_columns_that_are_read(spark):
+    served = refine.serve(registry.stored_hourly(spark, SF), {"parameters": registry.with_parameters(spark, SF)[1], "weights": registry.FROZEN})
+    plan = served.select("heart_rate_refined_z")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "heart_rate_fill_kind" not in plan
+    errors = refine.benchmark_errors(registry.stored_hourly(spark, SF))
+    plan = errors._jdf.queryExecution().optimizedPlan().toString()
+    assert "any_held" in plan and "MapInArrow" not in plan
