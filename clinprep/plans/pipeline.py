@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from clinprep import config
 from clinprep.operators import cells, datetimes, dedup, hourly, profile, refine, validate, vmd
 from clinprep.sources.events import write_report
-from clinprep.sources.shared import store
+from clinprep.sources.shared import SPREAD_EVENTS, spread, store, store_measured
 
 STEPS = config.STEPS
 ALWAYS = {"standardise_datetimes", "build_hourly_timeseries", "build_value_mask_decay", "refine_missing_values"}
@@ -166,9 +166,12 @@ class Gates:
             df = store(_repaired(df, found), "repaired")
         return df
 
-    def written(self, df: DataFrame, stages: list[tuple[str, Callable, Callable]], tag: str, attempt: int = 1) -> DataFrame:
+    def written(self, df: DataFrame, stages: list[tuple[str, Callable, Callable]], tag: str, attempt: int = 1, lasting: bool = False) -> DataFrame:
         """The table that the stages make of ``df``, written once with the aggregates of all their checks observed.
 
+        ``lasting``: later stages only add columns, so the aggregates are taken from the written table. Observed ones are summed outside of compiled
+        stages, which on a grid of many rows costs more than reading the columns that they need.
+
         A stage is (step, what it makes of a table, its check of the tables before and after). If the claims of one fail, its result is repaired and
         written, and the stages after it are done anew.
         """
@@ -184,20 +187,22 @@ class Gates:
                 seen["before"] = Observation()
                 after = make(now.observe(seen["before"], *check.before))
             plain = after
-            if check.after:
+            if check.after and not lasting:
                 seen["after"] = Observation()
                 after = after.observe(seen["after"], *check.after)
             told.append((step, check, seen, now, plain))
             now = after
         out = store(now, tag)
+        sums = [m for _, check, *_ in told for m in check.after] if lasting else []
+        taken = out.agg(*sums).first().asDict() if sums else {}  # one row
         for i, (step, check, seen, before, after) in enumerate(told):
-            values = {k: v for o in seen.values() for k, v in o.get.items()}
+            values = taken | {k: v for o in seen.values() for k, v in o.get.items()}
             found = self.settled(step, attempt if not i else 1, failures(check.seen(after, before, values)))
             if found:
                 fix = (step, lambda t, found=found: _repaired(t, found), lambda _, t, check=check: Check(check.claims, check.after, []))
                 if check.before:  # what was lost before stays lost: only claims over the result can be repaired
                     fix = (step, fix[1], lambda _, t, check=check: Check(check.claims[:1], check.after))
-                return self.written(store(after, "failed"), [fix, *stages[i + 1 :]], tag, ATTEMPTS)
+                return self.written(store(after, "failed"), [fix, *stages[i + 1 :]], tag, ATTEMPTS, lasting)
         return out
 
 
@@ -322,26 +327,25 @@ def run(raw: DataFrame, steps: list[str] | None = None, vocabularies=None, gated
     out = Result(df if gated and steps else store(df, "cleaned"), audits=audits, steps=steps, trace=gates.trace)
     if "build_hourly_timeseries" in steps:
         audits["build_hourly_timeseries"] = hourly.expansion_audit(out.cleaned, max_hours)
-        source, grid = Observation(), Observation()
         usable = reduce(Column.__and__, [F.col(c).isNotNull() for c in ("admission_id", *config.TIME_COLUMNS)])
-        events = out.cleaned.observe(source, F.count(F.when(usable, 1)).alias("rows_before"))
-        out.hourly = store(hourly.build_hourly(events, max_hours).observe(grid, F.count(F.lit(1)).alias("rows_after"), *vmd.channel_sums(config.CHANNELS)), "hourly")
-        sums = {**source.get, **grid.get}
-        rows = raw.sparkSession.createDataFrame([(sums.get("rows_before") or 0, sums.get("rows_after") or 0)], "rows_before long, rows_after long")
-        out.hourly = gates.passed("build_hourly_timeseries", out.hourly, lambda t: check_hourly(t, rows))
+        rows = out.cleaned.agg(F.count(F.when(usable, 1)).alias("rows_before"))
+        grid = hourly.build_hourly(spread(out.cleaned, "admission_id", rows=SPREAD_EVENTS), max_hours)
+        out.hourly, sums = store_measured(grid, "hourly", F.count(F.lit(1)).alias("rows_after"), *vmd.channel_sums(config.CHANNELS))
+        rows = raw.sparkSession.createDataFrame([(rows.first()[0], sums["rows_after"])], "rows_before long, rows_after long")
+        out.hourly = gates.passed("build_hourly_timeseries", out.hourly, lambda t: check_hourly(spread(t.select(*hourly.KEY), "admission_id"), rows))
     if "build_value_mask_decay" in steps:
         known = model["parameters"] if model else vmd.parameters(sums)
-        expand = lambda t: vmd.standardise(vmd.value_mask_decay(t, means=known), stats=known)
-        expanded = gates.written(out.hourly, [("build_value_mask_decay", expand, lambda _, t: vmd_check(t))], "standardised")
-        out.processed = expanded if gated else store(expanded, "standardised")
-        audits["build_value_mask_decay"] = vmd.channel_audit(out.processed)
-    if "refine_missing_values" in steps:
-        weights = model["weights"] if model else {c: f["weights"] for c, f in refine.fit(out.hourly, known).items()}
-        refined = lambda t: refine.refine(t, weights, stats=known)
-        done = gates.written(out.processed, [("refine_missing_values", refined, lambda _, t: refinement_check(t))], "processed")
+        stages = [("build_value_mask_decay", lambda t: vmd.standardise(vmd.value_mask_decay(t, means=known), stats=known), lambda _, t: vmd_check(t))]
+        if "refine_missing_values" in steps:
+            # the fit needs the hourly table only, so one write holds both steps
+            weights = model["weights"] if model else {c: f["weights"] for c, f in refine.fit(out.hourly, known).items()}
+            stages.append(("refine_missing_values", lambda t: refine.refine(t, weights, stats=known), lambda _, t: refinement_check(t)))
+            out.model = {"parameters": known, "weights": weights}
+        done = gates.written(spread(out.hourly, "admission_id"), stages, "processed", lasting=True)
         out.processed = done if gated else store(done, "processed")
-        out.model = {"parameters": known, "weights": weights}
-        audits["refine_missing_values"] = refine.refinement_audit(out.processed)
+        audits["build_value_mask_decay"] = vmd.channel_audit(out.processed)
+        if "refine_missing_values" in steps:
+            audits["refine_missing_values"] = refine.refinement_audit(out.processed)
     if report:
         write_report({**audits, "trace": trace(raw, out), "assertions": assertions(raw, out)}, report)
     return out
@@ -356,7 +360,8 @@ def assertions(raw: DataFrame, result: Result) -> DataFrame:
     """A1-A5 over a run, as far as its steps went."""
     parts = [validate.table_assertions(raw, result.cleaned, result.audits["remove_duplicates"]), validate.range_assertions(result.cleaned)]
     if result.hourly is not None:
-        parts.append(validate.grid_assertions(result.hourly if result.processed is None else result.processed))
+        grid = (result.hourly if result.processed is None else result.processed).select(*hourly.KEY)
+        parts.append(validate.grid_assertions(spread(grid, "admission_id")))
     if result.processed is not None:
         parts.append(validate.channel_assertions(result.processed))
     if "refine_missing_values" in result.audits:

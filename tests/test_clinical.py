@@ -577,3 +577,12 @@ def test_weights_are_applied_to_the_rows_and_columns_that_are_read(spark):
     errors = refine.benchmark_errors(registry.stored_hourly(spark, SF))
     plan = errors._jdf.queryExecution().optimizedPlan().toString()
     assert "any_held" in plan and "MapInArrow" not in plan
+
+
+@needs_data
+def test_a_run_writes_the_wide_table_once(spark, monkeypatch):
+    tags = []
+    monkeypatch.setattr(pipeline, "store", lambda df, tag, **more: tags.append(tag) or shared.store(df, tag, **more))
+    out = pipeline.run(events.raw_events(spark, SF).filter("row_index % 3 = 0"), [*pipeline.STEPS[:1], "standardise_datetimes", "convert_units", "standardise_categories", "validate_ranges", "build_hourly_timeseries", "build_value_mask_decay", "refine_missing_values"], registry.VOCABULARIES)
+    assert tags.count("processed") == 1 and "standardised" not in tags
+    assert [t[1] for t in out.trace] == pipeline.STEPS and all(t[3] for t in out.trace)
