@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clinprep.sources.shared import fresh_name, store
+from clinprep.sources.shared import fresh_name, spread, store
 
 #: Digests that repeat are broadcast up to this size; beyond, rows are shuffled to meet them.
 BROADCAST_BYTES, DIGEST_BYTES = 64 << 20, 32
@@ -40,9 +40,11 @@ class Repeats:
         self.names = [fresh_name(df, n) for n in ("digest_hi", "digest_lo")]
         marked = zip(self.names, (digest or row_digest)(df, self.keys), strict=True)
         self.marked = df.withColumns(dict(marked))
-        found = self.marked.groupBy(*self.names).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*self.names)
+        # hardly any digest repeats within a task, so they are dealt out by rows and counted there
+        found = spread(self.marked.select(*self.names), *self.names, like=df).groupBy(*self.names).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         self.digests = store(found, "repeated-digests")
-        self.n = self.digests.count()
+        self.n, self.rows = self.digests.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()  # digests that repeat, and their rows
+        self.digests = self.digests.select(*self.names)
         if self.n * DIGEST_BYTES <= BROADCAST_BYTES:
             self.digests = F.broadcast(self.digests)
 
@@ -54,10 +56,12 @@ class Repeats:
         return self.marked.join(self.digests, self.names, "left_anti").drop(*self.names)
 
     def ranked(self, keep: str) -> tuple[DataFrame, str]:
-        """The suspects with their number among equal rows; nulls are equal."""
+        """The suspects with their number among equal rows; nulls are equal. They are dealt out by their digests, which tell most of them
+        apart before a column is compared."""
         order = F.col("row_index").asc() if keep == "first" else F.col("row_index").desc()
         nth = fresh_name(self.df, "nth")
-        return self.suspects().withColumn(nth, F.row_number().over(Window.partitionBy(*self.keys).orderBy(order))), nth
+        rows = spread(self.marked.join(self.digests, self.names, "left_semi"), *self.names, n=self.rows)
+        return rows.withColumn(nth, F.row_number().over(Window.partitionBy(*self.names, *self.keys).orderBy(order))).drop(*self.names), nth
 
     def kept(self, keep: str) -> DataFrame:
         rows, nth = self.ranked(keep)

@@ -1,8 +1,10 @@
 """Literal cases, awkward rows, invariants, and SQL twins of the clinical jobs."""
 
 import datetime as dt
+import functools
 import os
 import random
+import re
 
 import numpy as np
 import pytest
@@ -586,3 +588,18 @@ def test_a_run_writes_the_wide_table_once(spark, monkeypatch):
     out = pipeline.run(events.raw_events(spark, SF).filter("row_index % 3 = 0"), [*pipeline.STEPS[:1], "standardise_datetimes", "convert_units", "standardise_categories", "validate_ranges", "build_hourly_timeseries", "build_value_mask_decay", "refine_missing_values"], registry.VOCABULARIES)
     assert tags.count("processed") == 1 and "standardised" not in tags
     assert [t[1] for t in out.trace] == pipeline.STEPS and all(t[3] for t in out.trace)
+
+
+@needs_data
+def test_rows_of_windows_and_of_repeated_digests_are_dealt_out_by_number(spark, monkeypatch):
+    distinct = registry.distinct_events(spark, SF)
+    for module in (datetimes, dedup):
+        monkeypatch.setattr(module, "spread", functools.partial(shared.spread, rows=20))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    tasks = lambda df: [int(n) for n in re.findall(r"Exchange hashpartitioning\(.*?, (\d+)\)", plan(df))]
+    windowed = datetimes.reconcile_windows(datetimes.parse_times(distinct))
+    assert tasks(windowed) == [50]  # a thousand events
+    raw = registry.stored_raw(spark, SF)
+    found = dedup.Repeats(raw)
+    assert tasks(found.kept("first")) == [10] and found.rows == 200
+    assert sorted(map(tuple, found.distinct().collect()), key=repr) == sorted(map(tuple, distinct.collect()), key=repr)
