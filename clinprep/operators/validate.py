@@ -136,7 +136,7 @@ def recovery(truth: DataFrame, recovered: DataFrame) -> DataFrame:
 
 def observed_shares(processed: DataFrame) -> DataFrame:
     """(channel, observed_pct)."""
-    return vmd.long_channels(processed, ["mask"]).groupBy("channel").agg(rint(100.0 * F.avg("mask"), 2).alias("observed_pct"))
+    return vmd.by_channel(processed, lambda c: {"observed_pct": rint(100.0 * F.avg(f"{c}_mask"), 2)})
 
 
 def gap_starts(hourly: DataFrame) -> DataFrame:

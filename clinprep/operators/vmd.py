@@ -5,6 +5,7 @@ All windows share one partitioning (the admission) and two orders, so eight chan
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -115,28 +116,30 @@ def standardise(vmd: DataFrame, channels: list[str] | None = None, stats: Parame
     return vmd.withColumns({f"{c}_{out}": z(c, of) for c in channels for out, of in (("z", "value"), ("next_z", "next_value"))})
 
 
-def long_channels(df: DataFrame, fields: list[str], channels: list[str] | None = None, carried: tuple[str, ...] = ()) -> DataFrame:
-    """(carried..., channel, fields...): a row for each cell of the wide table."""
-    cells = [F.struct(F.lit(c).alias("channel"), *[F.col(f"{c}_{f}").alias(f) for f in fields]) for c in channels or config.CHANNELS]
-    return df.select(*carried, F.explode(F.array(*cells)).alias("cell")).select(*carried, "cell.*")
+def by_channel(df: DataFrame, sums: Callable[[str], dict[str, Column]], channels: list[str] | None = None) -> DataFrame:
+    """(channel, ...): a row for each channel, of aggregates over its own columns; the table is summed wide, so no row is copied for each channel."""
+    made = {c: sums(c) for c in channels or config.CHANNELS}
+    one = df.agg(*[x.alias(f"{c}__{name}") for c, of in made.items() for name, x in of.items()])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("channel"), *[F.col(f"{c}__{name}").alias(name) for name in of]) for c, of in made.items()])))
 
 
 def channel_audit(vmd: DataFrame, channels: list[str] | None = None) -> DataFrame:
     """V9: (channel, observed, locf, neutral, observed_pct, max_gap, mean_decay_imputed, mean_used); mean_used: what neutral fills hold."""
-    cells = long_channels(vmd, ["mask", "decay", "gap_hours", "fill_kind", "value"], channels)
-    n = lambda kind: F.count(F.when(F.col("fill_kind") == kind, 1))
-    return cells.groupBy("channel").agg(
-        n("observed").alias("observed"),
-        n("locf").alias("locf"),
-        n("neutral_fill").alias("neutral"),
-        rint(100.0 * F.avg("mask"), 2).alias("observed_pct"),
-        F.max("gap_hours").alias("max_gap"),
-        rint(F.avg(F.when(F.col("mask") == 0, F.col("decay"))), 4).alias("mean_decay_imputed"),
-        rint(F.avg(F.when(F.col("mask") == 1, F.col("value"))), 3).alias("mean_used"),
-    )
+    def sums(c: str) -> dict[str, Column]:
+        mask, n = F.col(f"{c}_mask"), lambda kind: F.count(F.when(F.col(f"{c}_fill_kind") == kind, 1))
+        return {
+            "observed": n("observed"),
+            "locf": n("locf"),
+            "neutral": n("neutral_fill"),
+            "observed_pct": rint(100.0 * F.avg(mask), 2),
+            "max_gap": F.max(f"{c}_gap_hours"),
+            "mean_decay_imputed": rint(F.avg(F.when(mask == 0, F.col(f"{c}_decay"))), 4),
+            "mean_used": rint(F.avg(F.when(mask == 1, F.col(f"{c}_value"))), 3),
+        }
+
+    return by_channel(vmd, sums, channels)
 
 
 def neutral_check(standardised: DataFrame, channels: list[str] | None = None) -> DataFrame:
     """(channel, worst): the largest absolute z among neutral-filled cells."""
-    cells = long_channels(standardised, ["z", "fill_kind"], channels)
-    return cells.groupBy("channel").agg(F.coalesce(F.max(F.when(F.col("fill_kind") == "neutral_fill", F.abs("z"))), F.lit(0.0)).alias("worst"))
+    return by_channel(standardised, lambda c: {"worst": F.coalesce(F.max(F.when(F.col(f"{c}_fill_kind") == "neutral_fill", F.abs(f"{c}_z"))), F.lit(0.0))}, channels)

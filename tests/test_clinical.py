@@ -613,3 +613,11 @@ def test_hours_of_channels_carry_no_other_column_and_are_dealt_out_once(spark):
     assert plan.count("Exchange") == 1 and plan.count("FileScan") == 1 and "SortAggregate" not in plan
     rows = lambda df: sorted(map(tuple, registry.rounded(df.select(*hours.columns)).collect()), key=repr)
     assert rows(hours) == rows(registry.hourly_table(spark, SF))
+
+
+def test_audits_of_channels_copy_no_rows(spark):
+    table = vmd.standardise(vmd.value_mask_decay(frame(spark, [("a", 0, 1.0), ("a", 1, None)], "admission_id string, hours_since_admission int, heart_rate double"), ["heart_rate"]), ["heart_rate"])
+    refined = refine.refine(table, {}, ["heart_rate"])
+    for audit in (vmd.channel_audit(table, ["heart_rate"]), vmd.neutral_check(table, ["heart_rate"]), refine.refinement_audit(refined, ["heart_rate"])):
+        plan = audit._jdf.queryExecution().optimizedPlan().toString()
+        assert "explode" not in plan and audit.first().channel == "heart_rate"
