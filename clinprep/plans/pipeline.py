@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from clinprep import config
 from clinprep.operators import cells, datetimes, dedup, hourly, profile, refine, validate, vmd
 from clinprep.sources.events import write_report
-from clinprep.sources.shared import SPREAD_EVENTS, spread, store, store_measured
+from clinprep.sources.shared import FILE_ROWS, SPREAD_EVENTS, spread, store, store_measured
 
 STEPS = config.STEPS
 ALWAYS = {"standardise_datetimes", "build_hourly_timeseries", "build_value_mask_decay", "refine_missing_values"}
@@ -163,7 +163,7 @@ class Gates:
             found = self.settled(step, attempt, failures(check(df)))
             if not found:
                 return df
-            df = store(_repaired(df, found), "repaired")
+            df = store(_repaired(df, found), "repaired", file_rows=FILE_ROWS)
         return df
 
     def written(self, df: DataFrame, stages: list[tuple[str, Callable, Callable]], tag: str, attempt: int = 1, lasting: bool = False) -> DataFrame:
@@ -192,7 +192,7 @@ class Gates:
                 after = after.observe(seen["after"], *check.after)
             told.append((step, check, seen, now, plain))
             now = after
-        out = store(now, tag)
+        out = store(now, tag, file_rows=FILE_ROWS)
         sums = [m for _, check, *_ in told for m in check.after] if lasting else []
         taken = out.agg(*sums).first().asDict() if sums else {}  # one row
         for i, (step, check, seen, before, after) in enumerate(told):
@@ -202,7 +202,7 @@ class Gates:
                 fix = (step, lambda t, found=found: _repaired(t, found), lambda _, t, check=check: Check(check.claims, check.after, []))
                 if check.before:  # what was lost before stays lost: only claims over the result can be repaired
                     fix = (step, fix[1], lambda _, t, check=check: Check(check.claims[:1], check.after))
-                return self.written(store(after, "failed"), [fix, *stages[i + 1 :]], tag, ATTEMPTS, lasting)
+                return self.written(store(after, "failed", file_rows=FILE_ROWS), [fix, *stages[i + 1 :]], tag, ATTEMPTS, lasting)
         return out
 
 
@@ -289,7 +289,7 @@ def clean(raw: DataFrame, steps: list[str] | None = None, vocabularies=None, gat
     if "remove_duplicates" in steps:
         df = first.distinct()
         if gates.active:
-            df = store(df, "distinct")
+            df = store(df, "distinct", file_rows=FILE_ROWS)
             left = dedup.Repeats(df)  # for the gate and the audit
             passed = gates.passed("remove_duplicates", df, lambda t: check_duplicates(t, left if t is df else None))
             left, df = left if passed is df else None, passed
@@ -317,14 +317,14 @@ def run(raw: DataFrame, steps: list[str] | None = None, vocabularies=None, gated
     With a ``report`` folder, audits, trace and assertions are written there as tables. With a ``model`` (see refine.load_model) nothing
     is fitted: its statistics and weights are applied.
     """
-    raw = store(raw, "raw")
+    raw = store(raw, "raw", file_rows=FILE_ROWS)
     steps = ordered(steps if steps is not None else [r["step"] for r in plan_steps(raw).collect()])  # eight at most
     for step in steps:
         if NEEDS.get(step, step) not in steps:
             raise ValueError(f"{step} needs {NEEDS[step]}")
     gates = Gates(gated)
     df, audits = clean(raw, steps, vocabularies, gates=gates)
-    out = Result(df if gated and steps else store(df, "cleaned"), audits=audits, steps=steps, trace=gates.trace)
+    out = Result(df if gated and steps else store(df, "cleaned", file_rows=FILE_ROWS), audits=audits, steps=steps, trace=gates.trace)
     if "build_hourly_timeseries" in steps:
         audits["build_hourly_timeseries"] = hourly.expansion_audit(out.cleaned, max_hours)
         usable = reduce(Column.__and__, [F.col(c).isNotNull() for c in ("admission_id", *config.TIME_COLUMNS)])

@@ -559,6 +559,15 @@ def test_tasks_of_a_spread_table_grow_in_number_not_in_rows(spark):
     assert "Exchange" not in shared.spread(spark.range(90), "id", rows=100)._jdf.queryExecution().executedPlan().toString()
 
 
+@needs_data
+@pytest.mark.parametrize("make", [registry.stored_raw, registry.channel_events, lambda s, d: registry.with_parameters(s, d)[0], registry.stored_hourly])
+def test_tasks_that_deal_out_a_stored_table_read_a_bounded_number_of_rows(spark, monkeypatch, make):
+    for module in (shared, registry):
+        monkeypatch.setattr(module, "FILE_ROWS", 20)
+    rows = [r[0] for r in make(spark, SF).groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert max(rows) <= 20 * 32 and sum(rows) >= 1000  # files of 20 rows, 4 MB counted for each in a task of 128 MB
+
+
 @needs_data
 def test_statics_are_filled_before_hours_are_made(spark):
     plan = hourly.build_hourly(registry.stored_events(spark, SF))._jdf.queryExecution().executedPlan().toString()
