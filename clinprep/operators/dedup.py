@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from clinprep.sources.shared import fresh_name, spread, store
 
-#: Digests that repeat are broadcast up to this size; beyond, rows are shuffled to meet them.
+#: Digests that repeat are broadcast up to this size; beyond, rows are shuffled to meet them, dealt out by number.
 BROADCAST_BYTES, DIGEST_BYTES = 64 << 20, 32
 #: Bits of a number that tells null columns.
 FLAGS = 62
@@ -47,6 +47,8 @@ class Repeats:
         self.digests = self.digests.select(*self.names)
         if self.n * DIGEST_BYTES <= BROADCAST_BYTES:
             self.digests = F.broadcast(self.digests)
+        else:  # rows are shuffled to the tasks of their digests, so these grow in number with the rows
+            self.digests = spread(self.digests, *self.names, n=df.count())
 
     def suspects(self) -> DataFrame:
         return self.marked.join(self.digests, self.names, "left_semi").drop(*self.names)

@@ -614,6 +614,25 @@ def test_rows_of_windows_and_of_repeated_digests_are_dealt_out_by_number(spark,
     assert sorted(map(tuple, found.distinct().collect()), key=repr) == sorted(map(tuple, distinct.collect()), key=repr)
 
 
+@needs_data
+def test_rows_that_meet_digests_too_many_to_broadcast_are_dealt_out_by_number(spark, monkeypatch):
+    raw = registry.stored_raw(spark, SF)
+    want = sorted(map(tuple, dedup.remove_duplicates(raw).collect()), key=repr)
+    audit = tuple(dedup.dedup_audit(raw).first())
+    monkeypatch.setattr(dedup, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(dedup, "spread", functools.partial(shared.spread, rows=20))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        others = dedup.Repeats(raw).others()
+        tasks = [int(n) for n in re.findall(r"Exchange hashpartitioning\(.*?, (\d+)\)", others._jdf.queryExecution().executedPlan().toString())]
+        assert tasks == [55, 55]  # 1,100 rows, and the digests that they meet
+        assert sorted(map(tuple, dedup.remove_duplicates(raw).collect()), key=repr) == want
+        assert tuple(dedup.dedup_audit(raw).first()) == audit
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 @needs_data
 def test_hours_of_channels_carry_no_other_column_and_are_dealt_out_once(spark):
     hours = registry.channel_hours(spark, SF)
