@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clinprep import config
-from clinprep.sources.shared import SPREAD_EVENTS, compiled_methods, spread, store, store_bucketed
+from clinprep.sources.shared import FILE_ROWS, SPREAD_EVENTS, UNSORTED_PARTS, compiled_methods, spread, store, store_bucketed
 
 
 def _t(x: str) -> str:
@@ -121,8 +121,14 @@ def injected(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     compiled_methods(spark)
     # a file of few row groups is read by few tasks: the three columns are dealt out before they become wide texts
-    events = spread(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "ts"), "event_id", rows=SPREAD_EVENTS)
-    return spark.sql(RAW_SQL, events=events)
+    return spark.sql(RAW_SQL, events=spread(_narrow(spark.read.parquet(f"{sf_dir}/events.parquet")), "event_id", rows=SPREAD_EVENTS))
+
+
+def _narrow(events: DataFrame) -> DataFrame:
+    """The columns that the raw table is made of. Where tasks that deal them out would hold them in memory, they are written in files of few
+    rows first: parts of the given file are cut by bytes, and hold any number of rows."""
+    columns = events.select("event_id", "user_id", "ts")
+    return store(columns, "narrow-events", file_rows=FILE_ROWS) if columns.count() > UNSORTED_PARTS * SPREAD_EVENTS else columns
 
 
 RAW_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in config.RAW_COLUMNS])

@@ -568,6 +568,22 @@ def test_tasks_that_deal_out_a_stored_table_read_a_bounded_number_of_rows(spark,
     assert max(rows) <= 20 * 32 and sum(rows) >= 1000  # files of 20 rows, 4 MB counted for each in a task of 128 MB
 
 
+@needs_data
+@pytest.mark.parametrize("name", ["v7_backward_context", "a4_channel_assertions"])
+def test_tasks_that_deal_out_the_given_events_read_a_bounded_number_of_rows(spark, monkeypatch, name):
+    rows = lambda: sorted(map(tuple, registry.QUERIES[name](spark, SF).collect()), key=repr)
+    want, dealt = rows(), []
+
+    def spread(df, *keys, **more):
+        dealt.append([r[0] for r in df.groupBy(F.spark_partition_id()).count().select("count").collect()])
+        return shared.spread(df, *keys, **more)
+
+    for what, x in {"UNSORTED_PARTS": 4, "SPREAD_EVENTS": 100, "FILE_ROWS": 10, "spread": spread}.items():
+        monkeypatch.setattr(events, what, x, raising=False)
+    assert rows() == want
+    assert max(dealt[0]) <= 10 * 32 and sum(dealt[0]) == 1000
+
+
 @needs_data
 def test_statics_are_filled_before_hours_are_made(spark):
     plan = hourly.build_hourly(registry.stored_events(spark, SF))._jdf.queryExecution().executedPlan().toString()
