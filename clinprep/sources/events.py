@@ -120,15 +120,18 @@ def injected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     compiled_methods(spark)
-    # a file of few row groups is read by few tasks: the three columns are dealt out before they become wide texts
-    return spark.sql(RAW_SQL, events=spread(_narrow(spark.read.parquet(f"{sf_dir}/events.parquet")), "event_id", rows=SPREAD_EVENTS))
+    return spark.sql(RAW_SQL, events=_dealt(spark.read.parquet(f"{sf_dir}/events.parquet")))
 
 
-def _narrow(events: DataFrame) -> DataFrame:
-    """The columns that the raw table is made of. Where tasks that deal them out would hold them in memory, they are written in files of few
-    rows first: parts of the given file are cut by bytes, and hold any number of rows."""
+def _dealt(events: DataFrame) -> DataFrame:
+    """The columns that the raw table is made of. A file of few row groups is read by few tasks, so they are dealt out before they become wide
+    texts. Where tasks that do so would hold them in memory, they are written in files of few rows first: parts of the given file are cut by
+    bytes, and hold any number of rows."""
     columns = events.select("event_id", "user_id", "ts")
-    return store(columns, "narrow-events", file_rows=FILE_ROWS) if columns.count() > UNSORTED_PARTS * SPREAD_EVENTS else columns
+    n = columns.count()
+    if n > UNSORTED_PARTS * SPREAD_EVENTS:
+        columns = store(columns, "narrow-events", file_rows=FILE_ROWS)
+    return spread(columns, "event_id", rows=SPREAD_EVENTS, n=n)
 
 
 RAW_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in config.RAW_COLUMNS])

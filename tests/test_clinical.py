@@ -584,6 +584,15 @@ def test_tasks_that_deal_out_the_given_events_read_a_bounded_number_of_rows(spar
     assert max(dealt[0]) <= 10 * 32 and sum(dealt[0]) == 1000
 
 
+@needs_data
+def test_windows_of_channels_are_dealt_out_by_number_of_hours(spark, monkeypatch):
+    monkeypatch.setattr(registry, "spread", functools.partial(shared.spread, rows=500))
+    monkeypatch.setattr(registry, "SPREAD_EVENTS", 500)
+    table = registry.expanded(spark, SF)
+    plan = table.agg(*validate.channel_claims(table)[0])._jdf.queryExecution().executedPlan().toString()
+    assert [int(n) for n in re.findall(r"Exchange hashpartitioning\(admission_id.*?, (\d+)\)", plan)] == [-(-table.count() // 500)]
+
+
 @needs_data
 def test_statics_are_filled_before_hours_are_made(spark):
     plan = hourly.build_hourly(registry.stored_events(spark, SF))._jdf.queryExecution().executedPlan().toString()
