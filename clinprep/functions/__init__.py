@@ -17,8 +17,9 @@ def rint(c: Column, digits: int) -> Column:
 
 
 def strip(c: Column) -> Column:
-    """Without any white space at both ends (trim knows spaces only)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Without any white space at both ends (trim knows spaces only). Texts that begin and end with a printed ASCII character stay, unsearched."""
+    printed = lambda at: F.substring(c, at, 1).between("!", "~")
+    return F.when(printed(1) & printed(-1), c).otherwise(F.regexp_replace(c, r"^\s+|\s+$", ""))
 
 
 def to_double(c: Column) -> Column:
@@ -50,12 +51,12 @@ def spelling(c: Column) -> Column:
 
 
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
-#: By spelling: the whole text, and the groups of year, month and day.
+#: By spelling: the whole text, and where year, month, day, hour and minute begin in it.
 PARTS = [
-    (r"^(\d{4})-(\d{2})-(\d{2}) (\d{2}):(\d{2})$", (1, 2, 3)),
-    (r"^(\d{4})/(\d{2})/(\d{2}) (\d{2}):(\d{2})$", (1, 2, 3)),
-    (r"^(\d{2})/(\d{2})/(\d{4}) (\d{2}):(\d{2})$", (3, 2, 1)),
-    (r"^([A-Za-z]{3}) (\d{2}) (\d{4}) (\d{2}):(\d{2})$", (3, 1, 2)),
+    (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}$", (1, 6, 9, 12, 15)),
+    (r"^\d{4}/\d{2}/\d{2} \d{2}:\d{2}$", (1, 6, 9, 12, 15)),
+    (r"^\d{2}/\d{2}/\d{4} \d{2}:\d{2}$", (7, 4, 1, 12, 15)),
+    (r"^[A-Za-z]{3} \d{2} \d{4} \d{2}:\d{2}$", (8, 1, 5, 13, 16)),
 ]
 #: Further forms for texts that match no spelling, day first.
 FALLBACKS = ["dd-MM-yyyy HH:mm", "dd.MM.yyyy HH:mm", "d MMM yyyy HH:mm", "yyyy-MM-dd", "dd/MM/yyyy"]
@@ -71,15 +72,17 @@ def parse_datetime(c: Column, fallbacks: list[str] | None = None) -> Column:
 
 
 def parse_stripped(text: Column, fallbacks: list[str] | None = None) -> Column:
-    """parse_datetime of a text without white space at its ends."""
+    """parse_datetime of a text without white space at its ends. The parts of a whole text stand at fixed places, so it is searched once."""
     out = F.lit(None).cast("timestamp_ntz")
     for form in reversed(FALLBACKS if fallbacks is None else fallbacks):
         out = F.coalesce(F.try_to_timestamp(text, F.lit(form)).cast("timestamp_ntz"), out)
-    for (_, begins), (whole, (y, m, d)) in reversed(list(zip(config.SPELLINGS, PARTS, strict=True))):
-        part = lambda i, whole=whole: F.regexp_extract(text, whole, i)
-        month = F.array_position(F.array(*[F.lit(n) for n in MONTHS]), F.lower(part(m))).cast("int") if begins.startswith("^[A-Z") else part(m).try_cast("int")
-        made = F.try_make_timestamp_ntz(part(y).try_cast("int"), month, part(d).try_cast("int"), part(4).try_cast("int"), part(5).try_cast("int"), F.lit(0).cast("decimal(16,6)"))
-        out = F.when(text.rlike(begins), made).otherwise(out)
+    begun = text.rlike("|".join(begins for _, begins in config.SPELLINGS))
+    out = F.when(begun, F.lit(None).cast("timestamp_ntz")).otherwise(out)
+    number = lambda at, n=2: F.substring(text, at, n).try_cast("int")
+    for (_, begins), (whole, (y, m, d, h, minute)) in reversed(list(zip(config.SPELLINGS, PARTS, strict=True))):
+        month = F.array_position(F.array(*[F.lit(n) for n in MONTHS]), F.lower(F.substring(text, m, 3))).cast("int") if begins.startswith("^[A-Z") else number(m)
+        made = F.try_make_timestamp_ntz(number(y, 4), month, number(d), number(h), number(minute), F.lit(0).cast("decimal(16,6)"))
+        out = F.when(text.rlike(whole), made).otherwise(out)
     return out
 
 

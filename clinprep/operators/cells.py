@@ -143,24 +143,26 @@ def category_audit(df: DataFrame, vocabularies: dict[str, dict[str, str]] | None
     return changed.join(wide, "column", "left").select("column", none("distinct_before", 0).alias("distinct_before"), none("distinct_after", 0).alias("distinct_after"), none("values_before", "").alias("values_before"), none("values_after", "").alias("values_after"), "cells_changed")
 
 
-def _number(c: Column) -> Column:
-    return c.cast("string").try_cast("double")
+def _number(c: Column, kind: str) -> Column:
+    """A cell as a number; one that is a double already is not spelled out and read again."""
+    return c if kind == "double" else c.cast("string").try_cast("double")
 
 
-def _state(c: Column, low: float, high: float) -> Column:
-    x = _number(c)
+def _state(c: Column, kind: str, low: float, high: float) -> Column:
+    x = _number(c, kind)
     return F.when(c.isNull(), None).when(x.isNull() | F.isnan(x), "unparseable").when(~x.between(low, high), "out_of_range").otherwise("plausible")
 
 
 def validate_ranges(df: DataFrame, ranges: dict[str, tuple[float, float]] | None = None) -> DataFrame:
     """Unparseable or out-of-range cells become null; rows stay. Bounds are inclusive."""
-    ranges = ranges or config.RANGES
-    return df.withColumns({c: F.when(_number(F.col(c)).between(*ranges[c]), _number(F.col(c))) for c in _present(df, ranges)})
+    ranges, kinds = ranges or config.RANGES, dict(df.dtypes)
+    numbers = {c: _number(F.col(c), kinds[c]) for c in _present(df, ranges)}
+    return df.withColumns({c: F.when(x.between(*ranges[c]), x) for c, x in numbers.items()})
 
 
 def _cell_states(df: DataFrame, ranges: dict[str, tuple[float, float]], *carried: str) -> DataFrame:
-    names = _present(df, ranges)
-    cells = [F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), F.col(c).cast("string").alias("value"), _state(F.col(c), *ranges[c]).alias("state")) for i, c in enumerate(names)]
+    names, kinds = _present(df, ranges), dict(df.dtypes)
+    cells = [F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), F.col(c).cast("string").alias("value"), _state(F.col(c), kinds[c], *ranges[c]).alias("state")) for i, c in enumerate(names)]
     return df.select(*carried, F.explode(F.array(*cells)).alias("cell")).select(*carried, "cell.*")
 
 

@@ -99,7 +99,7 @@ def admission_windows(df: DataFrame) -> DataFrame:
     return df.filter("admission_id is not null").groupBy("admission_id").agg(F.mode("intime", True).alias("w_intime"), F.mode("outtime", True).alias("w_outtime"))
 
 
-def _voted(df: DataFrame, dealt: bool = False) -> tuple[DataFrame, dict[str, str], WindowSpec]:
+def _voted(df: DataFrame, dealt: bool = False, like: DataFrame | None = None) -> tuple[DataFrame, dict[str, str], WindowSpec]:
     """``df`` with the majority's times of each row's admission, the names of these columns, and the window of an admission.
 
     One shuffle deals rows out by admission, to tasks that grow in number with the rows; rows without one are each alone and keep their own
@@ -109,16 +109,16 @@ def _voted(df: DataFrame, dealt: bool = False) -> tuple[DataFrame, dict[str, str
         keyed, stay = df, Window.partitionBy("admission_id")
     else:
         lone = fresh_name(df, "lone")
-        keyed = spread(df.withColumn(lone, F.when(F.col("admission_id").isNull(), F.monotonically_increasing_id())), "admission_id", lone, like=df)
+        keyed = spread(df.withColumn(lone, F.when(F.col("admission_id").isNull(), F.monotonically_increasing_id())), "admission_id", lone, like=df if like is None else like)
         stay = Window.partitionBy("admission_id", lone)
     names = {c: fresh_name(df, f"voted_{c}") for c in ("intime", "outtime")}
     return keyed.withColumns({name: F.mode(c, True).over(stay) for c, name in names.items()}), names, stay
 
 
-def reconcile_windows(df: DataFrame, dealt: bool = False) -> DataFrame:
+def reconcile_windows(df: DataFrame, dealt: bool = False, like: DataFrame | None = None) -> DataFrame:
     """One window an admission, chart times inside it, and the length of stay in hours. ``df`` is read once, but for a count of
-    its rows. ``dealt``: ``df`` is dealt out by admission, and no row is without one."""
-    votes, names, _ = _voted(df, dealt)
+    its rows. ``dealt``: ``df`` is dealt out by admission, and no row is without one. ``like``: a written table of as many rows."""
+    votes, names, _ = _voted(df, dealt, like)
     start, end = F.col(names["intime"]), F.col(names["outtime"])
     chart = F.col("charttime")
     clamped = F.when(chart < start, start).when(chart > end, end).otherwise(chart)

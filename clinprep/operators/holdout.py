@@ -115,7 +115,7 @@ def mask_cells(hourly: DataFrame, fraction: float = config.MASK_FRACTION, seed:
     ``corrupted`` also has <channel>_truth, the values it hides; ``truth`` has a row for each of them.
     """
     names = enough(hourly) if names is None else names
-    hidden = {f"{c}_truth": F.when(drawn(F.lit(c), fraction, seed), F.col(c)) for c in names}
+    hidden = {f"{c}_truth": F.when(F.col(c).isNotNull() & drawn(F.lit(c), fraction, seed), F.col(c)) for c in names}  # only observed cells are hashed
     marked = hourly.withColumns(hidden) if names else hourly
     corrupted = marked.withColumns({c: F.when(F.col(f"{c}_truth").isNull(), F.col(c)) for c in names}) if names else marked
     cells = F.array(*[F.struct(F.lit(c).alias("channel"), F.col(f"{c}_truth").alias("truth")) for c in names]) if names else F.array().cast("array<struct<channel:string,truth:double>>")

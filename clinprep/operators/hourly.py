@@ -65,6 +65,16 @@ def build_hourly(df: DataFrame, max_hours: int = config.MAX_HOURS) -> DataFrame:
     those before it, so the grid is never joined nor shuffled. Static columns are filled over the bins, which are few, before the rows are
     made: what a row holds is what its bin holds. Bins outside the grid give nothing.
     """
+    return hours_of(stay_runs(df, max_hours))
+
+
+#: What a run has beside its admission, its bin's ``hour``, channels and statics.
+RUN = ["start", "since", "until", "hours", "hours_since_admission"]
+
+
+def stay_runs(df: DataFrame, max_hours: int = config.MAX_HOURS) -> DataFrame:
+    """The hourly table in runs: for each bin what its hours hold, and the hours that it makes, ``since`` to ``until``. ``hours`` is the length of
+    the stay, ``hours_since_admission`` the place of the bin; channels of a bin outside the grid are null."""
     bins = _bins(df, None, F.min("intime").alias("in_"), F.max("outtime").alias("out_"))
     statics = [c for c in config.STATIC_COLUMNS if c in bins.columns]
     channels = [c for c in config.CHANNELS if c in bins.columns]
@@ -78,11 +88,29 @@ def build_hourly(df: DataFrame, max_hours: int = config.MAX_HOURS) -> DataFrame:
     filled = placed.withColumns({c: fill_both_ways(F.when(inside, F.col(c))) for c in statics})
     since = F.when(F.col("before").isNull(), F.col("start")).otherwise(F.greatest("hour", "start"))
     until = F.least(F.coalesce(F.col("next") - one, last), last)
-    ranged = filled.withColumns({"since": since, "until": until}).filter("end >= start and since <= until")
-    grid = ranged.select("admission_id", F.col("hour").alias("bin"), "start", *channels, *statics, F.explode(F.sequence("since", "until", one)).alias("hour"))
+    ranged = filled.withColumns({"since": since, "until": until, "hours": _place(F.col("start"), last) + 1, "hours_since_admission": _place(F.col("start"), F.col("hour"))})
+    own = F.col("hour").between(F.col("since"), F.col("until"))
+    return ranged.filter("end >= start and since <= until").select(*KEY, *[F.when(own, F.col(c)).alias(c) for c in channels], *statics, *RUN)
+
+
+def _place(start: Column, hour: Column) -> Column:
+    return F.floor(hours_between(start, hour)).cast("int")
+
+
+def hours_of(runs: DataFrame, *carried: str) -> DataFrame:
+    """The hourly table that runs stand for, made without a shuffle. ``carried`` are columns of a run that its hours hold too, after the place of its bin, ``bin_place``."""
+    channels = [c for c in config.CHANNELS if c in runs.columns]
+    statics = [c for c in config.STATIC_COLUMNS if c in runs.columns]
+    more = [F.col("hours_since_admission").alias("bin_place"), *carried] if carried else []
+    grid = runs.select("admission_id", F.col("hour").alias("bin"), "start", *channels, *statics, *more, F.explode(F.sequence("since", "until", F.expr("interval 1 hour"))).alias("hour"))
     own = F.col("hour") == F.col("bin")
-    since_start = F.floor(hours_between(F.col("start"), F.col("hour"))).cast("int").alias("hours_since_admission")
-    return grid.select("hour", "admission_id", *[F.when(own, F.col(c)).alias(c) for c in channels], *statics, since_start)
+    since_start = _place(F.col("start"), F.col("hour")).alias("hours_since_admission")
+    return grid.select("hour", "admission_id", *[F.when(own, F.col(c)).alias(c) for c in channels], *statics, since_start, *(["bin_place", *carried] if carried else []))
+
+
+def run_rows() -> Column:
+    """How many hours a run makes."""
+    return F.timestamp_diff("HOUR", F.col("since"), F.col("until")) + 1
 
 
 def expansion_audit(df: DataFrame, max_hours: int = config.MAX_HOURS) -> DataFrame:

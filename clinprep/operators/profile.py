@@ -49,6 +49,17 @@ def _counted(source: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return source.filter(F.col("column") != ROW) if columns is None else source.filter(F.col("column").isin(columns))
 
 
+def planned_columns(df: DataFrame) -> list[str]:
+    """The columns that a plan's evidence may be about: ranged ones, channels, and those whose values may be few. Values of the others are set
+    into 64 bits by their hashes; more bits than MAX_VARIANTS show more values, so no such column is left out but for good."""
+    sure = [c for c in _columns(df) if c in config.RANGES or c in config.CHANNELS]
+    rest = [c for c in _columns(df) if c not in sure and c not in config.TIME_COLUMNS]
+    bit = "bit_count(bit_or(CASE WHEN `{0}` IS NOT NULL THEN shiftleft(1L, CAST(xxhash64(CAST(`{0}` AS STRING)) & 63 AS INT)) END))"
+    seen = df.agg(*[F.expr(bit.format(c)).alias(f"n_{i}") for i, c in enumerate(rest)]).first() if rest else []  # one row
+    few = [c for c, n in zip(rest, seen, strict=True) if (n or 0) <= MAX_VARIANTS]
+    return [c for c in _columns(df) if c in sure or c in few]
+
+
 def column_profile(source: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(position, column, dtype, rows, missing, missing_pct). Of a dictionary, the columns must be named; they are texts."""
     if source.columns != DICTIONARY:

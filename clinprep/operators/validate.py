@@ -85,11 +85,17 @@ def channel_assertions(processed: DataFrame, channels: list[str] | None = None)
     return _rows(processed.agg(*sums), *claims)
 
 
+def observed_rows(processed: DataFrame) -> DataFrame:
+    """The rows with an observed cell, some tenth of a grid: claims about observed cells need no others, whose refinement is then never computed."""
+    masks = [F.coalesce(F.col(f"{c}_mask") == 1, F.lit(False)) for c in config.CHANNELS if f"{c}_mask" in processed.columns]
+    return processed.filter(reduce(Column.__or__, masks))
+
+
 def fabrication_assertions(processed: DataFrame, audit: DataFrame, channels: list[str] | None = None) -> DataFrame:
     """A5: refinement left observed values as they were, by the table and by its own audit (channel, observed_modified)."""
     channels = [c for c in (channels or config.CHANNELS) if f"{c}_refined" in processed.columns]
     worst = [F.coalesce(F.max(F.when(F.col(f"{c}_mask") == 1, F.abs(F.col(f"{c}_refined") - F.col(f"{c}_value")))), F.lit(0.0)).alias(c) for c in channels]
-    rows = _rows(processed.agg(*worst), *[_row(f"{c}_observed_values_unchanged", F.col(c) < 1e-6, "0 (exact)", F.col(c)) for c in channels])
+    rows = _rows(observed_rows(processed).agg(*worst), *[_row(f"{c}_observed_values_unchanged", F.col(c) < 1e-6, "0 (exact)", F.col(c)) for c in channels])
     return rows.unionByName(_rows(audit.agg(F.sum("observed_modified").alias("n")), _none("refinement_reports_no_observed_change", F.col("n"))))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from clinprep import config
 from clinprep.functions import rint
+from clinprep.operators.hourly import hours_of
 from clinprep.sources.shared import fresh_name
 
 
@@ -80,21 +81,61 @@ def _expand(c: str, base: float, mean: Column, hours: Column, seen: dict[str, Co
     }
 
 
-def value_mask_decay(hourly: DataFrame, channels: list[str] | None = None, base: float = config.DECAY_BASE, means: Parameters | DataFrame | None = None) -> DataFrame:
+def value_mask_decay(hourly: DataFrame, channels: list[str] | None = None, base: float = config.DECAY_BASE, means: Parameters | DataFrame | None = None, length: str | None = None) -> DataFrame:
     """V2-V7: eight further columns a channel. Needs admission_id and hours_since_admission (0, 1, ...). Without ``means`` the table is read for them.
 
-    Windows are columns of their own first: each mention of one inside an expression would be computed anew.
+    Windows are columns of their own first: each mention of one inside an expression would be computed anew. Rows without an observed cell tell
+    the others nothing but the length of the stay, so a table that has it as a column ``length`` may lack them.
     """
     channels = [c for c in (channels or config.CHANNELS) if c in hourly.columns]
     known = parameters(population_means(hourly, channels) if means is None else means)
     hours = fresh_name(hourly, "hours")
     found = {c: {k: (fresh_name(hourly, f"{k}_{c}"), w) for k, w in _seen(c).items()} for c in channels}
     windows = {name: w for of in found.values() for name, w in of.values()}
-    rows = hourly.withColumns({hours: F.max("hours_since_admission").over(Window.partitionBy("admission_id")) + 1} | windows)
+    rows = hourly.withColumns({hours: F.col(length) if length else F.max("hours_since_admission").over(Window.partitionBy("admission_id")) + 1} | windows)
     new = reduce(lambda a, b: a | b, (_expand(c, base, F.lit(known[f"mean_{c}"]).cast("double"), F.col(hours), {k: F.col(name) for k, (name, _) in found[c].items()}) for c in channels), {})
     return rows.withColumns(new).drop(hours, *windows)
 
 
+#: What a run knows of a channel for its hours: places and values of the last observed cell up to its bin, of the next one from its bin on, and of the next one after it.
+RUN_SEEN = ["before", "carried", "after", "ahead", "later", "later_ahead"]
+
+
+def _run_names(channels: list[str]) -> dict[str, dict[str, str]]:
+    return {c: {k: f"{c}_run_{k}" for k in RUN_SEEN} for c in channels}
+
+
+def seen_by_runs(runs: DataFrame) -> DataFrame:
+    """Runs (hourly.stay_runs) with what the windows of V2-V7 say of each channel. Only bins hold observed cells, so windows over them serve all hours."""
+    channels = [c for c in config.CHANNELS if c in runs.columns]
+    beyond = Window.partitionBy("admission_id").orderBy(F.desc("hours_since_admission")).rowsBetween(Window.unboundedPreceding, -1)
+    new = {}
+    for c, names in _run_names(channels).items():
+        pos = F.when(F.col(c).isNotNull(), F.col("hours_since_admission"))
+        new |= {names[k]: w for k, w in _seen(c).items()}
+        new |= {names["later"]: F.min(pos).over(beyond), names["later_ahead"]: F.last(c, True).over(beyond)}
+    return runs.withColumns(new)
+
+
+def without_seen(runs: DataFrame) -> DataFrame:
+    return runs.drop(*[name for names in _run_names(config.CHANNELS).values() for name in names.values()])
+
+
+def expand_runs(runs: DataFrame, means: Parameters, base: float = config.DECAY_BASE) -> DataFrame:
+    """V2-V7 of the hourly table that runs with their windows (``seen_by_runs``) stand for: value_mask_decay of it, without a shuffle, a sort or a window over its hours."""
+    channels = [c for c in config.CHANNELS if c in runs.columns]
+    names = _run_names(channels)
+    carried = ["hours", *[name for of in names.values() for name in of.values()]]
+    rows = hours_of(runs, *carried)
+    pos, own = F.col("hours_since_admission"), F.col("bin_place")
+    new = {}
+    for c, of in names.items():
+        got = {k: F.when(pos >= own, F.col(of[k])) for k in ("before", "carried")}
+        got |= {k: F.when(pos <= own, F.col(of[k])).otherwise(F.col(of[later])) for k, later in (("after", "later"), ("ahead", "later_ahead"))}
+        new |= _expand(c, base, F.lit(means[f"mean_{c}"]).cast("double"), F.col("hours"), got)
+    return rows.withColumns(new).drop("bin_place", *carried)
+
+
 def statistics(vmd: DataFrame, channels: list[str] | None = None) -> DataFrame:
     """One row, mu_<channel> and sd_<channel> of the rounded values of observed cells; a spread of 0 or none counts as 1."""
     out = []
@@ -116,28 +157,35 @@ def standardise(vmd: DataFrame, channels: list[str] | None = None, stats: Parame
     return vmd.withColumns({f"{c}_{out}": z(c, of) for c in channels for out, of in (("z", "value"), ("next_z", "next_value"))})
 
 
-def by_channel(df: DataFrame, sums: Callable[[str], dict[str, Column]], channels: list[str] | None = None) -> DataFrame:
-    """(channel, ...): a row for each channel, of aggregates over its own columns; the table is summed wide, so no row is copied for each channel."""
+def wide_sums(sums: Callable[[str], dict[str, Column]], channels: list[str] | None = None) -> list[Column]:
+    """The aggregates that ``by_channel`` takes, a column for each channel and name."""
+    return [x.alias(f"{c}__{name}") for c in channels or config.CHANNELS for name, x in sums(c).items()]
+
+
+def by_channel(df: DataFrame, sums: Callable[[str], dict[str, Column]], channels: list[str] | None = None, one: DataFrame | None = None) -> DataFrame:
+    """(channel, ...): a row for each channel, of aggregates over its own columns; the table is summed wide, so no row is copied for each channel.
+    ``one``: a row with these aggregates, if they were taken already."""
     made = {c: sums(c) for c in channels or config.CHANNELS}
-    one = df.agg(*[x.alias(f"{c}__{name}") for c, of in made.items() for name, x in of.items()])
+    one = df.agg(*wide_sums(sums, channels)) if one is None else one
     return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("channel"), *[F.col(f"{c}__{name}").alias(name) for name in of]) for c, of in made.items()])))
 
 
-def channel_audit(vmd: DataFrame, channels: list[str] | None = None) -> DataFrame:
+def channel_audit_sums(c: str) -> dict[str, Column]:
+    mask, n = F.col(f"{c}_mask"), lambda kind: F.count(F.when(F.col(f"{c}_fill_kind") == kind, 1))
+    return {
+        "observed": n("observed"),
+        "locf": n("locf"),
+        "neutral": n("neutral_fill"),
+        "observed_pct": rint(100.0 * F.avg(mask), 2),
+        "max_gap": F.max(f"{c}_gap_hours"),
+        "mean_decay_imputed": rint(F.avg(F.when(mask == 0, F.col(f"{c}_decay"))), 4),
+        "mean_used": rint(F.avg(F.when(mask == 1, F.col(f"{c}_value"))), 3),
+    }
+
+
+def channel_audit(vmd: DataFrame, channels: list[str] | None = None, one: DataFrame | None = None) -> DataFrame:
     """V9: (channel, observed, locf, neutral, observed_pct, max_gap, mean_decay_imputed, mean_used); mean_used: what neutral fills hold."""
-    def sums(c: str) -> dict[str, Column]:
-        mask, n = F.col(f"{c}_mask"), lambda kind: F.count(F.when(F.col(f"{c}_fill_kind") == kind, 1))
-        return {
-            "observed": n("observed"),
-            "locf": n("locf"),
-            "neutral": n("neutral_fill"),
-            "observed_pct": rint(100.0 * F.avg(mask), 2),
-            "max_gap": F.max(f"{c}_gap_hours"),
-            "mean_decay_imputed": rint(F.avg(F.when(mask == 0, F.col(f"{c}_decay"))), 4),
-            "mean_used": rint(F.avg(F.when(mask == 1, F.col(f"{c}_value"))), 3),
-        }
-
-    return by_channel(vmd, sums, channels)
+    return by_channel(vmd, channel_audit_sums, channels, one)
 
 
 def neutral_check(standardised: DataFrame, channels: list[str] | None = None) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from clinprep import config
 from clinprep.operators import cells, datetimes, dedup, hourly, profile, refine, validate, vmd
 from clinprep.sources.events import write_report
-from clinprep.sources.shared import FILE_ROWS, SPREAD_EVENTS, spread, store, store_measured
+from clinprep.sources.shared import FILE_ROWS, FILE_RUNS, SPREAD_EVENTS, spread, store
 
 STEPS = config.STEPS
 ALWAYS = {"standardise_datetimes", "build_hourly_timeseries", "build_value_mask_decay", "refine_missing_values"}
@@ -40,6 +40,7 @@ class Check:
     claims: list[Column]
     after: list[Column] = field(default_factory=list)
     before: list[Column] = field(default_factory=list)
+    rows: Callable[[DataFrame], DataFrame] | None = None  # the rows that the claims are about, where others tell nothing
 
     def of(self, after: DataFrame, before: DataFrame | None = None) -> DataFrame:
         """The claims as assertions, by aggregating the tables."""
@@ -95,9 +96,9 @@ def check_categories(df: DataFrame, vocabularies=None) -> DataFrame:
 
 def ranges_check(before: DataFrame, ranges=None) -> Check:
     ranges = {c: r for c, r in (ranges or config.RANGES).items() if c in before.columns}
-    had, kept = {}, {}
+    had, kept, kinds = {}, {}, dict(before.dtypes)
     for c, r in ranges.items():
-        state = cells._state(F.col(c), *r)
+        state = cells._state(F.col(c), kinds[c], *r)
         had[c], kept[c] = F.count(state).alias(f"had_{c}"), F.count(F.when(state == "plausible", 1)).alias(f"kept_{c}")
     outside = [F.count(F.when(~F.col(c).between(*r), 1)) for c, r in ranges.items()]
     total = reduce(Column.__add__, outside, F.lit(0)).alias("outside")
@@ -130,7 +131,7 @@ def check_vmd(df: DataFrame) -> DataFrame:
 
 def refinement_check(df: DataFrame) -> Check:
     moved = [F.count(F.when((F.col(f"{c}_mask") == 1) & ~F.col(f"{c}_refined").eqNullSafe(F.col(f"{c}_value")), 1)) for c in config.CHANNELS if f"{c}_refined" in df.columns]
-    return Check([validate._none("observed_cells_unchanged", F.col("modified"))], [reduce(Column.__add__, moved, F.lit(0)).alias("modified")])
+    return Check([validate._none("observed_cells_unchanged", F.col("modified"))], [reduce(Column.__add__, moved, F.lit(0)).alias("modified")], rows=validate.observed_rows)
 
 
 def check_refinement(df: DataFrame) -> DataFrame:
@@ -166,12 +167,9 @@ class Gates:
             df = store(_repaired(df, found), "repaired", file_rows=FILE_ROWS)
         return df
 
-    def written(self, df: DataFrame, stages: list[tuple[str, Callable, Callable]], tag: str, attempt: int = 1, lasting: bool = False) -> DataFrame:
+    def written(self, df: DataFrame, stages: list[tuple[str, Callable, Callable]], tag: str, attempt: int = 1) -> DataFrame:
         """The table that the stages make of ``df``, written once with the aggregates of all their checks observed.
 
-        ``lasting``: later stages only add columns, so the aggregates are taken from the written table. Observed ones are summed outside of compiled
-        stages, which on a grid of many rows costs more than reading the columns that they need.
-
         A stage is (step, what it makes of a table, its check of the tables before and after). If the claims of one fail, its result is repaired and
         written, and the stages after it are done anew.
         """
@@ -187,24 +185,39 @@ class Gates:
                 seen["before"] = Observation()
                 after = make(now.observe(seen["before"], *check.before))
             plain = after
-            if check.after and not lasting:
+            if check.after:
                 seen["after"] = Observation()
                 after = after.observe(seen["after"], *check.after)
             told.append((step, check, seen, now, plain))
             now = after
         out = store(now, tag, file_rows=FILE_ROWS)
-        sums = [m for _, check, *_ in told for m in check.after] if lasting else []
-        taken = out.agg(*sums).first().asDict() if sums else {}  # one row
         for i, (step, check, seen, before, after) in enumerate(told):
-            values = taken | {k: v for o in seen.values() for k, v in o.get.items()}
+            values = {k: v for o in seen.values() for k, v in o.get.items()}
             found = self.settled(step, attempt if not i else 1, failures(check.seen(after, before, values)))
             if found:
                 fix = (step, lambda t, found=found: _repaired(t, found), lambda _, t, check=check: Check(check.claims, check.after, []))
                 if check.before:  # what was lost before stays lost: only claims over the result can be repaired
                     fix = (step, fix[1], lambda _, t, check=check: Check(check.claims[:1], check.after))
-                return self.written(store(after, "failed", file_rows=FILE_ROWS), [fix, *stages[i + 1 :]], tag, ATTEMPTS, lasting)
+                return self.written(store(after, "failed", file_rows=FILE_ROWS), [fix, *stages[i + 1 :]], tag, ATTEMPTS)
         return out
 
+    def derived(self, df: DataFrame, stages: list[tuple[str, Callable, Callable]], more: list[Column]) -> tuple[DataFrame, DataFrame | None]:
+        """The table that the stages make of a written one row by row, and a row of the aggregates ``more``. Nothing is written: one reading of the table
+        gives these and the aggregates of the checks, another those of checks about some rows only. No claim over columns that follow from others has
+        a repair; ungated, nothing is read."""
+        now, told = df, []
+        for step, make, check_of in stages:
+            before, now = now, make(now)
+            told.append((step, check_of(before, now), before, now))
+        if not self.active:
+            return now, None
+        taken = now.agg(*[m for _, check, *_ in told if not check.rows for m in check.after], *more)
+        row = taken.first()  # one row
+        for step, check, before, after in told:
+            values = check.rows(after).agg(*check.after).first() if check.rows else row  # one row
+            self.settled(step, 1, failures(check.seen(after, before, values.asDict())))
+        return now, df.sparkSession.createDataFrame([tuple(row)], taken.schema) if more else None
+
 
 def _repaired(df: DataFrame, failed: list[str]) -> DataFrame:
     return reduce(lambda t, name: REPAIRS[name](t), failed, df)
@@ -220,15 +233,20 @@ def repair_temperature(df: DataFrame) -> DataFrame:
 REPAIRS = {"rows_are_distinct": dedup.remove_duplicates, "all_values_in_range": cells.validate_ranges, "no_stray_fahrenheit": repair_temperature}
 
 
-def plan_steps(raw: DataFrame) -> DataFrame:
+def plan_steps(raw: DataFrame, repeats: dedup.Repeats | None = None) -> DataFrame:
     """A10: (position, step, evidence): steps that the profile justifies, in the fixed order.
 
-    The table is read once, for the dictionary of its values and of its rows' digests.
+    The table is read once, for the dictionary of its values and of its rows' digests. Where the repeated digests (``repeats``) of a written table are
+    known, the dictionary has neither digests nor the columns that no step's evidence is about, so it grows with distinct values only.
     """
-    counts = raw if raw.columns == profile.DICTIONARY else store(profile.value_counts(raw, rows=True), "value-counts")
+    if raw.columns == profile.DICTIONARY:
+        counts = raw
+    else:
+        counts = store(profile.value_counts(raw, profile.planned_columns(raw) if repeats else None, rows=not repeats), "value-counts")
     n = lambda df: df.agg(F.count(F.lit(1)).alias("evidence"))
+    redundant = raw.sparkSession.range(1).select(F.lit(repeats.rows - repeats.n).alias("redundant")) if repeats else profile.redundant_rows(counts)
     evidence = {
-        "remove_duplicates": profile.redundant_rows(counts).select(F.col("redundant").alias("evidence")),
+        "remove_duplicates": redundant.select(F.col("redundant").alias("evidence")),
         "convert_units": n(profile.unit_tokens(counts)),
         "standardise_categories": n(profile.categorical_variants(counts)),
         "validate_ranges": profile.implausible_values(counts).agg(F.coalesce(F.sum(F.col("out_of_range") + F.col("unparseable")), F.lit(0)).alias("evidence")),
@@ -267,25 +285,31 @@ def ordered(steps: list[str]) -> list[str]:
 
 @dataclass
 class Result:
-    """What a job made: tables that its steps don't reach are None; audits by step; the trace of checks and repairs."""
+    """What a job made: tables that its steps don't reach are None; audits by step; the trace of checks and repairs.
+
+    ``runs`` is the written form of the grid, a row for each hour with events. ``hourly`` and ``processed`` have a row for each hour and are made of it by
+    those who read them, without a shuffle; who needs them as files writes them (events.write_table).
+    """
 
     cleaned: DataFrame
     hourly: DataFrame | None = None
     processed: DataFrame | None = None
+    runs: DataFrame | None = None
     audits: dict[str, DataFrame] = field(default_factory=dict)
     steps: list[str] = field(default_factory=list)
     trace: list[tuple] = field(default_factory=list)
     model: dict | None = None
 
 
-def clean(raw: DataFrame, steps: list[str] | None = None, vocabularies=None, gated: bool = False, gates: Gates | None = None) -> tuple[DataFrame, dict[str, DataFrame]]:
+def clean(raw: DataFrame, steps: list[str] | None = None, vocabularies=None, gated: bool = False, gates: Gates | None = None, repeats: dedup.Repeats | None = None) -> tuple[DataFrame, dict[str, DataFrame]]:
     """The event steps, with their audits; ``gated`` checks each step's postconditions and repairs what may be repaired.
 
-    Gated, the rows are written where they have been shuffled and after the steps that change cells.
+    Gated, the rows are written twice: distinct, and after the steps that change cells, those of times included. ``repeats``: the repeated digests
+    of ``raw``, if they are known.
     """
     gates = gates or Gates(gated)
     steps, df, audits = ordered(STEPS if steps is None else steps), raw, {}
-    first, left = dedup.Repeats(raw), None
+    first, left = repeats or dedup.Repeats(raw), None
     if "remove_duplicates" in steps:
         df = first.distinct()
         if gates.active:
@@ -294,63 +318,80 @@ def clean(raw: DataFrame, steps: list[str] | None = None, vocabularies=None, gat
             passed = gates.passed("remove_duplicates", df, lambda t: check_duplicates(t, left if t is df else None))
             left, df = left if passed is df else None, passed
     audits["remove_duplicates"] = dedup.dedup_audit(raw, kept=df, before=first, after=left or (None if "remove_duplicates" in steps else first))
+    before, stages = df, []  # steps on times change no other cells, so audits of these start from the distinct rows
     if "standardise_datetimes" in steps:
-        parsed = datetimes.parse_times(df)
+        parsed = df = datetimes.parse_times(df)
         audits["standardise_datetimes"] = datetimes.window_audit(parsed)
-        df = gates.written(parsed, [("standardise_datetimes", datetimes.reconcile_windows, lambda _, t: datetimes_check(t))], "windowed")
-    stages = [
+        # their number is told by the written rows
+        stages.append(("standardise_datetimes", lambda t: datetimes.reconcile_windows(t, like=before), lambda _, t: datetimes_check(t)))
+    cell_stages = [
         ("convert_units", cells.convert_units, lambda _, t: units_check(t)),
         ("standardise_categories", lambda t: cells.standardise_categories(t, vocabularies), lambda t, _: categories_check(t, vocabularies)),
         ("validate_ranges", cells.validate_ranges, lambda t, _: ranges_check(t)),
     ]
     audit_of = {"convert_units": cells.unit_paths, "standardise_categories": lambda t: cells.category_audit(t, vocabularies), "validate_ranges": cells.range_audit}
-    stages, before = [s for s in stages if s[0] in steps], df
-    for step, make, _ in stages:
-        audits[step] = audit_of[step](before)
-        before = make(before)
+    cell_stages, changed = [s for s in cell_stages if s[0] in steps], before
+    for step, make, _ in cell_stages:
+        audits[step] = audit_of[step](changed)
+        changed = make(changed)
+    stages += cell_stages
     return (gates.written(df, stages, "cleaned") if stages else df), audits
 
 
 def run(raw: DataFrame, steps: list[str] | None = None, vocabularies=None, gated: bool = True, max_hours: int = config.MAX_HOURS, report: str | None = None, model: dict | None = None) -> Result:
-    """Profile, plan, and the steps of the plan with gates. The tables that are kept are written once and read back.
+    """Profile, plan, and the steps of the plan with gates. The tables that are kept are written once and read back, that of the grid in runs (Result).
 
     With a ``report`` folder, audits, trace and assertions are written there as tables. With a ``model`` (see refine.load_model) nothing
     is fitted: its statistics and weights are applied.
     """
     raw = store(raw, "raw", file_rows=FILE_ROWS)
-    steps = ordered(steps if steps is not None else [r["step"] for r in plan_steps(raw).collect()])  # eight at most
+    repeats = dedup.Repeats(raw)
+    steps = ordered(steps if steps is not None else [r["step"] for r in plan_steps(raw, repeats).collect()])  # eight at most
     for step in steps:
         if NEEDS.get(step, step) not in steps:
             raise ValueError(f"{step} needs {NEEDS[step]}")
     gates = Gates(gated)
-    df, audits = clean(raw, steps, vocabularies, gates=gates)
+    df, audits = clean(raw, steps, vocabularies, gates=gates, repeats=repeats)
     out = Result(df if gated and steps else store(df, "cleaned", file_rows=FILE_ROWS), audits=audits, steps=steps, trace=gates.trace)
     if "build_hourly_timeseries" in steps:
         audits["build_hourly_timeseries"] = hourly.expansion_audit(out.cleaned, max_hours)
         usable = reduce(Column.__and__, [F.col(c).isNotNull() for c in ("admission_id", *config.TIME_COLUMNS)])
         rows = out.cleaned.agg(F.count(F.when(usable, 1)).alias("rows_before"))
-        grid = hourly.build_hourly(spread(out.cleaned, "admission_id", rows=SPREAD_EVENTS), max_hours)
-        out.hourly, sums = store_measured(grid, "hourly", F.count(F.lit(1)).alias("rows_after"), *vmd.channel_sums(config.CHANNELS))
+        # written in runs, some ten hours each, with the windows over them: a hundred columns of all hours cost more to encode than to compute
+        made = vmd.seen_by_runs(hourly.stay_runs(spread(out.cleaned, "admission_id", rows=SPREAD_EVENTS), max_hours))
+        runs = out.runs = store(made, "processed" if "build_value_mask_decay" in steps else "hourly", file_rows=FILE_RUNS)
+        sums = runs.agg(F.coalesce(F.sum(hourly.run_rows()), F.lit(0)).alias("rows_after"), *vmd.channel_sums(config.CHANNELS)).first().asDict()  # one row
         rows = raw.sparkSession.createDataFrame([(rows.first()[0], sums["rows_after"])], "rows_before long, rows_after long")
-        out.hourly = gates.passed("build_hourly_timeseries", out.hourly, lambda t: check_hourly(spread(t.select(*hourly.KEY), "admission_id"), rows))
+        gates.passed("build_hourly_timeseries", dealt_hours(runs, sums["rows_after"]), lambda t: check_hourly(t, rows))  # none of its claims has a repair
+        out.hourly = hourly.hours_of(runs)
     if "build_value_mask_decay" in steps:
         known = model["parameters"] if model else vmd.parameters(sums)
-        stages = [("build_value_mask_decay", lambda t: vmd.standardise(vmd.value_mask_decay(t, means=known), stats=known), lambda _, t: vmd_check(t))]
+        stages = [("build_value_mask_decay", lambda t: vmd.standardise(vmd.expand_runs(t, known), stats=known), lambda _, t: vmd_check(t))]
         if "refine_missing_values" in steps:
-            # the fit needs the hourly table only, so one write holds both steps
-            weights = model["weights"] if model else {c: f["weights"] for c, f in refine.fit(out.hourly, known).items()}
+            # the fit needs the observed cells only, so one write holds both steps
+            observed = runs.filter(F.coalesce(*config.CHANNELS).isNotNull()).select("admission_id", "hours_since_admission", "hours", *config.CHANNELS)
+            weights = model["weights"] if model else {c: f["weights"] for c, f in refine.fit(observed, known, length="hours").items()}
             stages.append(("refine_missing_values", lambda t: refine.refine(t, weights, stats=known), lambda _, t: refinement_check(t)))
             out.model = {"parameters": known, "weights": weights}
-        done = gates.written(spread(out.hourly, "admission_id"), stages, "processed", lasting=True)
-        out.processed = done if gated else store(done, "processed")
-        audits["build_value_mask_decay"] = vmd.channel_audit(out.processed)
-        if "refine_missing_values" in steps:
-            audits["refine_missing_values"] = refine.refinement_audit(out.processed)
+        refined = "refine_missing_values" in steps
+        # audits are taken along where they are asked for
+        more = [] if not report else [*vmd.wide_sums(vmd.channel_audit_sums), *(vmd.wide_sums(refine.refinement_audit_sums) if refined else [])]
+        out.processed, one = gates.derived(runs, stages, more)
+        audits["build_value_mask_decay"] = vmd.channel_audit(out.processed, one=one)
+        if refined:
+            audits["refine_missing_values"] = refine.refinement_audit(out.processed, one=one)
     if report:
         write_report({**audits, "trace": trace(raw, out), "assertions": assertions(raw, out)}, report)
     return out
 
 
+def dealt_hours(runs: DataFrame, n: int | None = None) -> DataFrame:
+    """Admission and hour of the hours that runs make (``n``, if known), dealt out by admission before they are made."""
+    keys = runs.select(*hourly.KEY, *hourly.RUN)
+    n = keys.agg(F.coalesce(F.sum(hourly.run_rows()), F.lit(0))).first()[0] if n is None else n
+    return hourly.hours_of(spread(keys, "admission_id", n=n)).select(*hourly.KEY)
+
+
 def trace(raw: DataFrame, result: Result) -> DataFrame:
     """S3: a row for each check of a step: (position, step, attempt, passed, failed)."""
     return raw.sparkSession.createDataFrame(result.trace, TRACE)
@@ -360,8 +401,7 @@ def assertions(raw: DataFrame, result: Result) -> DataFrame:
     """A1-A5 over a run, as far as its steps went."""
     parts = [validate.table_assertions(raw, result.cleaned, result.audits["remove_duplicates"]), validate.range_assertions(result.cleaned)]
     if result.hourly is not None:
-        grid = (result.hourly if result.processed is None else result.processed).select(*hourly.KEY)
-        parts.append(validate.grid_assertions(spread(grid, "admission_id")))
+        parts.append(validate.grid_assertions(dealt_hours(result.runs)))
     if result.processed is not None:
         parts.append(validate.channel_assertions(result.processed))
     if "refine_missing_values" in result.audits:

@@ -674,3 +674,49 @@ def test_audits_of_channels_copy_no_rows(spark):
     for audit in (vmd.channel_audit(table, ["heart_rate"]), vmd.neutral_check(table, ["heart_rate"]), refine.refinement_audit(refined, ["heart_rate"])):
         plan = audit._jdf.queryExecution().optimizedPlan().toString()
         assert "explode" not in plan and audit.first().channel == "heart_rate"
+
+
+@needs_data
+def test_runs_make_the_same_hours_as_windows_over_the_grid(spark):
+    """Of every hour, all columns; a cap and chart times outside the window leave bins outside of the grid."""
+    cleaned = registry.stored_events(spark, SF)
+    outside = cleaned.withColumn("charttime", F.when(F.col("row_index") % 5 == 0, F.col("charttime") - F.expr("interval 2 days")).otherwise(F.col("charttime")))
+    known = {f"{k}_{c}": x for c in config.CHANNELS for k, x in (("mean", 80.0), ("mu", 79.0), ("sd", 12.0))}
+    rows = lambda df: sorted(map(tuple, registry.rounded(df).collect()), key=repr)
+    for table, cap in ((cleaned, config.MAX_HOURS), (outside, 30)):
+        grid = hourly.build_hourly(table, cap)
+        runs = vmd.seen_by_runs(hourly.stay_runs(table, cap))
+        assert runs.agg(F.sum(hourly.run_rows())).first()[0] == grid.count() > 5 * runs.count() / 2
+        expanded = vmd.expand_runs(runs, known)
+        assert expanded.dtypes == vmd.value_mask_decay(grid, means=known).dtypes
+        assert rows(expanded) == rows(vmd.value_mask_decay(grid, means=known))
+    plan = vmd.expand_runs(shared.store(runs, "runs"), known)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan and "Sort" not in plan
+
+
+@needs_data
+def test_a_fit_needs_the_observed_cells_only(spark):
+    table, known = registry.with_parameters(spark, SF)
+    runs = hourly.stay_runs(registry.stored_events(spark, SF)).filter(F.coalesce(*config.CHANNELS).isNotNull())
+    every, few = refine.hidden_rows(table)[0], refine.hidden_rows(runs, length="hours")[0]
+    rows = lambda df: sorted(map(tuple, registry.rounded(df.select(*every.columns)).collect()), key=repr)
+    assert rows(few) == rows(every) != []
+
+
+@needs_data
+def test_a_run_encodes_no_grid_and_reads_it_once_for_gates_and_audits(spark, monkeypatch, tmp_path):
+    """Tables that a run writes have a row for an event or a run at most, and its audits come with the gates' one reading."""
+    rows = {}
+    monkeypatch.setattr(pipeline, "store", lambda df, tag, **more: rows.setdefault(tag, shared.store(df, tag, **more)))
+    out = pipeline.run(events.raw_events(spark, SF), vocabularies=registry.VOCABULARIES, report=str(tmp_path))
+    assert max(t.count() for t in rows.values() if "column" not in t.columns) == 1100 and "windowed" not in rows
+    assert out.processed.count() == out.hourly.count() > 5 * rows["processed"].count() / 2
+    for step, audit in (("build_value_mask_decay", vmd.channel_audit), ("refine_missing_values", refine.refinement_audit)):
+        assert "FileScan" not in out.audits[step]._jdf.queryExecution().executedPlan().toString()
+        assert sorted(out.audits[step].collect()) == sorted(audit(out.processed).collect())
+    assert set(rows["value-counts"].select("column").distinct().toPandas()["column"]) <= set(config.RAW_COLUMNS) - {*config.TIME_COLUMNS, "admission_id"}
+
+
+@needs_data
+def test_sql_twin_of_a_report(spark):
+    test_sql_twin(spark, "s3_report_of_a_run")
